@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, language, mixing, packing, quality, token_counts, toxicity
+from . import exact_dedup, fingerprints, jaccard, language, mixing, packing, quality, substring_dedup, token_counts, toxicity
 from .shared import fold, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -38,10 +38,18 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out(language.identify(docs, model), 3, 1).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=4, share=85)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), width=13).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), F.array("source"))
     return mixed.select("doc_id", "size", F.col("source_sizes")[0].alias("source_size"), F.col("targets")[0].alias("target"), "taken")
@@ -59,6 +67,6 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op2_token_counts, op3_packing, op4_language, op6_exact_dedup, op8_mixing, op9_toxicity, op10_fingerprints)
+    for f in (op1_quality, op2_token_counts, op3_packing, op4_language, op5_ngram_jaccard, op6_exact_dedup, op7_substring_dedup, op8_mixing, op9_toxicity, op10_fingerprints)
 }
-ORACLES: dict[str, str] = {"op6_exact_dedup": exact_dedup.SQL}
+ORACLES: dict[str, str] = {"op5_ngram_jaccard": jaccard.SQL, "op6_exact_dedup": exact_dedup.SQL, "op7_substring_dedup": substring_dedup.SQL}
