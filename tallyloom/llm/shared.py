@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,9 +72,9 @@ def slices(batches, most: int = 2_000_000, column: str = "text"):
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = np.frombuffer(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), dtype=np.int64)
+        size = pc.binary_length(batch.column(column))
         ends, start, total = [], 0, 0
-        for i, n in enumerate(size.tolist()):
+        for i, n in enumerate(size.to_pylist()):
             total += n
             if total >= most:
                 yield batch.slice(start, i + 1 - start)
@@ -82,9 +83,5 @@ def slices(batches, most: int = 2_000_000, column: str = "text"):
             yield batch.slice(start)
 
 
-def blank(batch_schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in batch_schema], schema=batch_schema)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
