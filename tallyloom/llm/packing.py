@@ -1,6 +1,6 @@
 """Packing of token pieces into sequences of fixed length: shortest pack first over the histogram of lengths.
 
-1. Texts become ids (word by word, each distinct word encoded once per worker); a document's ids and its end id are
+1. Texts become ids word by word, with the ids of words met before kept by the worker; a document's ids and its end id are
    cut at multiples of the sequence length, so that only the last piece is shorter. Only lengths and checksums leave
    this stage.
 2. The histogram of piece lengths (at most `most` rows, whatever the input) goes to the driver. Lengths are placed
@@ -26,36 +26,62 @@ from .shared import shuffle_parts, slices, stash, texts
 
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 UNUSUAL = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbeİ]|[^\x00-ſ‐-‧‰-⁞€]")
-#: Distinct words whose ids a worker keeps.
-KEEP = 300_000
+#: Distinct words whose ids a worker keeps, at least; twice as many at most.
+KEEP = 250_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 _loaded: dict[str, tuple] = {}
 
 
+def byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in the vocabulary: printable ones for themselves, the others from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class Recent(dict):
+    """A table that makes what it lacks and keeps the last KEEP to 2 * KEEP entries."""
+
+    def __init__(self, make):
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= KEEP:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def load(path: str):
+    """The library's tokenizer, its special tokens' pattern, and ids by what stands between white space."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     if path not in _loaded:
         tok = Tokenizer.from_file(path)
         special = re.compile("|".join(re.escape(t.content) for t in tok.get_added_tokens_decoder().values()) or r"(?!)")
-        _loaded[path] = tok, special, {}
+        model, letters = tok.model, byte_letters()
+
+        def of_word(word: str) -> bytes:
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(letters)
+            return np.array([t.id for t in model.tokenize(word)], "<u4").tobytes()
+
+        words = Recent(of_word)
+        _loaded[path] = tok, special, Recent(lambda token: b"".join(map(words.__getitem__, WORD.findall(token))))
     return _loaded[path]
 
 
 def ids_of(values: list[str], path: str) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit integers."""
     tok, special, known = load(path)
-    words = [None if UNUSUAL.search(t) or special.search(t) else WORD.findall(t.lower()) for t in values]
-    new = list({w for x in words if x for w in x if w not in known})
-    if len(known) + len(new) > KEEP:
-        known.clear()
-        new = list({w for x in words if x for w in x})
-    for k in range(0, len(new), 4096):
-        part = new[k : k + 4096]
-        known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(part, add_special_tokens=False))))
-    return [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if x is None else b"".join(map(known.__getitem__, x)) for t, x in zip(values, words)]
+    whole = lambda t: np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    return [whole(t) if UNUSUAL.search(t) or special.search(t) else b"".join(map(known.__getitem__, t.lower().split())) for t in values]
 
 
 def pieces_of(docs: DataFrame, tokenizer_path: str, most: int, end_id: int) -> DataFrame:
