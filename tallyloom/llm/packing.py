@@ -27,7 +27,7 @@ from .shared import shuffle_parts, slices, stash, texts
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 UNUSUAL = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbeİ]|[^\x00-ſ‐-‧‰-⁞€]")
 #: Distinct words whose ids a worker keeps, at least; twice as many at most.
-KEEP = 250_000
+KEEP = 350_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 _loaded: dict[str, tuple] = {}
@@ -67,21 +67,31 @@ def load(path: str):
         special = re.compile("|".join(re.escape(t.content) for t in tok.get_added_tokens_decoder().values()) or r"(?!)")
         model, letters = tok.model, byte_letters()
 
-        def of_word(word: str) -> bytes:
-            if not word.isascii():
-                word = word.encode().decode("latin-1").translate(letters)
-            return np.array([t.id for t in model.tokenize(word)], "<u4").tobytes()
+        def make(token: str) -> bytes:
+            parts = WORD.findall(token)
+            if len(parts) > 1:
+                return b"".join(map(known.__getitem__, parts))
+            if not (token.isascii() and token.isprintable()):
+                token = token.encode().decode("latin-1").translate(letters)
+            return np.array([t.id for t in model.tokenize(token)], "<u4").tobytes()
 
-        words = Recent(of_word)
-        _loaded[path] = tok, special, Recent(lambda token: b"".join(map(words.__getitem__, WORD.findall(token))))
+        known = Recent(make)
+        _loaded[path] = tok, special, known
     return _loaded[path]
 
 
+def unusual(text: str) -> bool:
+    """Whether a text has characters on which re and the library may differ; it's then left to the library as a whole."""
+    if text.isascii():
+        return "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+    return UNUSUAL.search(text) is not None
+
+
 def ids_of(values: list[str], path: str) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit integers."""
     tok, special, known = load(path)
     whole = lambda t: np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-    return [whole(t) if UNUSUAL.search(t) or special.search(t) else b"".join(map(known.__getitem__, t.lower().split())) for t in values]
+    return [whole(t) if unusual(t) or special.search(t) else b"".join(map(known.__getitem__, t.lower().split())) for t in values]
 
 
 def pieces_of(docs: DataFrame, tokenizer_path: str, most: int, end_id: int) -> DataFrame:
@@ -115,22 +125,29 @@ def plan(histogram: dict[int, int], most: int) -> tuple[np.ndarray, np.ndarray,
         while n:
             while left and not room.get(left):
                 left -= 1
-            if left < length:
-                copies, items, free = n, [(length, rank)], most - length
-            else:
+            if left >= length:
                 copies, items = room[left].pop()
                 free = left - length
                 if copies > n:
                     room[left].append([copies - n, [(k, r + n) for k, r in items]])
                     copies = n
-                items = [*items, (length, rank)]
-            if free:
-                room[free].append([copies, items])
-                left = max(left, free)
-            else:
-                done.append([copies, items])
-            n -= copies
-            rank += copies
+                new = [(copies, [*items, (length, rank)], free)]
+                n -= copies
+                rank += copies
+            else:  # nothing has room: new patterns, each with as many as fit, and one with what is left
+                fit = most // length
+                full, over = divmod(n, fit)
+                new = [(full, [(length, rank + i * full) for i in range(fit)], most - fit * length)] if full else []
+                rank += full * fit
+                if over:
+                    new.append((1, [(length, rank + i) for i in range(over)], most - over * length))
+                n = 0
+            for copies, items, free in new:
+                if free:
+                    room[free].append([copies, items])
+                    left = max(left, free)
+                else:
+                    done.append([copies, items])
     done += [p for packs in room.values() for p in packs]
     slots, sequence = [], 0
     for copies, items in done:

@@ -92,7 +92,8 @@ def fitted(labelled: DataFrame, docs: DataFrame, label: str, train_on, sample: i
         order = sorted(range(len(ids)), key=lambda i: (ids[i], values[i]))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train_on([values[i] for i in order], [labels[i] for i in order]))], pa.binary())], ["model"])
 
-    return pickle.loads(rows.mapInArrow(fit, "model binary").collect()[0][0])
+    found = rows.mapInArrow(fit, "model binary").collect()
+    return pickle.loads(found[0][0]) if found else train_on([], [])
 
 
 def fit(docs: DataFrame, labelled: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> dict:

@@ -1,0 +1,205 @@
+"""Token counts and packing against the library, classifiers by held-out accuracy, the pipeline against its parts."""
+
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from tallyloom.llm import grams, language, mixing, packing, quality, queries, token_counts, toxicity
+
+DATA, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+ODD = ["", None, "a<|endoftext|>b <|endoftext|>", "<|startoftext|>x", "İstanbul ΣΑΣ ﬁ", "x²³ ½ 1²", "tab\tnew\n\n  line \r\n", "a b\x85c\x1cd", "日本語 テキスト", "'s 'll don't I'VE", "_a_b__ “q” – …", "é é", "𝄞 🙂🙂", "\x00\x01", "ſ ß ẞ İ"]
+CLASH = "doc_id long, text string, n_tokens string, n_bytes string, score int, length string, salt int, rank int, label int"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "x", "x", 1, "x", 1, 1, 1) for i, t in rows], CLASH)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(max_size=60))
+def test_pieces_and_ids_of_any_text(text):
+    a, b = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
+    assert token_counts.count_texts([text], BYTE) == [len(a.encode(text, add_special_tokens=False).ids)]
+    assert packing.ids_of([text], WORD) == [np.array(b.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+
+
+def test_fast_paths_agree_on_every_usual_character():
+    usual = [chr(c) for c in range(0x2080) if not token_counts.UNUSUAL.search(chr(c))]
+    texts = [f"a{c}b {c}{c} 1{c}2 {c.upper()}" for c in usual]
+    texts = [t for t in texts if not token_counts.UNUSUAL.search(t)]
+    a, b = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
+    assert token_counts.count_texts(texts, BYTE) == [len(e.ids) for e in a.encode_batch(texts, add_special_tokens=False)]
+    assert packing.ids_of(texts, WORD) == [np.array(e.ids, "<u4").tobytes() for e in b.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_token_counts(spark):
+    rows = [*enumerate(ODD), (3, "again"), (3, "again"), (None, "no id"), (99, "long text " * 50_000)]
+    got = token_counts.token_counts(frame(spark, rows), BYTE).collect()
+    tok = Tokenizer.from_file(BYTE)
+    want = Counter((i, len((t or "").encode()), n := len(tok.encode(t or "", add_special_tokens=False).ids), n > 1024) for i, t in rows)
+    assert Counter(map(tuple, got)) == want
+    assert token_counts.token_counts(frame(spark, []), BYTE).collect() == []
+
+
+def test_packing(spark):
+    rows = [*enumerate(ODD), (3, "again"), (3, "again"), (None, "no id"), (99, "long text " * 5_000), *((100 + i, "w " * (i * 37 % 3000)) for i in range(120))]
+    tok = Tokenizer.from_file(WORD)
+    got = packing.pack(frame(spark, rows), WORD).collect()
+    want = Counter()
+    for i, t in rows:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 1]
+        for s in range(0, len(ids), 2048):
+            part = ids[s : s + 2048]
+            want[i, s, len(part), zlib.crc32(np.array(part, "<u4").tobytes()), len(ids)] += 1
+    assert Counter(tuple(r)[:5] for r in got) == want
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert sorted(sequences) == list(range(len(sequences)))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    again = packing.pack(frame(spark, rows).repartition(5), WORD).collect()
+    place = lambda x: Counter((r["doc_id"], r["start"], r["ids_crc32"], r["sequence_id"], r["offset"]) for r in x)
+    assert place(again) == place(got)
+    assert packing.pack(frame(spark, []), WORD).collect() == []
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.integers(1, 16), st.integers(1, 30), max_size=10))
+def test_plan_places_every_rank_once_and_fills_like_worst_fit(histogram):
+    lengths, ranks, firsts, offsets, n = packing.plan(histogram, 16)
+    ends = {}
+    used = Counter()
+    for length in histogram:
+        own = np.flatnonzero(lengths == length)
+        assert ranks[own][0] == 0 and (np.diff(ranks[own]) > 0).all()
+        for k, at in enumerate(own):
+            until = ranks[own[k + 1]] if k + 1 < len(own) else histogram[length]
+            for j in range(until - ranks[at]):
+                used[firsts[at] + j] += length
+                ends.setdefault(firsts[at] + j, []).append((offsets[at], length))
+    assert max(used.values(), default=0) <= 16 and len(used) == n
+    rooms = []
+    for length in sorted(histogram, reverse=True):  # one by one: the most room first
+        for _ in range(histogram[length]):
+            rooms.sort()
+            if rooms and rooms[-1] >= length:
+                rooms[-1] -= length
+            else:
+                rooms.append(16 - length)
+    assert len(rooms) == n
+
+
+def tables(spark, con=None):
+    return spark.read.parquet(f"{LARGER}/documents.parquet"), spark.read.parquet(f"{LARGER}/labels.parquet")
+
+
+@pytest.mark.parametrize("name,label,least", [("op1_quality", "quality", 0.93), ("op9_toxicity", "toxic", 0.93)])
+def test_held_out_accuracy(spark, name, label, least):
+    got = queries.QUERIES[name](spark, LARGER)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"]
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet")
+    rows = got.join(labels, "doc_id").collect()
+    held = [r for r in rows if r["held_out"]]
+    n, rest = (3, 1) if label == "quality" else (5, 0)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % n == rest) for r in rows)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+    assert np.mean([r["predicted"] == r[label] for r in held]) >= least
+    assert got.count() == spark.read.parquet(f"{LARGER}/documents.parquet").count()
+
+
+def test_language_accuracy(spark):
+    rows = queries.op4_language(spark, LARGER).join(spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in rows if r["held_out"]]
+    assert np.mean([r["lang_pred"] == r["lang"] for r in held]) >= 0.97 and all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_models_on_edge_cases(spark):
+    rows = [(1, None), (2, ""), (3, "12 34 !"), (4, "der die das und"), (4, "der die das und"), (5, "the of and\n" * 20_000), (None, "the")]
+    docs = frame(spark, rows)
+    lang = language.train(["der die das und ist", "the of and is"] * 10, ["de", "en"] * 10)
+    got = Counter(map(tuple, language.identify(docs, lang).select("doc_id", "lang_pred").collect()))
+    assert got == Counter([(1, "und"), (2, "und"), (3, "und"), (4, "de"), (4, "de"), (5, "en"), (None, "en")])
+    assert {r[1] for r in language.identify(docs, language.train([], [])).collect()} == {"und"}
+    tox = toxicity.train(["you idiot", "good day", "nice idiot", "fine words"] * 5, np.array([1, 0, 1, 0] * 5))
+    assert toxicity.toxicity(docs, tox).count() == len(rows) and toxicity.scorer(tox)(["", "an idiot"])[1] >= 0.5
+    assert 0 < toxicity.scorer(toxicity.train([], np.zeros(0)))([""])[0] < 1
+    good = quality.train(["fine text here\nand there", "$$$ %%% &&&\n### $$$"] * 10, np.array([1, 0] * 10))
+    assert quality.quality(docs, good).count() == len(rows)
+    assert quality.score_texts(["$$$ %%%\n###", "fine text", ""], good)[0] < 0.5 <= quality.score_texts(["fine text here"], good)[0]
+    for f, m in ((language.identify, lang), (toxicity.toxicity, tox), (quality.quality, good)):
+        assert f(frame(spark, []), m).collect() == []
+    empty, none = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int, quality int, lang string")
+    assert toxicity.fit(empty, none)["weights"].size == 0 and quality.fit(empty, none)["slope"] == 0 and language.fit(empty, none)["names"] == []
+
+
+def test_marginals_equal_enumeration():
+    rng = np.random.default_rng(1)
+    e, a = rng.normal(size=6), rng.normal(size=(2, 2))
+    want = np.zeros(6)
+    total = 0.0
+    for k in range(64):
+        y = [(k >> i) & 1 for i in range(6)]
+        p = np.exp(sum(e[i] * y[i] for i in range(6)) + sum(a[y[i], y[i + 1]] for i in range(5)))
+        total += p
+        want += p * np.array(y)
+    assert quality.marginals(e, np.array([6]), a) == pytest.approx(want / total)
+
+
+def test_grams_and_logistic():
+    f, of = grams.grams(["ab", "", "abc"], 2, 3, 20)
+    assert Counter(of.tolist()) == {0: 5, 1: 1, 2: 7}  # with the marks at both ends
+    same, _ = grams.grams(["abc"], 2, 3, 20)
+    assert sorted(f[of == 2]) == sorted(same)
+    x = np.array([-2.0, -1, 1, 2, 0.5, -0.5])
+    w, b = grams.fit_logistic(np.arange(6), np.zeros(6, int), x, (x > 0).astype(float), 1, 1e-3)
+    assert w[0] > 1 and abs(b) < 1
+
+
+def test_pipeline_against_its_parts(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    now = docs.toPandas()
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, spark.createDataFrame(now, docs.schema), DATA)
+        assert out.columns == columns
+        new = out.toPandas()
+        if name == "toxicity":
+            bad = {r[0] for r in queries.op9_toxicity(spark, DATA).where("predicted = 1").select("doc_id").collect()}
+            assert set(new.doc_id) == set(now.doc_id) - bad
+        elif name == "exact dedup":
+            best = defaultdict(int)
+            for i, t in zip(now.doc_id, now.text):
+                key = t.translate({c: c + 32 for c in range(65, 91)})
+                best[key] = max(best[key], i)
+            assert sorted(new.doc_id) == sorted(best.values())
+        elif name == "n-gram Jaccard join":
+            con = duckdb.connect()
+            con.register("documents", now)
+            want = con.sql(queries.ORACLES["op5_ngram_jaccard"]).df()
+            assert sorted(new.doc_id) == sorted(want.doc_id[want.doc_id == want.component_id])
+        else:
+            size = now.text.map(lambda t: len(t.split()))
+            sources = sorted(set(now.source))
+            target = mixing.targets([int(size[now.source == s].sum()) for s in sources])
+            words = new.text.map(lambda t: len(t.split())).groupby(new.source).sum()
+            assert all(abs(words[s] - t) <= 1 for s, t in zip(sources, target)) and new.doc_id.value_counts().max() <= 3
+        now = new
+    packed = corpus_pipeline.STAGES[-1][1](spark, spark.createDataFrame(now, docs.schema), DATA).toPandas()
+    tok = Tokenizer.from_file(WORD)
+    assert packed.length.sum() == sum(len(tok.encode(t, add_special_tokens=False).ids) + 1 for t in now.text)
+    whole = corpus_pipeline.run(spark, DATA).toPandas()
+    assert Counter(map(tuple, whole.values.tolist())) == Counter(map(tuple, packed[whole.columns].values.tolist()))
