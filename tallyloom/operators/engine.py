@@ -60,6 +60,12 @@ def write(job: Job, records: DataFrame, path: str, overwrite: bool = True) -> No
     rows.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("partition_id").parquet(path)
 
 
+def write_map_output(job: Job, items: DataFrame, path: str, overwrite: bool = True) -> None:
+    """For inspection: the nodes' records before any combining, as node=<n>/pid=<p>, each sorted by key. items: node, item."""
+    rows = with_partition(job.application.pairs(items, "node"), job)
+    rows.repartition("node", "pid").sortWithinPartitions("node", "pid", "key").write.mode("overwrite" if overwrite else "errorifexists").partitionBy("node", "pid").parquet(path)
+
+
 def timed(job: Job, items: DataFrame, path: str, overwrite: bool = True) -> tuple[DataFrame, float]:
     """Runs and writes a job; what was written, read back, and the seconds it took."""
     began = time.time()

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom import queries
+from tallyloom.__main__ import submit
 from tallyloom.functions.text import byte_sum, ordinal, partition_id, split_words
 from tallyloom.operators import apps, engine, order, stats
 from tallyloom.plans import benchmark, placement
@@ -191,6 +192,26 @@ def test_records_and_benchmark(spark, tmp_path):
     assert line.endswith("\t") and len(line.split("\t")) == 4 + 3 + 1 + 1
 
 
+def test_submitted_job(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a").write_text("the cat the")
+    (tmp_path / "in" / "b").write_text("cat sat")
+    out, kept = str(tmp_path / "out"), str(tmp_path / "records")
+    times = submit(spark, "word_count", str(tmp_path / "in"), out, "NEW", 3, 10, kept)
+    assert set(times) == {"map", "plan", "reduce", "job"} and records.read(spark, kept).first()["schedule_plan"] == placement.HEAP
+    assert {r["key"]: r["value"] for r in spark.read.parquet(out).collect()} == {"the": 2, "cat": 2, "sat": 1}
+    assert spark.read.parquet(out + "-placement").count() == 10
+    with pytest.raises(ValueError):
+        submit(spark, "none", str(tmp_path / "in"), out)
+
+
+def test_map_output(spark, tmp_path):
+    job = engine.Job("word_count", 5, 2)
+    engine.write_map_output(job, words_on_nodes(spark, ["b a a", "a"], 2), str(tmp_path / "map"))
+    rows = spark.read.parquet(str(tmp_path / "map")).collect()
+    assert sorted((r["node"], r["pid"], r["key"], r["value"]) for r in rows) == [(0, 2, "a", 1), (0, 2, "a", 1), (0, 3, "b", 1), (1, 2, "a", 1)]
+
+
 def test_streaming_counts(spark, tmp_path):
     source = tmp_path / "stream"
     source.mkdir()
