@@ -27,7 +27,7 @@ from .shared import shuffle_parts, slices, stash, texts
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 UNUSUAL = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbeİ]|[^\x00-ſ‐-‧‰-⁞€]")
 #: Distinct words whose ids a worker keeps, at least; twice as many at most.
-KEEP = 350_000
+KEEP = 300_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 _loaded: dict[str, tuple] = {}
@@ -94,11 +94,11 @@ def ids_of(values: list[str], path: str) -> list[bytes]:
     return [whole(t) if unusual(t) or special.search(t) else b"".join(map(known.__getitem__, t.lower().split())) for t in values]
 
 
-def pieces_of(docs: DataFrame, tokenizer_path: str, most: int, end_id: int) -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer_path: str, most: int, end_id: int, with_ids: bool = False) -> DataFrame:
     def cut(batches):
         end = np.array([end_id], "<u4").tobytes()
         for b in slices(batches):
-            rows = [[], [], [], [], []]
+            rows, parts = [[], [], [], [], []], []
             for doc, ids in zip(b.column("doc_id").to_pylist(), ids_of(b.column("text").to_pylist(), tokenizer_path)):
                 ids += end
                 n = len(ids) // 4
@@ -106,9 +106,12 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, most: int, end_id: int) -> D
                     part = ids[4 * s : 4 * (s + most)]
                     for to, x in zip(rows, (doc, s, len(part) // 4, zlib.crc32(part), n)):
                         to.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                    if with_ids:
+                        parts.append(part)
+            more = [pa.array(parts, pa.binary())] if with_ids else []
+            yield pa.RecordBatch.from_arrays([*(pa.array(r, pa.int64()) for r in rows), *more], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 5 + with_ids])
 
-    return texts(docs).mapInArrow(cut, PIECES)
+    return texts(docs).mapInArrow(cut, PIECES + ", ids binary" * with_ids)
 
 
 def plan(histogram: dict[int, int], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
@@ -195,3 +198,25 @@ def pack(docs: DataFrame, tokenizer_path: str, most: int = 2048, end_id: int = 1
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequences[k] + r - ranks[k]), pa.array(offsets[k])], [*b.schema.names[:5], "sequence_id", "offset"])
 
     return ranked.mapInArrow(place, PIECES + ", sequence_id long, offset long")
+
+
+def sequences(docs: DataFrame, packed: DataFrame, tokenizer_path: str, most: int = 2048, end_id: int = 1, pad_id: int = 0) -> DataFrame:
+    """The sequences of pack() themselves: sequence_id, ids (array of int), used (without padding).
+
+    Ids are padded with pad_id to `most`, except where their number is a power of two.
+    """
+    key = ["doc_id", "start", "ids_crc32"]
+    ids = pieces_of(docs, tokenizer_path, most, end_id, with_ids=True).dropDuplicates(key).select(*(F.col(c).alias("_" + c) for c in key), "ids")
+    same = packed["doc_id"].eqNullSafe(ids["_doc_id"]) & (packed["start"] == ids["_start"]) & (packed["ids_crc32"] == ids["_ids_crc32"])
+    whole = packed.join(ids, same).groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("pieces"))  # most ids at most
+
+    def join(batches):
+        for b in batches:
+            out, used = [], []
+            for pieces in b.column("pieces").to_pylist():
+                x = np.frombuffer(b"".join(p["ids"] for p in pieces), "<u4").astype(np.int32)
+                used.append(len(x))
+                out.append(x if len(x) & (len(x) - 1) == 0 else np.pad(x, (0, most - len(x)), constant_values=pad_id))
+            yield pa.RecordBatch.from_arrays([b.column("sequence_id"), pa.array(out, pa.list_(pa.int32())), pa.array(used, pa.int32())], ["sequence_id", "ids", "used"])
+
+    return whole.mapInArrow(join, "sequence_id long, ids array<int>, used int")

@@ -182,3 +182,19 @@ def quality(docs: DataFrame, model: dict) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return texts(docs).mapInArrow(apply, "doc_id long, score double, predicted int")
+
+
+def label_lines(docs: DataFrame, model: dict) -> DataFrame:
+    """One row per line: doc_id, line (from 0), size (bytes and one), p_bad (its marginal), label (good or bad)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def apply(batches):
+        m = shared.value
+        for b in slices(batches):
+            f, size, counts = line_features(b.column("text").to_pylist())
+            p = marginals(m["weights"][cells(f, counts, m["edges"])].sum(1), counts, m["moves"])
+            line = np.arange(len(p)) - np.repeat(np.cumsum(counts) - counts, counts)
+            of = pa.array(np.repeat(np.arange(len(counts)), counts))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(of), pa.array(line), pa.array(size.astype(np.int64)), pa.array(p), pa.array(np.where(p >= 0.5, "bad", "good").tolist(), pa.string())], ["doc_id", "line", "size", "p_bad", "label"])
+
+    return texts(docs).mapInArrow(apply, "doc_id long, line long, size long, p_bad double, label string")

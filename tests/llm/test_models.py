@@ -71,6 +71,12 @@ def test_packing(spark):
             assert offset == at
             at += length
         assert at <= 2048
+    made = {r["sequence_id"]: r for r in packing.sequences(frame(spark, rows), spark.createDataFrame(got), WORD).collect()}
+    assert sorted(made) == sorted(sequences)
+    for r in got:
+        part = made[r["sequence_id"]]["ids"][r["offset"] : r["offset"] + r["length"]]
+        assert zlib.crc32(np.array(part, "<u4").tobytes()) == r["ids_crc32"]
+    assert all(len(r["ids"]) == 2048 or len(r["ids"]) == r["used"] and bin(r["used"]).count("1") == 1 for r in made.values())
     again = packing.pack(frame(spark, rows).repartition(5), WORD).collect()
     place = lambda x: Counter((r["doc_id"], r["start"], r["ids_crc32"], r["sequence_id"], r["offset"]) for r in x)
     assert place(again) == place(got)
@@ -140,6 +146,8 @@ def test_models_on_edge_cases(spark):
     good = quality.train(["fine text here\nand there", "$$$ %%% &&&\n### $$$"] * 10, np.array([1, 0] * 10))
     assert quality.quality(docs, good).count() == len(rows)
     assert quality.score_texts(["$$$ %%%\n###", "fine text", ""], good)[0] < 0.5 <= quality.score_texts(["fine text here"], good)[0]
+    lines = quality.label_lines(frame(spark, [(7, "fine text here\n$$$ %%% &&&\n### $$$\n$$$"), (8, None)]), good).orderBy("doc_id", "line").collect()
+    assert [(r["doc_id"], r["line"]) for r in lines] == [(7, 0), (7, 1), (7, 2), (7, 3), (8, 0)] and lines[2]["label"] == "bad" and all(0 <= r["p_bad"] <= 1 for r in lines)
     for f, m in ((language.identify, lang), (toxicity.toxicity, tox), (quality.quality, good)):
         assert f(frame(spark, []), m).collect() == []
     empty, none = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int, quality int, lang string")
