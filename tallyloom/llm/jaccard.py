@@ -210,7 +210,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, share: int = 80) -> Data
     Equal sets are linked, so exact copies and repeated rows are in one component. No rows in, no rows out.
     """
     described = stash(describe(docs, width, share), "sets")
-    classes = described.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("tiles").alias("tiles"))
+    classes = described.where("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("tiles").alias("tiles"))
     entries = stash(classes.select("key", "n", F.explode("tiles").alias("tile")), "entries")
     counts = entries.groupBy("tile").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     shared_ = stash(entries.join(counts, "tile"), "tiles")
@@ -221,9 +221,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, share: int = 80) -> Data
     pairs = stash(pairs.select(F.col("top.leader").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
     # the sets of the members of tiles, from the text of one row of each class
     wanted = shared_.select("key").distinct()
-    reps = described.join(wanted, "key").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    reps = classes_of(described).join(wanted, "key")
     rows = texts(docs)
-    reps = reps.withColumnRenamed("doc_id", "rep")
     sets = stash(sets_and_bitmaps(rows.join(reps, rows["doc_id"].eqNullSafe(reps["rep"])).select("key", "text"), width), "hashes")
     links = stash(verified(pairs, sets, share), "links")
     labels = stash(components(links), "labels")
