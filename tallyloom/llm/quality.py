@@ -19,7 +19,8 @@ from .toxicity import fitted
 
 #: Rows that the field is fitted on, at most.
 SAMPLE = 6_000
-BINS = 8
+#: Bins of a feature, at most: their edges are quantiles over all lines and over the lines of bad documents.
+BINS = 16
 #: Lines of a training chain; a longer document is several chains in training. Scoring takes whole documents.
 CHAIN = 48
 ROUNDS = 2
@@ -143,9 +144,10 @@ def train(values: list[str], good: np.ndarray) -> dict:
     if not 0 < good.sum() < len(good):
         return model
     f, size, counts = line_features(values)
-    edges = [np.unique(np.quantile(f[:, k], np.arange(1, BINS) / BINS)) for k in range(N_FEATURES)]
-    on = cells(f, counts, edges)
     bad = np.repeat((1 - good).astype(np.int64), counts)
+    cuts = lambda x, n: np.quantile(x, np.arange(1, n) / n)
+    edges = [np.unique(np.concatenate([cuts(f[:, k], BINS // 2), cuts(f[bad == 1, k], BINS // 2)])) for k in range(N_FEATURES)]
+    on = cells(f, counts, edges)
     y = bad.copy()
     for _ in range(ROUNDS):
         w, a = fit_field(on, counts, y)
