@@ -4,10 +4,10 @@
 2. Candidate tiles. Sizes fall into bands (powers of two). A band cuts the hash space into slices, and a set is filed
    under (band, slice, sum of its hashes there) for the slices it has hashes in: linked sets differ in few hashes, so
    that most slices agree, while a passage that unrelated sets share fills no slice by itself. A set close enough to
-   the next band to be linked into it is filed there too. Of its slices a set uses the `MOST_SLICES` with the smallest
-   values: linked sets of which none of these agrees have a probability under 1e-10, which is far below what a clash
-   of n-gram hashes over the corpus has. Sets under SMALL hashes are filed under each of their first hashes instead,
-   as many as the exact prefix bound asks for.
+   the next band to be linked into it is filed there too. Of its slices a set uses those with the smallest values, as
+   many (48 for a similarity of 0.85) as make it under MISSED probable that none of them agrees with a set linked at
+   the threshold. Sets under SMALL hashes are filed under each of their first hashes instead, as many as the exact
+   prefix bound asks for.
 3. In a tile, the set that shares most tiles with others is the leader, and the others are held against it: an exact
    intersection of sorted arrays decides. Links give components.
 4. Tiles that still hold several components are cut into blocks of members, and each pair of blocks is a task of its
@@ -18,6 +18,9 @@ So all pairs in a tile are either decided, or in one component already; no group
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +30,7 @@ from .shared import release, slices, stash, texts
 from .wordhash import mix, runs_of_words, text_bytes, words
 
 SMALL = 64
-MOST_SLICES = 48
+MISSED = 1e-9
 #: Members of a block of a tile.
 BLOCK = 256
 SEED = np.uint64(0x51ED270B7A1F39C5)
@@ -51,6 +54,15 @@ def band_of(n: int) -> int:
     return n.bit_length()
 
 
+@functools.cache
+def slices_used(share: int) -> int:
+    """How many slices a set needs: with 4 hashes in a slice, of which each agrees with probability share, and so many
+    equal values among all values of two linked sets, none of the smallest is shared with probability MISSED at most."""
+    agree = math.exp(-8 / (1 + share / 100) * (1 - share / 100))
+    both = agree / (2 - agree)
+    return 1 if both == 1 else math.ceil(math.log(MISSED) / math.log1p(-both))
+
+
 def filed(s: np.ndarray, share: int) -> np.ndarray:
     """The tiles of a set, as hashes. share: least similarity, in hundredths."""
     n, out = len(s), []
@@ -67,7 +79,8 @@ def filed(s: np.ndarray, share: int) -> np.ndarray:
             at = np.append(at, n)
             keep = np.flatnonzero(at[1:] > at[:-1])
             v = mix(mixed[at[keep + 1]] - mixed[at[keep]] + np.uint64(band * int(SEED) % 2**64) + keep.astype(np.uint64))
-            out.append(np.partition(v, MOST_SLICES - 1)[:MOST_SLICES] if len(v) > MOST_SLICES else v)
+            most = slices_used(share)
+            out.append(np.partition(v, most - 1)[:most] if len(v) > most else v)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -207,8 +220,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, share: int = 80) -> Data
     sequence is one n-gram, and without words, or with a null text, the set is empty and linked with nothing. Documents
     are linked when 100 * intersection >= share * union. component_id is the smallest doc_id reachable by links, the
     document's own included; a null doc_id is never the smallest. Rows that repeat a doc_id are rows of their own.
-    Equal sets are linked, so exact copies and repeated rows are in one component. No rows in, no rows out.
+    Equal sets are linked, so exact copies and repeated rows are in one component. No rows in, no rows out. share is 50
+    to 100: bands are that wide.
     """
+    if not 50 <= share <= 100:
+        raise ValueError("share must be 50 to 100")
     described = stash(describe(docs, width, share), "sets")
     classes = described.where("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("tiles").alias("tiles"))
     entries = stash(classes.select("key", "n", F.explode("tiles").alias("tile")), "entries")
