@@ -34,64 +34,72 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def anchors(h: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the grams of words, place of each window's anchor: its leftmost gram of least hash)."""
+    """(hashes of the grams of words, place of each window's anchor: its leftmost gram of least hash).
+
+    Over the words of a block; windows that cross from one text into the next are for the caller to leave out.
+    """
     g = runs_of_words(h, gram)
     n, span = len(h) - width + 1, width - gram + 1
     if n <= 0:
         return g, np.zeros(0, np.int64)
-    best = np.arange(n)
+    best, least = np.arange(n), g[:n].copy()
     for i in range(1, span):
-        better = g[i : i + n] < g[best]
-        best = np.where(better, np.arange(i, i + n), best)
+        better = g[i : i + n] < least
+        best[better] = np.flatnonzero(better) + i
+        np.minimum(least, g[i : i + n], out=least)
     return g, best
 
 
+def rows_of(docs: DataFrame) -> DataFrame:
+    return texts(docs).withColumn("of", F.xxhash64("text"))
+
+
 def describe(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """doc_id, n_words, whole (hash of all its words in order), anchors (distinct, as hashes)."""
+    """doc_id, of (hash of the text), n_words, whole (hash of all its words in order), anchors (distinct, as hashes)."""
 
     def apply(batches):
         for b in slices(batches):
             data, offsets = text_bytes(b.column("text"))
             h, _, _, first = words(data, offsets, lower=False)
-            counts, whole, found = [], [], []
-            for a, z in zip(first[:-1].tolist(), first[1:].tolist()):
-                own = h[a:z]
-                counts.append(z - a)
-                whole.append(int(runs_of_words(own, z - a)[0]) - 2**63 if z - a < 64 else int(mix((own ^ mix(np.arange(z - a, dtype=np.uint64)))).sum(dtype=np.uint64)) - 2**63) if z > a else whole.append(0)
-                g, at = anchors(own, width, gram)
-                found.append(np.unique(g[at]).view(np.int64))
+            counts = np.diff(first)
+            place = np.arange(len(h)) - np.repeat(first[:-1], counts)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ mix(place.astype(np.uint64))), dtype=np.uint64)])
+            g, at = anchors(h, width, gram)
+            found = [np.unique(g[at[a : max(a, z - width + 1)]]).view(np.int64) for a, z in zip(first[:-1].tolist(), first[1:].tolist())]
             ends = np.cumsum([0, *map(len, found)])
             flat = pa.array(np.concatenate(found)) if found else pa.array([], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(whole, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["doc_id", "n_words", "whole", "anchors"])
+            whole = (sums[first[1:]] - sums[first[:-1]]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("of"), pa.array(counts, pa.int64()), pa.array(whole), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["doc_id", "of", "n_words", "whole", "anchors"])
 
-    return texts(docs).mapInArrow(apply, "doc_id long, n_words long, whole long, anchors array<long>")
+    return rows_of(docs).mapInArrow(apply, "doc_id long, of long, n_words long, whole long, anchors array<long>")
 
 
 def runs_of(rows: DataFrame, width: int, gram: int) -> DataFrame:
-    """rows: doc_id, text, hits (anchors that occur again). anchor, run (its words), doc_id, start (first word)."""
+    """rows: doc_id, of, text, hits (anchors that occur again). anchor, run (its words), doc_id, of, start (first word)."""
 
     def apply(batches):
         for b in slices(batches, 500_000):
             data, offsets = text_bytes(b.column("text"))
             h, starts, ends, first = words(data, offsets, lower=False)
-            out: tuple = ([], [], [], [])
-            raw = data.tobytes()
-            for doc, hits, a, z in zip(b.column("doc_id").to_pylist(), b.column("hits"), first[:-1].tolist(), first[1:].tolist()):
-                g, at = anchors(h[a:z], width, gram)
-                if not len(at):
-                    continue
-                hits = hits.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                hit = np.isin(g[at], hits)
-                new = np.flatnonzero(hit & np.append(True, at[1:] != at[:-1]))
-                last = np.flatnonzero(hit & np.append(at[1:] != at[:-1], True))
-                for s, e in zip(new.tolist(), last.tolist()):
-                    out[0].append(int(g[at[s]].view(np.int64)))
-                    out[1].append(b" ".join(raw[starts[a + k] : ends[a + k]] for k in range(s, e + width)))
-                    out[2].append(doc)
-                    out[3].append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], ["anchor", "run", "doc_id", "start"])
-
-    return rows.mapInArrow(apply, "anchor long, run binary, doc_id long, start long")
+            g, at = anchors(h, width, gram)
+            odd = np.cumsum(np.append(0, (starts[1:] != ends[:-1] + 1) | (data[ends[:-1]] != 32)))  # gaps that aren't one space
+            found: tuple = ([], [], [], [])
+            names = zip(b.column("doc_id").to_pylist(), b.column("of").to_pylist())
+            raw, runs = data.tobytes(), []
+            for (doc, of), hits, a, z in zip(names, b.column("hits"), first[:-1].tolist(), first[1:].tolist()):
+                own = at[a : max(a, z - width + 1)]
+                hit = np.isin(g[own], hits.values.to_numpy(zero_copy_only=False).view(np.uint64))
+                turn = own[1:] != own[:-1]
+                new, last = a + np.flatnonzero(hit & np.append(True, turn)[: len(own)]), a + np.flatnonzero(hit & np.append(turn, True)[: len(own)]) + width - 1
+                plain = odd[new] == odd[last]
+                for s, e, p, q, ok in zip(starts[new].tolist(), ends[last].tolist(), new.tolist(), last.tolist(), plain.tolist()):
+                    runs.append(raw[s:e] if ok else b" ".join(raw[starts[k] : ends[k]] for k in range(p, q + 1)))
+                for to, x in zip(found, (g[at[new]].view(np.int64), np.full(len(new), doc, np.int64), np.full(len(new), of, np.int64), new - a)):
+                    to.append(x)
+            columns = [pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in found]
+            yield pa.RecordBatch.from_arrays([columns[0], pa.array(runs, pa.binary()), *columns[1:]], ["anchor", "run", "doc_id", "of", "start"])
+
+    return rows.mapInArrow(apply, "anchor long, run binary, doc_id long, of long, start long")
 
 
 class WaveletTree:
@@ -139,7 +147,7 @@ class FMIndex:
             ahead = np.zeros(n, np.int64)
             ahead[: max(0, n - reach)] = rank[reach:] + 1
             key = rank * (int(rank.max(initial=0)) + 2) + ahead
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)  # suffixes that agree up to the depth can stand in any order
             key = key[order]
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.append(0, key[1:] != key[:-1])) if n else 0
@@ -207,15 +215,15 @@ def repeated_windows(runs: DataFrame, width: int) -> DataFrame:
 
 
 def keep_words(rows: DataFrame, width: int) -> DataFrame:
-    """rows: doc_id, text, n_words, whole_repeats, gone (first words of windows to remove)."""
+    """rows: doc_id, text, copy (1: all words go), gone (first words of windows to remove)."""
 
     def apply(batches):
         for b in slices(batches):
-            out: tuple = ([], [], [])
-            for text, all_gone, gone in zip(b.column("text").to_pylist(), b.column("all_gone").to_pylist(), b.column("gone").to_pylist()):
+            out: tuple = ([], [], [], [])
+            for text, copy, gone in zip(b.column("text").to_pylist(), b.column("copy").to_pylist(), b.column("gone").to_pylist()):
                 own = WORD.findall(text)
                 n = len(own)
-                if all_gone:
+                if copy:
                     own = []
                 elif gone:
                     edge = np.zeros(n + 1, np.int64)
@@ -225,58 +233,45 @@ def keep_words(rows: DataFrame, width: int) -> DataFrame:
                     keep = np.cumsum(edge[:-1]) == 0
                     own = [w for w, k in zip(own, keep.tolist()) if k]
                 kept = " ".join(own)
-                for to, x in zip(out, (n - len(own), hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest(), kept)):
+                for to, x in zip(out, (n, n - len(own), hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest(), kept)):
                     to.append(x)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     return rows.mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def substring_dedup(docs: DataFrame, width: int = 13, gram: int = GRAM) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256, kept (the words kept, joined by a space).
+    """One row per row of docs: doc_id, n_words, n_removed, kept_sha256, kept (the words kept, joined by a space).
 
     Words are runs of anything but the six white-space characters, unchanged; a null text has none. A word goes if a
     window of `width` words that covers it also starts in a document with a smaller doc_id; windows are judged on the
     input. Repeats within one document alone stay. Documents of fewer words stay whole. Rows that repeat a doc_id are
-    one document in which none repeats the other; rows without a doc_id are compared with none and stay whole. No rows
-    in, no rows out.
+    each judged by themselves, and none repeats another; rows without a doc_id are compared with none and stay whole.
+    No rows in, no rows out.
     """
     spark = docs.sparkSession
-    described = stash(describe(docs, width, gram), "anchors")
-    has_id = described.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= width))
-    firsts = has_id.groupBy("whole", "n_words").agg(F.min("doc_id").alias("first"))
-    firsts = stash(firsts, "firsts")
-    again = has_id.select("doc_id", "whole", "n_words").join(firsts, ["whole", "n_words"])
-    again = again.groupBy("doc_id").agg(F.min((F.col("first") < F.col("doc_id")).cast("int")).alias("copy"))
-    again = stash(again, "copies")  # copy: its words in order are those of a document before it
-    own = has_id.join(again.where("copy = 0"), "doc_id").select("doc_id", F.explode("anchors").alias("anchor"))
-    own = stash(own, "own-anchors")
-    release(spark)
+    one = ["doc_id", "of"]  # a text of a document
+    described = stash(describe(docs, width, gram), "anchors").where(F.col("doc_id").isNotNull() & (F.col("n_words") >= width))
+    firsts = described.groupBy("whole", "n_words").agg(F.min("doc_id").alias("first"))
+    copies = described.select(*one, "whole", "n_words").join(firsts, ["whole", "n_words"]).where("first < doc_id")
+    copies = stash(copies.select(*one, F.lit(1).alias("copy")).distinct(), "copies")  # its words in order are those of a document before it
+    own = described.join(copies, one, "left_anti").select("doc_id", F.explode("anchors").alias("anchor"))
     twice = own.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     hits = stash(own.join(twice, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("hits")), "hits")
     release(spark)
-    runs = runs_of(texts(docs).join(hits, "doc_id"), width, gram)
-    sha = F.sha2("run", 256)  # runs are told apart by 128 bits of it
-    runs = runs.withColumn("id1", F.conv(F.substring(sha, 1, 15), 16, 10).cast("long")).withColumn("id2", F.conv(F.substring(sha, 16, 15), 16, 10).cast("long"))
-    runs = stash(runs, "runs")
+    runs = runs_of(rows_of(docs).join(hits, "doc_id"), width, gram)
+    runs = stash(runs.withColumn("id1", F.xxhash64("run")).withColumn("id2", F.xxhash64(F.lit(7), "run")), "runs")  # runs are told apart by 128 bits
     release(spark)
     distinct = stash(runs.groupBy("anchor", "id1", "id2").agg(F.min("doc_id").alias("doc_id"), F.first("run").alias("run")), "distinct-runs")
     n_shards = max(shuffle_parts(spark), -(-distinct.count() // SHARD))
     shards = distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(n_shards)).cast("int"))
     found = stash(repeated_windows(shards.select("shard", "id1", "id2", "run", "doc_id"), width), "windows")
     least = F.expr("filter(transform(least, (x, i) -> if(x < doc_id, start + i, null)), x -> x is not null)")
-    gone = runs.select("id1", "id2", "doc_id", "start").join(found, ["id1", "id2"]).select("doc_id", least.alias("at")).where("size(at) > 0")
-    gone = stash(gone.groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("gone")), "gone")
+    gone = runs.select("id1", "id2", *one, "start").join(found, ["id1", "id2"]).select(*one, least.alias("at")).where("size(at) > 0")
+    gone = stash(gone.groupBy(*one).agg(F.flatten(F.collect_list("at")).alias("gone")), "gone")
     release(spark)
-    told = described.select("doc_id", "n_words").join(again, "doc_id", "left")
-    told = told.join(gone, "doc_id", "left").select("doc_id", "n_words", F.coalesce(F.col("copy") == 1, F.lit(False)).alias("all_gone"), "gone")
-    return keep_words(together(docs, told), width)
-
-
-def together(docs: DataFrame, told: DataFrame) -> DataFrame:
-    rows = texts(docs)
-    t = told.withColumnRenamed("doc_id", "id")
-    return rows.join(t, rows["doc_id"].eqNullSafe(t["id"])).select("doc_id", "text", "n_words", "all_gone", "gone")
+    told = gone.join(copies, one, "left_anti").withColumn("copy", F.lit(0)).unionByName(copies.withColumn("gone", F.lit(None).cast("array<bigint>")))
+    return keep_words(rows_of(docs).join(told, one, "left").select("doc_id", "text", "copy", "gone"), width)
 
 
 SQL = r"""
