@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import split_words
+from ..functions.text import WHITE_SPACE
 
 
 def text_directory(spark: SparkSession, path: str) -> DataFrame:
@@ -31,4 +31,4 @@ def text_column(table: DataFrame, task: str, text: str) -> DataFrame:
 
 def items(source: DataFrame, *keep: str) -> DataFrame:
     """The words of a source, one row each, with the columns to keep. Null and blank texts give no rows."""
-    return source.select(*keep, F.explode(split_words(F.col("value"))).alias("item"))
+    return source.select(*keep, F.explode(F.split("value", WHITE_SPACE, -1)).alias("item")).where("item <> ''")
