@@ -225,22 +225,29 @@ def jaccard_components(docs: DataFrame, width: int = 5, share: int = 80) -> Data
     """
     if not 50 <= share <= 100:
         raise ValueError("share must be 50 to 100")
-    described = stash(describe(docs, width, share), "sets")
-    classes = described.where("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("tiles").alias("tiles"))
+    spark = docs.sparkSession
+    filed_ = stash(describe(docs, width, share), "filed")
+    classes = filed_.where("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("tiles").alias("tiles"))
     entries = stash(classes.select("key", "n", F.explode("tiles").alias("tile")), "entries")
+    described = stash(filed_.select("doc_id", "n", "key"), "sets")
+    release(spark, filed_)
     counts = entries.groupBy("tile").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared_ = stash(entries.join(counts, "tile"), "tiles")
-    weight = shared_.groupBy("key").agg(F.sum("members").alias("weight"))
-    shared_ = stash(shared_.join(weight, "key"), "weighed")
+    plain = stash(entries.join(counts, "tile"), "tiles")
+    release(spark, entries)
+    weight = plain.groupBy("key").agg(F.sum("members").alias("weight"))
+    shared_ = stash(plain.join(weight, "key"), "weighed")
+    release(spark, plain)
     leaders = shared_.groupBy("tile").agg(F.max(F.struct("weight", F.negative("n").alias("n"), F.col("key").alias("leader"))).alias("top"))
     pairs = shared_.join(leaders, "tile").where((F.col("key") != F.col("top.leader")) & (100 * F.least(F.col("n"), -F.col("top.n")) >= share * F.greatest(F.col("n"), -F.col("top.n"))))
     pairs = stash(pairs.select(F.col("top.leader").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
+    release(spark)
     # the sets of the members of tiles, from the text of one row of each class
-    wanted = shared_.select("key").distinct()
-    reps = classes_of(described).join(wanted, "key")
+    reps = classes_of(described).join(shared_.select("key").distinct(), "key")
     rows = texts(docs)
     sets = stash(sets_and_bitmaps(rows.join(reps, rows["doc_id"].eqNullSafe(reps["rep"])).select("key", "text"), width), "hashes")
+    release(spark)
     links = stash(verified(pairs, sets, share), "links")
+    release(spark, pairs)
     labels = stash(components(links), "labels")
     label = F.coalesce("label", "key")
     told = shared_.join(labels, "key", "left").withColumn("label", label)
@@ -248,9 +255,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, share: int = 80) -> Data
     rest = told.join(open_.select("tile", F.col("left").alias("all")), "tile").select("tile", F.col("all").alias("members"), "key", "n", "label")
     rest = rest.join(sets.select("key", "bits"), "key")
     more = stash(close_pairs(rest, share), "close")
-    links = links.unionByName(verified(more, sets, share))
+    release(spark, shared_)
+    links = stash(links.unionByName(verified(more, sets, share)), "all-links")
+    release(spark, sets)
     labels = stash(components(links), "labels")
-    release(docs.sparkSession)
+    release(spark)
     named = classes_of(described).join(labels, "key", "left").withColumn("label", label)
     named = named.join(named.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("key", "component_id")
     out = described.join(named, "key", "left")

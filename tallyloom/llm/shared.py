@@ -44,11 +44,16 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     """Cuts the lineage: writes df to the shared folder, where a lost executor doesn't lose it, and reads it back."""
     path = f"{scratch_root(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of stages that nothing refers to any more."""
+def release(spark: SparkSession, *done: DataFrame) -> None:
+    """Removes stashed tables that nothing will read again, once what was made of them is written, and lets Spark drop
+    the shuffle files of stages that nothing refers to any more."""
+    for df in done:
+        _remove(spark, df.stashed_at)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
