@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stash, texts
+from .shared import release, stash, texts
 
 PIECE = 24
 LANES, SHIFTS = 2, 20  # hashes of a stretch; each gives SHIFTS sums of three lanes
@@ -23,16 +23,22 @@ VECTOR = [*WORDS, *SUMS, "pieces"]
 
 
 def vectors(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key and the vector's columns, one row per key; keys must be unique and texts not null."""
-    lines = rows.select(key, F.explode(F.split(text, "\n", -1)).alias("line"))
+    """key and the vector's columns, one row per key. Rows of a key must have equal texts, not null, and count once.
+
+    A document's paragraphs are read by one task and summed there, so that texts are not shuffled for this.
+    """
+    lines = rows.select(key, F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
     hashes = [F.xxhash64(F.lit(i), "line").alias(f"h{i}") for i in range(4)]
-    parts = lines.select(key, *hashes, F.posexplode_outer(F.regexp_extract_all("line", F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("pos", "piece"))
+    parts = lines.select(key, "at", *hashes, F.posexplode_outer(F.regexp_extract_all("line", F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("pos", "piece"))
     first = F.coalesce(F.col("pos"), F.lit(0)) == 0
     whole = [F.when(first, x).otherwise(F.lit(0).cast("long")) for i in range(4) for x in (F.shiftrightunsigned(f"h{i}", 32), F.col(f"h{i}").bitwiseAND(F.lit(0xFFFFFFFF)))]
     piece = F.coalesce("piece", F.lit(""))
-    parts = parts.select(key, *(x.alias(n) for x, n in zip(whole, WORDS)), *(F.xxhash64(F.lit(10 + i), piece).alias(f"p{i}") for i in range(LANES)))
+    start = F.when(first & (F.col("at") == 0), 1).otherwise(0).alias("start")
+    parts = parts.select(key, start, *(x.alias(n) for x, n in zip(whole, WORDS)), *(F.xxhash64(F.lit(10 + i), piece).alias(f"p{i}") for i in range(LANES)))
     sums = [F.sum(F.shiftrightunsigned(f"p{i}", j).bitwiseAND(F.lit(FIELD))).alias(SUMS[i * SHIFTS + j]) for i in range(LANES) for j in range(SHIFTS)]
-    return parts.groupBy(key).agg(*(F.sum(n).bitwiseAND(F.lit(0xFFFFFFFF)).alias(n) for n in WORDS), *sums, F.count(F.lit(1)).alias("pieces"))
+    summed = parts.groupBy(key).agg(F.sum("start").alias("repeats"), *(F.sum(n).alias(n) for n in WORDS), *sums, F.count(F.lit(1)).alias("pieces"))
+    once = lambda n: F.expr(f"{n} div repeats")
+    return summed.select(key, *(once(n).bitwiseAND(F.lit(0xFFFFFFFF)).alias(n) for n in WORDS), *(once(n).alias(n) for n in [*SUMS, "pieces"]))
 
 
 def as_text(prefix: str = "") -> Column:
@@ -41,17 +47,22 @@ def as_text(prefix: str = "") -> Column:
     return F.concat(*(F.lpad(F.lower(F.hex(c(n))), 8, "0") for n in WORDS), *(F.lpad(F.lower(F.hex(c(n))), 15, "0") for n in SUMS), F.lower(F.hex(c("pieces"))))
 
 
-def likeness(a: str, b: str) -> Column:
-    """Cosine of two sketches, 0 at least; 1 if the vectors are equal."""
+def dot(u: Column, v: Column) -> Column:
+    return F.aggregate(F.zip_with(u, v, lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
+
+
+def sketch(prefix: str = "") -> Column:
+    """The lanes 2c - n of a vector."""
     mask = F.lit((1 << 20) - 1)
-    lanes = lambda p: [F.shiftright(p + n, k).bitwiseAND(mask).cast("double") * 2 - F.col(p + "pieces") for n in SUMS for k in (0, 20, 40)]
-    x, y = F.array(*lanes(a)), F.array(*lanes(b))
-    dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
+    return F.array(*(F.shiftright(prefix + n, k).bitwiseAND(mask).cast("double") * 2 - F.col(prefix + "pieces") for n in SUMS for k in (0, 20, 40)))
+
+
+def likeness(a: str, b: str) -> Column:
+    """Cosine of two sketches (columns lanes), 0 at least; 1 if the fingerprints (columns text) are equal."""
+    x, y = F.col(a + "lanes"), F.col(b + "lanes")
     size = F.sqrt(dot(x, x) * dot(y, y))
-    same = F.lit(True)
-    for n in VECTOR:
-        same = same & (F.col(a + n) == F.col(b + n))
-    return F.when(same, 1.0).when(size == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(x, y) / size)))
+    near = F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(x, y) / size))
+    return F.when(F.col(a + "text") == F.col(b + "text"), 1.0).when(size == 0, 0.0).otherwise(near)
 
 
 def combine(a: str, b: str, sign: int = 1) -> list[Column]:
@@ -59,14 +70,20 @@ def combine(a: str, b: str, sign: int = 1) -> list[Column]:
     return [*((F.col(a + n) + sign * F.col(b + n)).bitwiseAND(F.lit(0xFFFFFFFF)).alias(n) for n in WORDS), *((F.col(a + n) + sign * F.col(b + n)).alias(n) for n in [*SUMS, "pieces"])]
 
 
+def chosen(docs: DataFrame) -> DataFrame:
+    """doc_id, of, n_chars: which text stands for a doc_id that rows repeat. The shortest, then that of least hash."""
+    return texts(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("of"))).alias("c")).select("doc_id", "c.of", "c.n_chars")
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint of each document; null text is empty. Rows that repeat a doc_id are one document, of their smallest text."""
-    rows = texts(docs).groupBy("doc_id").agg(F.min("text").alias("text"))
-    return vectors(rows, "doc_id", "text").select("doc_id", as_text().alias("fingerprint"))
+    """doc_id and fingerprint of each document; null text is empty. Rows that repeat a doc_id are one document, of its shortest text."""
+    rows = texts(docs).select(F.struct("doc_id", F.xxhash64("text").alias("of")).alias("key"), "text")
+    keys = chosen(docs).select(F.struct("doc_id", "of").alias("key"))
+    return vectors(rows, "key", "text").join(keys, "key").select("key.doc_id", as_text().alias("fingerprint"))
 
 
 def neighbours(ids: DataFrame) -> DataFrame:
-    """ids (doc_id, n_chars) with next_id: the next smaller doc_id, or for the smallest the largest; ids must be unique.
+    """ids (doc_id, of, n_chars) with next_id: the next smaller doc_id, or for the smallest the largest; ids must be unique.
 
     Ranges of ids are numbered each by themselves; the edges between them are one row a range.
     """
@@ -76,7 +93,7 @@ def neighbours(ids: DataFrame) -> DataFrame:
     heads = ranged.groupBy("part").agg(F.max("doc_id").alias("head"))
     order = Window.orderBy("part")  # one row a partition
     follow = heads.select("part", F.coalesce(F.lead("head").over(order), F.first("head").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("follow"))
-    return ranged.withColumn("inner_next", F.lead("doc_id").over(inside)).join(F.broadcast(follow), "part").select("doc_id", "n_chars", F.coalesce("inner_next", "follow").alias("next_id"))
+    return ranged.withColumn("inner_next", F.lead("doc_id").over(inside)).join(F.broadcast(follow), "part").select("doc_id", "of", "n_chars", F.coalesce("inner_next", "follow").alias("next_id"))
 
 
 def edited(docs: DataFrame) -> DataFrame:
@@ -85,22 +102,28 @@ def edited(docs: DataFrame) -> DataFrame:
     doc_id, n_chars (code points), edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     The edited text has the last floor(n_chars / 3) code points replaced by as many (or all) of the first ones of the
     next document by descending doc_id; after the last comes the first, and a single document is its own next one.
-    Null text is empty; an empty text's edited text is empty. Rows that repeat a doc_id are one document, of their
-    smallest text; rows without a doc_id have no place in the order and are left out. No rows in, no rows out.
+    Null text is empty; an empty text's edited text is empty. Rows that repeat a doc_id are one document, of its
+    shortest text; rows without a doc_id have no place in the order and are left out. No rows in, no rows out.
     """
-    rows = texts(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
-    rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    order = stash(neighbours(rows.select("doc_id", "n_chars")), "order")
-    giver = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), F.floor(F.col("n_chars") / 3).cast("long").alias("take"))
-    heads = rows.select("doc_id", "text").join(giver, "doc_id").select(F.col("for_id").alias("doc_id"), F.substring("text", F.lit(1), F.col("take").cast("int")).alias("tail"))
-    both = rows.join(heads, "doc_id")
-    keep = (F.col("n_chars") - F.floor(F.col("n_chars") / 3)).cast("int")
-    both = both.select("doc_id", "n_chars", "text", F.concat(F.substring("text", F.lit(1), keep), "tail").alias("edited"))
-    own = vectors(both.select(F.struct("doc_id", "n_chars", F.lit("").alias("sha")).alias("key"), F.col("text")), "key", "text")
-    new = vectors(both.select(F.struct("doc_id", "n_chars", F.sha2("edited", 256).alias("sha")).alias("key"), F.col("edited").alias("text")), "key", "text")
-    flat = lambda df, p, *more: df.select(F.col("key.doc_id").alias("doc_id"), *more, *(F.col(n).alias(p + n) for n in VECTOR))
-    a = stash(flat(own, "a_"), "vectors")
-    b = flat(new, "b_", F.col("key.n_chars").alias("n_chars"), F.col("key.sha").alias("edited_sha256"))
-    c = a.select(F.col("doc_id").alias("next_id"), *(F.col(f"a_{n}").alias(f"c_{n}") for n in VECTOR))
-    joined = a.join(b, "doc_id").join(order.select("doc_id", "next_id"), "doc_id").join(c, "next_id")
-    return joined.select("doc_id", "n_chars", "edited_sha256", as_text("a_").alias("fingerprint"), as_text("b_").alias("edited_fingerprint"), likeness("a_", "b_").alias("near_edited"), likeness("a_", "c_").alias("near_next"))
+    order = stash(neighbours(chosen(docs)), "order")
+    rows = texts(docs).withColumn("of", F.xxhash64("text"))
+    own = vectors(rows.select(F.struct("doc_id", "of").alias("key"), "text"), "key", "text")
+    own = own.join(order.select(F.struct("doc_id", "of").alias("key")), "key")
+    named = lambda df, p, *more: df.select(F.col("key.doc_id").alias("doc_id"), *more, *(F.col(n).alias(p + n) for n in VECTOR))
+    a = stash(named(own, "a_"), "vectors")
+    release(docs.sparkSession)
+    giver = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), F.floor(F.col("n_chars") / 3).cast("int").alias("give"))
+    # one shuffle of the texts: each document meets its own place in the order and the document that its head goes to
+    placed = order.join(giver, "doc_id").select("doc_id", F.col("of").alias("this"), "n_chars", "for_id", "give")
+    # of = this, but not as a join key: so the texts stay dealt by doc_id for the next join
+    rows = rows.join(placed, "doc_id").where("of >= this and of <= this")
+    heads = rows.select(F.col("for_id").alias("doc_id"), F.substring("text", F.lit(1), F.col("give")).alias("tail")).groupBy("doc_id").agg(F.first("tail").alias("tail"))
+    kept = F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 3)).cast("int"))
+    edits = rows.join(heads, "doc_id").select("doc_id", "n_chars", F.concat(kept, "tail").alias("edited"))
+    new = vectors(edits.select(F.struct("doc_id", "n_chars", F.sha2("edited", 256).alias("sha")).alias("key"), F.col("edited").alias("text")), "key", "text")
+    b = stash(named(new, "b_", F.col("key.n_chars").alias("n_chars"), F.col("key.sha").alias("edited_sha256")), "edited")
+    release(docs.sparkSession)
+    c = a.join(giver, "doc_id").select(F.col("for_id").alias("doc_id"), *(F.col("a_" + n).alias("c_" + n) for n in VECTOR))
+    joined = a.join(b, "doc_id").join(c, "doc_id")
+    joined = joined.select("doc_id", "n_chars", "edited_sha256", *(x for p in ("a_", "b_", "c_") for x in (as_text(p).alias(p + "text"), sketch(p).alias(p + "lanes"))))
+    return joined.select("doc_id", "n_chars", "edited_sha256", F.col("a_text").alias("fingerprint"), F.col("b_text").alias("edited_fingerprint"), likeness("a_", "b_").alias("near_edited"), likeness("a_", "c_").alias("near_next"))
