@@ -31,7 +31,7 @@ NONE = "und"
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     f, n = np.unique(grams(text.lower().split(), LOW, HIGH, BITS)[0], return_counts=True)
-    return f, n / max(1, n.sum())
+    return f.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)
 
 
 def train(values: list[str], labels: list[str]) -> dict:

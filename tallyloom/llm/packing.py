@@ -27,7 +27,7 @@ from .shared import shuffle_parts, slices, stash, texts
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 UNUSUAL = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbeİ]|[^\x00-ſ‐-‧‰-⁞€]")
 #: Distinct words whose ids a worker keeps, at least; twice as many at most.
-KEEP = 300_000
+KEEP = 200_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 _loaded: dict[str, tuple] = {}

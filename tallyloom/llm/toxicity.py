@@ -36,27 +36,31 @@ def train(values: list[str], labels: np.ndarray) -> dict:
     model = {"keys": np.zeros(0, np.int64), "weights": np.zeros(0), "bias": float(np.log(prior / (1 - prior)))}
     if not 0 < y.sum() < len(y):
         return model
-    docs = []
-    seen = {1: np.zeros(1 << BITS, np.float32), 0: np.zeros(1 << BITS, np.float32)}
+    own = lambda text: np.unique(grams(sorted(words_of(text)), LOW, HIGH, BITS)[0], return_counts=True)
+    seen = np.zeros((2, 1 << BITS), np.float32)
     for text, label in zip(values, y):
-        f, n = np.unique(grams(sorted(words_of(text)), LOW, HIGH, BITS)[0], return_counts=True)
-        docs.append((f.astype(np.int32), np.minimum(n, 3).astype(np.float32)))
-        seen[int(label)][f] += 1
-    p, q = seen[1], seen[0]
+        seen[int(label), own(text)[0]] += 1
+    often = np.flatnonzero(seen[0] + seen[1] >= 3)
+    q, p = seen[:, often].astype(float)
+    del seen
     a, b = (p + 1) / (y.sum() + 2), (q + 1) / (len(y) - y.sum() + 2)  # shares of documents that have it
     ratio = np.log(a / b)
     error = np.sqrt((1 - np.minimum(a, 0.99)) / (p + 1) + (1 - np.minimum(b, 0.99)) / (q + 1))
     z = np.abs(ratio) / error
-    z[p + q < 3] = 0
-    keys = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
-    keys = keys[z[keys] > 2]
+    best = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
+    best = best[z[best] > 2]
+    keys, ratio = often[best], ratio[best]
     to = np.full(1 << BITS, -1, np.int32)
     to[keys] = np.arange(len(keys))
-    kept = [(to[f][to[f] >= 0], n[to[f] >= 0]) for f, n in docs]
+    kept = []
+    for text in values:  # made anew, so that only the chosen features of all documents are held at once
+        f, n = own(text)
+        f = to[f]
+        kept.append((f[f >= 0], np.minimum(n[f >= 0], 3).astype(np.float32)))
     rows = np.repeat(np.arange(len(y)), [len(f) for f, _ in kept])
     cols, counts = np.concatenate([f for f, _ in kept]), np.concatenate([n for _, n in kept])
-    w, bias = fit_logistic(rows, cols, counts * ratio[keys][cols], y, len(keys), l2=1e-3)
-    return {"keys": keys, "weights": w * ratio[keys], "bias": bias}
+    w, bias = fit_logistic(rows, cols, counts * ratio[cols], y, len(keys), l2=1e-3)
+    return {"keys": keys, "weights": w * ratio, "bias": bias}
 
 
 def scorer(model: dict):
