@@ -98,7 +98,7 @@ def fold(b: bytes, size: int) -> np.ndarray:
 
 
 def describe(docs: DataFrame, width: int, share: int) -> DataFrame:
-    """doc_id, n (size of the set), key (hash of the set, null if empty), tiles."""
+    """doc_id, row_key, n (size of the set), key (hash of the set, null if empty), tiles."""
 
     def apply(batches):
         for b in slices(batches):
@@ -109,9 +109,14 @@ def describe(docs: DataFrame, width: int, share: int) -> DataFrame:
                 tiles.append(filed(s, share).view(np.int64))
             lengths = np.cumsum([0, *map(len, tiles)])
             flat = pa.array(np.concatenate(tiles)) if tiles else pa.array([], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat)], ["doc_id", "n", "key", "tiles"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat)], ["doc_id", "row_key", "n", "key", "tiles"])
 
-    return texts(docs).mapInArrow(apply, "doc_id long, n long, key long, tiles array<long>")
+    return rows_of(docs).mapInArrow(apply, "doc_id long, row_key long, n long, key long, tiles array<long>")
+
+
+def rows_of(docs: DataFrame) -> DataFrame:
+    """doc_id, text and row_key, a hash of both."""
+    return texts(docs).withColumn("row_key", F.xxhash64("doc_id", F.xxhash64("text")))
 
 
 def key_of(s: np.ndarray) -> int:
@@ -119,14 +124,14 @@ def key_of(s: np.ndarray) -> int:
 
 
 def sets_and_bitmaps(rows: DataFrame, width: int) -> DataFrame:
-    """rows: key, text. key, the set's sorted hashes and its bitmap, for texts that have the key; one row a key."""
+    """rows: key, text. key, the set's sorted hashes and its bitmap, for texts that have the key."""
 
     def apply(batches):
         for b in slices(batches):
             found = [(k, s) for k, s in zip(b.column("key").to_pylist(), sets_of(b.column("text"), width)) if len(s) and key_of(s) == k]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary()), pa.array([bitmap(s) for _, s in found], pa.binary())], ["key", "hashes", "bits"])
 
-    return rows.mapInArrow(apply, "key long, hashes binary, bits binary").dropDuplicates(["key"])
+    return rows.mapInArrow(apply, "key long, hashes binary, bits binary")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -229,7 +234,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, share: int = 80) -> Data
     filed_ = stash(describe(docs, width, share), "filed")
     classes = filed_.where("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("tiles").alias("tiles"))
     entries = stash(classes.select("key", "n", F.explode("tiles").alias("tile")), "entries")
-    described = stash(filed_.select("doc_id", "n", "key"), "sets")
+    described = stash(filed_.select("doc_id", "row_key", "n", "key"), "sets")
     release(spark, filed_)
     counts = entries.groupBy("tile").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     plain = stash(entries.join(counts, "tile"), "tiles")
@@ -242,9 +247,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, share: int = 80) -> Data
     pairs = stash(pairs.select(F.col("top.leader").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
     release(spark)
     # the sets of the members of tiles, from the text of one row of each class
-    reps = classes_of(described).join(shared_.select("key").distinct(), "key")
-    rows = texts(docs)
-    sets = stash(sets_and_bitmaps(rows.join(reps, rows["doc_id"].eqNullSafe(reps["rep"])).select("key", "text"), width), "hashes")
+    reps = described.groupBy("key").agg(F.min("row_key").alias("row_key")).join(shared_.select("key").distinct(), "key")
+    texts_ = rows_of(docs).join(reps, "row_key").dropDuplicates(["row_key", "key"])  # dealt by row_key already
+    sets = stash(sets_and_bitmaps(texts_.select("key", "text"), width), "hashes")
     release(spark)
     links = stash(verified(pairs, sets, share), "links")
     release(spark, pairs)
