@@ -107,22 +107,22 @@ def edited(docs: DataFrame) -> DataFrame:
     """
     order = stash(neighbours(chosen(docs)), "order")
     rows = texts(docs).withColumn("of", F.xxhash64("text"))
-    own = vectors(rows.select(F.struct("doc_id", "of").alias("key"), "text"), "key", "text")
-    own = own.join(order.select(F.struct("doc_id", "of").alias("key")), "key")
     named = lambda df, p, *more: df.select(F.col("key.doc_id").alias("doc_id"), *more, *(F.col(n).alias(p + n) for n in VECTOR))
-    a = stash(named(own, "a_"), "vectors")
-    release(docs.sparkSession)
     giver = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), F.floor(F.col("n_chars") / 3).cast("int").alias("give"))
     # one shuffle of the texts: each document meets its own place in the order and the document that its head goes to
     placed = order.join(giver, "doc_id").select("doc_id", F.col("of").alias("this"), "n_chars", "for_id", "give")
     # of = this, but not as a join key: so the texts stay dealt by doc_id for the next join
-    rows = rows.join(placed, "doc_id").where("of >= this and of <= this")
-    heads = rows.select(F.col("for_id").alias("doc_id"), F.substring("text", F.lit(1), F.col("give")).alias("tail")).groupBy("doc_id").agg(F.first("tail").alias("tail"))
+    dealt = rows.join(placed, "doc_id").where("of >= this and of <= this")
+    heads = dealt.select(F.col("for_id").alias("doc_id"), F.substring("text", F.lit(1), F.col("give")).alias("tail")).groupBy("doc_id").agg(F.first("tail").alias("tail"))
     kept = F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 3)).cast("int"))
-    edits = rows.join(heads, "doc_id").select("doc_id", "n_chars", F.concat(kept, "tail").alias("edited"))
+    edits = dealt.join(heads, "doc_id").select("doc_id", "n_chars", F.concat(kept, "tail").alias("edited"))
     new = vectors(edits.select(F.struct("doc_id", "n_chars", F.sha2("edited", 256).alias("sha")).alias("key"), F.col("edited").alias("text")), "key", "text")
     b = stash(named(new, "b_", F.col("key.n_chars").alias("n_chars"), F.col("key.sha").alias("edited_sha256")), "edited")
     release(docs.sparkSession)
+    own = vectors(rows.select(F.struct("doc_id", "of").alias("key"), "text"), "key", "text")
+    own = own.join(order.select(F.struct("doc_id", "of").alias("key")), "key")
+    a = stash(named(own, "a_"), "vectors")
+    release(docs.sparkSession)
     c = a.join(giver, "doc_id").select(F.col("for_id").alias("doc_id"), *(F.col("a_" + n).alias("c_" + n) for n in VECTOR))
     joined = a.join(b, "doc_id").join(c, "doc_id")
     joined = joined.select("doc_id", "n_chars", "edited_sha256", *(x for p in ("a_", "b_", "c_") for x in (as_text(p).alias(p + "text"), sketch(p).alias(p + "lanes"))))
