@@ -29,7 +29,7 @@ from .wordhash import mix, runs_of_words, text_bytes, words
 
 GRAM = 6
 #: Runs of a shard.
-SHARD = 60_000
+SHARD = 20_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -251,25 +251,27 @@ def substring_dedup(docs: DataFrame, width: int = 13, gram: int = GRAM) -> DataF
     """
     spark = docs.sparkSession
     one = ["doc_id", "of"]  # a text of a document
-    described = stash(describe(docs, width, gram), "anchors").where(F.col("doc_id").isNotNull() & (F.col("n_words") >= width))
+    every = stash(describe(docs, width, gram), "anchors")
+    described = every.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= width))
     firsts = described.groupBy("whole", "n_words").agg(F.min("doc_id").alias("first"))
     copies = described.select(*one, "whole", "n_words").join(firsts, ["whole", "n_words"]).where("first < doc_id")
     copies = stash(copies.select(*one, F.lit(1).alias("copy")).distinct(), "copies")  # its words in order are those of a document before it
     own = described.join(copies, one, "left_anti").select("doc_id", F.explode("anchors").alias("anchor"))
     twice = own.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     hits = stash(own.join(twice, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("hits")), "hits")
-    release(spark)
+    release(spark, every)
     runs = runs_of(rows_of(docs).join(hits, "doc_id"), width, gram)
     runs = stash(runs.withColumn("id1", F.xxhash64("run")).withColumn("id2", F.xxhash64(F.lit(7), "run")), "runs")  # runs are told apart by 128 bits
-    release(spark)
+    release(spark, hits)
     distinct = stash(runs.groupBy("anchor", "id1", "id2").agg(F.min("doc_id").alias("doc_id"), F.first("run").alias("run")), "distinct-runs")
     n_shards = max(shuffle_parts(spark), -(-distinct.count() // SHARD))
     shards = distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(n_shards)).cast("int"))
     found = stash(repeated_windows(shards.select("shard", "id1", "id2", "run", "doc_id"), width), "windows")
+    release(spark, distinct)
     least = F.expr("filter(transform(least, (x, i) -> if(x < doc_id, start + i, null)), x -> x is not null)")
     gone = runs.select("id1", "id2", *one, "start").join(found, ["id1", "id2"]).select(*one, least.alias("at")).where("size(at) > 0")
     gone = stash(gone.groupBy(*one).agg(F.flatten(F.collect_list("at")).alias("gone")), "gone")
-    release(spark)
+    release(spark, runs, found)
     told = gone.join(copies, one, "left_anti").withColumn("copy", F.lit(0)).unionByName(copies.withColumn("gone", F.lit(None).cast("array<bigint>")))
     return keep_words(rows_of(docs).join(told, one, "left").select("doc_id", "text", "copy", "gone"), width)
 
