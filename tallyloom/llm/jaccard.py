@@ -23,10 +23,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import release, slices, stash, texts
+from .shared import SPACES, release, slices, stash, texts
 from .wordhash import mix, runs_of_words, text_bytes, words
 
 SMALL = 64
@@ -116,7 +116,11 @@ def describe(docs: DataFrame, width: int, share: int) -> DataFrame:
 
 def rows_of(docs: DataFrame) -> DataFrame:
     """doc_id, text and row_key, a hash of both."""
-    return texts(docs).withColumn("row_key", F.xxhash64("doc_id", F.xxhash64("text")))
+    return texts(docs).withColumn("row_key", row_key(F.col("doc_id"), F.col("text")))
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id.cast("long"), F.xxhash64(F.coalesce(text, F.lit(""))))
 
 
 def key_of(s: np.ndarray) -> int:
@@ -218,16 +222,8 @@ def close_pairs(tiles: DataFrame, share: int) -> DataFrame:
     return rows.groupBy("tile", "i", "j").applyInArrow(apply, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles (size of its set), component_id.
-
-    The set has the distinct n-grams of `width` words of the text with A-Z in lower case; with fewer words the whole
-    sequence is one n-gram, and without words, or with a null text, the set is empty and linked with nothing. Documents
-    are linked when 100 * intersection >= share * union. component_id is the smallest doc_id reachable by links, the
-    document's own included; a null doc_id is never the smallest. Rows that repeat a doc_id are rows of their own.
-    Equal sets are linked, so exact copies and repeated rows are in one component. No rows in, no rows out. share is 50
-    to 100: bands are that wide.
-    """
+def linked(docs: DataFrame, width: int, share: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs as doc_id, row_key, n and key (null without words), and the label of each key that has links."""
     if not 50 <= share <= 100:
         raise ValueError("share must be 50 to 100")
     spark = docs.sparkSession
@@ -265,12 +261,45 @@ def jaccard_components(docs: DataFrame, width: int = 5, share: int = 80) -> Data
     release(spark, sets)
     labels = stash(components(links), "labels")
     release(spark)
-    named = classes_of(described).join(labels, "key", "left").withColumn("label", label)
+    return described, labels
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles (size of its set), component_id.
+
+    The set has the distinct n-grams of `width` words of the text with A-Z in lower case; with fewer words the whole
+    sequence is one n-gram, and without words, or with a null text, the set is empty and linked with nothing. Documents
+    are linked when 100 * intersection >= share * union. component_id is the smallest doc_id reachable by links, the
+    document's own included; a null doc_id is never the smallest. Rows that repeat a doc_id are rows of their own.
+    Equal sets are linked, so exact copies and repeated rows are in one component. No rows in, no rows out. share is 50
+    to 100: bands are that wide.
+    """
+    described, labels = linked(docs, width, share)
+    named = classes_of(described).join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     named = named.join(named.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("key", "component_id")
     out = described.join(named, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def components_kept(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
+    """doc_id and row_key of the row that stays of each component of texts with words: the one with the smallest doc_id,
+    null being the largest; of several rows with that doc_id, the one with the smallest row_key."""
+    described, labels = linked(docs, width, share)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
+    reps = described.where("key is not null").groupBy("key").agg(F.min(place).alias("rep"))
+    reps = reps.join(labels, "key", "left").groupBy(F.coalesce("label", "key").alias("label")).agg(F.min("rep").alias("rep"))
+    return reps.select("rep.doc_id", "rep.row_key")
+
+
+def rows_kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that components_kept names, of repeated rows one; and every row without
+    words, as it is linked with nothing."""
+    rows = docs.withColumn("__row", row_key(F.col("doc_id"), F.col("text")))
+    has_words = F.coalesce("text", F.lit("")).rlike(f"[^{SPACES}]")
+    some = rows.where(has_words).join(kept.select(F.col("row_key").alias("__row")), "__row", "left_semi").dropDuplicates(["doc_id", "__row"])
+    return some.unionByName(rows.where(~has_words)).select(docs.columns)
+
+
 def classes_of(described: DataFrame) -> DataFrame:
     return described.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
 

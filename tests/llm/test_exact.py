@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tallyloom.llm import exact_dedup, fingerprints, jaccard, mixing, queries, substring_dedup, wordhash
 from tallyloom.llm.shared import stash
 
@@ -314,3 +315,19 @@ def test_mixing_of_overlapping_sources(spark):
 def test_scratch_survives_and_is_read_back(spark):
     df = stash(spark.range(5), "t")
     assert sorted(r[0] for r in df.collect()) == list(range(5)) and stash(spark.range(0), "t").count() == 0
+
+
+def test_near_copies_are_kept_by_row(spark):
+    text = lambda name, last="": " ".join(f"{name}{i}" for i in range(60)) + last
+    rows = [
+        (None, text("alone")), (None, text("nulls")), (None, text("nulls", " x")), (None, text("mixed")), (20, text("mixed", " x")),
+        (7, text("same")), (7, text("same", " x")), (3, text("other")), (7, text("other", " x")), (7, text("unique")),
+        (30, text("twice")), (30, text("twice")), (None, text("null twice")), (None, text("null twice")), (40, ""), (41, None), (None, " \n"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.keep_one_near_copy(spark, docs, DATA)
+    assert out.columns == docs.columns
+    got = Counter((r["doc_id"], (r["text"] or " ").split("0")[0].strip()) for r in out.collect())
+    assert got == Counter([(None, "alone"), (None, "nulls"), (20, "mixed"), (7, "same"), (3, "other"), (7, "unique"), (30, "twice"), (None, "null twice"), (40, ""), (41, ""), (None, "")])
+    again = corpus_pipeline.keep_one_near_copy(spark, docs.repartition(7), DATA)
+    assert Counter(map(tuple, again.collect())) == Counter(map(tuple, out.collect()))
