@@ -31,14 +31,14 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents keeps one row: that with the smallest doc_id, a null one only if no other is there.
+    """Of each group of documents linked by 0.8 of their five-word n-grams keeps one row.
 
-    Rows are told apart by doc_id and text. Rows that share a doc_id, or have none, are documents of their own: each
-    stays or goes with its own group, and of several with the smallest doc_id, or of null ones alone, the one with the
-    smallest hash stays. Of repeated rows of one doc_id and text one stays. Texts without words are linked with
-    nothing, so that all of their rows stay.
+    It is that with the smallest doc_id, a null one only if no other is there. Rows are told apart by doc_id and text.
+    Rows that share a doc_id, or have none, are documents of their own: each stays or goes with its own group, and of
+    several with the smallest doc_id, or of null ones alone, the one with the smallest hash stays. Of repeated rows of
+    one doc_id and text one stays. Texts without words are linked with nothing, so that all of their rows stay.
     """
-    return jaccard.rows_kept(docs, jaccard.components_kept(docs, width=4, share=85))
+    return jaccard.rows_kept(docs, jaccard.components_kept(docs, width=5, share=80))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

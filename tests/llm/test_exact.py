@@ -331,3 +331,14 @@ def test_near_copies_are_kept_by_row(spark):
     assert got == Counter([(None, "alone"), (None, "nulls"), (20, "mixed"), (7, "same"), (3, "other"), (7, "unique"), (30, "twice"), (None, "null twice"), (40, ""), (41, ""), (None, "")])
     again = corpus_pipeline.keep_one_near_copy(spark, docs.repartition(7), DATA)
     assert Counter(map(tuple, again.collect())) == Counter(map(tuple, out.collect()))
+
+
+def test_near_copies_are_linked_by_five_words_and_four_fifths(spark):
+    words = [f"v{i}" for i in range(100)]
+    moved = words[:40] + [f"u{i}" for i in range(6)] + words[46:]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:82])), (3, " ".join(words[:60]))]
+    rows += [(4, " ".join(x.replace("v", "y") for x in words)), (5, " ".join(x.replace("v", "y") for x in moved))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    like = lambda i, j, width: len(shingles(rows[i][1], width) & shingles(rows[j][1], width)) / len(shingles(rows[i][1], width) | shingles(rows[j][1], width))
+    assert all(0.8 <= like(i, j, 5) and like(i, j, 4) < 0.85 for i, j in ((0, 1), (3, 4))) and like(1, 2, 5) < 0.8
+    assert sorted(r["doc_id"] for r in corpus_pipeline.keep_one_near_copy(spark, docs, DATA).collect()) == [1, 3, 4]
