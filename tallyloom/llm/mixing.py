@@ -10,17 +10,19 @@ gives the part that is left.
 
 from __future__ import annotations
 
-from collections import deque
+from collections import Counter, deque
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import SPACES, stash, texts
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2
-#: The network is on the driver: more distinct membership patterns than this are refused.
+#: The network is on the driver: no more membership patterns than this may share sources with others. Patterns of one
+#: source that no other pattern has aren't counted: where there are more patterns in all, they are planned by DataFrame steps.
 PATTERNS = 20_000
+PLAN = "pattern array<string>, whole int, rest long, source_sizes array<long>, targets array<double>"
 
 
 def size_of(text: Column) -> Column:
@@ -101,6 +103,82 @@ def route(patterns: list[tuple[frozenset, int]], want: dict, most: int) -> dict[
     return flow
 
 
+def planned(spark: SparkSession, found: list, share: float, most: int, weights: tuple) -> DataFrame:
+    """pattern, whole and rest (what each document gives), source_sizes and targets, by the network over all patterns found."""
+    found = in_order(found)
+    names = sorted({s for p, _ in found for s in p}, key=lambda s: (s is None, s or ""))  # code points, null last
+    size = {s: sum(n for p, n in found if s in p) for s in names}
+    target = dict(zip(names, targets([size[s] for s in names], share, most, weights)))
+    # all words once, also where patterns overlap
+    if any(len(p) > 1 for p, _ in found):
+        once = sum(n for _, n in found)
+        factor = once / max(1, sum(size.values()))
+        target = {s: t * factor for s, t in target.items()}
+    return routed(spark, found, size, target, most)
+
+
+def in_order(found: list) -> list[tuple[tuple, int]]:
+    return sorted(((tuple(r["sources"] or (None,)), r["size"]) for r in found), key=lambda x: [(s is None, s or "") for s in x[0]])
+
+
+def routed(spark: SparkSession, found: list[tuple[tuple, int]], size: dict, target: dict, most: int) -> DataFrame:
+    flow = route([(frozenset(p), n) for p, n in found], {s: int(round(t)) for s, t in target.items()}, most)
+    gets = Counter()
+    for (i, _), x in flow.items():
+        gets[i] += x
+    plan = [(list(p), int(gets[k] // n) if n else 0, int(gets[k] % n) if n else 0, [int(size[s]) for s in p], [target[s] for s in p]) for k, (p, n) in enumerate(found)]
+    return spark.createDataFrame(plan, PLAN).coalesce(1)
+
+
+def plan_of_many(by_pattern: DataFrame, share: float, most: int, weights: tuple) -> DataFrame:
+    """What planned() returns, for any number of sources.
+
+    Sources are numbered by ranges, and their targets are found by filling: at level x a source gets its weight * x, or
+    its cap; each round closes the sources that are over their cap and raises the level, as targets() does. A pattern
+    of one source that no other pattern has gets that source's target. The others go through the network.
+    """
+    spark = by_pattern.sparkSession
+    none = F.array(F.lit(None).cast("string"))
+    patterns = stash(by_pattern.select(F.when(F.size("sources") > 0, F.col("sources")).otherwise(none).alias("pattern"), "size").groupBy("pattern").agg(F.sum("size").alias("size")), "patterns")
+    members = patterns.select(F.explode("pattern").alias("source"), "size", (F.size("pattern") > 1).alias("mixed"))
+    sources = members.groupBy("source").agg(F.sum("size").alias("size"), F.max("mixed").alias("shared"))
+    ranged = stash(sources.repartitionByRange(F.asc_nulls_last("source")).withColumn("part", F.spark_partition_id()), "sources")
+    counts, first = {}, 0
+    for part, n in sorted(map(tuple, ranged.groupBy("part").count().collect())):  # one row a partition
+        counts[part], first = first, first + n
+    starts = F.broadcast(spark.createDataFrame(list(counts.items()), "part int, first long"))
+    inside = Window.partitionBy("part").orderBy(F.asc_nulls_last("source"))
+    numbered = ranged.withColumn("at", F.row_number().over(inside) - 1).join(starts, "part").withColumn("place", F.pmod(F.col("first") + F.col("at"), F.lit(len(weights))).cast("int"))
+    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), F.col("place") + 1)
+    numbered = stash(numbered.select("source", "size", "shared", weight.alias("weight"), (F.col("size") * float(most)).alias("cap")), "numbered")
+    once, total = patterns.agg(F.sum("size")).first()[0], numbered.agg(F.sum("size")).first()[0]
+    closed, left, whole = -1, None, None
+    while True:  # the level only rises, so a source once over its cap stays so
+        over = F.lit(False) if left is None else F.col("weight") * left / whole > F.col("cap")
+        n, full, open_ = numbered.agg(F.sum(over.cast("long")), F.sum(F.when(over, F.col("cap"))), F.sum(F.when(~over, F.col("weight")))).first()
+        if n <= closed or not open_:
+            break
+        closed, left, whole = n, share * total - (full or 0.0), open_
+    level = F.col("weight") * left / whole
+    target = F.when(level > F.col("cap"), F.col("cap")).otherwise(level)
+    if once != total:
+        target = target * (once / max(1, total))
+    goal = stash(numbered.select("source", "size", "shared", target.alias("target")), "targets")
+    get = F.rint("target").cast("long")
+    lone = goal.where(~F.col("shared")).withColumn("get", get).select(
+        F.array("source").alias("pattern"), F.when(F.col("size") > 0, F.expr("get div size")).otherwise(0).cast("int").alias("whole"),
+        F.when(F.col("size") > 0, F.expr("get % size")).otherwise(0).cast("long").alias("rest"), F.array("size").alias("source_sizes"), F.array("target").alias("targets"),
+    )
+    shared = goal.where("shared").select("source", F.col("size").alias("source_size"), "target")
+    of = patterns.select("pattern", "size", F.explode("pattern").alias("one")).join(shared, F.col("one").eqNullSafe(F.col("source")), "left_semi")
+    mixed = of.groupBy("pattern").agg(F.max("size").alias("size")).select(F.col("pattern").alias("sources"), "size").limit(PATTERNS + 1).collect()
+    if len(mixed) > PATTERNS:
+        raise ValueError(f"more than {PATTERNS} membership patterns share sources")
+    told = {r["source"]: r for r in shared.collect()} if mixed else {}
+    net = routed(spark, in_order(mixed), {s: r["source_size"] for s, r in told.items()}, {s: r["target"] for s, r in told.items()}, most)
+    return lone.unionByName(net)
+
+
 def mix(docs: DataFrame, sources: Column, share: float = SHARE, most: int = MOST, weights: tuple = WEIGHTS, seed: int = 17) -> DataFrame:
     """One row per row of docs: doc_id, sources, size, taken (words, repetitions counted), and what it was drawn from.
 
@@ -116,28 +194,17 @@ def mix(docs: DataFrame, sources: Column, share: float = SHARE, most: int = MOST
     rows = stash(rows, "sizes")
     by_pattern = rows.groupBy("sources").agg(F.sum("size").alias("size"))
     found = by_pattern.limit(PATTERNS + 1).collect()
-    if len(found) > PATTERNS:
-        raise ValueError(f"more than {PATTERNS} membership patterns")
-    found = sorted(((tuple(r["sources"] or (None,)), r["size"]) for r in found), key=lambda x: [(s is None, s or "") for s in x[0]])
-    names = sorted({s for p, _ in found for s in p}, key=lambda s: (s is None, s or ""))  # code points, null last
-    size = {s: sum(n for p, n in found if s in p) for s in names}
-    target = dict(zip(names, targets([size[s] for s in names], share, most, weights)))
-    # all words once, also where patterns overlap
-    if any(len(p) > 1 for p, _ in found):
-        once = sum(n for _, n in found)
-        factor = once / max(1, sum(size.values()))
-        target = {s: t * factor for s, t in target.items()}
-    flow = route([(frozenset(p), n) for p, n in found], {s: int(round(t)) for s, t in target.items()}, most)
-    gets = [sum(x for (i, _), x in flow.items() if i == k) for k in range(len(found))]
-    plan = [(list(p), int(g // n) if n else 0, int(g % n) if n else 0, [int(size[s]) for s in p], [target[s] for s in p]) for (p, n), g in zip(found, gets)]
-    plan = spark.createDataFrame(plan, "pattern array<string>, whole int, rest long, source_sizes array<long>, targets array<double>").coalesce(1)
+    many = len(found) > PATTERNS
+    plan = plan_of_many(by_pattern, share, most, weights) if many else planned(spark, found, share, most, weights)
     key = lambda c: F.to_json(F.struct(c.alias("p")))
     rows = rows.withColumn("sources", F.when(F.size("sources") > 0, F.col("sources")).otherwise(F.array(F.lit(None).cast("string")))).withColumn("key", key(F.col("sources")))
-    plan = F.broadcast(plan.withColumn("key", key(F.col("pattern"))).drop("pattern"))
+    near = F.broadcast if not many else lambda df: df
+    plan = plan.withColumn("key", key(F.col("pattern"))).drop("pattern")
+    plan = near(stash(plan, "plan") if many else plan)
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("key", "bucket").agg(F.sum("size").alias("n")).withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0)))
     edge = sums.join(plan.select("key", "rest"), "key").where("below < rest and below + n >= rest").select("key", F.col("bucket").alias("edge"), "below")  # one row a pattern
-    told = rows.join(plan, "key").join(F.broadcast(edge), "key", "left")
+    told = rows.join(plan, "key").join(near(edge), "key", "left")
     inside = Window.partitionBy("key").orderBy("draw", "doc_id", "size")
     at_edge = told.where("bucket = edge")
     so_far = F.col("below") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")

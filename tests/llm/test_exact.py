@@ -342,3 +342,14 @@ def test_near_copies_are_linked_by_five_words_and_four_fifths(spark):
     like = lambda i, j, width: len(shingles(rows[i][1], width) & shingles(rows[j][1], width)) / len(shingles(rows[i][1], width) | shingles(rows[j][1], width))
     assert all(0.8 <= like(i, j, 5) and like(i, j, 4) < 0.85 for i, j in ((0, 1), (3, 4))) and like(1, 2, 5) < 0.8
     assert sorted(r["doc_id"] for r in corpus_pipeline.keep_one_near_copy(spark, docs, DATA).collect()) == [1, 3, 4]
+
+
+@pytest.mark.parametrize("overlap", [False, True])
+def test_mixing_of_more_sources_than_the_network_holds(spark, overlap, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, "w " * int(rng.paretovariate(0.7) % 500), [rng.choice([None, "Ä", "𝄞", "ﬁ", *(f"s{k}" for k in range(40))])]) for i in range(300)] + [(900, None, ["void"])]
+    rows += [(1000, "a " * 70, ["s1", "s2"]), (1001, "a " * 9, ["extra", "s2"])] * overlap
+    docs = spark.createDataFrame(rows, "doc_id long, text string, names array<string>")
+    want = Counter(map(str, mixing.mix(docs, F.col("names")).collect()))
+    monkeypatch.setattr(mixing, "PATTERNS", 8)
+    assert Counter(map(str, mixing.mix(docs, F.col("names")).collect())) == want
