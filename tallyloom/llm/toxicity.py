@@ -3,8 +3,8 @@
 A document's features are the n-grams of its distinct words (a word being what lies between white space, in lower
 case, with marks at both ends), counted by word. The log-count ratio of an n-gram compares its share of the n-grams
 of toxic and of other documents; the n-grams with the largest ratio against its standard error are kept, their counts
-are multiplied by their ratios, and a logistic regression weighs them. As the sum is linear, a distinct word is scored
-once, and a document is the sum over its distinct words.
+are multiplied by their ratios, and a logistic regression weighs them. Counts are not clipped, neither in training nor
+in scoring: as the sum is linear, a distinct word is scored once, and a document is the sum over its distinct words.
 """
 
 import pickle
@@ -56,7 +56,7 @@ def train(values: list[str], labels: np.ndarray) -> dict:
     for text in values:  # made anew, so that only the chosen features of all documents are held at once
         f, n = own(text)
         f = to[f]
-        kept.append((f[f >= 0], np.minimum(n[f >= 0], 3).astype(np.float32)))
+        kept.append((f[f >= 0], n[f >= 0].astype(np.float32)))
     rows = np.repeat(np.arange(len(y)), [len(f) for f, _ in kept])
     cols, counts = np.concatenate([f for f, _ in kept]), np.concatenate([n for _, n in kept])
     w, bias = fit_logistic(rows, cols, counts * ratio[cols], y, len(keys), l2=1e-3)

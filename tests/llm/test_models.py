@@ -211,3 +211,18 @@ def test_pipeline_against_its_parts(spark):
     assert packed.length.sum() == sum(len(tok.encode(t, add_special_tokens=False).ids) + 1 for t in now.text)
     whole = corpus_pipeline.run(spark, DATA).toPandas()
     assert Counter(map(tuple, whole.values.tolist())) == Counter(map(tuple, packed[whole.columns].values.tolist()))
+
+
+def test_toxicity_is_fitted_on_what_it_scores(monkeypatch):
+    fitted = {}
+
+    def fit(rows, cols, values, y, width, l2):
+        w, bias = grams.fit_logistic(rows, cols, values, y, width, l2)
+        fitted["z"] = np.bincount(rows, values * w[cols], minlength=len(y)) + bias
+        return w, bias
+
+    monkeypatch.setattr(toxicity, "fit_logistic", fit)
+    texts = ["idiot idiotic idiots idiotise idiotry idiotism idiotdom", "you idiot", "fine day", "fine finer finest finely refine fineness"] * 6
+    model = toxicity.train(texts, np.array([1, 1, 0, 0] * 6))
+    p = toxicity.scorer(model)(texts)[1:4]  # the first one's score is 1
+    assert len(model["keys"]) and np.log(p / (1 - p)) == pytest.approx(fitted["z"][1:4], abs=1e-3)
