@@ -20,7 +20,7 @@ from .shared import slices, texts
 
 #: The pre-token pattern of the byte-level vocabulary, for texts of characters on which re and the library agree.
 PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Texts with any other character are counted by the library as a whole.
+#: Texts with any other character are split by the library's own pre-tokenizer.
 UNUSUAL = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbeİ]|[^\x00-ſ‐-‧‰-⁞€]")
 #: Distinct pre-tokens that a worker keeps between blocks.
 KEEP = 400_000
@@ -39,26 +39,26 @@ def load(path: str):
     return _loaded[path]
 
 
+def split_by_library(text: str, tok, special: re.Pattern) -> Counter:
+    """Frequencies of the pre-tokens of any text; a special token is one by itself."""
+    out = Counter(special.findall(text))
+    for part in special.split(text):
+        out.update(part[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(part))
+    return out
+
+
 def count_texts(values: list[str], path: str) -> list[int]:
     tok, special, pieces = load(path)
-    counts, odd = [], []
-    for i, text in enumerate(values):
-        if UNUSUAL.search(text) or special.search(text):
-            odd.append(i)
-            counts.append(None)
-        else:
-            counts.append(Counter(PRETOKEN.findall(text)))
-    new = list({p for c in counts if c for p in c if p not in pieces})
+    odd = lambda text: UNUSUAL.search(text) or special.search(text)
+    counts = [split_by_library(t, tok, special) if odd(t) else Counter(PRETOKEN.findall(t)) for t in values]
+    new = list({p for c in counts for p in c if p not in pieces})
     if len(pieces) + len(new) > KEEP:
         pieces.clear()
-        new = list({p for c in counts if c for p in c})
+        new = list({p for c in counts for p in c})
     for k in range(0, len(new), 4096):
         part = new[k : k + 4096]
         pieces.update(zip(part, (len(e.ids) for e in tok.encode_batch_fast(part, add_special_tokens=False))))
-    out = [sum(map(int.__mul__, map(pieces.__getitem__, c), c.values())) if c is not None else 0 for c in counts]
-    for i in odd:
-        out[i] = len(tok.encode(values[i], add_special_tokens=False).ids)
-    return out
+    return [sum(map(int.__mul__, map(pieces.__getitem__, c), c.values())) for c in counts]
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> DataFrame:

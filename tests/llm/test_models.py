@@ -226,3 +226,11 @@ def test_toxicity_is_fitted_on_what_it_scores(monkeypatch):
     model = toxicity.train(texts, np.array([1, 1, 0, 0] * 6))
     p = toxicity.scorer(model)(texts)[1:4]  # the first one's score is 1
     assert len(model["keys"]) and np.log(p / (1 - p)) == pytest.approx(fitted["z"][1:4], abs=1e-3)
+
+
+def test_unusual_texts_are_counted_by_distinct_pretokens():
+    tok, _, pieces = token_counts.load(BYTE)
+    texts = ["日本語 日本語 🙂\n\n  ελληνικά", "один<|endoftext|><|endoftext|> два x²", *(t for t in ODD if t)]
+    pieces.clear()
+    assert token_counts.count_texts(texts, BYTE) == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert {"日本語", " 日本語", " 🙂", " ελληνικά", "один", " два", "<|endoftext|>"} <= set(pieces)
