@@ -1,39 +1,37 @@
 """Components of documents linked by the Jaccard similarity of their word n-grams.
 
-1. Each text becomes a sorted array of distinct 64-bit hashes of its n-grams. Equal sets are one class from here on.
-2. Candidate tiles. Sizes fall into bands (powers of two). A band cuts the hash space into slices, and a set is filed
-   under (band, slice, sum of its hashes there) for the slices it has hashes in: linked sets differ in few hashes, so
-   that most slices agree, while a passage that unrelated sets share fills no slice by itself. A set close enough to
-   the next band to be linked into it is filed there too. Of its slices a set uses those with the smallest values, as
-   many (48 for a similarity of 0.85) as make it under MISSED probable that none of them agrees with a set linked at
-   the threshold. Sets under SMALL hashes are filed under each of their first hashes instead, as many as the exact
-   prefix bound asks for.
-3. In a tile, the set that shares most tiles with others is the leader, and the others are held against it: an exact
-   intersection of sorted arrays decides. Links give components.
-4. Tiles that still hold several components are cut into blocks of members, and each pair of blocks is a task of its
-   own. Parity bitmaps (a bit flips for each hash that falls on it) bound the overlap from above: bits that differ are
-   hashes that differ. Only pairs of different components that the bound lets through get the exact intersection.
+1. Each text becomes a sorted array of distinct 64-bit hashes of its n-grams. Equal sets are one class from here on,
+   told apart by 128 bits and their size.
+2. Candidate tiles. Sizes fall into bands (powers of two). All n-grams get one total order: n-grams that are popular in
+   the corpus last, by a sketch of counts over all texts, others by their hash. A set of n hashes is filed under
+   (band, n-gram) for its first n - ceil(share * n) + 1 n-grams in that order, and in the next band too if it's close
+   enough to be linked into it. Two linked sets always share such an n-gram, whatever the order, so no link is lost;
+   the order keeps passages that unrelated texts share out of the tiles.
+3. In a tile, the set that shares most tiles with others is the leader, and the others are held against it. Links give
+   components.
+4. Tiles that still hold several components are decided pair by pair, in blocks of members, each pair of blocks a task
+   of its own. A tile of over HOT members is first divided by the further n-grams that its sets have in common: linked
+   sets share k n-grams among their first n - ceil(share * n) + k, if they share k at all.
+Every candidate pair meets the bitmaps before its sets: a bit flips for each hash that falls on it, so bits that differ
+are hashes that differ, which bounds the overlap from above. What is left gets the exact intersection of sorted arrays.
 So all pairs in a tile are either decided, or in one component already; no group of copies is expanded into pairs.
 """
 
 from __future__ import annotations
 
-import functools
-import math
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACES, release, slices, stash, texts
-from .wordhash import mix, runs_of_words, text_bytes, words
+from .shared import SPACES, discard, own_name, row_key, slices, stash, texts
+from .wordhash import mix, mix_other, runs_of_words, text_bytes, words
 
-SMALL = 64
-MISSED = 1e-9
-#: Members of a block of a tile.
-BLOCK = 256
-SEED = np.uint64(0x51ED270B7A1F39C5)
+#: Members of a block of a tile, members from which on a tile is divided, and how often at most.
+BLOCK, HOT, DEEPEST = 256, 1024, 3
+#: The sketch of popular n-grams has 2 ** CELLS counts; a task tells its largest TOLD, and LISTED of their sums are used.
+CELLS, TOLD, LISTED = 20, 4096, 65_536
+SEED, SEED_B = np.uint64(0x51ED270B7A1F39C5), np.uint64(0x8CB92BA72F3D8DD7)
 
 
 def sets_of(column: pa.Array, width: int):
@@ -45,48 +43,59 @@ def sets_of(column: pa.Array, width: int):
         if b - a >= width:
             yield np.unique(grams[a : b - width + 1])
         elif b > a:
-            yield runs_of_words(h[a:b], b - a)
+            yield runs_of_words(h[:, a:b], b - a)
         else:
             yield np.zeros(0, np.uint64)
 
 
-def band_of(n: int) -> int:
-    return n.bit_length()
-
-
-@functools.cache
-def slices_used(share: int) -> int:
-    """How many slices a set needs: with 4 hashes in a slice, of which each agrees with probability share, and so many
-    equal values among all values of two linked sets, none of the smallest is shared with probability MISSED at most."""
-    agree = math.exp(-8 / (1 + share / 100) * (1 - share / 100))
-    both = agree / (2 - agree)
-    return 1 if both == 1 else math.ceil(math.log(MISSED) / math.log1p(-both))
-
-
-def filed(s: np.ndarray, share: int) -> np.ndarray:
-    """The tiles of a set, as hashes. share: least similarity, in hundredths."""
-    n, out = len(s), []
-    if n * share <= SMALL * 100:  # so that linked sets on both sides of SMALL are here together
-        out.append(mix(s[: n - -(-n * share // 100) + 1] ^ SEED))
-    if n >= SMALL:
-        mixed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s), dtype=np.uint64)])
-        bands = [band_of(n)]
-        if n * 100 >= share << bands[0]:
-            bands.append(bands[0] + 1)
-        for band in bands:
-            slices_ = 1 << (band - 2)  # half the band's least size
-            at = np.searchsorted(s, np.arange(slices_, dtype=np.uint64) << np.uint64(64 - (band - 2)))
-            at = np.append(at, n)
-            keep = np.flatnonzero(at[1:] > at[:-1])
-            v = mix(mixed[at[keep + 1]] - mixed[at[keep]] + np.uint64(band * int(SEED) % 2**64) + keep.astype(np.uint64))
-            most = slices_used(share)
-            out.append(np.partition(v, most - 1)[:most] if len(v) > most else v)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+def popular(docs: DataFrame, width: int) -> np.ndarray:
+    """How popular the n-grams of each cell (highest bits of the hash) are, as bit lengths of counts; 0 for most cells.
+
+    It decides on the order of n-grams alone, never on results. A task sends TOLD rows at most, the driver gets LISTED.
+    """
+
+    def count(batches):
+        total = np.zeros(1 << CELLS, np.int64)
+        for b in slices(batches):
+            data, offsets = text_bytes(b.column("text"))
+            h, _, _, _ = words(data, offsets, lower=True)
+            total += np.bincount((runs_of_words(h, width) >> np.uint64(64 - CELLS)).astype(np.int64), minlength=1 << CELLS)
+        often = np.flatnonzero(total > max(1, 2 * int(total.mean())))
+        if len(often) > TOLD:
+            often = often[np.argpartition(-total[often], TOLD)[:TOLD]]
+        yield pa.RecordBatch.from_arrays([pa.array(often.astype(np.int32)), pa.array(total[often])], ["cell", "n"])
+
+    told = texts(docs).select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n >= 8")
+    levels = np.zeros(1 << CELLS, np.uint8)
+    for cell, n in told.orderBy(F.desc("n"), "cell").limit(LISTED).collect():
+        levels[cell] = n.bit_length()
+    return levels
+
+
+def in_order(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """A set's hashes in the common order: the least popular first."""
+    level = levels[(s >> np.uint64(64 - CELLS)).astype(np.int64)]
+    return s[np.argsort(level, kind="stable")] if level.any() else s
+
+
+def prefix(n: int, share: int) -> int:
+    return n - -(-n * share // 100) + 1
+
+
+def filed(ordered: np.ndarray, share: int) -> np.ndarray:
+    """The tiles of a set, as hashes: of its first n-grams in its band, and in the next one if it is close to it."""
+    n = len(ordered)
+    band = n.bit_length()
+    first = ordered[: prefix(n, share)]
+    tiles = [mix(first ^ mix(np.array([band], np.uint64) + SEED))]
+    if n * 100 >= share << band:
+        tiles.append(mix(first ^ mix(np.array([band + 1], np.uint64) + SEED)))
+    return np.concatenate(tiles)
 
 
 def bitmap(s: np.ndarray) -> bytes:
     """Parity bits: four times as many as hashes, a power of two."""
-    bits = min(1 << 16, max(256, 4 << band_of(len(s))))
+    bits = min(1 << 16, max(256, 4 << len(s).bit_length()))
     return np.packbits(np.bincount((mix(s ^ SEED) & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
@@ -97,45 +106,52 @@ def fold(b: bytes, size: int) -> np.ndarray:
     return x
 
 
-def describe(docs: DataFrame, width: int, share: int) -> DataFrame:
-    """doc_id, row_key, n (size of the set), key (hash of the set, null if empty), tiles."""
+def near_enough(differ: np.ndarray, sizes: np.ndarray, share: int) -> np.ndarray:
+    """Whether sets of so many hashes in sum can be linked if so many bits differ: their overlap is (sizes - differ) / 2 at most."""
+    return differ * (100 + share) <= (100 - share) * sizes
+
+
+def keys_of(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set."""
+    return int(mix(s ^ SEED).sum(dtype=np.uint64)) - 2**63, int(mix_other(s + SEED_B).sum(dtype=np.uint64)) - 2**63
+
+
+def describe(docs: DataFrame, width: int, share: int) -> tuple:
+    """doc_id, row_key, n (size of the set), k1, k2 (bits of the set, null if empty), tiles; and the broadcast order."""
+    levels = docs.sparkSession.sparkContext.broadcast(popular(docs, width))
 
     def apply(batches):
         for b in slices(batches):
-            n, keys, tiles = [], [], []
+            n, k1, k2, tiles = [], [], [], []
             for s in sets_of(b.column("text"), width):
                 n.append(len(s))
-                keys.append(key_of(s) if len(s) else None)
-                tiles.append(filed(s, share).view(np.int64))
+                one, two = keys_of(s) if len(s) else (None, None)
+                k1.append(one)
+                k2.append(two)
+                tiles.append(filed(in_order(s, levels.value), share).view(np.int64) if len(s) else np.zeros(0, np.int64))
             lengths = np.cumsum([0, *map(len, tiles)])
             flat = pa.array(np.concatenate(tiles)) if tiles else pa.array([], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat)], ["doc_id", "row_key", "n", "key", "tiles"])
+            columns = [b.column("doc_id"), b.column("row_key"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "n", "k1", "k2", "tiles"])
 
-    return rows_of(docs).mapInArrow(apply, "doc_id long, row_key long, n long, key long, tiles array<long>")
+    return rows_of(docs).mapInArrow(apply, "doc_id long, row_key string, n long, k1 long, k2 long, tiles array<long>"), levels
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
-    """doc_id, text and row_key, a hash of both."""
+    """doc_id, text and row_key."""
     return texts(docs).withColumn("row_key", row_key(F.col("doc_id"), F.col("text")))
 
 
-def row_key(doc_id: Column, text: Column) -> Column:
-    return F.xxhash64(doc_id.cast("long"), F.xxhash64(F.coalesce(text, F.lit(""))))
-
-
-def key_of(s: np.ndarray) -> int:
-    return int(mix(s * np.uint64(2) + SEED).sum(dtype=np.uint64)) - 2**63
-
-
 def sets_and_bitmaps(rows: DataFrame, width: int) -> DataFrame:
-    """rows: key, text. key, the set's sorted hashes and its bitmap, for texts that have the key."""
+    """rows: key, text. key, the set's size, its sorted hashes and its bitmap."""
 
     def apply(batches):
         for b in slices(batches):
-            found = [(k, s) for k, s in zip(b.column("key").to_pylist(), sets_of(b.column("text"), width)) if len(s) and key_of(s) == k]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary()), pa.array([bitmap(s) for _, s in found], pa.binary())], ["key", "hashes", "bits"])
+            sets = list(sets_of(b.column("text"), width))
+            columns = [b.column("key"), pa.array(map(len, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(map(bitmap, sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "size", "hashes", "bits"])
 
-    return rows.mapInArrow(apply, "key long, hashes binary, bits binary")
+    return rows.mapInArrow(apply, "key long, size long, hashes binary, bits binary")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -147,6 +163,23 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def bounded(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """The pairs (a, b) of keys that the bitmaps don't rule out."""
+    left = sets.select(F.col("key").alias("a"), F.col("size").alias("m"), F.col("bits").alias("x"))
+    right = sets.select(F.col("key").alias("b"), F.col("size").alias("n"), F.col("bits").alias("y"))
+
+    def apply(batches):
+        for b in batches:
+            differ = []
+            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
+                size = min(len(x), len(y))
+                differ.append(int(np.bitwise_count((fold(x, size) ^ fold(y, size)).view(np.uint64)).sum()))
+            keep = near_enough(np.array(differ, np.int64), b.column("m").to_numpy() + b.column("n").to_numpy(), share)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "m", "n", "x", "y").mapInArrow(apply, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """The pairs (a, b) of keys that are linked, by exact intersection."""
     left = sets.select(F.col("key").alias("a"), F.col("hashes").alias("x"))
@@ -169,19 +202,22 @@ def verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """key and label (the smallest key it is connected to) of all keys in links (a, b).
 
+    Repeated links and links given in both directions count once; a key linked with itself alone isn't in the result.
     Large-star and small-star steps, each over shuffled rows, until nothing changes; the number of rounds grows with
     the logarithm of a component's size.
     """
     edges = stash(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
-    while True:
+    state, none = None, not edges.limit(1).collect()
+    while not none:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
         small = small.select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
-        edges = stash(small, "edges")
+        new = stash(small, "edges")
+        discard(edges)
+        edges = new
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -213,8 +249,7 @@ def close_pairs(tiles: DataFrame, share: int) -> DataFrame:
             ok = (label != label[x]) & (100 * np.minimum(n, n[x]) >= share * np.maximum(n, n[x])) & ((own == j) if i != j else np.arange(len(n)) > x)
             near = np.flatnonzero(ok)
             if len(near):
-                differ = np.bitwise_count(bits[near] ^ bits[x]).sum(1)
-                near = near[differ * (100 + share) <= (100 - share) * (n[near] + n[x])]
+                near = near[near_enough(np.bitwise_count(bits[near] ^ bits[x]).sum(1), n[near] + n[x], share)]
                 a += [key[x]] * len(near)
                 b += key[near].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -222,46 +257,101 @@ def close_pairs(tiles: DataFrame, share: int) -> DataFrame:
     return rows.groupBy("tile", "i", "j").applyInArrow(apply, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def linked(docs: DataFrame, width: int, share: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of docs as doc_id, row_key, n and key (null without words), and the label of each key that has links."""
+def divided(rows: DataFrame, levels, share: int, k: int) -> DataFrame:
+    """tile, key, at of the parts of tiles. rows: tile, key, at (place of the tile's last n-gram, null at first), hashes.
+
+    A set goes to the parts of its n-grams after that place, among the first that linked sets share k + 1 of. Sets too
+    small for k + 1 shared n-grams meet in one more part.
+    """
+
+    def apply(batches):
+        for b in batches:
+            tiles, keys, places = [], [], []
+            for tile, key, at, raw in zip(b.column("tile").to_pylist(), b.column("key").to_pylist(), b.column("at").to_pylist(), b.column("hashes")):
+                s = in_order(np.frombuffer(raw.as_buffer(), np.uint64), levels.value)
+                n = len(s)
+                if at is None:
+                    at = int(np.flatnonzero(filed(s, share).view(np.int64) == tile)[0]) % prefix(n, share)
+                place = np.arange(at + 1, min(n, prefix(n, share) + k))
+                old = np.array([tile], np.int64).view(np.uint64)
+                part = mix(mix(s[place]) + old)
+                if -(-n * share // 100) <= k:
+                    place, part = np.append(place, n), np.append(part, mix_other(old))
+                tiles.append(part.view(np.int64))
+                keys.append(np.full(len(part), key, np.int64))
+                places.append(place.astype(np.int32))
+            none = [np.zeros(0, np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tiles or none)), pa.array(np.concatenate(keys or none)), pa.array(np.concatenate(places or none).astype(np.int32))], ["tile", "key", "at"])
+
+    return rows.select("tile", "key", "at", "hashes").mapInArrow(apply, "tile long, key long, at int")
+
+
+def undecided(told: DataFrame) -> DataFrame:
+    """The rows (tile, key, label, ...) of tiles that hold several components, with their number of members."""
+    open_ = told.groupBy("tile").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("members")).where("least < most")
+    return told.join(open_.select("tile", "members"), "tile")
+
+
+def pairs_left(told: DataFrame, sets: DataFrame, levels, share: int) -> DataFrame:
+    """Candidate pairs of different components in the tiles. told: tile, key, n, label."""
+    rest = stash(undecided(told.select("tile", "key", "n", "label", F.lit(None).cast("int").alias("at"))), "undecided")
+    out = None
+    for k in range(1, DEEPEST + 2):
+        hot = F.col("members") > HOT
+        last = k > DEEPEST or not rest.where(hot).limit(1).collect()
+        now = (rest if last else rest.where(~hot)).join(sets.select("key", "bits"), "key")
+        found = stash(close_pairs(now, share), "close")
+        out = found if out is None else out.unionByName(found)
+        if last:
+            discard(rest)
+            return out.distinct()
+        names = rest.where(hot).select("key", "n", "label").distinct()
+        parts = divided(rest.where(hot).join(sets.select("key", "hashes"), "key"), levels, share, k)
+        new = stash(undecided(parts.join(names, "key")), "undecided")
+        discard(rest)
+        rest = new
+
+
+def linked(docs: DataFrame, width: int, share: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, row_key, n, k1, k2), classes (k1, k2, n, key, row_key of one row) and the label of keys that have links."""
     if not 50 <= share <= 100:
         raise ValueError("share must be 50 to 100")
-    spark = docs.sparkSession
-    filed_ = stash(describe(docs, width, share), "filed")
-    classes = filed_.where("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("tiles").alias("tiles"))
-    entries = stash(classes.select("key", "n", F.explode("tiles").alias("tile")), "entries")
-    described = stash(filed_.select("doc_id", "row_key", "n", "key"), "sets")
-    release(spark, filed_)
+    found, levels = describe(docs, width, share)
+    every = stash(found, "filed")
+    classes = every.where("k1 is not null").groupBy("k1", "k2", "n").agg(F.first("tiles").alias("tiles"), F.min("row_key").alias("row_key"))
+    classes = stash(classes.withColumn("key", F.monotonically_increasing_id()), "classes")
+    described = stash(every.drop("tiles"), "sets")
+    discard(every)
+    entries = classes.select("key", "n", F.explode("tiles").alias("tile"))
     counts = entries.groupBy("tile").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     plain = stash(entries.join(counts, "tile"), "tiles")
-    release(spark, entries)
+    names = stash(classes.drop("tiles"), "names")
+    discard(classes)
     weight = plain.groupBy("key").agg(F.sum("members").alias("weight"))
     shared_ = stash(plain.join(weight, "key"), "weighed")
-    release(spark, plain)
+    discard(plain)
     leaders = shared_.groupBy("tile").agg(F.max(F.struct("weight", F.negative("n").alias("n"), F.col("key").alias("leader"))).alias("top"))
     pairs = shared_.join(leaders, "tile").where((F.col("key") != F.col("top.leader")) & (100 * F.least(F.col("n"), -F.col("top.n")) >= share * F.greatest(F.col("n"), -F.col("top.n"))))
     pairs = stash(pairs.select(F.col("top.leader").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
-    release(spark)
     # the sets of the members of tiles, from the text of one row of each class
-    reps = described.groupBy("key").agg(F.min("row_key").alias("row_key")).join(shared_.select("key").distinct(), "key")
-    texts_ = rows_of(docs).join(reps, "row_key").dropDuplicates(["row_key", "key"])  # dealt by row_key already
+    reps = names.join(shared_.select("key").distinct(), "key").select("row_key", "key")
+    texts_ = rows_of(docs).join(reps, "row_key").dropDuplicates(["row_key"])  # dealt by row_key already
     sets = stash(sets_and_bitmaps(texts_.select("key", "text"), width), "hashes")
-    release(spark)
-    links = stash(verified(pairs, sets, share), "links")
-    release(spark, pairs)
-    labels = stash(components(links), "labels")
-    label = F.coalesce("label", "key")
-    told = shared_.join(labels, "key", "left").withColumn("label", label)
-    open_ = told.groupBy("tile").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("left")).where("least < most")
-    rest = told.join(open_.select("tile", F.col("left").alias("all")), "tile").select("tile", F.col("all").alias("members"), "key", "n", "label")
-    rest = rest.join(sets.select("key", "bits"), "key")
-    more = stash(close_pairs(rest, share), "close")
-    release(spark, shared_)
-    links = stash(links.unionByName(verified(more, sets, share)), "all-links")
-    release(spark, sets)
+    near = stash(bounded(pairs, sets, share), "near")
+    links = stash(verified(near, sets, share), "links")
+    discard(pairs, near)
     labels = stash(components(links), "labels")
-    release(spark)
-    return described, labels
+    told = shared_.select("tile", "key", "n").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    more = stash(verified(pairs_left(told, sets, levels, share), sets, share), "more-links")
+    discard(shared_, sets)
+    if more.limit(1).collect():  # links between components that there are already
+        ends = [labels.select(F.col("key").alias(c), F.col("label").alias(f"{c}_label")) for c in "ab"]
+        more = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(*(F.coalesce(f"{c}_label", c).alias(c) for c in "ab"))
+        joined = stash(components(more).select(F.col("key").alias("label"), F.col("label").alias("least")), "joined")
+        old = labels.join(joined, "label", "left").select("key", F.coalesce("least", "label").alias("label"))
+        new = joined.join(labels, joined["label"] == labels["key"], "left_anti").select(F.col("label").alias("key"), F.col("least").alias("label"))
+        labels = stash(old.unionByName(new), "labels")
+    return described, names, labels
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
@@ -272,21 +362,22 @@ def jaccard_components(docs: DataFrame, width: int = 5, share: int = 80) -> Data
     are linked when 100 * intersection >= share * union. component_id is the smallest doc_id reachable by links, the
     document's own included; a null doc_id is never the smallest. Rows that repeat a doc_id are rows of their own.
     Equal sets are linked, so exact copies and repeated rows are in one component. No rows in, no rows out. share is 50
-    to 100: bands are that wide.
+    to 100: bands are that wide. No candidate is left out; n-grams are compared as 64-bit hashes of 128-bit words.
     """
-    described, labels = linked(docs, width, share)
-    named = classes_of(described).join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    named = named.join(named.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("key", "component_id")
-    out = described.join(named, "key", "left")
+    described, names, labels = linked(docs, width, share)
+    classes = described.where("k1 is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")).join(names, ["k1", "k2", "n"]).join(labels, "key", "left")
+    classes = classes.withColumn("label", F.coalesce("label", "key"))
+    told = classes.join(classes.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("k1", "k2", "n", "component_id")
+    out = described.join(told, ["k1", "k2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def components_kept(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
     """doc_id and row_key of the row that stays of each component of texts with words: the one with the smallest doc_id,
     null being the largest; of several rows with that doc_id, the one with the smallest row_key."""
-    described, labels = linked(docs, width, share)
+    described, names, labels = linked(docs, width, share)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
-    reps = described.where("key is not null").groupBy("key").agg(F.min(place).alias("rep"))
+    reps = described.where("k1 is not null").groupBy("k1", "k2", "n").agg(F.min(place).alias("rep")).join(names.select("k1", "k2", "n", "key"), ["k1", "k2", "n"])
     reps = reps.join(labels, "key", "left").groupBy(F.coalesce("label", "key").alias("label")).agg(F.min("rep").alias("rep"))
     return reps.select("rep.doc_id", "rep.row_key")
 
@@ -294,16 +385,13 @@ def components_kept(docs: DataFrame, width: int = 5, share: int = 80) -> DataFra
 def rows_kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that components_kept names, of repeated rows one; and every row without
     words, as it is linked with nothing."""
-    rows = docs.withColumn("__row", row_key(F.col("doc_id"), F.col("text")))
+    name = own_name("row_key", docs)
+    rows = docs.withColumn(name, row_key(F.col("doc_id").cast("long"), F.col("text")))
     has_words = F.coalesce("text", F.lit("")).rlike(f"[^{SPACES}]")
-    some = rows.where(has_words).join(kept.select(F.col("row_key").alias("__row")), "__row", "left_semi").dropDuplicates(["doc_id", "__row"])
+    some = rows.where(has_words).join(kept.select(F.col("row_key").alias(name)), name, "left_semi").dropDuplicates([name])
     return some.unionByName(rows.where(~has_words)).select(docs.columns)
 
 
-def classes_of(described: DataFrame) -> DataFrame:
-    return described.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
-
-
 SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),

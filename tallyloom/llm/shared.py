@@ -1,68 +1,28 @@
-"""What several corpus operators share: shared scratch tables, input columns, Arrow slices, crc folds."""
+"""What several corpus operators share: input columns, row keys, Arrow slices, crc folds."""
 
 from __future__ import annotations
 
-import atexit
-import gc
-import tempfile
-import uuid
-
-import numpy as np
-import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import discard, own_name, stash  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Words are the longest runs of anything but these six characters.
 SPACES = r"\x20\x09-\x0D"
 
-_roots: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """A folder that driver and executors share: under spark.checkpoint.dir, or a temporary one where that is unset."""
-    app = spark.sparkContext.applicationId
-    if app not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
-            spark.conf.set("spark.checkpoint.dir", base)
-        _roots[app] = f"{base.rstrip('/')}/tallyloom-{uuid.uuid4().hex}"
-        atexit.register(_remove, spark, _roots[app])
-    return _roots[app]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage: writes df to the shared folder, where a lost executor doesn't lose it, and reads it back."""
-    path = f"{scratch_root(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.stashed_at = path
-    return out
-
-
-def release(spark: SparkSession, *done: DataFrame) -> None:
-    """Removes stashed tables that nothing will read again, once what was made of them is written, and lets Spark drop
-    the shuffle files of stages that nothing refers to any more."""
-    for df in done:
-        _remove(spark, df.stashed_at)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text alone, so that other columns of the input can have any name; null text is empty."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """128 bits of a row's doc_id and text, in hexadecimal; a null text is empty, a null doc_id differs from any other."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))).cast("binary"))
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

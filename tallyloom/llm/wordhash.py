@@ -1,15 +1,19 @@
-"""Words and runs of words of a block of texts as arrays of 64-bit hashes."""
+"""Words and runs of words of a block of texts as arrays of hashes.
+
+A word has two 64-bit hashes (128 bits), made by two chains of different, non-linear steps over its blocks of eight
+bytes; a word of over LONG bytes has the two halves of its BLAKE2b digest. Words of at most eight bytes never collide.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-#: Values of bytes, and an odd base and its powers' inverse, for hashes of words; fixed, so that all workers agree.
-BYTES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
+SEED_A, SEED_B = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
+LONG = 64
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWERED = np.arange(256, dtype=np.uint8)
@@ -22,22 +26,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def mix_other(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(32))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(all bytes, offsets of the texts in them and their end) of a string column without nulls."""
-    column = column.cast(pa.large_string())
+    """(all bytes, offsets of the texts in them and their end) of a string or binary column without nulls."""
+    column = column.cast(pa.large_binary())
     n = len(column)
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, its start, its end, first word of each text and the end).
+def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start of each word, its end, first word of each text and the end).
 
     A word is a longest run of anything but the six white-space characters within a text.
     """
-    if lower:
-        data = LOWERED[data]
     n = len(data)
     inside = ~SPACE[data]
     cut = np.zeros(n + 1, bool)
@@ -48,29 +56,39 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarra
     after = np.empty(n, bool)
     after[-1:], after[:-1] = False, inside[1:]
     ends = np.flatnonzero(inside & (~after | cut[1:])) + 1
-    first = np.searchsorted(starts, offsets)
-    if not len(starts):
-        return np.zeros(0, np.uint64), starts, ends, first
-    # sum of byte value * base ** place, by differences of running sums, shifted back by the inverse
-    longest = int((ends - starts).max())
-    if longest <= 64:
-        h = np.zeros(len(starts), np.uint64)
-        length = ends - starts
-        left = np.arange(len(starts))
-        for i in range(longest):
-            left = left[length[left] > i]
-            h[left] = h[left] * BASE + BYTES[data[starts[left] + i]]
-    else:
-        powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, BASE)]))
-        total = np.concatenate([[np.uint64(0)], np.cumsum(BYTES[data][::-1] * powers[:n], dtype=np.uint64)])  # from the right, so that places count from a word's end
-        back = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, INVERSE)]))
-        h = (total[n - starts] - total[n - ends]) * back[n - ends]
-    return mix(h + np.uint64(1) + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts, ends, first
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two rows: both hashes of each word."""
+    length = ends - starts
+    out = np.stack([mix(length.astype(np.uint64) ^ SEED_A), mix_other(length.astype(np.uint64) + SEED_B)])
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    blocks = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    left, at = np.flatnonzero(length <= LONG), 0
+    while len(left):
+        block = blocks[starts[left] + at] & MASKS[np.minimum(length[left] - at, 8)]
+        out[0, left] = mix(out[0, left] ^ block)
+        out[1, left] = mix_other(out[1, left] + block)
+        at += 8
+        left = left[length[left] > at]
+    for k in np.flatnonzero(length > LONG).tolist():
+        out[:, k] = np.frombuffer(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=16).digest(), "<u8")
+    return out
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(both hashes of each word, its start, its end, first word of each text and the end)."""
+    if lower:
+        data = LOWERED[data]
+    starts, ends, first = spans(data, offsets)
+    return hashes(data, starts, ends), starts, ends, first
 
 
 def runs_of_words(h: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each run of `width` words, by its first word."""
-    out = np.zeros(max(0, len(h) - width + 1), np.uint64)
+    """A 64-bit hash of each run of `width` words, by its first word, from both hashes of the words."""
+    n = max(0, h.shape[1] - width + 1)
+    out = np.full(n, SEED_A ^ np.uint64(width))
     for i in range(width):
-        out = out * BASE + h[i : i + len(out)]
-    return mix(out + np.uint64(width))
+        out = mix(out ^ h[0, i : i + n]) + h[1, i : i + n]
+    return mix_other(out)
