@@ -3,19 +3,24 @@
 A window is `width` words in a row. Words covered by a window that also starts in a document with a smaller doc_id go.
 
 1. Of the `GRAM`-word grams of a window the one with the smallest hash is the window's anchor, which depends on the
-   window's words alone. A document's anchors are counted over all documents (documents with the same words count
-   once: all but the first are repeated as a whole). A window whose anchor occurs once can't be repeated.
+   window's words alone. A document's anchors are counted over all documents (documents with the same words, by 128
+   bits, count once: all but the first are repeated as a whole). A window whose anchor occurs once can't be repeated.
 2. The windows that share an occurrence of an anchor are a run of words. Runs go to the shard of their anchor, so that
-   equal windows meet in one shard; equal runs are put together before, with the smallest doc_id they occur in.
-3. Each shard has its own FM-index: suffix array up to the window's length, Burrows-Wheeler transform over word
-   numbers, and a wavelet tree of packed bits with rank counts. The shard's runs are streamed against it: backward
-   search from each window's last word gives the matching statistics up to the window's length, and where the match
-   reaches it, the smallest doc_id over the range's suffixes tells whether the window is to go.
+   equal windows meet in one shard; equal runs are put together before, with the smallest doc_id they occur in. An
+   anchor of over HEAVY distinct runs is divided: its windows go by their two least grams, then three, and so on, until
+   the last step, where all grams of a window count and only equal windows are together.
+3. Each shard has its own FM-index: a Burrows-Wheeler transform over word numbers in a wavelet tree of packed bits with
+   rank counts, and 32 bits for the document of each suffix; suffixes are sorted up to the window's length, and the
+   suffix array itself isn't kept. The shard's runs are streamed against it: backward search from each window's last
+   word gives the matching statistics (the longest match that occurs elsewhere too, up to the window's length), and
+   where they reach the threshold, the first document of the range of suffixes tells whether the window is to go.
 4. The intervals found are joined to the occurrences of their runs, and the documents' words are kept or dropped.
+Hashes of grams only say where windows meet; in a shard words are compared themselves.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 
@@ -24,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import release, shuffle_parts, slices, stash, texts
+from .shared import discard, shuffle_parts, slices, stash, texts
 from .wordhash import mix, runs_of_words, text_bytes, words
 
 GRAM = 6
-#: Runs of a shard.
-SHARD = 20_000
+#: Runs of a shard, and distinct runs of an anchor from which on it is divided.
+SHARD, HEAVY = 20_000, 2_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+RUNS = "key long, run binary, id1 long, id2 long, doc_id long, of long, start long"
 
 
 def anchors(h: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -39,7 +45,7 @@ def anchors(h: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarra
     Over the words of a block; windows that cross from one text into the next are for the caller to leave out.
     """
     g = runs_of_words(h, gram)
-    n, span = len(h) - width + 1, width - gram + 1
+    n, span = h.shape[1] - width + 1, width - gram + 1
     if n <= 0:
         return g, np.zeros(0, np.int64)
     best, least = np.arange(n), g[:n].copy()
@@ -50,32 +56,44 @@ def anchors(h: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarra
     return g, best
 
 
+def digests(values: list[bytes]) -> np.ndarray:
+    """128 bits of each value, in two columns."""
+    return np.frombuffer(b"".join(hashlib.blake2b(v, digest_size=16).digest() for v in values), "<i8").reshape(-1, 2)
+
+
 def rows_of(docs: DataFrame) -> DataFrame:
+    """doc_id, text and of, which tells the texts of one doc_id apart."""
     return texts(docs).withColumn("of", F.xxhash64("text"))
 
 
 def describe(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """doc_id, of (hash of the text), n_words, whole (hash of all its words in order), anchors (distinct, as hashes)."""
+    """doc_id, of, n_words, w1, w2 (128 bits of all its words in order), anchors (distinct, as hashes)."""
 
     def apply(batches):
         for b in slices(batches):
             data, offsets = text_bytes(b.column("text"))
             h, _, _, first = words(data, offsets, lower=False)
-            counts = np.diff(first)
-            place = np.arange(len(h)) - np.repeat(first[:-1], counts)
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ mix(place.astype(np.uint64))), dtype=np.uint64)])
+            edges = list(zip(first[:-1].tolist(), first[1:].tolist()))
+            whole = digests([h[:, a:z].tobytes() for a, z in edges])
             g, at = anchors(h, width, gram)
-            found = [np.unique(g[at[a : max(a, z - width + 1)]]).view(np.int64) for a, z in zip(first[:-1].tolist(), first[1:].tolist())]
+            found = [np.unique(g[at[a : max(a, z - width + 1)]]).view(np.int64) for a, z in edges]
             ends = np.cumsum([0, *map(len, found)])
             flat = pa.array(np.concatenate(found)) if found else pa.array([], pa.int64())
-            whole = (sums[first[1:]] - sums[first[:-1]]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("of"), pa.array(counts, pa.int64()), pa.array(whole), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["doc_id", "of", "n_words", "whole", "anchors"])
+            columns = [b.column("doc_id"), b.column("of"), pa.array(np.diff(first)), pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "of", "n_words", "w1", "w2", "anchors"])
+
+    return rows_of(docs).mapInArrow(apply, "doc_id long, of long, n_words long, w1 long, w2 long, anchors array<long>")
 
-    return rows_of(docs).mapInArrow(apply, "doc_id long, of long, n_words long, whole long, anchors array<long>")
+
+def run_batch(keys: list, runs: list[bytes], docs: list, ofs: list, starts: list) -> pa.RecordBatch:
+    ids = digests(runs)
+    joined = [pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (keys, docs, ofs, starts)]
+    columns = [joined[0], pa.array(runs, pa.binary()), pa.array(ids[:, 0]), pa.array(ids[:, 1]), *joined[1:]]
+    return pa.RecordBatch.from_arrays(columns, ["key", "run", "id1", "id2", "doc_id", "of", "start"])
 
 
 def runs_of(rows: DataFrame, width: int, gram: int) -> DataFrame:
-    """rows: doc_id, of, text, hits (anchors that occur again). anchor, run (its words), doc_id, of, start (first word)."""
+    """rows: doc_id, of, text, hits (anchors that occur again). key (the anchor), run (its words), its 128 bits, doc_id, of, start (first word)."""
 
     def apply(batches):
         for b in slices(batches, 500_000):
@@ -96,10 +114,36 @@ def runs_of(rows: DataFrame, width: int, gram: int) -> DataFrame:
                     runs.append(raw[s:e] if ok else b" ".join(raw[starts[k] : ends[k]] for k in range(p, q + 1)))
                 for to, x in zip(found, (g[at[new]].view(np.int64), np.full(len(new), doc, np.int64), np.full(len(new), of, np.int64), new - a)):
                     to.append(x)
-            columns = [pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in found]
-            yield pa.RecordBatch.from_arrays([columns[0], pa.array(runs, pa.binary()), *columns[1:]], ["anchor", "run", "doc_id", "of", "start"])
+            yield run_batch(found[0], runs, *found[1:])
+
+    return rows.mapInArrow(apply, RUNS)
 
-    return rows.mapInArrow(apply, "anchor long, run binary, doc_id long, of long, start long")
+
+def divided(runs: DataFrame, width: int, gram: int, k: int) -> DataFrame:
+    """The runs cut into runs of windows that agree in their k least grams; at the last k each window by itself."""
+    span = width - gram + 1
+
+    def apply(batches):
+        for b in slices(batches, 500_000, "run"):
+            data, offsets = text_bytes(b.column("run"))
+            h, starts, ends, first = words(data, offsets, lower=False)
+            g = runs_of_words(h, gram)
+            found: tuple = ([], [], [], [])
+            raw, runs = data.tobytes(), []
+            names = zip(*(b.column(c).to_pylist() for c in ("doc_id", "of", "start")))
+            for (doc, of, start), a, z in zip(names, first[:-1].tolist(), first[1:].tolist()):
+                least = np.sort(np.lib.stride_tricks.sliding_window_view(g[a : z - gram + 1], span), 1)
+                key = np.zeros(len(least), np.uint64)
+                for i in range(k):
+                    key = mix(key + least[:, i])
+                turn = key[1:] != key[:-1] if k < span else np.ones(len(key) - 1, bool)
+                new, last = np.flatnonzero(np.append(True, turn)), np.flatnonzero(np.append(turn, True)) + width - 1
+                runs += [raw[starts[a + p] : ends[a + q]] for p, q in zip(new.tolist(), last.tolist())]
+                for to, x in zip(found, (key[new].view(np.int64), np.full(len(new), doc, np.int64), np.full(len(new), of, np.int64), start + new)):
+                    to.append(x)
+            yield run_batch(found[0], runs, *found[1:])
+
+    return runs.select("run", "doc_id", "of", "start").mapInArrow(apply, RUNS)
 
 
 class WaveletTree:
@@ -137,9 +181,12 @@ class WaveletTree:
 
 
 class FMIndex:
-    """Over a sequence of symbols from 1 on, in which 0 ends each run; suffixes are told apart up to `depth` symbols."""
+    """Over a sequence of symbols from 1 on, in which 0 ends each run; suffixes are told apart up to `depth` symbols.
 
-    def __init__(self, sequence: np.ndarray, depth: int):
+    owner: a number below 2 ** 32 for each place; what is kept of the suffix array is the owner of each suffix.
+    """
+
+    def __init__(self, sequence: np.ndarray, depth: int, owner: np.ndarray):
         n, self.n = len(sequence), len(sequence)
         self.n_symbols = int(sequence.max(initial=0)) + 1
         rank, reach = sequence.astype(np.int64), 1
@@ -154,13 +201,16 @@ class FMIndex:
             reach *= 2
             if reach >= depth:
                 break
-        self.suffixes = order
+        self.owners = owner[order].astype(np.uint32)
         self.tree = WaveletTree(sequence[order - 1], self.n_symbols)
         self.low = self.tree.starts(self.n_symbols)
         self.first = np.cumsum(np.bincount(sequence, minlength=self.n_symbols)) - np.bincount(sequence, minlength=self.n_symbols)
 
     def search(self, sequence: np.ndarray, last: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Backward search from each place in `last`: (matching statistic up to depth, range of suffixes of the match)."""
+        """Backward search from each place in `last`: (matching statistic up to depth, range of suffixes of the match).
+
+        The places are the index's own, so a match that is alone is the place itself, and goes no further.
+        """
         low, high = np.zeros(len(last), np.int64), np.full(len(last), self.n, np.int64)
         length = np.zeros(len(last), np.int64)
         live = np.arange(len(last))
@@ -168,18 +218,24 @@ class FMIndex:
             symbol = sequence[last[live] - step]
             at = self.tree.rank(np.concatenate([symbol, symbol]).astype(np.uint32), np.concatenate([low[live], high[live]]), np.concatenate([self.low[symbol]] * 2))
             a, b = self.first[symbol] + at[: len(live)], self.first[symbol] + at[len(live) :]
-            go = b > a
-            live, a, b = live[go], a[go], b[go]
+            more = b - a > 1
+            live, a, b = live[more], a[more], b[more]
             low[live], high[live], length[live] = a, b, step + 1
-            more = b - a > 1  # a suffix that is alone is the window itself
-            live = live[more]
             if not len(live):
                 break
         return length, low, high
 
+    def first_owners(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The least owner in each range; ranges that begin alike are equal, and each is looked through once."""
+        low, at, of = np.unique(low, return_index=True, return_inverse=True)
+        edges = np.stack([low, high[at]], 1).ravel()
+        return np.minimum.reduceat(np.append(self.owners, np.uint32(2**32 - 1)), edges)[::2][of] if len(low) else np.zeros(0, np.uint32)
+
 
 def shard_windows(runs: list[bytes], doc_ids: np.ndarray, width: int) -> list[np.ndarray]:
     """For each run the smallest doc_id of each of its windows."""
+    by_doc = np.argsort(doc_ids, kind="stable")
+    runs, doc_ids = [runs[k] for k in by_doc.tolist()], doc_ids[by_doc]  # so that a run's number says which doc_id is less
     parts = [r.split(b" ") for r in runs]
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     names: dict = {}
@@ -187,25 +243,23 @@ def shard_windows(runs: list[bytes], doc_ids: np.ndarray, width: int) -> list[np
     end = names.get(None, 0)
     flat = np.where(flat == end, 0, np.where(flat > end, flat - 1, flat)) if end else flat
     starts = np.cumsum(lengths + 1) - lengths - 1
-    of = np.repeat(np.arange(len(parts)), lengths + 1)
-    index = FMIndex(flat, width + 1)
+    index = FMIndex(flat, width + 1, np.repeat(np.arange(len(parts)), lengths + 1))
     windows = np.maximum(0, lengths - width + 1)
     run = np.repeat(np.arange(len(parts)), windows)
     begin = np.arange(len(run)) - np.repeat(np.cumsum(windows) - windows, windows) + starts[run]
     length, low, high = index.search(flat, begin + width - 1, width)
-    # least doc_id over ranges of suffixes; where the match falls short, the window is alone
+    # where the match falls short, the window is alone
     found = doc_ids[run].copy()
     whole = np.flatnonzero(length == width)
-    if len(whole):
-        values = doc_ids[of[index.suffixes]]
-        edges = np.stack([low[whole], high[whole]], 1).ravel()
-        values = np.append(values, np.iinfo(np.int64).max)
-        found[whole] = np.minimum.reduceat(values, edges)[::2]
-    return np.split(found, np.cumsum(windows)[:-1])
+    found[whole] = doc_ids[index.first_owners(low[whole], high[whole])]
+    out: list = [None] * len(runs)
+    for k, x in zip(by_doc.tolist(), np.split(found, np.cumsum(windows)[:-1])):
+        out[k] = x
+    return out
 
 
 def repeated_windows(runs: DataFrame, width: int) -> DataFrame:
-    """runs: shard, id1, id2, run, doc_id (least). id1, id2, least (of each window), for runs that have a smaller one elsewhere or more than one document."""
+    """runs: shard, id1, id2, run, doc_id (least). id1, id2, least (smallest doc_id of each window)."""
 
     def apply(t: pa.Table) -> pa.Table:
         found = shard_windows(t.column("run").to_pylist(), t.column("doc_id").to_numpy(), width)
@@ -253,25 +307,34 @@ def substring_dedup(docs: DataFrame, width: int = 13, gram: int = GRAM) -> DataF
     one = ["doc_id", "of"]  # a text of a document
     every = stash(describe(docs, width, gram), "anchors")
     described = every.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= width))
-    firsts = described.groupBy("whole", "n_words").agg(F.min("doc_id").alias("first"))
-    copies = described.select(*one, "whole", "n_words").join(firsts, ["whole", "n_words"]).where("first < doc_id")
+    whole = ["w1", "w2", "n_words"]
+    firsts = described.groupBy(*whole).agg(F.min("doc_id").alias("first"))
+    copies = described.select(*one, *whole).join(firsts, whole).where("first < doc_id")
     copies = stash(copies.select(*one, F.lit(1).alias("copy")).distinct(), "copies")  # its words in order are those of a document before it
     own = described.join(copies, one, "left_anti").select("doc_id", F.explode("anchors").alias("anchor"))
     twice = own.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     hits = stash(own.join(twice, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("hits")), "hits")
-    release(spark, every)
-    runs = runs_of(rows_of(docs).join(hits, "doc_id"), width, gram)
-    runs = stash(runs.withColumn("id1", F.xxhash64("run")).withColumn("id2", F.xxhash64(F.lit(7), "run")), "runs")  # runs are told apart by 128 bits
-    release(spark, hits)
-    distinct = stash(runs.groupBy("anchor", "id1", "id2").agg(F.min("doc_id").alias("doc_id"), F.first("run").alias("run")), "distinct-runs")
+    discard(every)
+    runs = [stash(runs_of(rows_of(docs).join(hits, "doc_id"), width, gram), "runs")]
+    discard(hits)
+    distinct = []
+    for k in range(2, width - gram + 3):
+        here = stash(runs[-1].groupBy("key", "id1", "id2").agg(F.min("doc_id").alias("doc_id"), F.first("run").alias("run")), "distinct-runs")
+        heavy = stash(here.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(f"n > {HEAVY}").select("key"), "heavy")
+        if k > width - gram + 1 or not heavy.limit(1).collect():
+            distinct.append(here)
+            break
+        distinct.append(here.join(heavy, "key", "left_anti"))
+        runs.append(stash(divided(runs[-1].join(heavy, "key", "left_semi"), width, gram, k), "runs"))
+    distinct = functools.reduce(DataFrame.unionByName, distinct)
     n_shards = max(shuffle_parts(spark), -(-distinct.count() // SHARD))
-    shards = distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(n_shards)).cast("int"))
+    shards = distinct.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n_shards)).cast("int"))
     found = stash(repeated_windows(shards.select("shard", "id1", "id2", "run", "doc_id"), width), "windows")
-    release(spark, distinct)
     least = F.expr("filter(transform(least, (x, i) -> if(x < doc_id, start + i, null)), x -> x is not null)")
-    gone = runs.select("id1", "id2", *one, "start").join(found, ["id1", "id2"]).select(*one, least.alias("at")).where("size(at) > 0")
+    places = functools.reduce(DataFrame.unionByName, (r.select("id1", "id2", *one, "start") for r in runs))
+    gone = places.join(found, ["id1", "id2"]).select(*one, least.alias("at")).where("size(at) > 0")
     gone = stash(gone.groupBy(*one).agg(F.flatten(F.collect_list("at")).alias("gone")), "gone")
-    release(spark, runs, found)
+    discard(*runs, found)
     told = gone.join(copies, one, "left_anti").withColumn("copy", F.lit(0)).unionByName(copies.withColumn("gone", F.lit(None).cast("array<bigint>")))
     return keep_words(rows_of(docs).join(told, one, "left").select("doc_id", "text", "copy", "gone"), width)
 
