@@ -1,9 +1,10 @@
 """Token counts without token ids.
 
-A block of documents is split into pre-tokens; the block's distinct pre-tokens that this worker has not met are
-encoded, once each, into a table (pre-token, number of pieces), which is then joined to the documents' pre-token
-frequencies and summed. The join is by key in the block: shuffling every (document, pre-token, frequency) row
-instead would move more bytes than the texts have, while a pre-token's pieces cost a microsecond to count.
+1. Texts are split into pre-tokens, block by block. A document keeps its pre-tokens' frequencies, by numbers that the
+   block gives to its distinct pre-tokens; these go along as one row each.
+2. The distinct pre-tokens of all blocks are encoded once each, which gives a table (pre-token, number of pieces).
+3. It is joined to the blocks' pre-tokens, and these to the documents of their block, whose frequencies times pieces are
+   summed. So what is shuffled is a pre-token a block, and two numbers for each pre-token of a document.
 """
 
 from __future__ import annotations
@@ -12,18 +13,21 @@ import os
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices, texts
+from .shared import slices, stash, texts
 
 #: The pre-token pattern of the byte-level vocabulary, for texts of characters on which re and the library agree.
 PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Texts with any other character are split by the library's own pre-tokenizer.
 UNUSUAL = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbeİ]|[^\x00-ſ‐-‧‰-⁞€]")
-#: Distinct pre-tokens that a worker keeps between blocks.
-KEEP = 400_000
+#: Bytes of text of a block; a longer text is a block by itself.
+BLOCK = 4_000_000
+NAMES = ["block", "doc_id", "n_bytes", "at", "often", "number", "token"]
 
 _loaded: dict[str, tuple] = {}
 
@@ -35,7 +39,7 @@ def load(path: str):
     if path not in _loaded:
         tok = Tokenizer.from_file(path)
         special = re.compile("|".join(re.escape(t.content) for t in tok.get_added_tokens_decoder().values()) or r"(?!)")
-        _loaded[path] = tok, special, {}
+        _loaded[path] = tok, special
     return _loaded[path]
 
 
@@ -47,18 +51,49 @@ def split_by_library(text: str, tok, special: re.Pattern) -> Counter:
     return out
 
 
-def count_texts(values: list[str], path: str) -> list[int]:
-    tok, special, pieces = load(path)
-    odd = lambda text: UNUSUAL.search(text) or special.search(text)
-    counts = [split_by_library(t, tok, special) if odd(t) else Counter(PRETOKEN.findall(t)) for t in values]
-    new = list({p for c in counts for p in c if p not in pieces})
-    if len(pieces) + len(new) > KEEP:
-        pieces.clear()
-        new = list({p for c in counts for p in c})
-    for k in range(0, len(new), 4096):
-        part = new[k : k + 4096]
-        pieces.update(zip(part, (len(e.ids) for e in tok.encode_batch_fast(part, add_special_tokens=False))))
-    return [sum(map(int.__mul__, map(pieces.__getitem__, c), c.values())) for c in counts]
+def pretokens(text: str, tok, special: re.Pattern) -> Counter:
+    if UNUSUAL.search(text) or special.search(text):
+        return split_by_library(text, tok, special)
+    return Counter(PRETOKEN.findall(text))
+
+
+def pieces_of(values: list[str], path: str) -> list[int]:
+    """How many pieces each pre-token has."""
+    tok, _ = load(path)
+    return [len(e.ids) for k in range(0, len(values), 4096) for e in tok.encode_batch_fast(values[k : k + 4096], add_special_tokens=False)]
+
+
+def frequencies(docs: DataFrame, path: str) -> DataFrame:
+    """Two kinds of rows. A document: block, doc_id, n_bytes, at (numbers of its distinct pre-tokens within the block) and
+    often (how often it has each), both as 32-bit integers. A distinct pre-token of a block: block, number, token."""
+
+    def split(batches):
+        tok, special = load(path)
+        part, n = TaskContext.get().partitionId() << 32, 0
+        for b in slices(batches, BLOCK):
+            names: dict[str, int] = {}
+            at, often = [], []
+            for text in b.column("text").to_pylist():
+                counts = pretokens(text, tok, special)
+                at.append(np.fromiter((names.setdefault(p, len(names)) for p in counts), np.int32, len(counts)).tobytes())
+                often.append(np.fromiter(counts.values(), np.int32, len(counts)).tobytes())
+            rows = b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array([part + n] * rows, pa.int64()), b.column("doc_id"), b.column("n_bytes"), pa.array(at, pa.binary()), pa.array(often, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.string())], NAMES)
+            rows = len(names)
+            yield pa.RecordBatch.from_arrays([pa.array([part + n] * rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.binary()), pa.array(range(rows), pa.int32()), pa.array(list(names), pa.string())], NAMES)
+            n += 1
+
+    rows = texts(docs).withColumn("n_bytes", F.octet_length("text").cast("long"))
+    return rows.mapInArrow(split, "block long, doc_id long, n_bytes long, at binary, often binary, number int, token string")
+
+
+def summed(documents: pa.Table, sizes: pa.Table) -> pa.Table:
+    """doc_id, n_bytes, n_tokens of a block's documents. sizes: number and pieces of the block's pre-tokens."""
+    pieces = np.zeros(sizes.num_rows, np.int64)
+    pieces[sizes.column("number").to_numpy()] = sizes.column("pieces").to_numpy()
+    pairs = zip(documents.column("at").to_pylist(), documents.column("often").to_pylist())
+    n = [int(pieces[np.frombuffer(a, np.int32)] @ np.frombuffer(o, np.int32).astype(np.int64)) for a, o in pairs]
+    return pa.table({"doc_id": documents.column("doc_id"), "n_bytes": documents.column("n_bytes"), "n_tokens": pa.array(n, pa.int64())})
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> DataFrame:
@@ -68,9 +103,14 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
     library does by default. Nothing is cut off, however long; repeated rows are counted each; no rows in, none out.
     """
 
-    def count(batches):
-        for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(count_texts(b.column("text").to_pylist(), tokenizer_path), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
-
-    rows = texts(docs).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    def size(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("token"), pa.array(pieces_of(b.column("token").to_pylist(), tokenizer_path), pa.int32())], ["token", "pieces"])
+
+    found = stash(frequencies(docs, tokenizer_path), "pretokens")
+    own = found.where("token is not null").select("block", "number", "token")
+    sizes = own.select("token").distinct().mapInArrow(size, "token string, pieces int")
+    sized = own.join(sizes, "token").select(F.col("block").alias("of"), "number", "pieces")
+    rows = found.where("at is not null").select("block", "doc_id", "n_bytes", "at", "often")
+    out = rows.groupBy("block").cogroup(sized.groupBy("of")).applyInArrow(summed, "doc_id long, n_bytes long, n_tokens long")
+    return out.withColumn("over_limit", F.col("n_tokens") > limit)
