@@ -15,7 +15,8 @@ BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
 def held_out(df: DataFrame, n: int, rest: int) -> DataFrame:
-    return df.withColumn("held_out", fold(F.col("doc_id"), n) == rest)
+    """With held_out; a row without a doc_id has no label to hold out: false."""
+    return df.withColumn("held_out", F.coalesce(fold(F.col("doc_id"), n) == rest, F.lit(False)))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ LOW, HIGH, BITS = 3, 6, 22
 #: Rows that the classifier is fitted on, at most; the smallest hashes of doc_id are taken.
 SAMPLE = 8_000
 FEATURES = 20_000
+#: Bytes of text that a classifier is fitted on, at most.
+TEXT_BYTES = 64_000_000
 
 
 def words_of(text: str) -> set[str]:
@@ -81,19 +84,28 @@ def scorer(model: dict):
     return apply
 
 
-def fitted(labelled: DataFrame, docs: DataFrame, label: str, train_on, sample: int) -> dict:
-    """Joins at most `sample` labelled rows (doc_id and the label) to their texts and trains in one task."""
-    rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("string").alias("label")).where("doc_id is not null and label is not null").dropDuplicates(["doc_id"])
+def fitted(labelled: DataFrame, docs: DataFrame, label: str, train_on, sample: int, most: int = TEXT_BYTES) -> dict:
+    """Joins at most `sample` labelled rows (doc_id and the label) to their texts and trains in one task.
+
+    Of texts that share a doc_id the one of least hash is taken. Texts are taken by the hash of doc_id until their bytes
+    come to `most`; a text that doesn't fit in any more is left out.
+    """
+    rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("string").alias("label")).where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = texts(docs).join(F.broadcast(rows), "doc_id").repartition(1)
+    rows = texts(docs).where(F.octet_length("text") <= most).join(F.broadcast(rows), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).withColumn("place", F.xxhash64("doc_id"))
+    rows = rows.repartition(1).sortWithinPartitions("place", "doc_id").select("doc_id", "text", "label")
 
     def fit(batches):
-        ids, values, labels = [], [], []
+        ids, values, labels, left = [], [], [], most
         for b in batches:
-            ids += b.column("doc_id").to_pylist()
-            values += b.column("text").to_pylist()
-            labels += b.column("label").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], values[i]))
+            for doc, text, y, size in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "label")), pc.binary_length(b.column("text")).to_pylist()):
+                if size <= left:
+                    left -= size
+                    ids.append(doc)
+                    values.append(text)
+                    labels.append(y)
+        order = sorted(range(len(ids)), key=ids.__getitem__)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train_on([values[i] for i in order], [labels[i] for i in order]))], pa.binary())], ["model"])
 
     found = rows.mapInArrow(fit, "model binary").collect()
