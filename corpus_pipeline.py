@@ -26,8 +26,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts keeps the one with the largest doc_id, and of repeated rows of that doc_id one."""
-    kept = exact_dedup.exact_dedup(docs).where("kept")
-    return exact_dedup.rows_kept(docs, kept)
+    return exact_dedup.deduplicated(docs)
 
 
 def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from collections import Counter, deque
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACES, stash, texts
+from .shared import SPACES, own_name, stash
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2
@@ -219,13 +219,16 @@ def repeated(docs: DataFrame, mixed: DataFrame, seed: int = 17) -> DataFrame:
 
     Repeated rows of one doc_id and text are drawn as one. A column n_chars follows the text.
     """
-    rows = docs.withColumn("__draw", draw_of(seed, F.col("doc_id").cast("long"), F.col("text"))).dropDuplicates(["__draw"])
-    taken = mixed.groupBy(F.col("draw").alias("__draw")).agg(F.sum("taken").alias("__taken"), F.max("size").alias("__size")).where("__taken > 0")
-    rows = rows.join(taken, "__draw")
-    whole, rest = F.floor(F.col("__taken") / F.col("__size")).cast("int"), F.col("__taken") % F.col("__size")
-    rows = rows.withColumn("__part", F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))))
+    key, taken, size, part = (own_name(n, docs) for n in ("key", "taken", "size", "part"))
+    of = lambda draw, doc_id: F.concat(draw.cast("string"), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit("")))
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.withColumn(key, of(draw_of(seed, doc_id, F.col("text")), doc_id)).dropDuplicates([key])
+    sums = mixed.groupBy(of(F.col("draw"), F.col("doc_id")).alias(key)).agg(F.sum("taken").alias(taken), F.max("size").alias(size)).where(F.col(taken) > 0)
+    rows = rows.join(sums, key)
+    whole, rest = F.floor(F.col(taken) / F.col(size)).cast("int"), F.col(taken) % F.col(size)
+    rows = rows.withColumn(part, F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))))
     words = F.regexp_extract_all("text", F.lit(f"[{SPACES}]*[^{SPACES}]+"), F.lit(0))
-    rows = rows.withColumn("text", F.when(F.col("__part") == 0, F.col("text")).otherwise(F.concat_ws("", F.slice(words, F.lit(1), F.greatest(F.lit(1), F.col("__part")).cast("int")))))
+    rows = rows.withColumn("text", F.when(F.col(part) == 0, F.col("text")).otherwise(F.concat_ws("", F.slice(words, F.lit(1), F.greatest(F.lit(1), F.col(part)).cast("int")))))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__part") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        rows = rows.withColumn("n_chars", F.when(F.col(part) == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return rows.select(docs.columns)

@@ -66,8 +66,9 @@ def test_exact_dedup(spark, top, tracked):
         assert r["keep_id"] == max(ids, default=None) and r["group_size"] == len(groups[text])
         assert r["doc_id"] == r["keep_id"] or not r["kept"]
     assert sum(r["kept"] for r in got) == len(groups)
-    kept = exact_dedup.rows_kept(frame(spark, rows), spark.createDataFrame([r for r in got if r["kept"]]))
-    assert kept.count() == len(groups) and kept.columns == frame(spark, rows[:1]).columns
+    docs = frame(spark, rows).withColumnsRenamed({"n_words": "sha", "tile": "row", "size": "group_size"})
+    kept = exact_dedup.deduplicated(docs, top, tracked)
+    assert kept.columns == docs.columns and Counter((r["doc_id"], norm(r["text"])) for r in kept.collect()) == Counter((max((i for i in ids if i is not None), default=None), t) for t, ids in groups.items())
     assert exact_dedup.exact_dedup(frame(spark, [])).collect() == []
 
 
@@ -115,6 +116,70 @@ def test_jaccard_finds_links_that_the_leader_does_not_have(spark):
     assert Counter(map(tuple, jaccard.jaccard_components(frame(spark, rows), 4, 85).collect())) == brute_components(rows, 4, 85)
 
 
+def thue_morse(bits, first, second):
+    """Two words that any polynomial hash modulo 2 ** 64 takes for equal."""
+    a, b = first, second
+    for _ in range(bits):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    rows = []
+    for k, bits in enumerate((3, 5, 10, 11, 13)):
+        a, b = thue_morse(bits, "a", "b")
+        common = " ".join(f"c{k}_{i}" for i in range(12))
+        rows += [(10 * k + i, t) for i, t in enumerate([a, b, f"{common} {a}", f"{common} {b}", f"{a} {b} {a} {b}", f"{b} {a} {b} {a}"])]
+    assert Counter(map(tuple, jaccard.jaccard_components(frame(spark, rows), 4, 85).collect())) == brute_components(rows, 4, 85)
+    got = substring_dedup.substring_dedup(frame(spark, rows), 13).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == brute_substrings(rows, 13)
+
+
+@pytest.mark.parametrize("share,width", [(85, 4), (80, 5), (50, 2)])
+def test_jaccard_recall_at_the_threshold(spark, share, width):
+    """Of pairs that are linked by as little as can be, of all sizes, none is lost; nor is one just below found."""
+    rng, rows = random.Random(share), []
+    for k, n in enumerate([*range(4, 40, 3), 63, 64, 65, 100, 127, 128, 129, 255, 256, 300, 600, 2000]):
+        words = [f"w{k}_{i}" for i in range(n)]
+        for extra in range(1, 2 * n):  # words put in front of the copy, until it is no longer linked
+            if 100 * (n - width + 1) < share * (n - width + 1 + extra):
+                break
+        for j, more in enumerate((extra - 1, extra)):
+            base = [w + f"_{j}" for w in words]
+            rows += [(10 * k + 2 * j, " ".join(base)), (10 * k + 2 * j + 1, " ".join([f"x{rng.random()}" for _ in range(more)] + base))]
+    want = brute_components(rows, width, share)
+    assert Counter(map(tuple, jaccard.jaccard_components(frame(spark, rows), width, share).collect())) == want
+    assert len({c for _, _, c in want}) > len(rows) // 2
+
+
+def test_jaccard_of_many_texts_with_a_common_line(spark, monkeypatch):
+    rng = random.Random(8)
+    line = " ".join(f"licence{i}" for i in range(20))
+    rows = [(i, line + " " + " ".join(f"u{rng.random()}" for _ in range(25))) for i in range(3000)]
+    tested = []
+    monkeypatch.setattr(jaccard, "bounded", lambda pairs, *a, f=jaccard.bounded: (tested.append(pairs.count()), f(pairs, *a))[1])
+    monkeypatch.setattr(jaccard, "close_pairs", lambda tiles, *a, f=jaccard.close_pairs: (tested.append(tiles.count()), f(tiles, *a))[1])
+    got = jaccard.jaccard_components(frame(spark, rows), 4, 85).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in got) and sum(tested) <= 3000
+
+
+def test_hot_tiles_are_divided_without_losing_links(spark, monkeypatch):
+    """Texts of a few common passages each: many share n-grams that no order can avoid."""
+    for name, value in (("HOT", 4), ("BLOCK", 2)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(12)
+    passages = [" ".join(f"p{k}_{i}" for i in range(rng.choice([5, 9, 12]))) for k in range(8)]
+    rows = [(i, " ".join(rng.sample(passages, rng.choice([1, 2, 3, 4])))) for i in range(120)] + [(200 + i, f"a b{i % 7}") for i in range(20)]
+    for width, share in ((4, 85), (2, 50), (1, 60)):
+        assert Counter(map(tuple, jaccard.jaccard_components(frame(spark, rows), width, share).collect())) == brute_components(rows, width, share)
+
+
+def test_components_of_links(spark):
+    links = [(1, 2), (2, 1), (2, 3), (3, 3), (9, 9), (5, 7), (5, 7), *((100 + i, 101 + i) for i in range(40))]
+    got = {r["key"]: r["label"] for r in jaccard.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 5: 5, 7: 5, **{100 + i: 100 for i in range(41)}}
+
+
 def test_bitmaps_bound_the_overlap():
     rng = np.random.default_rng(0)
     for n, m, both in [(100, 90, 50), (300, 280, 270), (64, 64, 64), (1000, 30, 20)]:
@@ -134,9 +199,10 @@ def test_word_hashes(texts, lower):
     h, starts, ends, first = wordhash.words(data, offsets, lower)
     words = [w for t in texts for w in WORDS.findall(t.translate(LOWER) if lower else t)]
     assert [bytes(data[s:e]).decode().translate(LOWER if lower else {}) for s, e in zip(starts, ends)] == words
-    assert len(set(zip(h.tolist(), words))) == len(set(words)) == len(set(h.tolist()))
-    short = wordhash.words(*wordhash.text_bytes(pa.array(["y"])), lower)[0][0]
-    assert all(x == short for x, w in zip(h, words) if w == "y")
+    both = list(zip(*h.tolist()))
+    assert len(set(zip(both, words))) == len(set(words)) == len(set(both)) == len(set(h[0].tolist())) == len(set(h[1].tolist()))
+    short = tuple(wordhash.words(*wordhash.text_bytes(pa.array(["y"])), lower)[0][:, 0].tolist())
+    assert all(x == short for x, w in zip(both, words) if w == "y")
 
 
 def brute_substrings(rows, width):
@@ -171,47 +237,115 @@ def test_substring_dedup_of_repeated_and_null_ids(spark):
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in got) == [(0, 0), (1, 0), (1, 0), (2, 20)]
 
 
+def test_heavy_anchors_are_divided(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HEAVY", 3)
+    rng = random.Random(5)
+    passage = [f"p{k}" for k in range(13)]
+    rows = [(i, " ".join([*(f"u{rng.randrange(4)}" for _ in range(rng.randrange(9))), *passage, *(f"u{rng.randrange(4)}" for _ in range(rng.randrange(9)))])) for i in range(60)]
+    rows += [(100 + i, "a " * (13 + i)) for i in range(12)] + [(200 + i, " \t ".join([*passage[: 6 + i % 7], "x", *passage])) for i in range(9)]
+    seen = []
+    monkeypatch.setattr(substring_dedup, "divided", lambda runs, width, gram, k, f=substring_dedup.divided: (seen.append(k), f(runs, width, gram, k))[1])
+    got = substring_dedup.substring_dedup(frame(spark, rows), 13, 6).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == brute_substrings(rows, 13)
+    assert seen[:2] == [2, 3]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(1, 4), min_size=6, max_size=60), st.integers(2, 5))
 def test_fm_index_counts_like_a_search(values, depth):
     sequence = np.array([*values, 0])
-    index = substring_dedup.FMIndex(sequence, depth + 1)
+    index = substring_dedup.FMIndex(sequence, depth + 1, np.arange(len(sequence)))
     last = np.arange(depth - 1, len(values))
     length, low, high = index.search(sequence, last, depth)
     for end, n, a, b in zip(last, length, low, high):
         here = values[end - depth + 1 : end + 1]
         found = [k for k in range(len(values) - depth + 1) if values[k : k + depth] == here]
         if n == depth:
-            assert sorted(index.suffixes[a:b].tolist()) == found
+            assert sorted(index.owners[a:b].tolist()) == found
+            assert index.first_owners(np.array([a, a]), np.array([b, b])).tolist() == [found[0]] * 2
         else:
             assert len(found) == 1
 
 
+def stretches(text):
+    """A model of the stretches, line by line."""
+    out, last, anywhere = Counter(), set("dny.,;:!?яйеςνהןةن"), re.compile("[qxzQXZ7、。，！？\u3041-\u304F\u30A2-\u30AB\u4E00-\u55FF\uAC00-\uB4FF]")
+    for line in text.split("\n"):
+        at = 0
+        while at < len(line):
+            end = next((k + 1 for k in range(at, min(len(line), at + 64)) if line[k] in last and line[k + 1 : k + 2] in list(" \t\r\x0b\x0c") or anywhere.match(line[k])), min(len(line), at + 64))
+            out[line[at:end]] += 1
+            at = end
+        out[""] += not line
+    return out
+
+
+def cosine(a, b):
+    x, y = stretches(a), stretches(b)
+    return sum(n * y[k] for k, n in x.items()) / (sum(n * n for n in x.values()) * sum(n * n for n in y.values())) ** 0.5
+
+
 def test_fingerprints(spark):
-    rows = [*family(7, 30), (900, "a\nb\nc"), (901, "c\na\nb"), (902, "a\nb"), (903, "a\nb\nc"), (900, "a\nb\nc"), (904, "long " * 20_000), (None, "none")]
+    rows = [*family(7, 30), (900, "a\nb\nc"), (901, "c\na\nb"), (902, "a\nb"), (903, "a\nb\nc"), (900, "a\nb\nc"), (904, "long " * 20_000), (905, "日本語のテキスト。" * 9), (None, "none"), (None, "nil"), (904, "other"), (None, "none")]
     rows = [(i, t) for i, t in rows if i != 505]
-    got = {r["doc_id"]: r for r in fingerprints.edited(frame(spark, rows)).collect()}
-    texts = {i: t or "" for i, t in rows if i is not None}
-    order = sorted(texts, reverse=True)
-    assert set(got) == set(order)
-    for k, i in enumerate(order):
-        t, following = texts[i], texts[order[(k + 1) % len(order)]]
+    key = lambda i, t: hashlib.md5(f"{'' if i is None else i}:{t or ''}".encode()).hexdigest()
+    got = defaultdict(list)
+    result = fingerprints.edited(frame(spark, rows)).collect()
+    for r in result:
+        got[r["doc_id"], r["n_chars"]].append(r)
+    assert Counter((r["doc_id"], r["n_chars"]) for r in result) == Counter((i, len(t or "")) for i, t in rows)
+    order = sorted({(i, t or "") for i, t in rows}, key=lambda x: (x[0] is not None, x[0] or 0, key(*x)), reverse=True)
+    by_text = defaultdict(set)
+    for k, (i, t) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
         cut = len(t) // 3
         edited = t[: len(t) - cut] + following[:cut]
-        assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= got[i]["near_edited"] <= 1 and 0 <= got[i]["near_next"] <= 1
-    assert got[900]["fingerprint"] == got[901]["fingerprint"] == got[903]["fingerprint"] != got[902]["fingerprint"]
-    by_text = defaultdict(set)
-    for i in order:
-        by_text[texts[i]].add(got[i]["fingerprint"])
+        r = next(r for r in got[i, len(t)] if r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest())
+        by_text[t].add(r["fingerprint"])
+        by_text[edited].add(r["edited_fingerprint"])
+        assert abs(r["near_edited"] - cosine(t, edited)) < 0.3 and abs(r["near_next"] - cosine(t, following)) < 0.3
     assert all(len(x) == 1 for x in by_text.values())
-    plain = {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprints(frame(spark, rows)).collect()}
-    assert plain == {i: got[i]["fingerprint"] for i in order}
+    one = lambda i, n: got[i, n][0]["fingerprint"]
+    assert one(900, 5) == one(901, 5) == one(903, 5) != one(902, 3)
+    plain = Counter(map(tuple, fingerprints.fingerprints(frame(spark, rows)).collect()))
+    assert plain == Counter((r["doc_id"], r["fingerprint"]) for r in result)
     assert fingerprints.edited(frame(spark, [])).collect() == []
     single = fingerprints.edited(frame(spark, [(1, "abcdef")])).first()
     assert single["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest()
 
 
+def likeness_of(spark, pairs):
+    rows = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "k int, a string, b string").repartition(4)
+    made = [fingerprints.vectors(rows.select("k", F.col(c).alias("t")), "k", "t").select("k", *(F.col(n).alias(f"{c}_{n}") for n in fingerprints.VECTOR)) for c in "ab"]
+    both = made[0].join(made[1], "k").select("k", *(x for p in ("a_", "b_") for x in (fingerprints.as_text(p).alias(p + "text"), fingerprints.sketch(p).alias(p + "lanes"))))
+    return [r[1] for r in both.select("k", fingerprints.likeness("a_", "b_")).orderBy("k").collect()]
+
+
+def test_likeness_is_near_the_exact_overlap(spark):
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcdefghilmnoprstuy") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choice(vocabulary) + rng.choice(["", "", "", ",", "."]) for _ in range(n))
+    pairs = []
+    for n in (60, 300, 2000):
+        for _ in range(8):
+            a, b = text(n), text(n)
+            pairs += [(a, "!" + a), (a, "x" + a), (a, a[: len(a) // 2] + " put in " + a[len(a) // 2 :]), (a, b), (a, a[: 2 * len(a) // 3] + b[: len(a) // 3]), (a, a + "\n" + b)]
+    got, want = likeness_of(spark, pairs), [cosine(a, b) for a, b in pairs]
+    error = np.array(got) - np.array(want)
+    assert np.sqrt((error**2).mean()) < 0.09 and np.abs(error).max() < 4 * 0.09
+    assert min(x for x, w in zip(got, want) if w > 0.9) > 0.75 and np.mean([x for x, w in zip(got, want) if w < 0.1]) < 0.12
+
+
+def test_fingerprints_of_a_text_of_over_25_mb(spark):
+    """Lanes hold more than 2 ** 20 stretches; repeated rows are divided lane by lane."""
+    long = "end " * 7_000_000
+    near = likeness_of(spark, [(long, long + "and more"), (long, "other words " * 1000)])
+    assert near[0] > 0.99 and near[1] < 0.4
+    rows = spark.createDataFrame([(k, t) for k, t in (("a", "one and two\nthree"), ("b", "four and five")) for _ in range(3)], "k string, t string")
+    once = fingerprints.vectors(rows.dropDuplicates(), "k", "t").drop("repeats").collect()
+    assert sorted(once) == sorted(fingerprints.vectors(rows, "k", "t").drop("repeats").collect())
+
+
 def test_paragraphs_are_inserted_and_deleted(spark):
     rows = spark.createDataFrame([("ab", "x\ny\nz"), ("a", "x\ny"), ("b", "z")], "k string, t string")
     v = fingerprints.vectors(rows, "k", "t")
@@ -278,6 +412,13 @@ def test_route_is_a_min_cost_flow(patterns, want, most):
     assert (sum(used), cost) == best_cost(patterns, want, most)
 
 
+def test_parts_of_texts_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, f"a{i} b c d", "s", 1, 2, 3, 4) for i in [*range(9), None, None, 3]], "doc_id long, text string, source string, key int, taken int, size int, part int")
+    mixed = mixing.mix(docs, F.array("source"), 1.3)
+    out = mixing.repeated(docs, mixed)
+    assert out.columns == docs.columns and sum(len(r["text"].split()) for r in out.collect()) == sum(r["taken"] for r in mixed.collect())
+
+
 def test_mixing(spark):
     rows = [(i, "w " * (i % 17), ["a", "b", None, "Ä"][i % 4]) for i in range(200)] + [(900, None, "b"), (901, "x y", "b"), (901, "x y", "b"), (902, "y " * 3000, "a")]
     docs = spark.createDataFrame([(i, t, s, len(t or "")) for i, t, s in rows], "doc_id long, text string, source string, n_chars long")

@@ -24,11 +24,16 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "x", "x", 1, "x", 1, 1, 1) for i, t in rows], CLASH)
 
 
+def count_texts(values):
+    tok, special = token_counts.load(BYTE)
+    return [sum(n * k for n, k in zip(token_counts.pieces_of(list(c), BYTE), c.values())) for c in (token_counts.pretokens(t, tok, special) for t in values)]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_pieces_and_ids_of_any_text(text):
-    a, b = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
-    assert token_counts.count_texts([text], BYTE) == [len(a.encode(text, add_special_tokens=False).ids)]
+    a, b = token_counts.load(BYTE)[0], packing.load(WORD)[0]
+    assert count_texts([text]) == [len(a.encode(text, add_special_tokens=False).ids)]
     assert packing.ids_of([text], WORD) == [np.array(b.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
 
 
@@ -37,7 +42,7 @@ def test_fast_paths_agree_on_every_usual_character():
     texts = [f"a{c}b {c}{c} 1{c}2 {c.upper()}" for c in usual]
     texts = [t for t in texts if not token_counts.UNUSUAL.search(t)]
     a, b = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
-    assert token_counts.count_texts(texts, BYTE) == [len(e.ids) for e in a.encode_batch(texts, add_special_tokens=False)]
+    assert count_texts(texts) == [len(e.ids) for e in a.encode_batch(texts, add_special_tokens=False)]
     assert packing.ids_of(texts, WORD) == [np.array(e.ids, "<u4").tobytes() for e in b.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -228,9 +233,91 @@ def test_toxicity_is_fitted_on_what_it_scores(monkeypatch):
     assert len(model["keys"]) and np.log(p / (1 - p)) == pytest.approx(fitted["z"][1:4], abs=1e-3)
 
 
-def test_unusual_texts_are_counted_by_distinct_pretokens():
-    tok, _, pieces = token_counts.load(BYTE)
-    texts = ["日本語 日本語 🙂\n\n  ελληνικά", "один<|endoftext|><|endoftext|> два x²", *(t for t in ODD if t)]
-    pieces.clear()
-    assert token_counts.count_texts(texts, BYTE) == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
-    assert {"日本語", " 日本語", " 🙂", " ελληνικά", "один", " два", "<|endoftext|>"} <= set(pieces)
+def test_distinct_pretokens_are_encoded_once(spark, monkeypatch):
+    tok, special = token_counts.load(BYTE)
+    text = "日本語 日本語 🙂\n\n  ελληνικά один<|endoftext|><|endoftext|> два x²"
+    assert {"日本語", " 日本語", " 🙂", " ελληνικά", " один", " два", "<|endoftext|>"} <= set(token_counts.pretokens(text, tok, special))
+    monkeypatch.setattr(token_counts, "BLOCK", 40)
+    rows = [(k, t) for k in range(30) for t in (text, f"the cat {k} sat", "the the")]
+    got = Counter(map(tuple, token_counts.token_counts(frame(spark, rows).repartition(3), BYTE).select("doc_id", "n_tokens").collect()))
+    assert got == Counter((k, len(tok.encode(t, add_special_tokens=False).ids)) for k, t in rows)
+    seen = token_counts.frequencies(frame(spark, rows), BYTE).where("token is not null")
+    assert seen.count() > 2 * seen.select("token").distinct().count()
+
+
+def test_only_letters_have_a_language(spark):
+    model = language.train(["der die das und ist", "the of and is", "½ ² ①"] * 10, ["de", "en", "xx"] * 10)
+    assert model["names"] == ["de", "en"]
+    got = language.identify(frame(spark, list(enumerate(["½ ² ①", "Ⅷ ⅸ", "_ 12", "ª", "日", None]))), model).collect()
+    assert [r["lang_pred"] == "und" for r in sorted(got)] == [True, True, True, False, False, True]
+
+
+def test_language_training_against_a_plain_model():
+    """Follow-the-regularised-leader, TF-IDF and the softmax, feature by feature."""
+    texts, labels = ["aa bb", "bb cc dd", "aa dd", "cc", "bb bb aa"] * 2, ["x", "y", "x", "y", "x"] * 2
+    model = language.train(texts, labels)
+    counts = [Counter(grams.grams(t.split(), language.LOW, language.HIGH, language.BITS)[0].tolist()) for t in texts]
+    idf = {f: np.log((1 + len(texts)) / (1 + sum(f in c for c in counts))) + 1 for c in counts for f in c}
+    value = lambda c: {f: n / sum(c.values()) * idf[f] * language.SCALE for f, n in c.items()}
+    z, s, bias = defaultdict(float), defaultdict(float), np.zeros(2)
+    weight = lambda f, k: 0.0 if abs(z[f, k]) <= language.L1 else -(z[f, k] - np.sign(z[f, k]) * language.L1) / ((language.BETA + s[f, k] ** 0.5) / language.ALPHA + language.L2)
+    soft = lambda c, t=1.0: language.softmax((np.array([sum(v * weight(f, k) for f, v in value(c).items()) for k in (0, 1)]) + bias) / t)
+    order = np.random.default_rng(7).permutation([i for i in range(len(texts)) if i % 5 != 4])
+    for _ in range(language.EPOCHS):
+        for i in order:
+            q = soft(counts[i]) - np.array([labels[i] == "x", labels[i] == "y"])
+            for f, v in value(counts[i]).items():
+                for k in (0, 1):
+                    w, g = weight(f, k), v * q[k]
+                    z[f, k] += g - ((s[f, k] + g * g) ** 0.5 - s[f, k] ** 0.5) / language.ALPHA * w
+                    s[f, k] += g * g
+            bias -= 0.02 * q
+    names, score = language.scorer(model)(texts)
+    for c, name, p in zip(counts, names, score):
+        q = soft(c, model["temperature"])
+        assert name == "xy"[int(q.argmax())] and p == pytest.approx(q.max(), abs=1e-4)
+
+
+def test_toxicity_against_a_plain_model():
+    texts, y = ["bad egg", "bad day egg", "good day", "fine egg", "good fine", "bad"] * 3, np.array([1, 1, 0, 0, 0, 1] * 3)
+    model = toxicity.train(texts, y)
+    own = [Counter(grams.grams(sorted(set(t.split())), toxicity.LOW, toxicity.HIGH, toxicity.BITS)[0].tolist()) for t in texts]
+    share = lambda f, label: (sum(f in c for c, k in zip(own, y) if k == label) + 1) / ((y == label).sum() + 2)
+    ratio = {int(f): np.log(share(f, 1) / share(f, 0)) for f in model["keys"]}
+    assert ratio and all(f in {f for c in own for f in c} for f in ratio)
+    rows, cols, values = zip(*((i, k, c[f] * ratio[f]) for i, c in enumerate(own) for k, f in enumerate(ratio) if f in c))
+    w, bias = grams.fit_logistic(np.array(rows), np.array(cols), np.array(values), y.astype(float), len(ratio), 1e-3)
+    assert model["weights"] == pytest.approx(w * np.array(list(ratio.values())), abs=1e-3)
+    want = [1 / (1 + np.exp(-bias - sum(c[f] * x for f, x in zip(ratio, model["weights"])))) for c in own]
+    assert toxicity.scorer(model)(texts) == pytest.approx(want, abs=1e-3)
+
+
+def test_gradient_of_the_field(monkeypatch):
+    """The first step of the ascent follows the differences of the labels' likelihood, found by enumeration."""
+    rng = np.random.default_rng(3)
+    counts, width = np.array([3, 1, 4]), 3 * quality.N_FEATURES * quality.BINS + 2
+    on, y = rng.integers(0, 6, (8, 2)), rng.integers(0, 2, 8)
+
+    def likelihood(p):
+        w, a, at, total = p[:6], p[6:].reshape(2, 2), 0, 0.0
+        for n in counts:
+            e = w[on[at : at + n]].sum(1)
+            score = lambda s: sum(e * s) + sum(a[i, j] for i, j in zip(s, s[1:]))
+            every = [score(np.array([k >> i & 1 for i in range(n)])) for k in range(1 << n)]
+            total += score(y[at : at + n]) - np.logaddexp.reduce(every)
+            at += n
+        return total / len(y)
+
+    base = np.zeros(10)
+    want = np.array([(likelihood(base + 1e-5 * d) - likelihood(base - 1e-5 * d)) / 2e-5 for d in np.eye(10)])
+    w, a = quality.fit_field(on, counts, y, rounds=1, rate=1.0, l2=0.0)
+    step = np.append(w[:6], a.ravel())  # Adam's first step is the gradient's sign, g / (|g| + 1e-8)
+    assert len(w) == width and step == pytest.approx(want / (np.abs(want) + 1e-8), abs=1e-3)
+
+
+def test_training_texts_are_bounded(spark):
+    docs = frame(spark, [(i % 7, f"text {i}" * (1 + 100 * (i == 3))) for i in range(70)] + [(None, "x")])
+    labels = spark.createDataFrame([(i, (i or 0) % 2) for i in [*range(7), None, 3]], "doc_id long, toxic int")
+    seen = lambda most: toxicity.fitted(labels, docs, "toxic", lambda t, y: (t, y), 100, most)
+    values, ys = seen(10_000)
+    assert len(values) == 7 and sorted(ys) == ["0"] * 4 + ["1"] * 3 and len(seen(30)[0]) < 7 and sum(map(len, seen(30)[0])) <= 30
