@@ -25,8 +25,7 @@ def frame(spark, rows):
 
 
 def count_texts(values):
-    tok, special = token_counts.load(BYTE)
-    return [sum(n * k for n, k in zip(token_counts.pieces_of(list(c), BYTE), c.values())) for c in (token_counts.pretokens(t, tok, special) for t in values)]
+    return token_counts.count_texts(values, BYTE)
 
 
 @settings(max_examples=150, deadline=None)
@@ -233,16 +232,12 @@ def test_toxicity_is_fitted_on_what_it_scores(monkeypatch):
     assert len(model["keys"]) and np.log(p / (1 - p)) == pytest.approx(fitted["z"][1:4], abs=1e-3)
 
 
-def test_distinct_pretokens_are_encoded_once(spark, monkeypatch):
-    tok, special = token_counts.load(BYTE)
-    text = "日本語 日本語 🙂\n\n  ελληνικά один<|endoftext|><|endoftext|> два x²"
-    assert {"日本語", " 日本語", " 🙂", " ελληνικά", " один", " два", "<|endoftext|>"} <= set(token_counts.pretokens(text, tok, special))
-    monkeypatch.setattr(token_counts, "BLOCK", 40)
-    rows = [(k, t) for k in range(30) for t in (text, f"the cat {k} sat", "the the")]
-    got = Counter(map(tuple, token_counts.token_counts(frame(spark, rows).repartition(3), BYTE).select("doc_id", "n_tokens").collect()))
-    assert got == Counter((k, len(tok.encode(t, add_special_tokens=False).ids)) for k, t in rows)
-    seen = token_counts.frequencies(frame(spark, rows), BYTE).where("token is not null")
-    assert seen.count() > 2 * seen.select("token").distinct().count()
+def test_unusual_texts_are_counted_by_distinct_pretokens():
+    tok, _, pieces = token_counts.load(BYTE)
+    texts = ["日本語 日本語 🙂\n\n  ελληνικά", "один<|endoftext|><|endoftext|> два x²", *(t for t in ODD if t)]
+    pieces.clear()
+    assert token_counts.count_texts(texts, BYTE) == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert {"日本語", " 日本語", " 🙂", " ελληνικά", "один", " два", "<|endoftext|>"} <= set(pieces)
 
 
 def test_only_letters_have_a_language(spark):
