@@ -8,9 +8,9 @@
    enough to be linked into it. Two linked sets always share such an n-gram, whatever the order, so no link is lost;
    the order keeps passages that unrelated texts share out of the tiles.
 3. In a tile, the set that shares most tiles with others is the leader, and the others are held against it. Links give
-   components.
-4. Tiles that still hold several components are decided pair by pair, in blocks of members, each pair of blocks a task
-   of its own. A tile of over HOT members is first divided by the further n-grams that its sets have in common: linked
+   components. Where more than a FEW members are outside a tile's largest component, one of them leads next.
+4. Tiles that still hold several components are decided pair by pair: those of a FEW members by a join, others in
+   blocks of members; members of the largest component are not paired with each other. A tile of over HOT members is first divided by the further n-grams that its sets have in common: linked
    sets share k n-grams among their first n - ceil(share * n) + k, if they share k at all.
 Every candidate pair meets the bitmaps before its sets: a bit flips for each hash that falls on it, so bits that differ
 are hashes that differ, which bounds the overlap from above. What is left gets the exact intersection of sorted arrays.
@@ -19,6 +19,8 @@ So all pairs in a tile are either decided, or in one component already; no group
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,8 +29,9 @@ from pyspark.sql import functions as F
 from .shared import SPACES, discard, own_name, row_key, slices, stash, texts
 from .wordhash import mix, mix_other, runs_of_words, text_bytes, words
 
-#: Members of a block of a tile, members from which on a tile is divided, and how often at most.
-BLOCK, HOT, DEEPEST = 256, 1024, 3
+#: Members of a tile whose pairs are listed by size alone, of a block of a larger tile, members outside its largest
+#: component from which on a tile is divided, how often at most, and rounds of further leaders before that.
+FEW, BLOCK, HOT, DEEPEST, ROUNDS = 16, 256, 1024, 3, 4
 #: The sketch of popular n-grams has 2 ** CELLS counts; a task tells its largest TOLD, and LISTED of their sums are used.
 CELLS, TOLD, LISTED = 20, 4096, 65_536
 SEED, SEED_B = np.uint64(0x51ED270B7A1F39C5), np.uint64(0x8CB92BA72F3D8DD7)
@@ -117,24 +120,25 @@ def keys_of(s: np.ndarray) -> tuple[int, int]:
 
 
 def describe(docs: DataFrame, width: int, share: int) -> tuple:
-    """doc_id, row_key, n (size of the set), k1, k2 (bits of the set, null if empty), tiles; and the broadcast order."""
+    """doc_id, row_key, n (size of the set), k1, k2 (128 bits of the set, null if empty), its bitmap, tiles; and the broadcast order."""
     levels = docs.sparkSession.sparkContext.broadcast(popular(docs, width))
 
     def apply(batches):
         for b in slices(batches):
-            n, k1, k2, tiles = [], [], [], []
+            n, k1, k2, bits, tiles = [], [], [], [], []
             for s in sets_of(b.column("text"), width):
                 n.append(len(s))
                 one, two = keys_of(s) if len(s) else (None, None)
                 k1.append(one)
                 k2.append(two)
+                bits.append(bitmap(s))
                 tiles.append(filed(in_order(s, levels.value), share).view(np.int64) if len(s) else np.zeros(0, np.int64))
             lengths = np.cumsum([0, *map(len, tiles)])
             flat = pa.array(np.concatenate(tiles)) if tiles else pa.array([], pa.int64())
-            columns = [b.column("doc_id"), b.column("row_key"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "n", "k1", "k2", "tiles"])
+            columns = [b.column("doc_id"), b.column("row_key"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "n", "k1", "k2", "bits", "tiles"])
 
-    return rows_of(docs).mapInArrow(apply, "doc_id long, row_key string, n long, k1 long, k2 long, tiles array<long>"), levels
+    return rows_of(docs).mapInArrow(apply, "doc_id long, row_key string, n long, k1 long, k2 long, bits binary, tiles array<long>"), levels
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
@@ -142,16 +146,16 @@ def rows_of(docs: DataFrame) -> DataFrame:
     return texts(docs).withColumn("row_key", row_key(F.col("doc_id"), F.col("text")))
 
 
-def sets_and_bitmaps(rows: DataFrame, width: int) -> DataFrame:
-    """rows: key, text. key, the set's size, its sorted hashes and its bitmap."""
+def sets_for(docs: DataFrame, names: DataFrame, keys: DataFrame, width: int) -> DataFrame:
+    """key and the sorted hashes of the set of each of the keys, from the text of one row of its class."""
 
     def apply(batches):
         for b in slices(batches):
-            sets = list(sets_of(b.column("text"), width))
-            columns = [b.column("key"), pa.array(map(len, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(map(bitmap, sets), pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "size", "hashes", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([s.tobytes() for s in sets_of(b.column("text"), width)], pa.binary())], ["key", "hashes"])
 
-    return rows.mapInArrow(apply, "key long, size long, hashes binary, bits binary")
+    reps = names.join(keys.distinct(), "key").select("row_key", "key")
+    rows = rows_of(docs).join(reps, "row_key").dropDuplicates(["row_key"])
+    return stash(rows.select("key", "text").mapInArrow(apply, "key long, hashes binary"), "hashes")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -163,10 +167,10 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def bounded(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """The pairs (a, b) of keys that the bitmaps don't rule out."""
-    left = sets.select(F.col("key").alias("a"), F.col("size").alias("m"), F.col("bits").alias("x"))
-    right = sets.select(F.col("key").alias("b"), F.col("size").alias("n"), F.col("bits").alias("y"))
+def bounded(pairs: DataFrame, maps: DataFrame, share: int) -> DataFrame:
+    """The pairs (a, b) of keys that the bitmaps don't rule out. maps: key, n, bits."""
+    left = maps.select(F.col("key").alias("a"), F.col("n").alias("m"), F.col("bits").alias("x"))
+    right = maps.select(F.col("key").alias("b"), "n", F.col("bits").alias("y"))
 
     def apply(batches):
         for b in batches:
@@ -181,7 +185,7 @@ def bounded(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """The pairs (a, b) of keys that are linked, by exact intersection."""
+    """The pairs (a, b) of keys that are linked, by exact intersection. sets: key, hashes."""
     left = sets.select(F.col("key").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("key").alias("b"), F.col("hashes").alias("y"))
 
@@ -226,11 +230,65 @@ def components(links: DataFrame) -> DataFrame:
     return labels.unionByName(edges.select(F.col("v").alias("key"), F.col("v").alias("label")).distinct())
 
 
+def compared(left: np.ndarray, right: np.ndarray, t: dict, share: int) -> tuple[list, list]:
+    """Keys of the pairs of rows of left and right, of different components, that sizes and bitmaps don't rule out; a row
+    that is in both meets those of smaller keys."""
+    a, b = [], []
+    n, key, label, bits = t["n"], t["key"], t["label"], t["bits"]
+    both = np.zeros(len(n), bool)
+    both[left] = True
+    for x in left:
+        ok = (label[right] != label[x]) & (100 * np.minimum(n[right], n[x]) >= share * np.maximum(n[right], n[x])) & (~both[right] | (key[right] < key[x]))
+        near = right[ok]
+        if len(near):
+            near = near[near_enough(np.bitwise_count(bits[near] ^ bits[x]).sum(1), n[near] + n[x], share)]
+            a += [key[x]] * len(near)
+            b += key[near].tolist()
+    return a, b
+
+
+def columns_of(t: pa.Table) -> dict:
+    raw = t.column("bits").to_pylist()
+    size = min(map(len, raw), default=0)
+    bits = np.stack([fold(b, size) for b in raw]).view(np.uint64)
+    return {c: t.column(c).to_numpy() for c in ("n", "key", "label", "own")} | {"bits": bits}
+
+
+def in_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def lopsided_pairs(tiles: DataFrame, share: int) -> DataFrame:
+    """Candidate pairs in tiles of few members outside the largest component: those meet each block of the tile.
+
+    tiles: tile, members, key, n, bits, label, top (label of the largest component). Of two members outside it, the one
+    of the larger key meets the other in its own block.
+    """
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    rows = tiles.withColumn("own", F.pmod(F.xxhash64("key"), blocks).cast("int"))
+    every = F.sequence(F.lit(0), blocks - 1)
+    rows = rows.withColumn("block", F.explode(F.when(F.col("label") == F.col("top"), F.array("own")).otherwise(every)))
+    rows = rows.select("tile", "block", "own", "key", "n", "bits", "label", (F.col("label") == F.col("top")).alias("inside"))
+
+    def apply(t: pa.Table) -> pa.Table:
+        block, inside = t.column("block")[0].as_py(), t.column("inside").to_numpy(zero_copy_only=False)
+        t = columns_of(t)
+        outside, here = np.flatnonzero(~inside), np.flatnonzero(~inside & (t["own"] == block))
+        a, b = compared(outside, np.flatnonzero(inside), t, share)
+        if len(here):
+            # all of `outside` are told apart by key, so that each pair is met once
+            for x in here:
+                c, d = compared(np.array([x]), outside[t["key"][outside] < t["key"][x]], t, share)
+                a, b = a + c, b + d
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return in_pairs(rows.groupBy("tile", "block").applyInArrow(apply, "a long, b long"))
+
+
 def close_pairs(tiles: DataFrame, share: int) -> DataFrame:
-    """Pairs of keys of different components in a tile that the bitmaps don't rule out.
+    """Candidate pairs in any tile. tiles: tile, members, key, n, bits, label.
 
-    tiles: tile, members (of the tile), key, n, bits, label. Blocks of a tile are given out by hash, and each two blocks
-    are one group of about 2 * BLOCK rows.
+    Blocks of a tile are given out by hash, and each two blocks are one group of about 2 * BLOCK rows.
     """
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("key"), blocks).cast("int")
@@ -238,23 +296,19 @@ def close_pairs(tiles: DataFrame, share: int) -> DataFrame:
     rows = rows.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "n", "bits", "label")
 
     def apply(t: pa.Table) -> pa.Table:
-        n, key, label, own = (t.column(c).to_numpy() for c in ("n", "key", "label", "own"))
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        raw = t.column("bits").to_pylist()
-        size = min(map(len, raw), default=0)
-        bits = np.stack([fold(b, size) for b in raw]) if raw else np.zeros((0, 0), np.uint8)
-        bits = bits.view(np.uint64)
-        a, b = [], []
-        for x in np.flatnonzero(own == i):
-            ok = (label != label[x]) & (100 * np.minimum(n, n[x]) >= share * np.maximum(n, n[x])) & ((own == j) if i != j else np.arange(len(n)) > x)
-            near = np.flatnonzero(ok)
-            if len(near):
-                near = near[near_enough(np.bitwise_count(bits[near] ^ bits[x]).sum(1), n[near] + n[x], share)]
-                a += [key[x]] * len(near)
-                b += key[near].tolist()
+        t = columns_of(t)
+        a, b = compared(np.flatnonzero(t["own"] == i), np.flatnonzero(t["own"] == j), t, share)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("tile", "i", "j").applyInArrow(apply, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return in_pairs(rows.groupBy("tile", "i", "j").applyInArrow(apply, "a long, b long"))
+
+
+def few_pairs(tiles: DataFrame, share: int) -> DataFrame:
+    """Pairs of keys of different components in a tile whose sizes are near enough. tiles: tile, key, n, label."""
+    one, two = (tiles.select("tile", *(F.col(c).alias(f"{c}_{k}") for c in ("key", "n", "label"))) for k in "ab")
+    pairs = one.join(two, "tile").where((F.col("key_a") > F.col("key_b")) & (F.col("label_a") != F.col("label_b")) & (100 * F.least("n_a", "n_b") >= share * F.greatest("n_a", "n_b")))
+    return pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
 
 
 def divided(rows: DataFrame, levels, share: int, k: int) -> DataFrame:
@@ -287,29 +341,62 @@ def divided(rows: DataFrame, levels, share: int, k: int) -> DataFrame:
 
 
 def undecided(told: DataFrame) -> DataFrame:
-    """The rows (tile, key, label, ...) of tiles that hold several components, with their number of members."""
-    open_ = told.groupBy("tile").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("members")).where("least < most")
-    return told.join(open_.select("tile", "members"), "tile")
+    """The rows (tile, key, label, ...) of tiles that hold several components, with the tile's number of members, those
+    outside its largest component, and that component's label."""
+    sizes = told.groupBy("tile", "label").agg(F.count(F.lit(1)).alias("c"))
+    open_ = sizes.groupBy("tile").agg(F.sum("c").alias("members"), F.max(F.struct("c", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    return told.join(open_.select("tile", "members", (F.col("members") - F.col("most.c")).alias("outside"), F.col("most.label").alias("top")), "tile")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels with further links between the components."""
+    ends = [labels.select(F.col("key").alias(c), F.col("label").alias(f"{c}_label")) for c in "ab"]
+    links = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(*(F.coalesce(f"{c}_label", c).alias(c) for c in "ab"))
+    joined = stash(components(links).select(F.col("key").alias("label"), F.col("label").alias("least")), "joined")
+    old = labels.join(joined, "label", "left").select("key", F.coalesce("least", "label").alias("label"))
+    new = joined.join(labels, joined["label"] == labels["key"], "left_anti").select(F.col("label").alias("key"), F.col("least").alias("label"))
+    return stash(old.unionByName(new), "labels")
+
+
+def labelled(tiles: DataFrame, labels: DataFrame) -> DataFrame:
+    return tiles.select("tile", "key", "n").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+
+
+def led_on(tiles: DataFrame, labels: DataFrame, maps: DataFrame, link, share: int) -> DataFrame:
+    """The labels after rounds in which a member outside the largest component leads its tile."""
+    for k in range(ROUNDS):
+        rest = stash(undecided(labelled(tiles, labels)).where(F.col("outside") > FEW), "led")
+        leaders = rest.where("label <> top").groupBy("tile").agg(F.max(F.struct(F.xxhash64("key", F.lit(k)).alias("draw"), F.col("key").alias("a"), F.col("n").alias("m"), F.col("label").alias("of"))).alias("one")).select("tile", "one.*")
+        pairs = rest.join(leaders, "tile").where((F.col("label") != F.col("of")) & (100 * F.least("n", "m") >= share * F.greatest("n", "m")))
+        links = link(stash(bounded(pairs.select("a", F.col("key").alias("b")).distinct(), maps, share), "near"))
+        discard(rest)
+        if not links.limit(1).collect():
+            break
+        labels = merged(labels, links)
+    return labels
 
 
-def pairs_left(told: DataFrame, sets: DataFrame, levels, share: int) -> DataFrame:
+def pairs_left(told: DataFrame, maps: DataFrame, sets_of_keys, levels, share: int) -> DataFrame:
     """Candidate pairs of different components in the tiles. told: tile, key, n, label."""
     rest = stash(undecided(told.select("tile", "key", "n", "label", F.lit(None).cast("int").alias("at"))), "undecided")
-    out = None
+    out, done, size, outside = [], [], F.col("members"), F.col("outside")
+    with_bits = lambda rows: rows.join(maps.select("key", "bits"), "key")
     for k in range(1, DEEPEST + 2):
-        hot = F.col("members") > HOT
-        last = k > DEEPEST or not rest.where(hot).limit(1).collect()
-        now = (rest if last else rest.where(~hot)).join(sets.select("key", "bits"), "key")
-        found = stash(close_pairs(now, share), "close")
-        out = found if out is None else out.unionByName(found)
-        if last:
-            discard(rest)
-            return out.distinct()
-        names = rest.where(hot).select("key", "n", "label").distinct()
-        parts = divided(rest.where(hot).join(sets.select("key", "hashes"), "key"), levels, share, k)
-        new = stash(undecided(parts.join(names, "key")), "undecided")
-        discard(rest)
-        rest = new
+        hot = (size > FEW) & (outside > HOT)
+        out.append(stash(bounded(few_pairs(rest.where(size <= FEW), share), maps, share), "few"))
+        out.append(stash(lopsided_pairs(with_bits(rest.where((size > FEW) & ~hot)), share), "lopsided"))
+        done.append(rest)
+        rest = rest.where(hot)
+        if not rest.limit(1).collect():
+            break
+        if k > DEEPEST:
+            out.append(stash(close_pairs(with_bits(rest), share), "close"))
+            break
+        names = rest.select("key", "n", "label").distinct()
+        parts = divided(rest.join(sets_of_keys(names.select("key")), "key"), levels, share, k)
+        rest = stash(undecided(parts.join(names, "key")), "undecided")
+    discard(*done)
+    return functools.reduce(DataFrame.unionByName, out).distinct()
 
 
 def linked(docs: DataFrame, width: int, share: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -318,14 +405,14 @@ def linked(docs: DataFrame, width: int, share: int) -> tuple[DataFrame, DataFram
         raise ValueError("share must be 50 to 100")
     found, levels = describe(docs, width, share)
     every = stash(found, "filed")
-    classes = every.where("k1 is not null").groupBy("k1", "k2", "n").agg(F.first("tiles").alias("tiles"), F.min("row_key").alias("row_key"))
+    classes = every.where("k1 is not null").groupBy("k1", "k2", "n").agg(F.first("tiles").alias("tiles"), F.first("bits").alias("bits"), F.min("row_key").alias("row_key"))
     classes = stash(classes.withColumn("key", F.monotonically_increasing_id()), "classes")
-    described = stash(every.drop("tiles"), "sets")
+    described = stash(every.drop("tiles", "bits"), "sets")
     discard(every)
     entries = classes.select("key", "n", F.explode("tiles").alias("tile"))
     counts = entries.groupBy("tile").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     plain = stash(entries.join(counts, "tile"), "tiles")
-    names = stash(classes.drop("tiles"), "names")
+    names, maps = stash(classes.drop("tiles", "bits"), "names"), stash(classes.select("key", "n", "bits"), "bitmaps")
     discard(classes)
     weight = plain.groupBy("key").agg(F.sum("members").alias("weight"))
     shared_ = stash(plain.join(weight, "key"), "weighed")
@@ -333,25 +420,15 @@ def linked(docs: DataFrame, width: int, share: int) -> tuple[DataFrame, DataFram
     leaders = shared_.groupBy("tile").agg(F.max(F.struct("weight", F.negative("n").alias("n"), F.col("key").alias("leader"))).alias("top"))
     pairs = shared_.join(leaders, "tile").where((F.col("key") != F.col("top.leader")) & (100 * F.least(F.col("n"), -F.col("top.n")) >= share * F.greatest(F.col("n"), -F.col("top.n"))))
     pairs = stash(pairs.select(F.col("top.leader").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
-    # the sets of the members of tiles, from the text of one row of each class
-    reps = names.join(shared_.select("key").distinct(), "key").select("row_key", "key")
-    texts_ = rows_of(docs).join(reps, "row_key").dropDuplicates(["row_key"])  # dealt by row_key already
-    sets = stash(sets_and_bitmaps(texts_.select("key", "text"), width), "hashes")
-    near = stash(bounded(pairs, sets, share), "near")
-    links = stash(verified(near, sets, share), "links")
-    discard(pairs, near)
-    labels = stash(components(links), "labels")
-    told = shared_.select("tile", "key", "n").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    more = stash(verified(pairs_left(told, sets, levels, share), sets, share), "more-links")
-    discard(shared_, sets)
-    if more.limit(1).collect():  # links between components that there are already
-        ends = [labels.select(F.col("key").alias(c), F.col("label").alias(f"{c}_label")) for c in "ab"]
-        more = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(*(F.coalesce(f"{c}_label", c).alias(c) for c in "ab"))
-        joined = stash(components(more).select(F.col("key").alias("label"), F.col("label").alias("least")), "joined")
-        old = labels.join(joined, "label", "left").select("key", F.coalesce("least", "label").alias("label"))
-        new = joined.join(labels, joined["label"] == labels["key"], "left_anti").select(F.col("label").alias("key"), F.col("least").alias("label"))
-        labels = stash(old.unionByName(new), "labels")
-    return described, names, labels
+    near = stash(bounded(pairs, maps, share), "near")
+    discard(pairs)
+    sets_of_keys = lambda keys: sets_for(docs, names, keys, width)
+    link = lambda found: stash(verified(found, sets_of_keys(found.select(F.explode(F.array("a", "b")).alias("key"))), share), "links")
+    labels = led_on(shared_, stash(components(link(near)), "labels"), maps, link, share)
+    left = stash(pairs_left(labelled(shared_, labels), maps, sets_of_keys, levels, share), "left")
+    discard(shared_)
+    more = link(left)
+    return described, names, merged(labels, more) if more.limit(1).collect() else labels
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
