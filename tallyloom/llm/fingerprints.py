@@ -5,8 +5,8 @@ A fingerprint is a vector of sums. Its first part adds, for every paragraph (a l
 into a lane of its own, two lanes of 32 bits in a sum; lanes never carry into each other, as no text has 2^31 stretches.
 With n stretches, the lanes 2c - n are an unbiased sketch of the multiset of stretches, and the cosine of two of them
 estimates the cosine of the multisets with a standard error of 1 / sqrt(128), 0.09, at most.
-Stretches are cut where the content says so (behind words of certain last letters, and certain characters), so that
-text put in or taken out changes the stretches around it and leaves the others as they are.
+Stretches are cut where the content says so (behind certain characters), so that text put in or taken out changes the
+stretches around it and leaves the others as they are.
 A paragraph is inserted or deleted by adding or subtracting its vector (`combine`).
 """
 
@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 
 from .shared import row_key, stash, texts
 
-#: A stretch ends behind a word that ends in one of these, behind any of those, or at LONGEST code points.
-LAST, ANYWHERE, LONGEST = r"dny.,;:!?яйеςνהןةن", r"qxzQXZ7、。，！？ぁ-くア-カ一-嗿가-듿", 64
+#: A stretch ends behind one of LAST, or, in lines of over 1.5 bytes a code point, of WIDE, and has LONGEST code points at most.
+LAST, WIDE, LONGEST = "pvwqPVW7.!?", "pvwqPVW7.!?пвшжПВπφβψפצקفقص。，！？ぁ-くア-カ一-嗿가-듿", 64
 #: Code points of a line whose stretches are in memory at once; a stretch ends at their end too.
 BLOCK = 65_536
-STRETCH = rf"(?s).{{0,{LONGEST - 1}}}?(?:[{LAST}](?=\s)|[{ANYWHERE}])|.{{1,{LONGEST}}}"
+STRETCH, WIDE_STRETCH = (rf"[^{c}]{{1,{LONGEST - 1}}}+[{c}]?|[{c}]" for c in (LAST, WIDE))
 HASHES, SHIFTS = 2, 32  # hashes of a stretch; each gives SHIFTS sums of two lanes
 FIELD, LANE = 1 | 1 << 32, 0xFFFFFFFF
 WORDS = [f"e{i}" for i in range(8)]
@@ -39,7 +39,9 @@ def vectors(rows: DataFrame, key: str, text: str) -> DataFrame:
     hashes = [F.xxhash64(F.lit(i), "line").alias(f"h{i}") for i in range(4)]
     blocks = F.when(F.length("line") <= BLOCK, F.array("line")).otherwise(F.regexp_extract_all("line", F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0)))
     lines = lines.select(key, "at", *hashes, F.posexplode(blocks).alias("of", "block"))
-    parts = lines.select(key, "at", "of", *(f"h{i}" for i in range(4)), F.posexplode_outer(F.regexp_extract_all("block", F.lit(STRETCH), F.lit(0))).alias("pos", "piece"))
+    cut = lambda pattern: F.regexp_extract_all("block", F.lit(pattern), F.lit(0))
+    pieces = F.when(2 * F.octet_length("block") > 3 * F.length("block"), cut(WIDE_STRETCH)).otherwise(cut(STRETCH))
+    parts = lines.select(key, "at", "of", *(f"h{i}" for i in range(4)), F.posexplode_outer(pieces).alias("pos", "piece"))
     first = (F.coalesce(F.col("pos"), F.lit(0)) == 0) & (F.col("of") == 0)
     whole = [F.when(first, x).otherwise(F.lit(0).cast("long")) for i in range(4) for x in (F.shiftrightunsigned(f"h{i}", 32), F.col(f"h{i}").bitwiseAND(F.lit(LANE)))]
     piece = F.coalesce("piece", F.lit(""))

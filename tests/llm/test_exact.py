@@ -271,11 +271,13 @@ def test_fm_index_counts_like_a_search(values, depth):
 
 def stretches(text):
     """A model of the stretches, line by line."""
-    out, last, anywhere = Counter(), set("dny.,;:!?яйеςνהןةن"), re.compile("[qxzQXZ7、。，！？\u3041-\u304F\u30A2-\u30AB\u4E00-\u55FF\uAC00-\uB4FF]")
+    out = Counter()
     for line in text.split("\n"):
-        at = 0
+        at, wide = 0, 2 * len(line.encode()) > 3 * len(line)
+        last = re.compile(f"[{fingerprints.WIDE if wide else fingerprints.LAST}]")
         while at < len(line):
-            end = next((k + 1 for k in range(at, min(len(line), at + 64)) if line[k] in last and line[k + 1 : k + 2] in list(" \t\r\x0b\x0c") or anywhere.match(line[k])), min(len(line), at + 64))
+            end = next((k for k in range(at, min(len(line), at + 63)) if last.match(line[k])), min(len(line), at + 63))
+            end += end < len(line) and bool(last.match(line[end]))
             out[line[at:end]] += 1
             at = end
         out[""] += not line
