@@ -14,7 +14,9 @@ from pyspark.sql import types as T
 class Application:
     """key and value are columns over an item. Either `reduce` is an aggregate of the column "value" (native, combined
     map-side), or `reduce_fn` a Python function of two records (key, value) that gives one of the same key; it must be
-    associative, and a key with a single record keeps it untouched. Neither: records stay as they are (ordered)."""
+    associative, and a key with a single record keeps it untouched. Neither: records stay as they are (ordered).
+    `merge` is the aggregate that makes one of the results of `reduce` (F.sum for F.count); sum, min and max merge their
+    own results, and an aggregate without a merge (an average) can't be combined by node first."""
 
     name: str
     key: Callable[[Column], Column]
@@ -22,6 +24,7 @@ class Application:
     value_type: str = "bigint"
     key_type: str = "string"
     reduce: Callable[[Column], Column] | None = None
+    merge: Callable[[Column], Column] | None = None
     reduce_fn: Callable[[tuple, tuple], tuple] | None = None
 
     @property
@@ -33,8 +36,17 @@ class Application:
         made = F.col(item)
         return source.select(*keep, self.key(made).cast(self.key_type).alias("key"), self.value(made).cast(self.value_type).alias("value"))
 
+    def merged(self, partial: DataFrame, *keep: str) -> DataFrame:
+        """One record for each key of what reduced() gave for parts of the records."""
+        if self.reduce is None:
+            return self.reduced(partial, *keep)
+        merge = self.merge or (self.reduce if self.reduce in (F.sum, F.min, F.max) else None)
+        if merge is None:
+            raise ValueError(f"{self.name} has no merge, so its records can't be combined before they are reduced")
+        return partial.groupBy(*keep, "key").agg(merge(F.col("value")).cast(self.value_type).alias("value"))
+
     def reduced(self, pairs: DataFrame, *keep: str) -> DataFrame:
-        """One record for each key (and what is kept); as a partial step it can be applied to its own result."""
+        """One record for each key (and what is kept)."""
         if self.reduce is not None:
             return pairs.groupBy(*keep, "key").agg(self.reduce(F.col("value")).cast(self.value_type).alias("value"))
         if self.reduce_fn is None:

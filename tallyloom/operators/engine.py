@@ -46,7 +46,7 @@ def local_combine(job: Job, items: DataFrame) -> DataFrame:
 
 def final_reduce(job: Job, combined: DataFrame) -> DataFrame:
     """The nodes' records of a key made one: pid, key, value."""
-    return job.application.reduced(combined.select("pid", "key", "value"), "pid").select("pid", "key", "value")
+    return job.application.merged(combined.select("pid", "key", "value"), "pid").select("pid", "key", "value")
 
 
 def in_order(records: DataFrame) -> DataFrame:

@@ -5,25 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import own_name, stash
+
 
 def ordinals(rows: DataFrame, by: str, name: str = "ordinal", buckets: int | None = None) -> DataFrame:
     """rows with their place, from 0, in the order of an integer column.
 
-    The column's range is cut into equal buckets; rows are numbered within theirs and the buckets' counts (one row a
-    bucket) summed up. Nulls come last.
+    Rows are dealt by ranges of the column, whose bounds are drawn from its values, and numbered within theirs; the
+    ranges' counts (one row a range) are summed up. Nulls come last.
     """
-    spark = rows.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    low, high = rows.agg(F.min(by), F.max(by)).first()
-    step = 1 if low is None else max(1, -(-(high - low + 1) // buckets))
-    bucket = F.coalesce(F.expr(f"cast(({by} - {low or 0}L) div {step}L as int)"), F.lit(buckets))
-    rows = rows.withColumn("__bucket", bucket)
-    sizes = rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
-    within = Window.partitionBy("__bucket").orderBy(F.asc_nulls_last(by))
-    placed = rows.withColumn("__at", F.row_number().over(within) - 1).join(F.broadcast(sizes), "__bucket")
-    return placed.withColumn(name, F.col("__first") + F.col("__at")).drop("__bucket", "__first", "__at")
+    part, at, first, n = (own_name(c, rows) for c in ("part", "at", "first", "n"))
+    order = F.asc_nulls_last(by)
+    ranged = rows.repartitionByRange(buckets, order) if buckets else rows.repartitionByRange(order)
+    ranged = stash(ranged.withColumn(part, F.spark_partition_id()), "ranges")  # numbers of partitions stay as they are
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(part).agg(F.count(F.lit(1)).alias(n)).select(part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first))
+    placed = ranged.withColumn(at, F.row_number().over(Window.partitionBy(part).orderBy(order)) - 1).join(F.broadcast(sizes), part)
+    return placed.withColumn(name, F.col(first) + F.col(at)).drop(part, first, at)
 
 
 def positions(items: DataFrame, item: str = "item", prefix: int = 2) -> DataFrame:

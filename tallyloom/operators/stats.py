@@ -24,7 +24,9 @@ def assign_named_nodes(tasks: DataFrame, nodes: int, task: str = "task") -> Data
 def combined(pairs: DataFrame, partitions: int, is_text: bool = True) -> DataFrame:
     """Records counted by node and key, with the key's partition: node, pid, key, n. pairs: node, key."""
     counts = pairs.groupBy("node", "key").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("node", partition_id(F.col("key"), partitions, is_text).alias("pid"), "key", "n")
+    keyed = counts.groupBy("key").agg(F.collect_list(F.struct("node", "n")).alias("on"))  # one entry a node, so that a key's bytes are summed once
+    keyed = keyed.select("key", partition_id(F.col("key"), partitions, is_text).alias("pid"), F.explode("on").alias("on"))
+    return keyed.select("on.node", "pid", "key", "on.n")
 
 
 def grid(df: DataFrame, nodes: int, partitions: int) -> DataFrame:

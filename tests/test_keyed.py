@@ -106,6 +106,23 @@ def test_results_do_not_depend_on_nodes_or_partitions(spark, nodes, partitions):
     assert once == twice == {w: (sum(w.encode()) % partitions, n) for w, n in want.items()}
 
 
+def test_results_of_nodes_are_merged_by_their_own_aggregate(spark):
+    rows = words_on_nodes(spark, ["a b a", "a", "b a"], 2)
+    count = apps.Application("count", key=lambda x: x, value=lambda x: F.lit(1), reduce=F.count, merge=F.sum)
+    job = engine.Job(count, 3, 2)
+    assert {r["key"]: r["value"] for r in engine.final_reduce(job, engine.local_combine(job, rows)).collect()} == {"a": 4, "b": 2}
+    mean = engine.Job(apps.Application("mean", key=lambda x: x, value=lambda x: F.lit(1), value_type="double", reduce=F.avg), 3, 2)
+    with pytest.raises(ValueError, match="merge"):
+        engine.final_reduce(mean, engine.local_combine(mean, rows))
+
+
+def test_ordinals_with_an_outlying_id(spark):
+    df = spark.createDataFrame([(x, "y") for x in [*range(500), 2**62, -(2**62), None]], "id long, part string")
+    got = order.ordinals(df, "id")
+    assert got.columns == ["id", "part", "ordinal"]
+    assert [r["ordinal"] for r in got.orderBy(F.asc_nulls_last("id")).collect()] == list(range(503))
+
+
 def cells_of(spark, counts, nodes, partitions):
     rows = [(n, p, c) for (n, p), c in counts.items()]
     df = spark.createDataFrame(rows, "node int, pid int, n long") if rows else spark.createDataFrame([], "node int, pid int, n long")
