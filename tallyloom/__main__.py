@@ -35,7 +35,7 @@ def submit(spark: SparkSession, app: str, source: str, out: str, plan: str | Non
     times = {"map": cut(mapped - began), "plan": cut(planned - mapped), "reduce": cut(took), "job": cut(time.time() - began)}
     log.info("%s with plan %s took %s seconds", app, plan, times["job"])
     if record_dir:
-        records.append(spark, record_dir, schedule_plan=plan, map_time=[times["map"]], exec_schedule_time=[times["plan"]], datanode_job_time=[times["reduce"]], namenode_job_time=times["job"], partition_number=partitions, datanode_number=nodes, input_volume=0)
+        records.append(spark, record_dir, plan=plan, map_s=[times["map"]], plan_s=[times["plan"]], reduce_s=[times["reduce"]], job_s=times["job"], partitions=partitions, nodes=nodes, volume=0)
     return times
 
 

@@ -2,40 +2,63 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+#: Keys that a task's partial results of a Python reducer hold at a time.
+HELD = 100_000
 
 
 @dataclass(frozen=True)
 class Application:
-    """key and value are columns over an item. Either `reduce` is an aggregate of the column "value" (native, combined
+    """key and value are columns over an item; where columns can't express them, `map_fn` is a Python function of an item
+    (a struct is a dict) that gives any number of records (key, value), and key and value are None. Either `reduce` is an aggregate of the column "value" (native, combined
     map-side), or `reduce_fn` a Python function of two records (key, value) that gives one of the same key; it must be
     associative, and a key with a single record keeps it untouched. Neither: records stay as they are (ordered).
     `merge` is the aggregate that makes one of the results of `reduce` (F.sum for F.count); sum, min and max merge their
     own results, and an aggregate without a merge (an average) can't be combined by node first."""
 
     name: str
-    key: Callable[[Column], Column]
-    value: Callable[[Column], Column]
+    key: Callable[[Column], Column] | None
+    value: Callable[[Column], Column] | None
     value_type: str = "bigint"
     key_type: str = "string"
     reduce: Callable[[Column], Column] | None = None
     merge: Callable[[Column], Column] | None = None
     reduce_fn: Callable[[tuple, tuple], tuple] | None = None
+    map_fn: Callable[[object], Iterable[tuple]] | None = None
 
     @property
     def schema(self) -> str:
         return f"key {self.key_type}, value {self.value_type}"
 
     def pairs(self, source: DataFrame, *keep: str, item: str = "item") -> DataFrame:
-        """One record for each item."""
+        """One record for each item, or as many as map_fn gives."""
+        if self.map_fn is not None:
+            return self._mapped(source, *keep, item=item)
         made = F.col(item)
         return source.select(*keep, self.key(made).cast(self.key_type).alias("key"), self.value(made).cast(self.value_type).alias("value"))
 
+    def _mapped(self, source: DataFrame, *keep: str, item: str) -> DataFrame:
+        fn = self.map_fn
+        rows = source.select(*keep, F.col(item).alias("item"))
+        schema = rows.select(*keep, F.lit(None).cast(self.key_type).alias("key"), F.lit(None).cast(self.value_type).alias("value")).schema
+        arrow = to_arrow_schema(schema)
+
+        def records(batches):
+            for batch in batches:
+                columns = [c.to_pylist() for c in batch.columns]
+                made = [(*kept, *record) for *kept, one in zip(*columns) for record in fn(one)]
+                if made:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), arrow)], schema=arrow)
+
+        return rows.mapInArrow(records, schema)
+
     def merged(self, partial: DataFrame, *keep: str) -> DataFrame:
         """One record for each key of what reduced() gave for parts of the records."""
         if self.reduce is None:
@@ -51,14 +74,47 @@ class Application:
             return pairs.groupBy(*keep, "key").agg(self.reduce(F.col("value")).cast(self.value_type).alias("value"))
         if self.reduce_fn is None:
             return pairs.select(*keep, "key", "value")
-        fn, n = self.reduce_fn, len(keep)
-
-        def join(a, b):
-            return fn(a, b)
-
-        rows = pairs.select(*keep, "key", "value").rdd.map(lambda r: (tuple(r[: n + 1]), (r[n], r[n + 1]))).reduceByKey(join)
-        kept = T.StructType([pairs.schema[c] for c in (*keep, "key", "value")])
-        return pairs.sparkSession.createDataFrame(rows.map(lambda x: (*x[0][:n], x[1][0], x[1][1])), kept)
+        return self._folded(pairs.select(*keep, "key", "value"), *keep)
+
+    def _folded(self, pairs: DataFrame, *keep: str) -> DataFrame:
+        """reduce_fn over each task's records, then over the tasks' results, which come sorted by key: no task holds
+        more than HELD keys, and none holds a key's records."""
+        fn, held, arrow = self.reduce_fn, HELD, to_arrow_schema(pairs.schema)
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+        def by_task(batches):
+            found = {}
+            for batch in batches:
+                for *at, value in zip(*(c.to_pylist() for c in batch.columns)):
+                    at = tuple(at)
+                    found[at] = fn((at[-1], found[at]), (at[-1], value))[1] if at in found else value
+                    if len(found) >= held:
+                        yield batch_of([(*k, v) for k, v in found.items()])
+                        found = {}
+            if found:
+                yield batch_of([(*k, v) for k, v in found.items()])
+
+        def by_key(batches):
+            last, total, done = None, None, []
+            for batch in batches:
+                for *at, value in zip(*(c.to_pylist() for c in batch.columns)):
+                    if at == last:
+                        total = fn((at[-1], total), (at[-1], value))[1]
+                        continue
+                    if last is not None:
+                        done.append((*last, total))
+                    last, total = at, value
+                if done:
+                    yield batch_of(done)
+                    done = []
+            if last is not None:
+                yield batch_of([(*last, total)])
+
+        keys = [*keep, "key"]
+        partial = pairs.mapInArrow(by_task, pairs.schema)
+        return partial.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(by_key, pairs.schema)
 
 
 _registry: dict[str, Application] = {}

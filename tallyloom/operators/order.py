@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import own_name, stash
 
+#: Positions that one row is exploded into at a time.
+CHUNK = 1 << 16
+
 
 def ordinals(rows: DataFrame, by: str, name: str = "ordinal", buckets: int | None = None) -> DataFrame:
     """rows with their place, from 0, in the order of an integer column.
@@ -24,18 +27,21 @@ def ordinals(rows: DataFrame, by: str, name: str = "ordinal", buckets: int | Non
     return placed.withColumn(name, F.col(first) + F.col(at)).drop(part, first, at)
 
 
-def positions(items: DataFrame, item: str = "item", prefix: int = 2) -> DataFrame:
-    """pos (from 1) and item of all items in the order of their code points, repeated ones repeated.
+def positions(items: DataFrame, item: str = "item") -> DataFrame:
+    """pos (from 1) and item of all items in the order of their code points, repeated ones repeated; nulls come last.
 
-    Items are counted first, so that what is ordered is the distinct items; these are cut by their first characters, in
-    which order they come, and running sums go within a prefix and over the prefixes.
+    Items are counted first, so that what is ordered is the distinct items. These are dealt by ranges, whose bounds are
+    drawn from the items, and summed up within theirs; the ranges' sums (one row a range) are summed up too. An item's
+    positions are dealt out in chunks, so that a frequent item isn't one task's work.
     """
+    by = F.asc_nulls_last("item")
     counts = items.groupBy(F.col(item).alias("item")).agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("head", F.substring("item", 1, prefix))
-    heads = counts.groupBy("head").agg(F.sum("n").alias("n"))
-    earlier = Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select("head", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
-    within = Window.partitionBy("head").orderBy("item").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.withColumn("own", F.coalesce(F.sum("n").over(within), F.lit(0))).join(heads, "head")
-    start = F.col("first") + F.col("own")
-    return placed.select(F.explode(F.sequence(start + 1, start + F.col("n"))).alias("pos"), "item")
+    ranged = stash(counts.repartitionByRange(by).withColumn("part", F.spark_partition_id()), "item-ranges")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+    within = Window.partitionBy("part").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("own", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(parts), "part")
+    start = F.col("first") + F.col("own") + 1
+    chunks = placed.select("item", (start + F.col("n") - 1).alias("last"), F.explode(F.sequence(start, start + F.col("n") - 1, F.lit(CHUNK))).alias("start"))
+    end = F.least(F.col("start") + CHUNK - 1, "last")
+    return chunks.repartition("start").select(F.explode(F.sequence("start", end)).alias("pos"), "item")

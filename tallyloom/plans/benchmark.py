@@ -35,6 +35,6 @@ def run(spark: SparkSession, app: str, sources: dict[int, Callable[[], DataFrame
                 _, took = engine.timed(job, rows, f"{out_path}/{plan}-{volume}-{n}")
                 cells.unpersist()
                 cut = lambda t: int(t * 1000) / 1000
-                records.append(spark, record_path, schedule_plan=plan, map_time=[cut(mapped - began)], exec_schedule_time=[cut(planned - mapped)], datanode_job_time=[cut(took)], namenode_job_time=cut(time.time() - began), partition_number=partitions, datanode_number=nodes, input_volume=volume)
+                records.append(spark, record_path, plan=plan, map_s=[cut(mapped - began)], plan_s=[cut(planned - mapped)], reduce_s=[cut(took)], job_s=cut(time.time() - began), partitions=partitions, nodes=nodes, volume=volume)
                 log.info("%s, volume %s, run %s: %.3f s", plan, volume, n, took)
     return records.read(spark, record_path)

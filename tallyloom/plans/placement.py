@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators.stats import grid, locality
 
 MODULO, CAPPED, HEAP = "modulo", "locality_capped", "load_heap"
-#: Other spellings of the plans' names.
+#: Spellings of the plans' names that submissions may use.
 ALIASES = {"HADOOP": MODULO, "ICPP": CAPPED, "NEW": HEAP}
 DEFAULT = CAPPED
 SLACK = 0.20

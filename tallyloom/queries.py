@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from .functions.text import ordinal, partition_id, seconds
 from .operators import apps, engine, order, stats
 from .plans import placement
 from .sources import records
-from .sources.text import items, text_column
+from .sources.scratch import scratch_root
+from .sources.text import items, text_column, text_directory
 
 NODES, PARTITIONS = 16, 100
 JOB = engine.Job("word_count", PARTITIONS, NODES)
@@ -138,6 +140,59 @@ def nonstring_key_partition(spark, sf_dir):
     return keys.select("key", partition_id(F.col("key"), PARTITIONS, is_text=False).alias("pid"))
 
 
+def python_map(spark, sf_dir):
+    """Words by their length, with a map function in Python."""
+    app = apps.Application("word_lengths", key=None, value=None, key_type="bigint", map_fn=lambda word: [(len(word), 1)], reduce=F.sum)
+    return engine.run(engine.Job(app, PARTITIONS, NODES), _words(spark, sf_dir)).select("key", F.col("value").alias("n"))
+
+
+def count_merged(spark, sf_dir):
+    """A count by node first, merged by a sum."""
+    app = apps.Application("count", key=lambda x: x, value=lambda x: F.lit(1), reduce=F.count, merge=F.sum)
+    job = engine.Job(app, PARTITIONS, NODES)
+    return engine.final_reduce(job, engine.local_combine(job, _on_nodes(spark, sf_dir))).select("pid", F.col("key").alias("word"), F.col("value").alias("n"))
+
+
+def sink_round_trip(spark, sf_dir):
+    """The word count written by partition, sorted by key, and read back."""
+    path = f"{scratch_root(spark)}/sink-{uuid.uuid4().hex}"
+    back, _ = engine.timed(JOB, _words(spark, sf_dir), path)
+    return back.select(F.col("partition_id").cast("int").alias("pid"), F.col("key").alias("word"), F.col("value").alias("n"))
+
+
+def map_output_round_trip(spark, sf_dir):
+    """How many records each node's map output, written for 10 partitions and read back, holds by partition."""
+    job = engine.Job("word_count", 10, NODES)
+    path = f"{scratch_root(spark)}/map-{uuid.uuid4().hex}"
+    engine.write_map_output(job, _on_nodes(spark, sf_dir), path)
+    back = spark.read.parquet(path)
+    return back.groupBy(F.col("node").cast("int").alias("node"), F.col("pid").cast("int").alias("pid")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def text_directory_count(spark, sf_dir):
+    """Word count over a directory of text files, made of the documents' texts."""
+    path = f"{scratch_root(spark)}/text-{uuid.uuid4().hex}"
+    _table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("value")).write.text(path)
+    return engine.run(JOB, items(text_directory(spark, path))).select(F.col("key").alias("word"), F.col("value").alias("n"))
+
+
+def record_round_trip(spark, sf_dir):
+    """Export lines of job records written as JSON and read back."""
+    path = f"{scratch_root(spark)}/records-{uuid.uuid4().hex}"
+    _nation_records(spark, sf_dir).write.json(path)
+    lines = f"{path}-lines"
+    records.export(records.read(spark, path), lines)
+    return spark.read.text(lines).select(F.col("value").alias("line"))
+
+
+def placement_quality(spark, sf_dir):
+    return placement.quality(_cells(spark, sf_dir), NODES)
+
+
+def place_all_locality_capped(spark, sf_dir):
+    return placement.place_all(_cells(spark, sf_dir), NODES, placement.CAPPED)
+
+
 def ordinal_suffix(spark, sf_dir):
     n = spark.range(1, 31).select(F.col("id").alias("n"))
     return n.select("n", ordinal(F.col("n")).alias("label"))
@@ -148,13 +203,16 @@ def truncated_seconds(spark, sf_dir):
     return ids.select("event_id", seconds(F.col("t")).alias("s"))
 
 
-def record_export(spark, sf_dir):
+def _nation_records(spark, sf_dir):
     n, r = F.col("n_nationkey"), F.col("n_regionkey")
-    rows = _table(spark, sf_dir, "nation").select(
-        F.lit("").alias("job"), F.col("n_name").alias("schedule_plan"), F.array(n + F.lit(0.5), r + F.lit(0.25)).alias("map_time"), F.array(n + F.lit(1.5), r + F.lit(1.25)).alias("exec_schedule_time"),
-        F.array(n + F.lit(2.5), r + F.lit(2.25)).alias("datanode_job_time"), (n + F.lit(3.5)).alias("namenode_job_time"), F.lit(PARTITIONS).alias("partition_number"), F.lit(2).alias("datanode_number"), n.alias("input_volume"),
+    return _table(spark, sf_dir, "nation").select(
+        F.lit("").alias("job"), F.col("n_name").alias("plan"), F.array(n + F.lit(0.5), r + F.lit(0.25)).alias("map_s"), F.array(n + F.lit(1.5), r + F.lit(1.25)).alias("plan_s"),
+        F.array(n + F.lit(2.5), r + F.lit(2.25)).alias("reduce_s"), (n + F.lit(3.5)).alias("job_s"), F.lit(PARTITIONS).alias("partitions"), F.lit(2).alias("nodes"), n.alias("volume"),
     )
-    return rows.select(records.line().alias("line"))
+
+
+def record_export(spark, sf_dir):
+    return _nation_records(spark, sf_dir).select(records.line().alias("line"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -162,12 +220,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         word_count, tokenize, map_pairs, key_partition, local_combine, combine_then_reduce, sorted_partition_output, partition_histogram, node_partition_totals, task_assignment, locality,
         place_modulo, place_locality_capped, place_load_heap, load_report, ordered_items, sum_by_key, python_reducer, nonstring_key_partition, ordinal_suffix, truncated_seconds, record_export,
+        python_map, count_merged, sink_round_trip, map_output_round_trip, text_directory_count, record_round_trip, placement_quality, place_all_locality_capped,
     )
 } | {
     "shuffle_plan_modulo": _shuffle(placement.MODULO),
     "shuffle_plan_locality_capped": _shuffle(placement.CAPPED),
     "shuffle_plan_load_heap": _shuffle(placement.HEAP),
     "task_lists_modulo": _task_lists(placement.MODULO),
+    "task_lists_locality_capped": _task_lists(placement.CAPPED),
     "task_lists_load_heap": _task_lists(placement.HEAP),
 }
 
@@ -234,6 +294,22 @@ FROM (SELECT unnest(['modulo', 'locality_capped', 'load_heap']) AS plan) p CROSS
     "sum_by_key": "SELECT l_returnflag AS key, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total FROM lineitem GROUP BY l_returnflag",
     "python_reducer": "SELECT event_type AS key, max(event_id) AS largest FROM events GROUP BY event_type",
     "nonstring_key_partition": "SELECT DISTINCT l_orderkey AS key, CAST(0 AS INTEGER) AS pid FROM lineitem",
+    "python_map": _PLAIN + " SELECT CAST(length(word) AS BIGINT) AS key, count(*) AS n FROM t GROUP BY ALL",
+    "count_merged": _PLAIN + f" SELECT pid, word, n FROM {_MERGED}",
+    "sink_round_trip": _PLAIN + f" SELECT pid, word, n FROM {_MERGED}",
+    "map_output_round_trip": _PLAIN + " SELECT node, pid % 10 AS pid, CAST(sum(n) AS BIGINT) AS n FROM m GROUP BY node, m.pid % 10 HAVING sum(n) > 0",
+    "placement_quality": _GREEDY + _CAPPED + _HEAP + """,
+asg AS (SELECT DISTINCT 'modulo' AS plan, pid, CAST(pid % 16 AS INTEGER) AS node FROM m UNION ALL SELECT 'locality_capped', pid, node FROM gc WHERE step > 0 UNION ALL SELECT 'load_heap', pid, node FROM gh WHERE step > 0),
+own AS (SELECT asg.plan, asg.node, sum(m.n) AS load, sum(CASE WHEN m.node <> asg.node THEN m.n ELSE 0 END) AS moved FROM asg JOIN m ON m.pid = asg.pid GROUP BY asg.plan, asg.node)
+SELECT plan, max(load) * 16 / (SELECT sum(n) FROM m) AS most_over_mean, sum(moved) / sum(load) AS moved, CAST((SELECT sum(n) FROM m) - sum(load) AS BIGINT) AS left_out FROM own GROUP BY plan""",
+    "place_all_locality_capped": _GREEDY + _CAPPED + """,
+x AS (SELECT row_number() OVER (ORDER BY tot DESC, pid) AS k, pid, tot FROM (SELECT DISTINCT pid, tot FROM l) p WHERE pid NOT IN (SELECT pid FROM gc)),
+gf AS (
+  SELECT CAST(0 AS BIGINT) AS k, -1 AS pid, -1 AS node, (SELECT max_by(loads, step) FROM gc) AS loads
+  UNION ALL
+  SELECT x.k, x.pid, CAST(list_position(gf.loads, list_min(gf.loads)) - 1 AS INTEGER), list_transform(gf.loads, lambda v, i: CASE WHEN i = list_position(gf.loads, list_min(gf.loads)) THEN v + x.tot ELSE v END)
+  FROM gf JOIN x ON x.k = gf.k + 1)
+SELECT pid, node, true AS placed FROM gc WHERE step > 0 UNION ALL SELECT pid, node, false FROM gf WHERE k > 0""",
     "ordinal_suffix": "SELECT range AS n, CASE range WHEN 1 THEN '1st' WHEN 2 THEN '2nd' WHEN 3 THEN '3rd' ELSE CAST(range AS VARCHAR) || 'th' END AS label FROM range(1, 31)",
     "truncated_seconds": "SELECT event_id, CAST(trunc(event_id / 4096 * 1000) AS BIGINT) / 1000 AS s FROM events",
     "record_export": r"""
@@ -243,5 +319,7 @@ FROM nation""",
     "shuffle_plan_locality_capped": _GREEDY + _CAPPED + _moves("(SELECT pid, node FROM gc WHERE step > 0)"),
     "shuffle_plan_load_heap": _GREEDY + _HEAP + _moves("(SELECT pid, node FROM gh WHERE step > 0)"),
     "task_lists_modulo": _PLAIN + " SELECT CAST(pid % 16 AS INTEGER) AS node, row_number() OVER (PARTITION BY pid % 16 ORDER BY pid) AS seq, pid FROM (SELECT DISTINCT pid FROM m) x",
+    "task_lists_locality_capped": _GREEDY + _CAPPED + " SELECT node, row_number() OVER (PARTITION BY node ORDER BY pid) AS seq, pid FROM gc WHERE step > 0",
     "task_lists_load_heap": _GREEDY + _HEAP + " SELECT node, row_number() OVER (PARTITION BY node ORDER BY locality DESC, step) AS seq, pid FROM gh WHERE step > 0",
 }
+ORACLES["text_directory_count"], ORACLES["record_round_trip"] = ORACLES["word_count"], ORACLES["record_export"]

@@ -12,14 +12,14 @@ _TIMES = T.ArrayType(T.DoubleType())
 RECORD = T.StructType(
     [
         T.StructField("job", T.StringType()),
-        T.StructField("schedule_plan", T.StringType()),
-        T.StructField("map_time", _TIMES),
-        T.StructField("exec_schedule_time", _TIMES),
-        T.StructField("datanode_job_time", _TIMES),
-        T.StructField("namenode_job_time", T.DoubleType()),
-        T.StructField("partition_number", T.IntegerType()),
-        T.StructField("datanode_number", T.IntegerType()),
-        T.StructField("input_volume", T.IntegerType()),
+        T.StructField("plan", T.StringType()),
+        T.StructField("map_s", _TIMES),
+        T.StructField("plan_s", _TIMES),
+        T.StructField("reduce_s", _TIMES),
+        T.StructField("job_s", T.DoubleType()),
+        T.StructField("partitions", T.IntegerType()),
+        T.StructField("nodes", T.IntegerType()),
+        T.StructField("volume", T.IntegerType()),
     ]
 )
 
@@ -39,8 +39,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def line() -> Column:
     """A record as one line: each field, the arrays' elements one by one, followed by a tab."""
     flat = lambda c: F.transform(c, lambda x: x.cast("string"))
-    scalars = [F.col(c).cast("string") for c in ("schedule_plan", "datanode_number", "partition_number", "input_volume")]
-    return F.concat(F.concat_ws("\t", *scalars, flat("map_time"), flat("exec_schedule_time"), flat("datanode_job_time"), F.col("namenode_job_time").cast("string")), F.lit("\t"))
+    scalars = [F.col(c).cast("string") for c in ("plan", "nodes", "partitions", "volume")]
+    return F.concat(F.concat_ws("\t", *scalars, flat("map_s"), flat("plan_s"), flat("reduce_s"), F.col("job_s").cast("string")), F.lit("\t"))
 
 
 def export(records: DataFrame, path: str) -> None:

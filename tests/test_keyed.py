@@ -175,6 +175,30 @@ def test_python_reducer_leaves_single_records_untouched(spark):
     assert sorted(tuple(r) for r in engine.run(engine.Job(app, 3), rows).select("key", "value").collect()) == [("a", "vvv"), ("b", "v")]
 
 
+def test_python_reducer_holds_few_keys(spark, monkeypatch):
+    monkeypatch.setattr(apps, "HELD", 3)
+    app = apps.Application("longest", key=lambda x: F.substring(x, 1, 1), value=lambda x: x, value_type="string", reduce_fn=lambda a, b: max(a, b, key=lambda r: r[1] or ""))
+    words = ["a", "ab", None, "b", "", "abc", "c", "cd", "d", None, "a"] * 7
+    rows = spark.createDataFrame([(w,) for w in words], "item string").repartition(3)
+    got = engine.run(engine.Job(app, 3), rows).select("key", "value").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("a", "abc"), ("b", "b"), ("c", "cd"), ("d", "d"), ("", ""), (None, None)], key=str)
+    assert engine.run(engine.Job(app, 3), rows.limit(0)).collect() == []
+
+
+def test_python_map_gives_any_number_of_records(spark):
+    app = apps.Application("letters", key=None, value=None, map_fn=lambda x: [(c, len(x["w"])) for c in x["w"] or ""], reduce=F.max)
+    rows = spark.createDataFrame([("ab",), ("abc",), ("",), (None,)], "w string").select(F.struct("w").alias("item"))
+    assert sorted(tuple(r) for r in app.reduced(app.pairs(rows)).collect()) == [("a", 3), ("b", 3), ("c", 3)]
+    assert app.pairs(rows.limit(0)).collect() == []
+
+
+def test_positions_of_items_with_one_head(spark, monkeypatch):
+    monkeypatch.setattr(order, "CHUNK", 5)
+    words = sorted([f"http{i % 37}" for i in range(400)] + ["http"] * 23)
+    got = order.positions(spark.createDataFrame([(w,) for w in words] + [(None,)], "item string"))
+    assert [tuple(r) for r in got.orderBy("pos").collect()] == [(i + 1, w) for i, w in enumerate([*words, None])]
+
+
 def test_text_directory_and_sink(spark, tmp_path):
     source = tmp_path / "in"
     (source / "sub").mkdir(parents=True)
@@ -215,7 +239,7 @@ def test_submitted_job(spark, tmp_path):
     (tmp_path / "in" / "b").write_text("cat sat")
     out, kept = str(tmp_path / "out"), str(tmp_path / "records")
     times = submit(spark, "word_count", str(tmp_path / "in"), out, "NEW", 3, 10, kept)
-    assert set(times) == {"map", "plan", "reduce", "job"} and records.read(spark, kept).first()["schedule_plan"] == placement.HEAP
+    assert set(times) == {"map", "plan", "reduce", "job"} and records.read(spark, kept).first()["plan"] == placement.HEAP
     assert {r["key"]: r["value"] for r in spark.read.parquet(out).collect()} == {"the": 2, "cat": 2, "sat": 1}
     assert spark.read.parquet(out + "-placement").count() == 10
     with pytest.raises(ValueError):
