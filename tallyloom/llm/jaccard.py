@@ -146,16 +146,24 @@ def rows_of(docs: DataFrame) -> DataFrame:
     return texts(docs).withColumn("row_key", row_key(F.col("doc_id"), F.col("text")))
 
 
-def sets_for(docs: DataFrame, names: DataFrame, keys: DataFrame, width: int) -> DataFrame:
-    """key and the sorted hashes of the set of each of the keys, from the text of one row of its class."""
+def texts_for(docs: DataFrame, names: DataFrame, keys: DataFrame) -> DataFrame:
+    """key and text of one row of the class of each of the distinct keys. Whole texts are shuffled here and nowhere else."""
+    reps = names.join(keys, "key").select("row_key", "key")
+    return stash(rows_of(docs).join(reps, "row_key").dropDuplicates(["row_key"]).select("key", "text"), "texts")
+
+
+def sets_for(reps: DataFrame, keys: DataFrame, width: int) -> DataFrame:
+    """key and the sorted hashes of the set of each of the keys. reps: key, text."""
 
     def apply(batches):
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([s.tobytes() for s in sets_of(b.column("text"), width)], pa.binary())], ["key", "hashes"])
 
-    reps = names.join(keys.distinct(), "key").select("row_key", "key")
-    rows = rows_of(docs).join(reps, "row_key").dropDuplicates(["row_key"])
-    return stash(rows.select("key", "text").mapInArrow(apply, "key long, hashes binary"), "hashes")
+    # written first, so that Spark knows its size when it chooses the join
+    keys = stash(keys.distinct(), "keys")
+    out = stash(reps.join(keys, "key", "left_semi").select("key", "text").mapInArrow(apply, "key long, hashes binary"), "hashes")
+    discard(keys)
+    return out
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -393,8 +401,10 @@ def pairs_left(told: DataFrame, maps: DataFrame, sets_of_keys, levels, share: in
             out.append(stash(close_pairs(with_bits(rest), share), "close"))
             break
         names = rest.select("key", "n", "label").distinct()
-        parts = divided(rest.join(sets_of_keys(names.select("key")), "key"), levels, share, k)
+        sets = sets_of_keys(names.select("key"))
+        parts = divided(rest.join(sets, "key"), levels, share, k)
         rest = stash(undecided(parts.join(names, "key")), "undecided")
+        discard(sets)
     discard(*done)
     return functools.reduce(DataFrame.unionByName, out).distinct()
 
@@ -422,12 +432,20 @@ def linked(docs: DataFrame, width: int, share: int) -> tuple[DataFrame, DataFram
     pairs = stash(pairs.select(F.col("top.leader").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
     near = stash(bounded(pairs, maps, share), "near")
     discard(pairs)
-    sets_of_keys = lambda keys: sets_for(docs, names, keys, width)
-    link = lambda found: stash(verified(found, sets_of_keys(found.select(F.explode(F.array("a", "b")).alias("key"))), share), "links")
+    reps = texts_for(docs, names, shared_.select("key").distinct())
+    sets_of_keys = lambda keys: sets_for(reps, keys, width)
+
+    def link(found: DataFrame) -> DataFrame:
+        sets = sets_of_keys(found.select(F.explode(F.array("a", "b")).alias("key")))
+        links = stash(verified(found, sets, share), "links")
+        discard(sets)
+        return links
+
     labels = led_on(shared_, stash(components(link(near)), "labels"), maps, link, share)
     left = stash(pairs_left(labelled(shared_, labels), maps, sets_of_keys, levels, share), "left")
     discard(shared_)
     more = link(left)
+    discard(reps)
     return described, names, merged(labels, more) if more.limit(1).collect() else labels
 
 
