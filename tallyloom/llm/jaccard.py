@@ -147,7 +147,7 @@ def rows_of(docs: DataFrame) -> DataFrame:
 
 
 def texts_for(docs: DataFrame, names: DataFrame, keys: DataFrame) -> DataFrame:
-    """key and text of one row of the class of each of the distinct keys. Whole texts are shuffled here and nowhere else."""
+    """key and text of one row of the class of each of the distinct keys. The one shuffle of all texts: later joins read these rows alone."""
     reps = names.join(keys, "key").select("row_key", "key")
     return stash(rows_of(docs).join(reps, "row_key").dropDuplicates(["row_key"]).select("key", "text"), "texts")
 
