@@ -23,7 +23,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import SPACES, discard, own_name, row_key, slices, stash, texts
@@ -32,8 +32,8 @@ from .wordhash import mix, mix_other, runs_of_words, text_bytes, words
 #: Members of a tile whose pairs are listed by size alone, of a block of a larger tile, members outside its largest
 #: component from which on a tile is divided, how often at most, and rounds of further leaders before that.
 FEW, BLOCK, HOT, DEEPEST, ROUNDS = 16, 256, 1024, 3, 4
-#: The sketch of popular n-grams has 2 ** CELLS counts; a task tells its largest TOLD, and LISTED of their sums are used.
-CELLS, TOLD, LISTED = 20, 4096, 65_536
+#: The sketch of popular n-grams has 2 ** CELLS counts, in parts of PART.
+CELLS, PART = 24, 1 << 16
 SEED, SEED_B = np.uint64(0x51ED270B7A1F39C5), np.uint64(0x8CB92BA72F3D8DD7)
 
 
@@ -52,32 +52,70 @@ def sets_of(column: pa.Array, width: int):
 
 
 def popular(docs: DataFrame, width: int) -> np.ndarray:
-    """How popular the n-grams of each cell (highest bits of the hash) are, as bit lengths of counts; 0 for most cells.
+    """The level of each cell (highest bits of the hash) of n-grams.
 
-    It decides on the order of n-grams alone, never on results. A task sends TOLD rows at most, the driver gets LISTED.
+    It decides on the order of n-grams alone, never on results. Level 0 is usual; where a cell's count stands out from
+    those of its part, its level is a bit length of it. All cells that a task met are summed up, so the driver gets
+    2 ** CELLS bytes, whatever the input.
     """
 
     def count(batches):
-        total = np.zeros(1 << CELLS, np.int64)
+        cells, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        new, held = [], 0
+
+        def summed():
+            at, where = np.unique(np.concatenate([cells, *new]), return_inverse=True)
+            weights = np.ones(len(where), np.int64)
+            weights[: len(n)] = n
+            return at, np.bincount(where, weights, len(at)).astype(np.int64)
+
         for b in slices(batches):
             data, offsets = text_bytes(b.column("text"))
             h, _, _, _ = words(data, offsets, lower=True)
-            total += np.bincount((runs_of_words(h, width) >> np.uint64(64 - CELLS)).astype(np.int64), minlength=1 << CELLS)
-        often = np.flatnonzero(total > max(1, 2 * int(total.mean())))
-        if len(often) > TOLD:
-            often = often[np.argpartition(-total[often], TOLD)[:TOLD]]
-        yield pa.RecordBatch.from_arrays([pa.array(often.astype(np.int32)), pa.array(total[often])], ["cell", "n"])
-
-    told = texts(docs).select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n >= 8")
+            new.append(cells_of(runs_of_words(h, width)))
+            held += len(new[-1])
+            if held > 2_000_000:
+                cells, n = summed()
+                new, held = [], 0
+        cells, n = summed()
+        edges = np.searchsorted(cells, np.arange(0, (1 << CELLS) + 1, PART))
+        at, n = (cells % PART).astype("<u2"), np.minimum(n, 65_535).astype("<u2")
+        parts = [k for k in range(len(edges) - 1) if edges[k] < edges[k + 1]]
+        cut = lambda x: pa.array([x[edges[k] : edges[k + 1]].tobytes() for k in parts], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), cut(at), cut(n)], ["part", "cells", "n"])
+
+    def add(batches):
+        totals: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, cells, n in zip(*(b.column(c).to_pylist() for c in ("part", "cells", "n"))):
+                if part not in totals:
+                    totals[part] = np.zeros(PART, np.int64)
+                totals[part][np.frombuffer(cells, "<u2")] += np.frombuffer(n, "<u2")
+        levels = [levels_of(t).tobytes() for t in totals.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(levels, pa.binary())], ["part", "levels"])
+
+    told = texts(docs).select("text").mapInArrow(count, "part int, cells binary, n binary").repartition("part").mapInArrow(add, "part int, levels binary")
+    told = stash(told, "sketch")  # so that its shuffle is removed
     levels = np.zeros(1 << CELLS, np.uint8)
-    for cell, n in told.orderBy(F.desc("n"), "cell").limit(LISTED).collect():
-        levels[cell] = n.bit_length()
+    for part, found in told.collect():  # one row a part
+        levels[part * PART : (part + 1) * PART] = np.frombuffer(found, np.uint8)
+    discard(told)
     return levels
 
 
+def cells_of(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - CELLS)).astype(np.int64)
+
+
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    """0 for what unpopular n-grams may add up to in a cell, else bit lengths of the counts."""
+    usual = float(np.median(counts))
+    return np.where(counts > usual + 3 * usual**0.5 + 4, np.frexp(counts)[1], 0).astype(np.uint8)
+
+
 def in_order(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """A set's hashes in the common order: the least popular first."""
-    level = levels[(s >> np.uint64(64 - CELLS)).astype(np.int64)]
+    level = levels[cells_of(s)]
     return s[np.argsort(level, kind="stable")] if level.any() else s
 
 
@@ -97,8 +135,8 @@ def filed(ordered: np.ndarray, share: int) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Parity bits: four times as many as hashes, a power of two."""
-    bits = min(1 << 16, max(256, 4 << len(s).bit_length()))
+    """Parity bits: two to four times as many as hashes, a power of two."""
+    bits = min(1 << 16, max(128, 2 << len(s).bit_length()))
     return np.packbits(np.bincount((mix(s ^ SEED) & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
@@ -420,8 +458,8 @@ def linked(docs: DataFrame, width: int, share: int) -> tuple[DataFrame, DataFram
     described = stash(every.drop("tiles", "bits"), "sets")
     discard(every)
     entries = classes.select("key", "n", F.explode("tiles").alias("tile"))
-    counts = entries.groupBy("tile").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    plain = stash(entries.join(counts, "tile"), "tiles")
+    # a window, so that the entries are shuffled once, and not for their counts as well
+    plain = stash(entries.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("tile"))).where("members > 1"), "tiles")
     names, maps = stash(classes.drop("tiles", "bits"), "names"), stash(classes.select("key", "n", "bits"), "bitmaps")
     discard(classes)
     weight = plain.groupBy("key").agg(F.sum("members").alias("weight"))

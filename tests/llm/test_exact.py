@@ -498,3 +498,21 @@ def test_mixing_of_more_sources_than_the_network_holds(spark, overlap, monkeypat
     want = Counter(map(str, mixing.mix(docs, F.col("names")).collect()))
     monkeypatch.setattr(mixing, "PATTERNS", 8)
     assert Counter(map(str, mixing.mix(docs, F.col("names")).collect())) == want
+
+
+def test_popular_ngrams_stay_last_as_the_corpus_grows(spark):
+    """N-grams that ten of many texts share stand out too, so that tiles don't grow with the corpus."""
+    rng = random.Random(3)
+    lines = [" ".join(f"l{k}_{i}" for i in range(12)) for k in range(2000)]
+    rows = [(i, " ".join([lines[i % 2000], *(f"u{rng.random()}" for _ in range(60))])) for i in range(20_000)]
+    levels = jaccard.popular(frame(spark, rows), 4)
+    tiles = Counter(t for s in jaccard.sets_of(pa.array([t for _, t in rows]), 4) for t in jaccard.filed(jaccard.in_order(s, levels), 85).tolist())
+    assert max(tiles.values()) <= 4
+
+
+def test_bitmaps_take_half_a_byte_a_hash_at_most():
+    """Candidates carry them, so that they are most of what a join of pairs moves."""
+    rng = np.random.default_rng(1)
+    for n in (1, 31, 32, 100, 127, 128, 5000):
+        s = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        assert max(n / 4, 16) <= len(jaccard.bitmap(s)) <= max(n / 2, 16)
