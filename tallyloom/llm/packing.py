@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import shuffle_parts, slices, stash, texts
+from .shared import kept, shuffle_parts, slices, stash, texts
 
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 UNUSUAL = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbeİ]|[^\x00-ſ‐-‧‰-⁞€]")
@@ -30,7 +30,7 @@ UNUSUAL = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbeİ]|[^\x00-ſ‐-‧‰-⁞
 KEEP = 200_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
-_loaded: dict[str, tuple] = {}
+_loaded: dict[str, tuple] = kept.setdefault("packing", {})
 
 
 def byte_letters() -> dict[int, str]:
@@ -97,7 +97,7 @@ def ids_of(values: list[str], path: str) -> list[bytes]:
 def pieces_of(docs: DataFrame, tokenizer_path: str, most: int, end_id: int, with_ids: bool = False) -> DataFrame:
     def cut(batches):
         end = np.array([end_id], "<u4").tobytes()
-        for b in slices(batches):
+        for b in slices(batches, owner="packing"):
             rows, parts = [[], [], [], [], []], []
             for doc, ids in zip(b.column("doc_id").to_pylist(), ids_of(b.column("text").to_pylist(), tokenizer_path)):
                 ids += end

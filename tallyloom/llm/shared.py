@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +35,28 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def slices(batches, most: int = 2_000_000, column: str = "text"):
+#: What workers keep from task to task, by its operator. A worker may serve the tasks of all operators.
+kept: dict[str, dict] = {}
+
+
+def forget(owner: str = "") -> None:
+    """Drops what this worker keeps for other operators than the owner."""
+    for name, cache in kept.items():
+        if name != owner:
+            cache.clear()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, which a worker that waits for its next task would hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
+def slices(batches, most: int = 2_000_000, column: str = "text", owner: str = ""):
     """Arrow batches cut into runs of rows of about `most` bytes of text; a longer text is one run, whole."""
+    forget(owner)
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -46,6 +69,7 @@ def slices(batches, most: int = 2_000_000, column: str = "text"):
                 start, total = i + 1, 0
         if start < batch.num_rows:
             yield batch.slice(start)
+    give_back()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

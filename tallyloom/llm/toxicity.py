@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .grams import Memo, fit_logistic, grams, logistic
-from .shared import slices, texts
+from .shared import forget, give_back, slices, texts
 
 LOW, HIGH, BITS = 3, 6, 22
 #: Rows that the classifier is fitted on, at most; the smallest hashes of doc_id are taken.
@@ -138,9 +138,11 @@ def score_column(spark, model: dict):
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
         apply = scorer(shared.value)
         for part in parts:
             values = part.tolist()
             yield pd.Series(np.concatenate([np.zeros(0), *(apply(values[k : k + 500]) for k in range(0, len(values), 500))]))
+        give_back()
 
     return score

@@ -14,8 +14,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyloom.llm import exact_dedup, fingerprints, jaccard, mixing, queries, substring_dedup, wordhash
+from tallyloom.llm import exact_dedup, fingerprints, jaccard, mixing, queries, shared, substring_dedup, wordhash
 from tallyloom.llm.shared import stash
+from tallyloom.sources import scratch
 
 DATA = "/root/testdata/sf0.001"
 CLASH = "doc_id long, text string, keep_id string, n_words string, key int, tile int, size int, draw string, at int"
@@ -516,3 +517,26 @@ def test_bitmaps_take_half_a_byte_a_hash_at_most():
     for n in (1, 31, 32, 100, 127, 128, 5000):
         s = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
         assert max(n / 4, 16) <= len(jaccard.bitmap(s)) <= max(n / 2, 16)
+
+
+def test_workers_drop_what_other_operators_keep():
+    shared.kept["one"], shared.kept["two"] = {"a": 1}, {"b": 2}
+    try:
+        batch = pa.RecordBatch.from_arrays([pa.array(["x", "y"])], ["text"])
+        assert sum(b.num_rows for b in shared.slices([batch], owner="two")) == 2
+        assert shared.kept["one"] == {} and shared.kept["two"] == {"b": 2}
+        list(shared.slices([batch]))
+        assert shared.kept["two"] == {}
+    finally:
+        del shared.kept["one"], shared.kept["two"]
+
+
+def test_stashed_queries_send_small_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    before = spark.conf.get(scratch.BATCH)
+    big = spark.range(0, 300, 1, 1).selectExpr("repeat('x', 100000) AS text").mapInArrow(sizes, "n long")
+    assert max(r["n"] for r in shared.stash(big, "sizes").collect()) < 6_000_000
+    assert spark.conf.get(scratch.BATCH) == before
