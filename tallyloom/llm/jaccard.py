@@ -20,18 +20,21 @@ So all pairs in a tile are either decided, or in one component already; no group
 from __future__ import annotations
 
 import functools
+import math
+import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACES, discard, own_name, row_key, slices, stash, texts
+from .shared import SPACES, discard, own_name, row_key, shuffle_parts, slices, stash, texts
 from .wordhash import mix, mix_other, runs_of_words, text_bytes, words
 
 #: Members of a tile whose pairs are listed by size alone, of a block of a larger tile, members outside its largest
 #: component from which on a tile is divided, how often at most, and rounds of further leaders before that.
-FEW, BLOCK, HOT, DEEPEST, ROUNDS = 16, 256, 1024, 3, 4
+FEW, BLOCK, HOT, DEEPEST, ROUNDS = 16, 256, 256, 3, 4
 #: The sketch of popular n-grams has 2 ** CELLS counts, in parts of PART.
 CELLS, PART = 24, 1 << 16
 SEED, SEED_B = np.uint64(0x51ED270B7A1F39C5), np.uint64(0x8CB92BA72F3D8DD7)
@@ -79,22 +82,31 @@ def popular(docs: DataFrame, width: int) -> np.ndarray:
                 new, held = [], 0
         cells, n = summed()
         edges = np.searchsorted(cells, np.arange(0, (1 << CELLS) + 1, PART))
-        at, n = (cells % PART).astype("<u2"), np.minimum(n, 65_535).astype("<u2")
         parts = [k for k in range(len(edges) - 1) if edges[k] < edges[k + 1]]
-        cut = lambda x: pa.array([x[edges[k] : edges[k + 1]].tobytes() for k in parts], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), cut(at), cut(n)], ["part", "cells", "n"])
-
-    def add(batches):
-        totals: dict[int, np.ndarray] = {}
-        for b in batches:
-            for part, cells, n in zip(*(b.column(c).to_pylist() for c in ("part", "cells", "n"))):
-                if part not in totals:
-                    totals[part] = np.zeros(PART, np.int64)
-                totals[part][np.frombuffer(cells, "<u2")] += np.frombuffer(n, "<u2")
-        levels = [levels_of(t).tobytes() for t in totals.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(levels, pa.binary())], ["part", "levels"])
-
-    told = texts(docs).select("text").mapInArrow(count, "part int, cells binary, n binary").repartition("part").mapInArrow(add, "part int, levels binary")
+        counts = []
+        for k in parts:
+            total = np.zeros(PART, np.int64)
+            total[cells[edges[k] : edges[k + 1]] % PART] = n[edges[k] : edges[k + 1]]
+            counts.append(packed(total))
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(counts, pa.binary())], ["part", "n"])
+
+    def add(last):
+        def apply(batches):
+            totals: dict[int, np.ndarray] = {}
+            for b in batches:
+                for part, n in zip(*(b.column(c).to_pylist() for c in ("part", "n"))):
+                    if part not in totals:
+                        totals[part] = np.zeros(PART, np.int64)
+                    totals[part] += unpacked(n)
+            out = [levels_of(t).tobytes() if last else packed(t) for t in totals.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(out, pa.binary())], ["part", "n"])
+
+        return apply
+
+    found = texts(docs).select("text").mapInArrow(count, "part int, n binary")
+    # what tasks have counted is summed up in two steps, so that no task gets a part of all of them
+    found = found.withColumn("some", F.spark_partition_id() % max(1, math.isqrt(shuffle_parts(docs.sparkSession))))
+    told = found.repartition("part", "some").select("part", "n").mapInArrow(add(False), "part int, n binary").repartition("part").mapInArrow(add(True), "part int, n binary")
     told = stash(told, "sketch")  # so that its shuffle is removed
     levels = np.zeros(1 << CELLS, np.uint8)
     for part, found in told.collect():  # one row a part
@@ -103,6 +115,15 @@ def popular(docs: DataFrame, width: int) -> np.ndarray:
     return levels
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts byte by byte, the lowest bytes first: most are 0 or 1 and nearly all higher bytes are 0, so little is left."""
+    return zlib.compress(np.ascontiguousarray(counts.astype("<i8").view(np.uint8).reshape(-1, 8).T), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
 def cells_of(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(64 - CELLS)).astype(np.int64)
 
@@ -113,8 +134,10 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return np.where(counts > usual + 3 * usual**0.5 + 4, np.frexp(counts)[1], 0).astype(np.uint8)
 
 
-def in_order(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """A set's hashes in the common order: the least popular first."""
+def in_order(s: np.ndarray, levels: np.ndarray | None) -> np.ndarray:
+    """A set's hashes in the common order: the least popular first; without levels by hash."""
+    if levels is None:
+        return s
     level = levels[cells_of(s)]
     return s[np.argsort(level, kind="stable")] if level.any() else s
 
@@ -157,26 +180,29 @@ def keys_of(s: np.ndarray) -> tuple[int, int]:
     return int(mix(s ^ SEED).sum(dtype=np.uint64)) - 2**63, int(mix_other(s + SEED_B).sum(dtype=np.uint64)) - 2**63
 
 
-def describe(docs: DataFrame, width: int, share: int) -> tuple:
-    """doc_id, row_key, n (size of the set), k1, k2 (128 bits of the set, null if empty), its bitmap, tiles; and the broadcast order."""
-    levels = docs.sparkSession.sparkContext.broadcast(popular(docs, width))
+def describe(docs: DataFrame, width: int, tiles_of: Callable[[list[np.ndarray]], list[np.ndarray]]) -> DataFrame:
+    """doc_id, row_key, n (size of the set), k1, k2 (128 bits of the set, null if empty), its bitmap, its tiles.
+
+    tiles_of gives the tiles of each of several sets that aren't empty, as uint64.
+    """
 
     def apply(batches):
         for b in slices(batches):
-            n, k1, k2, bits, tiles = [], [], [], [], []
-            for s in sets_of(b.column("text"), width):
-                n.append(len(s))
-                one, two = keys_of(s) if len(s) else (None, None)
-                k1.append(one)
-                k2.append(two)
-                bits.append(bitmap(s))
-                tiles.append(filed(in_order(s, levels.value), share).view(np.int64) if len(s) else np.zeros(0, np.int64))
-            lengths = np.cumsum([0, *map(len, tiles)])
-            flat = pa.array(np.concatenate(tiles)) if tiles else pa.array([], pa.int64())
-            columns = [b.column("doc_id"), b.column("row_key"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat)]
+            sets = list(sets_of(b.column("text"), width))
+            keys = [keys_of(s) if len(s) else (None, None) for s in sets]
+            filled, none = iter(tiles_of([s for s in sets if len(s)])), np.zeros(0, np.uint64)
+            tiles = [next(filled) if len(s) else none for s in sets]
+            lengths, flat = np.cumsum([0, *map(len, tiles)]), np.concatenate([none, *tiles]).view(np.int64)
+            columns = [b.column("doc_id"), b.column("row_key"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), pa.array([bitmap(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "n", "k1", "k2", "bits", "tiles"])
 
-    return rows_of(docs).mapInArrow(apply, "doc_id long, row_key string, n long, k1 long, k2 long, bits binary, tiles array<long>"), levels
+    return rows_of(docs).mapInArrow(apply, "doc_id long, row_key string, n long, k1 long, k2 long, bits binary, tiles array<long>")
+
+
+def by_ngrams(docs: DataFrame, width: int, share: int) -> tuple:
+    """describe() with tiles of n-grams, and the broadcast order of n-grams."""
+    levels = docs.sparkSession.sparkContext.broadcast(popular(docs, width))
+    return describe(docs, width, lambda sets: [filed(in_order(s, levels.value), share) for s in sets]), levels
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
@@ -361,14 +387,14 @@ def divided(rows: DataFrame, levels, share: int, k: int) -> DataFrame:
     """tile, key, at of the parts of tiles. rows: tile, key, at (place of the tile's last n-gram, null at first), hashes.
 
     A set goes to the parts of its n-grams after that place, among the first that linked sets share k + 1 of. Sets too
-    small for k + 1 shared n-grams meet in one more part.
+    small for k + 1 shared n-grams meet in one more part. levels: the broadcast order of n-grams, None if by hash.
     """
 
     def apply(batches):
         for b in batches:
             tiles, keys, places = [], [], []
             for tile, key, at, raw in zip(b.column("tile").to_pylist(), b.column("key").to_pylist(), b.column("at").to_pylist(), b.column("hashes")):
-                s = in_order(np.frombuffer(raw.as_buffer(), np.uint64), levels.value)
+                s = in_order(np.frombuffer(raw.as_buffer(), np.uint64), levels and levels.value)
                 n = len(s)
                 if at is None:
                     at = int(np.flatnonzero(filed(s, share).view(np.int64) == tile)[0]) % prefix(n, share)
@@ -423,11 +449,14 @@ def led_on(tiles: DataFrame, labels: DataFrame, maps: DataFrame, link, share: in
 
 
 def pairs_left(told: DataFrame, maps: DataFrame, sets_of_keys, levels, share: int) -> DataFrame:
-    """Candidate pairs of different components in the tiles. told: tile, key, n, label."""
-    rest = stash(undecided(told.select("tile", "key", "n", "label", F.lit(None).cast("int").alias("at"))), "undecided")
+    """Candidate pairs of different components in the tiles. told: tile, key, n, label.
+
+    Tiles of n-grams are divided by further ones; other tiles (levels is None) by n-grams from the first on.
+    """
+    rest = stash(undecided(told.select("tile", "key", "n", "label", F.lit(-1 if levels is None else None).cast("int").alias("at"))), "undecided")
     out, done, size, outside = [], [], F.col("members"), F.col("outside")
     with_bits = lambda rows: rows.join(maps.select("key", "bits"), "key")
-    for k in range(1, DEEPEST + 2):
+    for k in range(levels is not None, DEEPEST + 2):
         hot = (size > FEW) & (outside > HOT)
         out.append(stash(bounded(few_pairs(rest.where(size <= FEW), share), maps, share), "few"))
         out.append(stash(lopsided_pairs(with_bits(rest.where((size > FEW) & ~hot)), share), "lopsided"))
@@ -447,19 +476,23 @@ def pairs_left(told: DataFrame, maps: DataFrame, sets_of_keys, levels, share: in
     return functools.reduce(DataFrame.unionByName, out).distinct()
 
 
-def linked(docs: DataFrame, width: int, share: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, row_key, n, k1, k2), classes (k1, k2, n, key, row_key of one row) and the label of keys that have links."""
+def linked(docs: DataFrame, width: int, share: int, filing: Callable[[DataFrame, int, int], tuple] = by_ngrams) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, row_key, n, k1, k2), classes (k1, k2, n, key, row_key of one row) and the label of keys that have links.
+
+    filing gives what describe() returns, and the order of n-grams, None if its tiles aren't n-grams.
+    """
     if not 50 <= share <= 100:
         raise ValueError("share must be 50 to 100")
-    found, levels = describe(docs, width, share)
+    found, levels = filing(docs, width, share)
     every = stash(found, "filed")
     classes = every.where("k1 is not null").groupBy("k1", "k2", "n").agg(F.first("tiles").alias("tiles"), F.first("bits").alias("bits"), F.min("row_key").alias("row_key"))
     classes = stash(classes.withColumn("key", F.monotonically_increasing_id()), "classes")
     described = stash(every.drop("tiles", "bits"), "sets")
     discard(every)
     entries = classes.select("key", "n", F.explode("tiles").alias("tile"))
-    # a window, so that the entries are shuffled once, and not for their counts as well
-    plain = stash(entries.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("tile"))).where("members > 1"), "tiles")
+    # counted map-side and joined, as Spark divides a join on a frequent tile, but not a window
+    counts = entries.groupBy("tile").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    plain = stash(entries.join(counts, "tile"), "tiles")
     names, maps = stash(classes.drop("tiles", "bits"), "names"), stash(classes.select("key", "n", "bits"), "bitmaps")
     discard(classes)
     weight = plain.groupBy("key").agg(F.sum("members").alias("weight"))
@@ -497,7 +530,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, share: int = 80) -> Data
     Equal sets are linked, so exact copies and repeated rows are in one component. No rows in, no rows out. share is 50
     to 100: bands are that wide. No candidate is left out; n-grams are compared as 64-bit hashes of 128-bit words.
     """
-    described, names, labels = linked(docs, width, share)
+    return component_ids(*linked(docs, width, share))
+
+
+def component_ids(described: DataFrame, names: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of what linked() gives."""
     classes = described.where("k1 is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")).join(names, ["k1", "k2", "n"]).join(labels, "key", "left")
     classes = classes.withColumn("label", F.coalesce("label", "key"))
     told = classes.join(classes.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("k1", "k2", "n", "component_id")

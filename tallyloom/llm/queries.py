@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, jaccard, language, mixing, packing, quality, substring_dedup, token_counts, toxicity
+from . import exact_dedup, fingerprints, jaccard, language, minhash, mixing, negatives, packing, periodic, quality, substring_dedup, token_counts, toxicity
 from .shared import fold, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -66,8 +66,22 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited(table(spark, sf_dir, "documents"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, share=80)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.periodic_runs(periodic.planted(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op2_token_counts, op3_packing, op4_language, op5_ngram_jaccard, op6_exact_dedup, op7_substring_dedup, op8_mixing, op9_toxicity, op10_fingerprints)
+    for f in (op1_quality, op2_token_counts, op3_packing, op4_language, op5_ngram_jaccard, op6_exact_dedup, op7_substring_dedup, op8_mixing, op9_toxicity, op10_fingerprints, op11_minhash, op12_hard_negatives, op13_periodic_runs)
 }
-ORACLES: dict[str, str] = {"op5_ngram_jaccard": jaccard.SQL, "op6_exact_dedup": exact_dedup.SQL, "op7_substring_dedup": substring_dedup.SQL}
+ORACLES: dict[str, str] = {"op5_ngram_jaccard": jaccard.SQL, "op6_exact_dedup": exact_dedup.SQL, "op7_substring_dedup": substring_dedup.SQL, "op11_minhash": minhash.SQL, "op12_hard_negatives": negatives.SQL}
