@@ -434,18 +434,19 @@ def labelled(tiles: DataFrame, labels: DataFrame) -> DataFrame:
     return tiles.select("tile", "key", "n").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
 
 
-def led_on(tiles: DataFrame, labels: DataFrame, maps: DataFrame, link, share: int) -> DataFrame:
-    """The labels after rounds in which a member outside the largest component leads its tile."""
+def led_on(tiles: DataFrame, labels: DataFrame, maps: DataFrame, link, share: int) -> tuple[DataFrame, DataFrame]:
+    """The labels after rounds in which a member outside the largest component leads its tile, and what tiles are open."""
     for k in range(ROUNDS):
-        rest = stash(undecided(labelled(tiles, labels)).where(F.col("outside") > FEW), "led")
+        open_ = stash(undecided(labelled(tiles, labels)), "open")
+        discard(tiles)
+        tiles, rest = open_, open_.where(F.col("outside") > FEW)
         leaders = rest.where("label <> top").groupBy("tile").agg(F.max(F.struct(F.xxhash64("key", F.lit(k)).alias("draw"), F.col("key").alias("a"), F.col("n").alias("m"), F.col("label").alias("of"))).alias("one")).select("tile", "one.*")
         pairs = rest.join(leaders, "tile").where((F.col("label") != F.col("of")) & (100 * F.least("n", "m") >= share * F.greatest("n", "m")))
         links = link(stash(bounded(pairs.select("a", F.col("key").alias("b")).distinct(), maps, share), "near"))
-        discard(rest)
         if not links.limit(1).collect():
             break
         labels = merged(labels, links)
-    return labels
+    return labels, tiles
 
 
 def pairs_left(told: DataFrame, maps: DataFrame, sets_of_keys, levels, share: int) -> DataFrame:
@@ -512,9 +513,9 @@ def linked(docs: DataFrame, width: int, share: int, filing: Callable[[DataFrame,
         discard(sets)
         return links
 
-    labels = led_on(shared_, stash(components(link(near)), "labels"), maps, link, share)
-    left = stash(pairs_left(labelled(shared_, labels), maps, sets_of_keys, levels, share), "left")
-    discard(shared_)
+    labels, open_ = led_on(shared_, stash(components(link(near)), "labels"), maps, link, share)
+    left = stash(pairs_left(labelled(open_, labels), maps, sets_of_keys, levels, share), "left")
+    discard(open_)
     more = link(left)
     discard(reps)
     return described, names, merged(labels, more) if more.limit(1).collect() else labels
