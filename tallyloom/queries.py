@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import ordinal, partition_id, seconds
-from .operators import apps, engine, order, stats
+from .functions.time import micros
+from .operators import apps, engine, intervals, lattice, order, stats
 from .plans import placement
 from .sources import records
 from .sources.scratch import scratch_root
 from .sources.text import items, text_column, text_directory
+from .streaming import windows
 
 NODES, PARTITIONS = 16, 100
 JOB = engine.Job("word_count", PARTITIONS, NODES)
@@ -215,12 +217,70 @@ def record_export(spark, sf_dir):
     return _nation_records(spark, sf_dir).select(records.line().alias("line"))
 
 
+def _streamed(spark, sf_dir, over, closing):
+    """The events replayed as a stream of files, and what was given out of it."""
+    path = f"{scratch_root(spark)}/stream-{uuid.uuid4().hex}"
+    schema = windows.replay(_table(spark, sf_dir, "events"), "ts", f"{path}/events", 4, closing)
+    result = over(windows.parquet_stream(spark, f"{path}/events", schema, files_per_trigger=2))
+    sink = windows.BatchSink(f"{path}/out")
+    windows.start(result, sink, f"{path}/checkpoint").awaitTermination()
+    return sink.read(spark, result.schema)
+
+
+def _measures():
+    return [F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"), F.max("event_id").alias("last_id")]
+
+
+def stream_tumbling_windows(spark, sf_dir):
+    """Events by hour and type, from a stream in order of time."""
+    out = _streamed(spark, sf_dir, lambda events: windows.tumbling(events, "ts", "1 hour", ["event_type"], _measures(), "10 minutes"), "2 days")
+    return out.select(micros(out, "start").alias("start_us"), "event_type", "n", "cents", "last_id")
+
+
+def stream_sessions(spark, sf_dir):
+    """Sessions of users, with 12 hours of silence between them, from a stream in order of time."""
+    out = _streamed(spark, sf_dir, lambda events: windows.sessions(events, "ts", "12 hours", ["user_id"], _measures(), "10 minutes"), "4 days")
+    return out.select(micros(out, "start").alias("start_us"), micros(out, "end").alias("end_us"), "user_id", "n", "cents", "last_id")
+
+
+def as_of_join(spark, sf_dir):
+    """Each purchase with the user's last view at or before it."""
+    events = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    found = intervals.as_of(events.where("event_type = 'purchase'"), events.where("event_type = 'view'"), "ts", ["user_id"])
+    return found.select("left.event_id", F.col("right.event_id").alias("view_id"))
+
+
+def interval_join(spark, sf_dir):
+    """Errors, which last as many minutes as their value, and the purchases, of ten minutes each, that they overlap."""
+    events = _table(spark, sf_dir, "events")
+    events = events.withColumn("start", micros(events, "ts"))
+    errors = events.where("event_type = 'error'").select("event_id", "start", (F.col("start") + (F.col("value") * 60_000_000).cast("long")).alias("end"))
+    purchases = events.where("event_type = 'purchase'").select("event_id", "start", (F.col("start") + 600_000_000).alias("end"))
+    return intervals.overlapping(errors, purchases, []).select(F.col("left.event_id").alias("error_id"), F.col("right.event_id").alias("purchase_id"))
+
+
+def _levels(spark, sf_dir, sets):
+    lines = _table(spark, sf_dir, "lineitem").withColumn("year", F.year("l_shipdate"))
+    measures = {"n": ("count", None), "quantity": ("sum", F.col("l_quantity").cast("long")), "dearest": ("max", F.col("l_extendedprice"))}
+    return lattice.aggregate_levels(lines, sets, measures, {"suppliers": F.col("l_suppkey"), "parts": F.col("l_partkey")})
+
+
+def cube_distinct(spark, sf_dir):
+    """All subsets of three keys of lineitem, with counts of distinct suppliers and parts."""
+    return _levels(spark, sf_dir, lattice.cube(["l_returnflag", "l_linestatus", "year"]))
+
+
+def rollup_distinct(spark, sf_dir):
+    return _levels(spark, sf_dir, lattice.rollup(["year", "l_returnflag", "l_linestatus"]))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         word_count, tokenize, map_pairs, key_partition, local_combine, combine_then_reduce, sorted_partition_output, partition_histogram, node_partition_totals, task_assignment, locality,
         place_modulo, place_locality_capped, place_load_heap, load_report, ordered_items, sum_by_key, python_reducer, nonstring_key_partition, ordinal_suffix, truncated_seconds, record_export,
         python_map, count_merged, sink_round_trip, map_output_round_trip, text_directory_count, record_round_trip, placement_quality, place_all_locality_capped,
+        stream_tumbling_windows, stream_sessions, as_of_join, interval_join, cube_distinct, rollup_distinct,
     )
 } | {
     "shuffle_plan_modulo": _shuffle(placement.MODULO),
@@ -323,3 +383,21 @@ FROM nation""",
     "task_lists_load_heap": _GREEDY + _HEAP + " SELECT node, row_number() OVER (PARTITION BY node ORDER BY locality DESC, step) AS seq, pid FROM gh WHERE step > 0",
 }
 ORACLES["text_directory_count"], ORACLES["record_round_trip"] = ORACLES["word_count"], ORACLES["record_export"]
+_LEVELS = "count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity, max(l_extendedprice) AS dearest, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_partkey) AS parts FROM (SELECT *, CAST(year(l_shipdate) AS INTEGER) AS year FROM lineitem) l"
+_WINDOW = "count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents, max(event_id) AS last_id"
+ORACLES |= {
+    "stream_tumbling_windows": f"SELECT epoch_us(date_trunc('hour', ts)) AS start_us, event_type, {_WINDOW} FROM events GROUP BY ALL",
+    "stream_sessions": f"""
+WITH a AS (SELECT *, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
+b AS (SELECT *, sum(CASE WHEN us - before < 43200000000 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM a)
+SELECT min(us) AS start_us, max(us) + 43200000000 AS end_us, user_id, {_WINDOW} FROM b GROUP BY user_id, session""",
+    "as_of_join": """
+SELECT p.event_id, v.event_id AS view_id
+FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts""",
+    "interval_join": """
+WITH e AS (SELECT event_id, epoch_us(ts) AS s, epoch_us(ts) + CAST(trunc(value * 60000000) AS BIGINT) AS e FROM events WHERE event_type = 'error'),
+p AS (SELECT event_id, epoch_us(ts) AS s, epoch_us(ts) + 600000000 AS e FROM events WHERE event_type = 'purchase')
+SELECT e.event_id AS error_id, p.event_id AS purchase_id FROM e JOIN p ON e.s < p.e AND p.s < e.e WHERE e.s < e.e""",
+    "cube_distinct": f"SELECT l_returnflag, l_linestatus, year, CAST(grouping(l_returnflag, l_linestatus, year) AS INTEGER) AS level, {_LEVELS} GROUP BY CUBE (l_returnflag, l_linestatus, year)",
+    "rollup_distinct": f"SELECT year, l_returnflag, l_linestatus, CAST(grouping(year, l_returnflag, l_linestatus) AS INTEGER) AS level, {_LEVELS} GROUP BY ROLLUP (year, l_returnflag, l_linestatus)",
+}
