@@ -1,12 +1,13 @@
 """Document fingerprints: a homomorphic hash of the multiset of a text's paragraphs. DataFrame functions only.
 
 A fingerprint is a vector of sums. Its first part adds, for every paragraph (a line), eight 32-bit hashes, modulo
-2^32: equality whatever the order. Its second part adds, for every stretch of a paragraph, 128 bits (two hashes), each
-into a lane of its own, two lanes of 32 bits in a sum; lanes never carry into each other, as no text has 2^31 stretches.
-With n stretches, the lanes 2c - n are an unbiased sketch of the multiset of stretches, and the cosine of two of them
+2^32: equality whatever the order. Its second part adds, for every feature of a paragraph, 128 bits (two hashes), each
+into a lane of its own, two lanes of 32 bits in a sum; lanes never carry into each other, as no text has 2^31 features.
+With n features, the lanes 2c - n are an unbiased sketch of the multiset of features, and the cosine of two of them
 estimates the cosine of the multisets with a standard error of 1 / sqrt(128), 0.09, at most.
-Stretches are cut where the content says so (behind certain characters), so that text put in or taken out changes the
-stretches around it and leaves the others as they are.
+Features are the paragraph itself and those windows of GRAM code points at any place in it whose hash says so, one of
+EACH: which are taken depends on their content alone, in any script, so that text put in or taken out changes the windows
+it touches and leaves the others as they are.
 A paragraph is inserted or deleted by adding or subtracting its vector (`combine`).
 """
 
@@ -17,12 +18,12 @@ from pyspark.sql import functions as F
 
 from .shared import row_key, stash, texts
 
-#: A stretch ends behind one of LAST, or, in lines of over 1.5 bytes a code point, of WIDE, and has LONGEST code points at most.
-LAST, WIDE, LONGEST = "pvwqPVW7.!?", "pvwqPVW7.!?пвшжПВπφβψפצקفقص。，！？ぁ-くア-カ一-嗿가-듿", 64
-#: Code points of a line whose stretches are in memory at once; a stretch ends at their end too.
-BLOCK = 65_536
-STRETCH, WIDE_STRETCH = (rf"[^{c}]{{1,{LONGEST - 1}}}+[{c}]?|[{c}]" for c in (LAST, WIDE))
-HASHES, SHIFTS = 2, 32  # hashes of a stretch; each gives SHIFTS sums of two lanes
+#: Code points of a window, and how many windows there are for each that is taken.
+GRAM, EACH = 8, 8
+#: Code points at which the windows begin that are in memory at once; a piece of a line has what its last windows reach into.
+PIECE = 65_536
+PIECES, WINDOWS = rf"(?s)(?=(.{{1,{PIECE + GRAM - 1}}})).{{1,{PIECE}}}", rf"(?s)(?=(.{{{GRAM}}}))."
+HASHES, SHIFTS = 2, 32  # hashes of a feature; each gives SHIFTS sums of two lanes
 FIELD, LANE = 1 | 1 << 32, 0xFFFFFFFF
 WORDS = [f"e{i}" for i in range(8)]
 SUMS = [f"s{i}" for i in range(HASHES * SHIFTS)]
@@ -37,16 +38,17 @@ def vectors(rows: DataFrame, key: str, text: str) -> DataFrame:
     """
     lines = rows.select(key, F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
     hashes = [F.xxhash64(F.lit(i), "line").alias(f"h{i}") for i in range(4)]
-    blocks = F.when(F.length("line") <= BLOCK, F.array("line")).otherwise(F.regexp_extract_all("line", F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0)))
-    lines = lines.select(key, "at", *hashes, F.posexplode(blocks).alias("of", "block"))
-    cut = lambda pattern: F.regexp_extract_all("block", F.lit(pattern), F.lit(0))
-    pieces = F.when(2 * F.octet_length("block") > 3 * F.length("block"), cut(WIDE_STRETCH)).otherwise(cut(STRETCH))
-    parts = lines.select(key, "at", "of", *(f"h{i}" for i in range(4)), F.posexplode_outer(pieces).alias("pos", "piece"))
-    first = (F.coalesce(F.col("pos"), F.lit(0)) == 0) & (F.col("of") == 0)
+    pieces = F.concat(F.array("line"), F.regexp_extract_all("line", F.lit(PIECES), F.lit(1)))
+    lines = lines.select(key, "at", *hashes, F.posexplode(pieces).alias("of", "piece"))
+    first = F.col("of") == 0
+    # a match consumes one code point of its window, so that there is a window at each that has GRAM of them
+    features = F.when(first, F.array("piece")).otherwise(F.regexp_extract_all("piece", F.lit(WINDOWS), F.lit(1)))
+    parts = lines.select(key, "at", "of", *(f"h{i}" for i in range(4)), F.explode(features).alias("feature"))
+    parts = parts.where(first | (F.pmod(F.xxhash64(F.lit(9), "feature"), F.lit(EACH)) == 0))
     whole = [F.when(first, x).otherwise(F.lit(0).cast("long")) for i in range(4) for x in (F.shiftrightunsigned(f"h{i}", 32), F.col(f"h{i}").bitwiseAND(F.lit(LANE)))]
-    piece = F.coalesce("piece", F.lit(""))
     start = F.when(first & (F.col("at") == 0), 1).otherwise(0).alias("start")
-    parts = parts.select(key, start, *(x.alias(n) for x, n in zip(whole, WORDS)), *(F.xxhash64(F.lit(10 + i), piece).alias(f"p{i}") for i in range(HASHES)))
+    kind = F.when(first, 20).otherwise(10)  # a line of GRAM code points is another feature than its window
+    parts = parts.select(key, start, *(x.alias(n) for x, n in zip(whole, WORDS)), *(F.xxhash64(kind + i, "feature").alias(f"p{i}") for i in range(HASHES)))
     sums = [F.sum(F.shiftrightunsigned(f"p{i}", j).bitwiseAND(F.lit(FIELD))).alias(SUMS[i * SHIFTS + j]) for i in range(HASHES) for j in range(SHIFTS)]
     summed = parts.groupBy(key).agg(F.sum("start").alias("repeats"), *(F.sum(n).alias(n) for n in WORDS), *sums, F.count(F.lit(1)).alias("pieces"))
     once = lambda n: F.expr(f"{n} div repeats")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .grams import Memo, grams
 from .shared import slices, texts
-from .toxicity import fitted
+from .toxicity import TEXT_BYTES, fitted
 
 LOW, HIGH, BITS = 1, 4, 18
 #: Rows that the classifier is fitted on, at most.
@@ -114,8 +114,9 @@ def scorer(model: dict):
     return apply
 
 
-def fit(docs: DataFrame, labelled: DataFrame, label: str = "lang", sample: int = SAMPLE) -> dict:
-    return fitted(labelled, docs, label, train, sample)
+def fit(docs: DataFrame, labelled: DataFrame, label: str = "lang", sample: int = SAMPLE, most: int = TEXT_BYTES) -> dict:
+    """A model of at most `sample` labelled rows, and of about `most` bytes of text."""
+    return fitted(labelled, docs, label, train, sample, most)
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:

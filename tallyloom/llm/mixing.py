@@ -215,20 +215,15 @@ def mix(docs: DataFrame, sources: Column, share: float = SHARE, most: int = MOST
 
 
 def repeated(docs: DataFrame, mixed: DataFrame, seed: int = 17) -> DataFrame:
-    """The rows of docs, with all their columns, as often as mix() takes them; a part is the text's first words.
+    """The rows of docs, with all their columns, as often as mix() takes them: whole texts only, so that what is taken in
+    part, a document at a source's threshold, comes once more if half of it or more is taken.
 
-    Repeated rows of one doc_id and text are drawn as one. A column n_chars follows the text.
+    Repeated rows of one doc_id and text are drawn as one.
     """
-    key, taken, size, part = (own_name(n, docs) for n in ("key", "taken", "size", "part"))
+    key, taken, size = (own_name(n, docs) for n in ("key", "taken", "size"))
     of = lambda draw, doc_id: F.concat(draw.cast("string"), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit("")))
     doc_id = F.col("doc_id").cast("long")
     rows = docs.withColumn(key, of(draw_of(seed, doc_id, F.col("text")), doc_id)).dropDuplicates([key])
     sums = mixed.groupBy(of(F.col("draw"), F.col("doc_id")).alias(key)).agg(F.sum("taken").alias(taken), F.max("size").alias(size)).where(F.col(taken) > 0)
-    rows = rows.join(sums, key)
-    whole, rest = F.floor(F.col(taken) / F.col(size)).cast("int"), F.col(taken) % F.col(size)
-    rows = rows.withColumn(part, F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))))
-    words = F.regexp_extract_all("text", F.lit(f"[{SPACES}]*[^{SPACES}]+"), F.lit(0))
-    rows = rows.withColumn("text", F.when(F.col(part) == 0, F.col("text")).otherwise(F.concat_ws("", F.slice(words, F.lit(1), F.greatest(F.lit(1), F.col(part)).cast("int")))))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col(part) == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return rows.select(docs.columns)
+    times = F.expr(f"cast((2 * `{taken}` + `{size}`) div (2 * `{size}`) as int)")
+    return rows.join(sums, key).select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.array_repeat(F.lit(1), times)).alias(taken)).select(docs.columns)

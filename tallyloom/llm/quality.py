@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from .grams import fit_logistic, logistic
 from .shared import slices, texts
-from .toxicity import fitted
+from .toxicity import TEXT_BYTES, fitted
 
 #: Rows that the field is fitted on, at most.
 SAMPLE = 6_000
@@ -167,8 +167,9 @@ def score_texts(values: list[str], model: dict) -> np.ndarray:
     return logistic(model["slope"] * badness(e, size, counts, model["moves"]) + model["bias"])
 
 
-def fit(docs: DataFrame, labelled: DataFrame, label: str = "quality", sample: int = SAMPLE) -> dict:
-    return fitted(labelled, docs, label, lambda t, y: train(t, np.array(y, float)), sample)
+def fit(docs: DataFrame, labelled: DataFrame, label: str = "quality", sample: int = SAMPLE, most: int = TEXT_BYTES) -> dict:
+    """A model of at most `sample` labelled rows, and of about `most` bytes of text."""
+    return fitted(labelled, docs, label, lambda t, y: train(t, np.array(y, float)), sample, most)
 
 
 def quality(docs: DataFrame, model: dict) -> DataFrame:

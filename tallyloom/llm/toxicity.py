@@ -87,12 +87,13 @@ def scorer(model: dict):
 def fitted(labelled: DataFrame, docs: DataFrame, label: str, train_on, sample: int, most: int = TEXT_BYTES) -> dict:
     """Joins at most `sample` labelled rows (doc_id and the label) to their texts and trains in one task.
 
-    Of texts that share a doc_id the one of least hash is taken. Texts are taken by the hash of doc_id until their bytes
-    come to `most`; a text that doesn't fit in any more is left out.
+    Of texts that share a doc_id the one of least hash is taken. Texts are taken whole in the order of the hash of doc_id,
+    which tells nothing of their length, and the first one that brings their bytes over `most` ends the sample (it is
+    taken if there is none before it). So memory is bounded by `most`, or by one text.
     """
     rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("string").alias("label")).where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = texts(docs).where(F.octet_length("text") <= most).join(F.broadcast(rows), "doc_id")
+    rows = texts(docs).join(F.broadcast(rows), "doc_id")
     rows = rows.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).withColumn("place", F.xxhash64("doc_id"))
     rows = rows.repartition(1).sortWithinPartitions("place", "doc_id").select("doc_id", "text", "label")
 
@@ -100,8 +101,8 @@ def fitted(labelled: DataFrame, docs: DataFrame, label: str, train_on, sample: i
         ids, values, labels, left = [], [], [], most
         for b in batches:
             for doc, text, y, size in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "label")), pc.binary_length(b.column("text")).to_pylist()):
-                if size <= left:
-                    left -= size
+                left -= size
+                if left >= 0 or not ids:
                     ids.append(doc)
                     values.append(text)
                     labels.append(y)
@@ -112,8 +113,9 @@ def fitted(labelled: DataFrame, docs: DataFrame, label: str, train_on, sample: i
     return pickle.loads(found[0][0]) if found else train_on([], [])
 
 
-def fit(docs: DataFrame, labelled: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> dict:
-    return fitted(labelled, docs, label, lambda t, y: train(t, np.array(y, float)), sample)
+def fit(docs: DataFrame, labelled: DataFrame, label: str = "toxic", sample: int = SAMPLE, most: int = TEXT_BYTES) -> dict:
+    """A model of at most `sample` labelled rows, and of about `most` bytes of text."""
+    return fitted(labelled, docs, label, lambda t, y: train(t, np.array(y, float)), sample, most)
 
 
 def toxicity(docs: DataFrame, model: dict) -> DataFrame:
