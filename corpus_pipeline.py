@@ -41,7 +41,7 @@ def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it whole; what is taken in part is the text's first words."""
+    """Repeats each document as often as the mix takes it; texts stay whole, so one taken in part comes if half of it or more is taken."""
     mixed = mixing.mix(docs, F.array("source"))
     return mixing.repeated(docs, mixed)
 
