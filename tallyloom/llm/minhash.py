@@ -5,9 +5,9 @@
    round that meets it. So every coordinate is filled after 2 * T rounds, large sets are done after one or two, and the
    coordinates in which two sketches agree are concentrated about the sets' Jaccard similarity like independent draws.
 2. Sets that agree in all ROWS coordinates of a band share a tile. A pair of similarity s shares none with a probability of
-   (1 - s ** ROWS) ** BANDS: 1.4e-7 at 0.8, 2.4e-10 at 0.85.
+   (1 - s ** ROWS) ** BANDS: 1.3e-7 at 0.8, 6e-11 at 0.85.
 3. Tiles are decided as those of the n-gram join: leaders, components, pairs in bounded blocks, bitmaps first, and each
-   link confirmed on the full sets. No tile is capped; a hot one is divided by the n-grams that linked sets must share.
+   link confirmed on the full sets. No tile is capped; the sets of hot ones go to tiles of the n-grams that linked sets must share.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .jaccard import component_ids, describe, linked
 from .wordhash import mix, mix_other
 
-BANDS, ROWS = 30, 4
+BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
 SEED = np.uint64(0xA0761D6478BD642F)
 #: N-grams thrown at a time, so that a long text's hashes aren't all held at once.
