@@ -26,7 +26,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import SPACES, discard, own_name, row_key, shuffle_parts, slices, stash, texts
@@ -34,7 +34,7 @@ from .wordhash import mix, mix_other, runs_of_words, text_bytes, words
 
 #: Members of a tile whose pairs are listed by size alone, of a block of a larger tile, members outside its largest
 #: component from which on a tile is divided, how often at most, and rounds of further leaders before that.
-FEW, BLOCK, HOT, DEEPEST, ROUNDS = 16, 256, 256, 3, 4
+FEW, BLOCK, HOT, DEEPEST, ROUNDS = 16, 256, 1024, 3, 4
 #: The sketch of popular n-grams has 2 ** CELLS counts, in parts of PART.
 CELLS, PART = 24, 1 << 16
 SEED, SEED_B = np.uint64(0x51ED270B7A1F39C5), np.uint64(0x8CB92BA72F3D8DD7)
@@ -412,23 +412,6 @@ def divided(rows: DataFrame, levels, share: int, k: int) -> DataFrame:
     return rows.select("tile", "key", "at", "hashes").mapInArrow(apply, "tile long, key long, at int")
 
 
-def refiled(sets: DataFrame, share: int) -> DataFrame:
-    """tile, key, at: the sets in tiles of their first n-grams by hash. sets: key, hashes."""
-
-    def apply(batches):
-        none = [np.zeros(0, np.int64)]
-        for b in batches:
-            keys, tiles, places = [], [], []
-            for key, raw in zip(b.column("key").to_pylist(), b.column("hashes")):
-                s = np.frombuffer(raw.as_buffer(), np.uint64)
-                tiles.append(filed(s, share).view(np.int64))
-                keys.append(np.full(len(tiles[-1]), key, np.int64))
-                places.append((np.arange(len(tiles[-1])) % prefix(len(s), share)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tiles or none)), pa.array(np.concatenate(keys or none)), pa.array(np.concatenate(places or none).astype(np.int32))], ["tile", "key", "at"])
-
-    return sets.mapInArrow(apply, "tile long, key long, at int")
-
-
 def undecided(told: DataFrame) -> DataFrame:
     """The rows (tile, key, label, ...) of tiles that hold several components, with the tile's number of members, those
     outside its largest component, and that component's label."""
@@ -469,10 +452,9 @@ def led_on(tiles: DataFrame, labels: DataFrame, maps: DataFrame, link, share: in
 def pairs_left(told: DataFrame, maps: DataFrame, sets_of_keys, levels, share: int) -> DataFrame:
     """Candidate pairs of different components in the tiles. told: tile, key, n, label.
 
-    Tiles of n-grams are divided by further ones. The members of other hot tiles (levels is None) go to tiles of n-grams
-    first, once each and not for every tile, as linked sets share one of those.
+    Tiles of n-grams are divided by further ones; other tiles (levels is None) by n-grams from the first on.
     """
-    rest = stash(undecided(told.select("tile", "key", "n", "label", F.lit(None).cast("int").alias("at"))), "undecided")
+    rest = stash(undecided(told.select("tile", "key", "n", "label", F.lit(-1 if levels is None else None).cast("int").alias("at"))), "undecided")
     out, done, size, outside = [], [], F.col("members"), F.col("outside")
     with_bits = lambda rows: rows.join(maps.select("key", "bits"), "key")
     for k in range(levels is not None, DEEPEST + 2):
@@ -488,7 +470,7 @@ def pairs_left(told: DataFrame, maps: DataFrame, sets_of_keys, levels, share: in
             break
         names = rest.select("key", "n", "label").distinct()
         sets = sets_of_keys(names.select("key"))
-        parts = divided(rest.join(sets, "key"), levels, share, k) if k else refiled(sets, share)
+        parts = divided(rest.join(sets, "key"), levels, share, k)
         rest = stash(undecided(parts.join(names, "key")), "undecided")
         discard(sets)
     discard(*done)
@@ -514,8 +496,8 @@ def linked(docs: DataFrame, width: int, share: int, filing: Callable[[DataFrame,
     plain = stash(entries.join(counts, "tile"), "tiles")
     names, maps = stash(classes.drop("tiles", "bits"), "names"), stash(classes.select("key", "n", "bits"), "bitmaps")
     discard(classes)
-    weight = plain.groupBy("key").agg(F.sum("members").alias("weight"))
-    shared_ = stash(plain.join(weight, "key"), "weighed")
+    # a key has no more entries than its own n-grams, or bands
+    shared_ = stash(plain.withColumn("weight", F.sum("members").over(Window.partitionBy("key"))), "weighed")
     discard(plain)
     leaders = shared_.groupBy("tile").agg(F.max(F.struct("weight", F.negative("n").alias("n"), F.col("key").alias("leader"))).alias("top"))
     pairs = shared_.join(leaders, "tile").where((F.col("key") != F.col("top.leader")) & (100 * F.least(F.col("n"), -F.col("top.n")) >= share * F.greatest(F.col("n"), -F.col("top.n"))))
