@@ -46,7 +46,8 @@ def family(seed=3, n=60):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     got, want = queries.QUERIES[name](spark, DATA), con.sql(queries.ORACLES[name])
     order = sorted(want.columns)
     assert sorted(got.columns) == order
