@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Keys that a task's partial results of a Python reducer hold at a time.
-HELD = 100_000
+from .aggregates import Fold, aggregate
 
 
 @dataclass(frozen=True)
@@ -74,47 +73,7 @@ class Application:
             return pairs.groupBy(*keep, "key").agg(self.reduce(F.col("value")).cast(self.value_type).alias("value"))
         if self.reduce_fn is None:
             return pairs.select(*keep, "key", "value")
-        return self._folded(pairs.select(*keep, "key", "value"), *keep)
-
-    def _folded(self, pairs: DataFrame, *keep: str) -> DataFrame:
-        """reduce_fn over each task's records, then over the tasks' results, which come sorted by key: no task holds
-        more than HELD keys, and none holds a key's records."""
-        fn, held, arrow = self.reduce_fn, HELD, to_arrow_schema(pairs.schema)
-
-        def batch_of(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
-
-        def by_task(batches):
-            found = {}
-            for batch in batches:
-                for *at, value in zip(*(c.to_pylist() for c in batch.columns)):
-                    at = tuple(at)
-                    found[at] = fn((at[-1], found[at]), (at[-1], value))[1] if at in found else value
-                    if len(found) >= held:
-                        yield batch_of([(*k, v) for k, v in found.items()])
-                        found = {}
-            if found:
-                yield batch_of([(*k, v) for k, v in found.items()])
-
-        def by_key(batches):
-            last, total, done = None, None, []
-            for batch in batches:
-                for *at, value in zip(*(c.to_pylist() for c in batch.columns)):
-                    if at == last:
-                        total = fn((at[-1], total), (at[-1], value))[1]
-                        continue
-                    if last is not None:
-                        done.append((*last, total))
-                    last, total = at, value
-                if done:
-                    yield batch_of(done)
-                    done = []
-            if last is not None:
-                yield batch_of([(*last, total)])
-
-        keys = [*keep, "key"]
-        partial = pairs.mapInArrow(by_task, pairs.schema)
-        return partial.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(by_key, pairs.schema)
+        return aggregate(pairs, [*keep, "key"], [F.col("value")], Fold(self.reduce_fn, self.value_type))
 
 
 _registry: dict[str, Application] = {}

@@ -5,10 +5,12 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import partition_id
+from ..sources import versions
 from .apps import Application, application
 
 
@@ -66,6 +68,37 @@ def write_map_output(job: Job, items: DataFrame, path: str, overwrite: bool = Tr
     rows.repartition("node", "pid").sortWithinPartitions("node", "pid", "key").write.mode("overwrite" if overwrite else "errorifexists").partitionBy("node", "pid").parquet(path)
 
 
+def publish(job: Job, items: DataFrame, path: str) -> tuple[int, list[tuple[str, int, int]]]:
+    """Runs a job and makes its result the one that versions.read(path) gives, all at once; its number, and the phases.
+
+    A phase is its name, its records, and the bytes of their keys: of all records that were mapped, and of those that were
+    reduced. They are counted while the job runs, by the tasks that succeed. The manifest keeps them as notes.
+    """
+    app = job.application
+    size = F.sum(F.octet_length(F.col("key").cast("string"))) if app.key_type != "binary" else F.sum(F.octet_length("key"))
+    measures = [F.count(F.lit(1)).alias("rows"), F.coalesce(size, F.lit(0)).alias("bytes")]
+    seen = {phase: Observation(phase) for phase in ("map", "reduce")}
+    mapped = app.pairs(items).observe(seen["map"], *measures)
+    result = with_partition(app.reduced(mapped).observe(seen["reduce"], *measures), job).select("pid", "key", "value")
+    phases = []
+
+    def told(o: Observation) -> tuple[int, int]:
+        try:
+            return o.get["rows"], o.get["bytes"]
+        except Py4JJavaError as e:
+            if "AssertionError" not in str(e.java_exception):
+                raise
+            return 0, 0  # an input that Spark knows to be empty isn't run, so its observation has no row
+
+    def written(folder: str) -> None:
+        write(job, result, folder)
+        phases.extend((phase, *told(o)) for phase, o in seen.items())
+        notes["phases"] = phases
+
+    notes: dict = {}
+    return versions.publish(items.sparkSession, path, written, notes=notes), phases
+
+
 def timed(job: Job, items: DataFrame, path: str, overwrite: bool = True) -> tuple[DataFrame, float]:
     """Runs and writes a job; what was written, read back, and the seconds it took."""
     began = time.time()

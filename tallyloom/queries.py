@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from .functions.text import ordinal, partition_id, seconds
 from .functions.time import micros
-from .operators import apps, engine, intervals, lattice, order, stats
+from .operators import aggregates, apps, engine, intervals, lattice, order, sketches, stats
 from .plans import placement
-from .sources import records
-from .sources.scratch import scratch_root
+from .sources import records, versions
+from .sources.scratch import scratch_root, stash
 from .sources.text import items, text_column, text_directory
 from .streaming import windows
 
@@ -196,7 +196,7 @@ def place_all_locality_capped(spark, sf_dir):
 
 
 def ordinal_suffix(spark, sf_dir):
-    n = spark.range(1, 31).select(F.col("id").alias("n"))
+    n = _table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).cast("long").alias("n"))
     return n.select("n", ordinal(F.col("n")).alias("label"))
 
 
@@ -274,13 +274,45 @@ def rollup_distinct(spark, sf_dir):
     return _levels(spark, sf_dir, lattice.rollup(["year", "l_returnflag", "l_linestatus"]))
 
 
+def weighted_median(spark, sf_dir):
+    """Lines, their summed quantity, and the price that half of the quantity was sold at or below, by return flag."""
+    lines = _table(spark, sf_dir, "lineitem")
+    return aggregates.aggregate(lines, ["l_returnflag"], [F.col("l_extendedprice").cast("double"), F.col("l_quantity").cast("long")], aggregates.WeightedMedian())
+
+
+def published_word_count(spark, sf_dir):
+    """The word count as the result that a manifest names."""
+    path = f"{scratch_root(spark)}/published-{uuid.uuid4().hex}"
+    engine.publish(JOB, _words(spark, sf_dir), path)
+    return versions.read(spark, path).select(F.col("partition_id").cast("int").alias("pid"), F.col("key").alias("word"), F.col("value").alias("n"))
+
+
+def job_metrics(spark, sf_dir):
+    """Records and bytes of keys that the phases of a word count saw."""
+    _, phases = engine.publish(JOB, _words(spark, sf_dir), f"{scratch_root(spark)}/measured-{uuid.uuid4().hex}")
+    return spark.createDataFrame(phases, "phase string, rows long, bytes long")
+
+
+def sketches_of_days(spark, sf_dir):
+    """Sketches of each day's events, merged by type; whether they are within 5 % of the users and 2 % of the values' ranks."""
+    events, ranks = _table(spark, sf_dir, "events"), (0.1, 0.25, 0.5, 0.75, 0.9)
+    by_day = stash(sketches.states(events.withColumn("day", F.to_date("ts")), ["event_type", "day"], {"users": F.col("user_id")}, {"values": F.col("value")}), "days")
+    merged = sketches.merged([by_day], ["event_type"], ["users"], ["values"])
+    told = stash(sketches.estimates(merged, ["event_type"], ["users"], ["values"], ranks), "estimates")
+    at = [F.col("values")[i] for i in range(len(ranks))]
+    counts = [F.count(F.when(F.col("value") < q, 1)).alias(f"below{i}") for i, q in enumerate(at)] + [F.count(F.when(F.col("value") <= q, 1)).alias(f"upto{i}") for i, q in enumerate(at)]
+    exact = events.join(told, "event_type").groupBy("event_type", "values_n", F.col("users").alias("told")).agg(F.countDistinct("user_id").alias("exact"), *counts)
+    near = [(F.col(f"below{i}") <= (r + 0.02) * F.col("values_n")) & (F.col(f"upto{i}") >= (r - 0.02) * F.col("values_n")) for i, r in enumerate(ranks)]
+    return exact.select("event_type", F.col("values_n").alias("n"), (F.abs(F.col("told") - F.col("exact")) <= 0.05 * F.col("exact")).alias("users_near"), F.array_min(F.array(*near)).alias("values_near"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         word_count, tokenize, map_pairs, key_partition, local_combine, combine_then_reduce, sorted_partition_output, partition_histogram, node_partition_totals, task_assignment, locality,
         place_modulo, place_locality_capped, place_load_heap, load_report, ordered_items, sum_by_key, python_reducer, nonstring_key_partition, ordinal_suffix, truncated_seconds, record_export,
         python_map, count_merged, sink_round_trip, map_output_round_trip, text_directory_count, record_round_trip, placement_quality, place_all_locality_capped,
-        stream_tumbling_windows, stream_sessions, as_of_join, interval_join, cube_distinct, rollup_distinct,
+        stream_tumbling_windows, stream_sessions, as_of_join, interval_join, cube_distinct, rollup_distinct, weighted_median, published_word_count, job_metrics, sketches_of_days,
     )
 } | {
     "shuffle_plan_modulo": _shuffle(placement.MODULO),
@@ -370,7 +402,7 @@ gf AS (
   SELECT x.k, x.pid, CAST(list_position(gf.loads, list_min(gf.loads)) - 1 AS INTEGER), list_transform(gf.loads, lambda v, i: CASE WHEN i = list_position(gf.loads, list_min(gf.loads)) THEN v + x.tot ELSE v END)
   FROM gf JOIN x ON x.k = gf.k + 1)
 SELECT pid, node, true AS placed FROM gc WHERE step > 0 UNION ALL SELECT pid, node, false FROM gf WHERE k > 0""",
-    "ordinal_suffix": "SELECT range AS n, CASE range WHEN 1 THEN '1st' WHEN 2 THEN '2nd' WHEN 3 THEN '3rd' ELSE CAST(range AS VARCHAR) || 'th' END AS label FROM range(1, 31)",
+    "ordinal_suffix": "SELECT n, CASE n WHEN 1 THEN '1st' WHEN 2 THEN '2nd' WHEN 3 THEN '3rd' ELSE CAST(n AS VARCHAR) || 'th' END AS label FROM (SELECT CAST(n_nationkey + 1 AS BIGINT) AS n FROM nation) x",
     "truncated_seconds": "SELECT event_id, CAST(trunc(event_id / 4096 * 1000) AS BIGINT) / 1000 AS s FROM events",
     "record_export": r"""
 SELECT concat_ws(chr(9), n_name, '2', '100', n_nationkey, n_nationkey + 0.5::DOUBLE, n_regionkey + 0.25::DOUBLE, n_nationkey + 1.5::DOUBLE, n_regionkey + 1.25::DOUBLE, n_nationkey + 2.5::DOUBLE, n_regionkey + 2.25::DOUBLE, n_nationkey + 3.5::DOUBLE) || chr(9) AS line
@@ -400,4 +432,12 @@ p AS (SELECT event_id, epoch_us(ts) AS s, epoch_us(ts) + 600000000 AS e FROM eve
 SELECT e.event_id AS error_id, p.event_id AS purchase_id FROM e JOIN p ON e.s < p.e AND p.s < e.e WHERE e.s < e.e""",
     "cube_distinct": f"SELECT l_returnflag, l_linestatus, year, CAST(grouping(l_returnflag, l_linestatus, year) AS INTEGER) AS level, {_LEVELS} GROUP BY CUBE (l_returnflag, l_linestatus, year)",
     "rollup_distinct": f"SELECT year, l_returnflag, l_linestatus, CAST(grouping(year, l_returnflag, l_linestatus) AS INTEGER) AS level, {_LEVELS} GROUP BY ROLLUP (year, l_returnflag, l_linestatus)",
+    "weighted_median": """
+WITH a AS (
+  SELECT l_returnflag, l_extendedprice AS price, CAST(l_quantity AS BIGINT) AS w, sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_returnflag) AS total,
+    sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) AS running FROM lineitem)
+SELECT l_returnflag, count(*) AS n, CAST(sum(w) AS BIGINT) AS weight, CAST(min(CASE WHEN 2 * running >= total THEN price END) AS DOUBLE) AS median FROM a GROUP BY l_returnflag""",
+    "published_word_count": _PLAIN + f" SELECT pid, word, n FROM {_MERGED}",
+    "job_metrics": _PLAIN + " SELECT 'map' AS phase, count(*) AS rows, CAST(sum(octet_length(encode(word))) AS BIGINT) AS bytes FROM t UNION ALL SELECT 'reduce', count(*), CAST(sum(octet_length(encode(word))) AS BIGINT) FROM (SELECT DISTINCT word FROM t) u",
+    "sketches_of_days": "SELECT event_type, count(value) AS n, true AS users_near, true AS values_near FROM events GROUP BY event_type",
 }

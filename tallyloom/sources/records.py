@@ -20,14 +20,15 @@ RECORD = T.StructType(
         T.StructField("partitions", T.IntegerType()),
         T.StructField("nodes", T.IntegerType()),
         T.StructField("volume", T.IntegerType()),
+        T.StructField("phases", T.ArrayType(T.StructType([T.StructField("phase", T.StringType()), T.StructField("rows", T.LongType()), T.StructField("bytes", T.LongType())]))),
     ]
 )
 
 
 def append(spark: SparkSession, path: str, **values) -> str:
-    """Adds a record with an id of its own, so that jobs of one second don't replace each other."""
+    """Adds a record with an id of its own, so that jobs of one second don't replace each other. Fields not given are null."""
     job = uuid.uuid4().hex
-    row = tuple(job if f.name == "job" else values[f.name] for f in RECORD.fields)
+    row = tuple(job if f.name == "job" else values.get(f.name) for f in RECORD.fields)
     spark.createDataFrame([row], RECORD).coalesce(1).write.mode("append").json(path)
     return job
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallyloom import queries
 from tallyloom.__main__ import submit
 from tallyloom.functions.text import byte_sum, ordinal, partition_id, split_words
-from tallyloom.operators import apps, engine, order, stats
+from tallyloom.operators import aggregates, apps, engine, order, stats
 from tallyloom.plans import benchmark, placement
 from tallyloom.sources import records
 from tallyloom.sources.text import items, text_column, text_directory
@@ -176,7 +176,7 @@ def test_python_reducer_leaves_single_records_untouched(spark):
 
 
 def test_python_reducer_holds_few_keys(spark, monkeypatch):
-    monkeypatch.setattr(apps, "HELD", 3)
+    monkeypatch.setattr(aggregates, "HELD", 3)
     app = apps.Application("longest", key=lambda x: F.substring(x, 1, 1), value=lambda x: x, value_type="string", reduce_fn=lambda a, b: max(a, b, key=lambda r: r[1] or ""))
     words = ["a", "ab", None, "b", "", "abc", "c", "cd", "d", None, "a"] * 7
     rows = spark.createDataFrame([(w,) for w in words], "item string").repartition(3)
