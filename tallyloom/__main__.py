@@ -24,6 +24,8 @@ def submit(spark: SparkSession, app: str, source: str, out: str, plan: str | Non
     """
     plan = placement.plan_name(plan)
     job = engine.Job(apps.application(app), partitions, nodes, plan)
+    if publish and not overwrite and versions.versions(spark, out):
+        raise ValueError(f"there is a result in {out}")
     lines = text_directory(spark, source)
     began = time.time()
     rows = items(stats.assign_named_nodes(lines, nodes), "node")
@@ -34,8 +36,6 @@ def submit(spark: SparkSession, app: str, source: str, out: str, plan: str | Non
     placed.write.mode("overwrite" if overwrite else "errorifexists").parquet(f"{out.rstrip('/')}-placement")
     planned = time.time()
     if publish:
-        if not overwrite and versions.versions(spark, out):
-            raise ValueError(f"there is a result in {out}")
         _, phases = engine.publish(job, items(lines), out)
         took = time.time() - planned
     else:

@@ -72,7 +72,8 @@ def publish(job: Job, items: DataFrame, path: str) -> tuple[int, list[tuple[str,
     """Runs a job and makes its result the one that versions.read(path) gives, all at once; its number, and the phases.
 
     A phase is its name, its records, and the bytes of their keys: of all records that were mapped, and of those that were
-    reduced. They are counted while the job runs, by the tasks that succeed. The manifest keeps them as notes.
+    reduced. They are counted while the job runs, by the tasks that succeed. The manifest keeps
+    them as notes, with the schema.
     """
     app = job.application
     size = F.sum(F.octet_length(F.col("key").cast("string"))) if app.key_type != "binary" else F.sum(F.octet_length("key"))
@@ -95,7 +96,7 @@ def publish(job: Job, items: DataFrame, path: str) -> tuple[int, list[tuple[str,
         phases.extend((phase, *told(o)) for phase, o in seen.items())
         notes["phases"] = phases
 
-    notes: dict = {}
+    notes: dict = {"schema": f"key {app.key_type}, value {app.value_type}, partition_id int"}
     return versions.publish(items.sparkSession, path, written, notes=notes), phases
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -106,17 +107,15 @@ def _forget(spark: SparkSession, path: str, kept: int) -> None:
         remove(spark, f"{path}/manifests/{n:012d}.json")
 
 
-def folders(spark: SparkSession, path: str, version: int | None = None) -> list[str]:
+def read(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The result at path, or one of its versions that is still kept, with the columns of partition folders.
+
+    Where the notes hold a schema (a DDL text), it is the result's, so that one without rows can be read too.
+    """
     numbers = versions(spark, path)
     if not numbers or version is not None and version not in numbers:
         raise ValueError(f"no result {'' if version is None else version} in {path}")
-    return [f"{path}/data/{f}" for f in manifest(spark, path, version or numbers[-1])["folders"]]
-
-
-def read(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """The result at path, or one of its versions that is still kept, with the columns of partition folders."""
-    parts = [spark.read.parquet(f) for f in folders(spark, path, version)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    named = manifest(spark, path, version or numbers[-1])
+    schema = named["notes"].get("schema")
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reduce(DataFrame.unionByName, (reader.parquet(f"{path}/data/{f}") for f in named["folders"]))
