@@ -9,6 +9,8 @@ lengths; a logistic curve fitted on the training documents turns it into the sco
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,8 +23,11 @@ from .toxicity import TEXT_BYTES, fitted
 SAMPLE = 6_000
 #: Bins of a feature, at most: their edges are quantiles over all lines and over the lines of bad documents.
 BINS = 16
-#: Lines of a training chain; a longer document is several chains in training. Scoring takes whole documents.
-CHAIN = 48
+#: Lines that are gone through one by one, in all documents at once; blocks of so many are then joined by their transfer
+#: matrices, so that a document is one chain whatever its length.
+BLOCK = 48
+#: Bytes whose kinds are counted at a time, and the length from which a line's words are taken one by one.
+PIECE = 1 << 20
 ROUNDS = 2
 
 LETTER_LOW, LETTER_UP, DIGIT, SPACE, STOP, BAR, OTHER, HIGH_BYTE = range(8)
@@ -32,6 +37,19 @@ KINDS[[32, 9, 10, 11, 12, 13]], KINDS[[46, 44, 59, 58, 63]], KINDS[124] = SPACE,
 N_FEATURES = 12
 
 
+def kinds_of(raw: list[bytes], size: np.ndarray) -> np.ndarray:
+    """How many bytes of each kind each line has."""
+    data, ends = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size)
+    out = np.zeros((len(raw), 8))
+    for a in range(0, len(data), PIECE):
+        z = min(a + PIECE, len(data))
+        first, last = np.searchsorted(ends, [a, z - 1], "right")
+        here = slice(first, last + 1)
+        of = np.repeat(np.arange(last + 1 - first), np.minimum(ends[here], z) - np.maximum(ends[here] - size[here], a))
+        out[here] += np.bincount(of * 8 + KINDS[data[a:z]], minlength=8 * (last + 1 - first)).reshape(-1, 8)
+    return out
+
+
 def line_features(values: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features by line, length of each line in bytes and one, number of lines of each text)."""
     lines, counts = [], []
@@ -41,15 +59,22 @@ def line_features(values: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         counts.append(len(own))
     raw = [x.encode("utf-8", "surrogatepass") for x in lines]
     size = np.fromiter(map(len, raw), np.int64, len(raw))
-    of = np.repeat(np.arange(len(raw)), size)
-    kinds = np.bincount(of * 8 + KINDS[np.frombuffer(b"".join(raw), np.uint8)], minlength=8 * len(raw)).reshape(-1, 8).astype(float)
+    kinds = kinds_of(raw, size)
     words, unique, most, same = np.zeros((4, len(raw)))
     before = None
     for i, x in enumerate(raw):
-        w = x.split()
-        words[i] = len(w)
-        unique[i] = len(set(w))
-        most[i] = max(map(len, w), default=0)
+        if len(x) < PIECE:
+            w = x.split()
+            words[i] = len(w)
+            unique[i] = len(set(w))
+            most[i] = max(map(len, w), default=0)
+        else:
+            distinct = set()
+            for m in re.finditer(rb"[^ \t-\r]+", x):
+                distinct.add(m.group())
+                words[i] += 1
+            unique[i] = len(distinct)
+            most[i] = max(map(len, distinct), default=0)
         same[i] = x == before
         before = x
     total = np.maximum(size, 1)
@@ -90,39 +115,60 @@ def marginals(e: np.ndarray, counts: np.ndarray, a: np.ndarray) -> np.ndarray:
     return out
 
 
+class Chains:
+    """Documents of so many lines each, in a row, cut into blocks for forward()."""
+
+    def __init__(self, counts: np.ndarray):
+        own = -(-counts // BLOCK)
+        nth = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+        self.start = np.repeat(np.cumsum(counts) - counts, own) + nth * BLOCK
+        self.size = np.minimum(BLOCK, np.repeat(counts, own) - nth * BLOCK)
+        self.of = np.repeat(np.arange(len(nth)), self.size)  # each line's block
+        self.first = nth == 0
+        self.order = np.argsort(-self.size, kind="stable")
+        self.alive = [int((self.size > t).sum()) for t in range(int(self.size.max()))]
+        by_place = np.argsort(nth, kind="stable")
+        self.later = np.split(by_place, np.cumsum(np.bincount(nth)))[1:-1]  # second blocks of documents, third ones, ...
+
+    def forward(self, emit: np.ndarray, a: np.ndarray) -> np.ndarray:
+        """Each line's logs of sums over the labellings of the lines up to it, by its own label.
+
+        Within its block a line's sums are made for either label before the block; the blocks' last sums are their
+        transfer matrices, which give what goes into each block, and so all lines' sums.
+        """
+        start, lone = self.start[self.order], self.first[self.order]
+        inside = np.empty((len(emit), 2, 2))  # by the label before the block, and the line's own
+        k = emit[start][:, None, :]
+        inside[start] = np.where(lone[:, None, None], np.stack([k[:, 0], np.full_like(k[:, 0], -1e9)], 1), a[None] + k)
+        for t in range(1, len(self.alive)):
+            at = start[: self.alive[t]] + t
+            before = inside[at - 1]
+            inside[at] = np.logaddexp(before[:, :, :1] + a[0], before[:, :, 1:] + a[1]) + emit[at][:, None, :]
+        whole = inside[self.start + self.size - 1]
+        into = np.zeros((len(self.start), 2))
+        for b in self.later:
+            into[b] = np.logaddexp(into[b - 1, :1] + whole[b - 1, 0], into[b - 1, 1:] + whole[b - 1, 1])
+        into = into[self.of]
+        return np.logaddexp(into[:, :1] + inside[:, 0], into[:, 1:] + inside[:, 1])
+
+
 def fit_field(on: np.ndarray, counts: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.1, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the indicators and transitions of the field, by gradient ascent on the labels' likelihood (Adam)."""
     width = 3 * N_FEATURES * BINS + 2
-    pieces = np.concatenate([np.r_[np.full(n // CHAIN, CHAIN), n % CHAIN] if n % CHAIN else np.full(n // CHAIN, CHAIN) for n in counts.tolist()]).astype(np.int64)
-    starts = np.cumsum(pieces) - pieces
-    order = np.argsort(-pieces, kind="stable")
-    pieces, starts = pieces[order], starts[order]
-    alive = [int((pieces > t).sum()) for t in range(int(pieces.max()))]
+    ahead, back = Chains(counts), Chains(counts[::-1])
+    lines, ends = len(on), np.cumsum(counts)
+    at = np.delete(np.arange(lines), ends - 1)  # lines with a line after them
+    seen = np.bincount(y[at] * 2 + y[at + 1], minlength=4).reshape(2, 2)
+    last = np.repeat(ends - 1, counts)
     p, m, v = np.zeros((3, width + 4))
-    lines = len(on)
     for step in range(1, rounds + 1):
         w, a = p[:width], p[width:].reshape(2, 2)
-        e = np.clip(w[on].sum(1), -30, 30)
-        emit = np.stack([np.zeros(lines), e], 1)
-        f = np.zeros((len(alive), len(pieces), 2))
-        f[0] = emit[starts]
-        for t in range(1, len(alive)):
-            k = alive[t]
-            f[t, :k] = np.logaddexp(f[t - 1, :k, :1] + a[0], f[t - 1, :k, 1:] + a[1]) + emit[starts[:k] + t]
-        b = np.zeros_like(f)
-        last = f[pieces - 1, np.arange(len(pieces))]
-        total = np.logaddexp(last[:, 0], last[:, 1])
-        q, ga = np.zeros(lines), np.zeros((2, 2))
-        for t in range(len(alive) - 1, -1, -1):
-            k = alive[t]
-            j = alive[t + 1] if t + 1 < len(alive) else 0
-            if j:
-                right = b[t + 1, :j] + emit[starts[:j] + t + 1]
-                both = f[t, :j, :, None] + a + right[:, None, :] - total[:j, None, None]
-                b[t, :j] = np.logaddexp(a[:, 0] + right[:, :1], a[:, 1] + right[:, 1:])
-                ga -= np.exp(both).sum(0)
-                np.add.at(ga, (y[starts[:j] + t], y[starts[:j] + t + 1]), 1.0)
-            q[starts[:k] + t] = np.exp(f[t, :k, 1] + b[t, :k, 1] - total[:k])
+        emit = np.stack([np.zeros(lines), np.clip(w[on].sum(1), -30, 30)], 1)
+        f = ahead.forward(emit, a)
+        b = back.forward(emit[::-1], a.T)[::-1]  # with the line's own part
+        total = np.logaddexp(f[last, 0], f[last, 1])
+        q = np.exp(f[:, 1] + b[:, 1] - emit[:, 1] - total)
+        ga = seen - np.exp(f[at, :, None] + a + b[at + 1, None, :] - total[at, None, None]).sum(0)
         g = np.append(np.bincount(on.ravel(), np.repeat(y - q, on.shape[1]), minlength=width), ga.ravel()) / lines - l2 * p
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         p = p + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)

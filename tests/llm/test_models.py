@@ -289,8 +289,10 @@ def test_toxicity_against_a_plain_model():
     assert toxicity.scorer(model)(texts) == pytest.approx(want, abs=1e-3)
 
 
-def test_gradient_of_the_field(monkeypatch):
+@pytest.mark.parametrize("block", [1, 2, 3, 48])
+def test_gradient_of_the_field(monkeypatch, block):
     """The first step of the ascent follows the differences of the labels' likelihood, found by enumeration."""
+    monkeypatch.setattr(quality, "BLOCK", block)
     rng = np.random.default_rng(3)
     counts, width = np.array([3, 1, 4]), 3 * quality.N_FEATURES * quality.BINS + 2
     on, y = rng.integers(0, 6, (8, 2)), rng.integers(0, 2, 8)
@@ -312,6 +314,36 @@ def test_gradient_of_the_field(monkeypatch):
     assert len(w) == width and step == pytest.approx(want / (np.abs(want) + 1e-8), abs=1e-3)
 
 
+def test_long_documents_are_one_chain(monkeypatch):
+    """Forward sums are those of one pass over whole documents, and the fitted field doesn't depend on the blocks."""
+    rng = np.random.default_rng(5)
+    counts = np.array([1, 500, 3, 48, 49, 96, 97, 200])
+    emit, a = np.stack([np.zeros(counts.sum()), rng.normal(0, 3, counts.sum())], 1), rng.normal(0, 1, (2, 2))
+    want, at = [], 0
+    for n in counts:
+        f = emit[at]
+        want.append(f)
+        for t in range(at + 1, at + n):
+            f = np.logaddexp(f[0] + a[0], f[1] + a[1]) + emit[t]
+            want.append(f)
+        at += n
+    assert quality.Chains(counts).forward(emit, a) == pytest.approx(np.array(want))
+    on, y = rng.integers(0, 50, (counts.sum(), 4)), rng.integers(0, 2, counts.sum())
+    fields = []
+    for block in (7, 48, 1000):
+        monkeypatch.setattr(quality, "BLOCK", block)
+        fields.append(np.append(*quality.fit_field(on, counts, y, rounds=20)))
+    assert fields[0] == pytest.approx(fields[2], abs=1e-6) and fields[1] == pytest.approx(fields[2], abs=1e-6)
+
+
+def test_line_features_in_pieces(monkeypatch):
+    texts = ["", "a b\n\n", "Ünï 12; " * 50 + "\n" + "x" * 333, "\t\r\x0b|", "one\none\ntwo", "é\x1f\u2028z " * 90]
+    whole = quality.line_features(texts)
+    monkeypatch.setattr(quality, "PIECE", 16)
+    assert all(np.array_equal(p, q) for p, q in zip(whole, quality.line_features(texts)))
+    assert quality.line_features([""])[0].shape == (1, quality.N_FEATURES)
+
+
 def test_training_texts_are_bounded(spark):
     docs = frame(spark, [(i % 7, f"text {i}" * (1 + 100 * (i == 3))) for i in range(70)] + [(None, "x")])
     labels = spark.createDataFrame([(i, (i or 0) % 2) for i in [*range(7), None, 3]], "doc_id long, toxic int")
