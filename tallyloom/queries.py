@@ -8,12 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import tables
 from .functions.text import ordinal, partition_id, seconds
 from .functions.time import micros
 from .operators import aggregates, apps, engine, intervals, lattice, order, sketches, stats
 from .plans import placement
 from .sources import records, versions
 from .sources.scratch import scratch_root, stash
+from .sources.strict import StrictText
 from .sources.text import items, text_column, text_directory
 from .streaming import windows
 
@@ -259,6 +261,38 @@ def interval_join(spark, sf_dir):
     return intervals.overlapping(errors, purchases, []).select(F.col("left.event_id").alias("error_id"), F.col("right.event_id").alias("purchase_id"))
 
 
+def merged_sessions(spark, sf_dir):
+    """The sessions of stream_sessions by a table function over the events at rest, a day's at a time first."""
+    events = _table(spark, sf_dir, "events")
+    rows = events.select("user_id", micros(events, "ts").alias("us"), F.lit(1).cast("long").alias("n"), F.round(F.col("value") * 100).cast("long").alias("cents"), F.col("event_id").alias("last_id"))
+    found = tables.sessions(rows, ["user_id"], "us", 43_200_000_000, {"n": "sum", "cents": "sum", "last_id": "max"}, 86_400_000_000)
+    return found.select(F.col("start").alias("start_us"), (F.col("stop") + 43_200_000_000).alias("end_us"), "user_id", "n", "cents", "last_id")
+
+
+def _text_files(spark, sf_dir):
+    path = f"{scratch_root(spark)}/text-{uuid.uuid4().hex}"
+    _table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("value")).write.text(path)
+    spark.dataSource.register(StrictText)
+    return path
+
+
+def strict_text_count(spark, sf_dir):
+    """Word count over text files of the documents' texts, by the source that takes no invalid byte, in ranges of 1 MB."""
+    lines = spark.read.format("strict_text").option("files", "part-*").option("range_bytes", 1 << 20).load(_text_files(spark, sf_dir))
+    return engine.run(JOB, items(lines)).select(F.col("key").alias("word"), F.col("value").alias("n"))
+
+
+def stream_text_count(spark, sf_dir):
+    """The same over the files as a stream: each batch's counts, written by batch, and their sum."""
+    path = _text_files(spark, sf_dir)
+    stream = spark.readStream.format("strict_text").option("files", "part-*").option("range_bytes", 1 << 20).load(path)
+    sink = windows.BatchSink(f"{path}-counts")
+    out = stream.writeStream.foreachBatch(lambda rows, batch: sink.write(engine.run(JOB, items(rows)), batch))
+    out.option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    counts = sink.read(spark, engine.run(JOB, _words(spark, sf_dir)).schema)
+    return engine.final_reduce(JOB, counts).select(F.col("key").alias("word"), F.col("value").alias("n"))
+
+
 def _levels(spark, sf_dir, sets):
     lines = _table(spark, sf_dir, "lineitem").withColumn("year", F.year("l_shipdate"))
     measures = {"n": ("count", None), "quantity": ("sum", F.col("l_quantity").cast("long")), "dearest": ("max", F.col("l_extendedprice"))}
@@ -313,6 +347,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         place_modulo, place_locality_capped, place_load_heap, load_report, ordered_items, sum_by_key, python_reducer, nonstring_key_partition, ordinal_suffix, truncated_seconds, record_export,
         python_map, count_merged, sink_round_trip, map_output_round_trip, text_directory_count, record_round_trip, placement_quality, place_all_locality_capped,
         stream_tumbling_windows, stream_sessions, as_of_join, interval_join, cube_distinct, rollup_distinct, weighted_median, published_word_count, job_metrics, sketches_of_days,
+        merged_sessions, strict_text_count, stream_text_count,
     )
 } | {
     "shuffle_plan_modulo": _shuffle(placement.MODULO),
@@ -441,3 +476,4 @@ SELECT l_returnflag, count(*) AS n, CAST(sum(w) AS BIGINT) AS weight, CAST(min(C
     "job_metrics": _PLAIN + " SELECT 'map' AS phase, count(*) AS rows, CAST(sum(octet_length(encode(word))) AS BIGINT) AS bytes FROM t UNION ALL SELECT 'reduce', count(*), CAST(sum(octet_length(encode(word))) AS BIGINT) FROM (SELECT DISTINCT word FROM t) u",
     "sketches_of_days": "SELECT event_type, count(value) AS n, true AS users_near, true AS values_near FROM events GROUP BY event_type",
 }
+ORACLES |= {"merged_sessions": ORACLES["stream_sessions"], "strict_text_count": ORACLES["word_count"], "stream_text_count": ORACLES["word_count"]}
