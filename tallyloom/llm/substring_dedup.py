@@ -3,8 +3,8 @@
 A window is `width` words in a row. Words covered by a window that also starts in a document with a smaller doc_id go.
 
 1. Of the `GRAM`-word grams of a window the one with the smallest hash is the window's anchor, which depends on the
-   window's words alone. A document's anchors are counted over all documents (documents with the same words, by 128
-   bits, count once: all but the first are repeated as a whole). A window whose anchor occurs once can't be repeated.
+   window's words alone. A document's anchors are counted over all documents. A window whose anchor occurs once can't be
+   repeated. Of documents with the same words, by 128 bits, the first is searched, with all of its windows.
 2. The windows that share an occurrence of an anchor are a run of words. Runs go to the shard of their anchor, so that
    equal windows meet in one shard; equal runs are put together before, with the smallest doc_id they occur in. An
    anchor of over HEAVY distinct runs is divided: its windows go by their two least grams, then three, and so on, until
@@ -14,7 +14,8 @@ A window is `width` words in a row. Words covered by a window that also starts i
    suffix array itself isn't kept. The shard's runs are streamed against it: backward search from each window's last
    word gives the matching statistics (the longest match that occurs elsewhere too, up to the window's length), and
    where they reach the threshold, the first document of the range of suffixes tells whether the window is to go.
-4. The intervals found are joined to the occurrences of their runs, and the documents' words are kept or dropped.
+4. The intervals found are joined to the occurrences of their runs, and the documents' words are kept or dropped. The
+   windows that were found of a document decide on those with the same words too.
 Hashes of grams only say where windows meet; in a shard words are compared themselves.
 """
 
@@ -269,21 +270,22 @@ def repeated_windows(runs: DataFrame, width: int) -> DataFrame:
 
 
 def keep_words(rows: DataFrame, width: int) -> DataFrame:
-    """rows: doc_id, text, copy (1: all words go), gone (first words of windows to remove)."""
+    """rows: doc_id, text, low and high (windows from low to high - 1 go), gone (first words of more windows to remove)."""
 
     def apply(batches):
         for b in slices(batches):
             out: tuple = ([], [], [], [])
-            for text, copy, gone in zip(b.column("text").to_pylist(), b.column("copy").to_pylist(), b.column("gone").to_pylist()):
+            for text, low, high, gone in zip(*(b.column(c).to_pylist() for c in ("text", "low", "high", "gone"))):
                 own = WORD.findall(text)
                 n = len(own)
-                if copy:
-                    own = []
-                elif gone:
+                if gone or low is not None:
                     edge = np.zeros(n + 1, np.int64)
-                    at = np.unique(np.array(gone, np.int64))
+                    at = np.unique(np.array(gone or [], np.int64))
                     edge[at] += 1
                     edge[at + width] -= 1
+                    if low is not None:
+                        edge[low] += 1
+                        edge[high - 1 + width] -= 1
                     keep = np.cumsum(edge[:-1]) == 0
                     own = [w for w, k in zip(own, keep.tolist()) if k]
                 kept = " ".join(own)
@@ -308,11 +310,13 @@ def substring_dedup(docs: DataFrame, width: int = 13, gram: int = GRAM) -> DataF
     every = stash(describe(docs, width, gram), "anchors")
     described = every.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= width))
     whole = ["w1", "w2", "n_words"]
-    firsts = described.groupBy(*whole).agg(F.min("doc_id").alias("first"))
-    copies = described.select(*one, *whole).join(firsts, whole).where("first < doc_id")
-    copies = stash(copies.select(*one, F.lit(1).alias("copy")).distinct(), "copies")  # its words in order are those of a document before it
-    own = described.join(copies, one, "left_anti").select("doc_id", F.explode("anchors").alias("anchor"))
-    twice = own.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    firsts = described.groupBy(*whole).agg(F.min(F.struct(*one)).alias("first"))
+    copies = described.select(*one, *whole).join(firsts, whole).where("first.doc_id < doc_id")
+    copies = stash(copies.select(*one, F.col("first.doc_id").alias("first_id"), F.col("first.of").alias("first_of")).distinct(), "copies")  # of the same words as a document before it
+    copied = copies.select(F.col("first_id").alias("doc_id"), F.col("first_of").alias("of")).distinct()
+    own = described.join(copies, one, "left_anti").join(copied.withColumn("copied", F.lit(1)), one, "left")
+    own = own.select("doc_id", F.explode("anchors").alias("anchor"), (F.coalesce("copied", F.lit(0)) + 1).alias("n"))
+    twice = own.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     hits = stash(own.join(twice, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("hits")), "hits")
     discard(every)
     runs = [stash(runs_of(rows_of(docs).join(hits, "doc_id"), width, gram), "runs")]
@@ -334,9 +338,14 @@ def substring_dedup(docs: DataFrame, width: int = 13, gram: int = GRAM) -> DataF
     places = functools.reduce(DataFrame.unionByName, (r.select("id1", "id2", *one, "start") for r in runs))
     gone = places.join(found, ["id1", "id2"]).select(*one, least.alias("at")).where("size(at) > 0")
     gone = stash(gone.groupBy(*one).agg(F.flatten(F.collect_list("at")).alias("gone")), "gone")
+    spans = places.join(copied, one, "left_semi").join(found, ["id1", "id2"])  # of all windows, as they are a document's of copies
+    spans = spans.groupBy(F.col("doc_id").alias("first_id"), F.col("of").alias("first_of")).agg(F.min("start").alias("low"), F.max(F.col("start") + F.size("least")).alias("high"), F.max(F.array_max("least")).alias("last"))
+    spans = stash(spans, "spans")
     discard(*runs, found)
-    told = gone.join(copies, one, "left_anti").withColumn("copy", F.lit(0)).unionByName(copies.withColumn("gone", F.lit(None).cast("array<bigint>")))
-    return keep_words(rows_of(docs).join(told, one, "left").select("doc_id", "text", "copy", "gone"), width)
+    same = copies.join(spans, ["first_id", "first_of"]).where("last < doc_id").select(*one, F.lit(None).cast("array<bigint>").alias("gone"), "low", "high")
+    none = F.lit(None).cast("bigint")
+    told = gone.join(copies, one, "left_anti").select(*one, "gone", none.alias("low"), none.alias("high")).unionByName(same)
+    return keep_words(rows_of(docs).join(told, one, "left").select("doc_id", "text", "low", "high", "gone"), width)
 
 
 SQL = r"""

@@ -236,6 +236,16 @@ def test_substring_dedup(spark, width, gram):
     assert substring_dedup.substring_dedup(frame(spark, [])).collect() == []
 
 
+def test_copies_go_by_what_the_index_finds(spark, monkeypatch):
+    rng = random.Random(8)
+    text = " ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(60))
+    rows = [(5, text), (6, text), (7, text.replace(" ", "\n")), (7, "x " + text), (9, text + " y"), (2, "a b"), (3, "a b")]
+    removed = lambda: sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.substring_dedup(frame(spark, rows)).collect())
+    assert removed() == [(2, 2, 0), (3, 2, 0), (5, 60, 0), (6, 60, 60), (7, 60, 60), (7, 61, 60), (9, 61, 60)]
+    monkeypatch.setattr(substring_dedup, "repeated_windows", lambda runs, width, f=substring_dedup.repeated_windows: f(runs, width).where("1 = 0"))
+    assert all(n == 0 for _, _, n in removed())
+
+
 def test_substring_dedup_of_repeated_and_null_ids(spark):
     text = " ".join(f"a{i}" for i in range(20))
     got = substring_dedup.substring_dedup(frame(spark, [(1, text), (1, text), (None, text), (2, "b " + text)])).collect()
