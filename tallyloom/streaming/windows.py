@@ -14,9 +14,12 @@ from ..operators.order import ordinals
 from ..sources.scratch import discard, own_name, stash
 
 
-def parquet_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 100) -> DataFrame:
-    """Rows of the Parquet files that arrive in a directory, the oldest files first."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def parquet_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = 100) -> DataFrame:
+    """Rows of the Parquet files that arrive in a directory, the oldest files first; None: a batch of all that has arrived."""
+    stream = spark.readStream.schema(schema)
+    if files_per_trigger is not None:
+        stream = stream.option("maxFilesPerTrigger", files_per_trigger)
+    return stream.parquet(path)
 
 
 def _held(events: DataFrame, time: str, lateness: str) -> DataFrame:
@@ -78,16 +81,24 @@ def late_rows(query: StreamingQuery) -> int:
     return sum(int(s.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for s in p["stateOperators"])
 
 
-def replay(rows: DataFrame, time: str, path: str, steps: int, closing: str) -> StructType:
+def replay(rows: DataFrame, time: str, path: str, steps: int, closing: str, arrived: Callable[[], None] | None = None) -> StructType:
     """Writes rows as files of a stream, by time in so many steps, and a row far behind the last one, all null but for its
-    time, that makes the watermark pass every window. Rows without a time come last. The schema of the stream."""
+    time, that makes the watermark pass every window. Rows without a time come last. The schema of the stream.
+
+    arrived is called after each step and after the last row. Tasks write a step's files at the same time, so that these
+    aren't in order: a stream that takes a step's files in several batches finds some of its rows late.
+    """
     us, at = own_name("us", rows), own_name("replayed", rows)
     placed = stash(ordinals(rows.withColumn(us, micros(rows, time)), us, at).drop(us), "replayed")
     total = placed.count()
     for k in range(steps):
         placed.where((F.col(at) >= k * total // steps) & (F.col(at) < (k + 1) * total // steps)).drop(at).write.mode("append").parquet(path)
+        if arrived is not None:
+            arrived()
     discard(placed)
     kind = rows.schema[time].dataType
     last = rows.agg(F.max(time).alias("last")).select((F.col("last") + F.expr(f"INTERVAL {closing}")).cast(kind).alias(time))
     last.select(*(F.col(time) if f.name == time else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema)).write.mode("append").parquet(path)
+    if arrived is not None:
+        arrived()
     return rows.schema

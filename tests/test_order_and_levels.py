@@ -1,5 +1,6 @@
 """As-of and interval joins, roll-up lattices and event-time streams against brute force."""
 
+import os
 import random
 from collections import Counter
 from datetime import datetime, timedelta
@@ -165,3 +166,42 @@ def test_sessions(spark, tmp_path):
     sink = windows.BatchSink(f"{tmp_path}/out")
     windows.start(result, sink, f"{tmp_path}/checkpoint").awaitTermination()
     assert given_out(sink, spark, result) == Counter({(AT(0), "a", 3): 1, (AT(55), "b", 1): 1, (AT(300), "a", 1): 1})
+
+
+@pytest.mark.parametrize("query", ["stream_tumbling_windows", "stream_sessions"])
+def test_replayed_step_whose_files_are_out_of_order(spark, tmp_path, monkeypatch, query):
+    from tallyloom import queries
+
+    rows = [(i, T0 + timedelta(minutes=7 * i), i % 3, "view", 1.0) for i in range(3000)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(queries, "scratch_root", lambda _: f"file://{tmp_path}")
+    start, seen, several = windows.start, set(), []
+
+    def reversed_files(*args):
+        steps = {}
+        for f in sorted(tmp_path.glob("stream-*/events/part-*"), key=lambda f: (f.stat().st_mtime_ns, f.name)):
+            if f not in seen:
+                steps.setdefault(f.name[11:47], []).append(f)  # files of one write
+        for files in steps.values():
+            seen.update(files)
+            several.append(len(files))
+            ends = sorted(f.stat().st_mtime_ns // 1_000_000 for f in files)
+            order = sorted(files, key=lambda f: f.name, reverse=True)
+            for k, f in enumerate(order):
+                os.utime(f, ns=((ends[0] + k) * 1_000_000,) * 2)
+        return start(*args)
+
+    monkeypatch.setattr(windows, "start", reversed_files)
+    for k, v in ("maxPartitionBytes", "1000"), ("openCostInBytes", "1"):
+        spark.conf.set(f"spark.sql.files.{k}", v)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = getattr(queries, query)(spark, str(tmp_path)).agg(F.sum("n"), F.sum("cents"), F.count(F.lit(1))).first()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert max(several) > 2
+    assert tuple(got) == (3000, 300000, len({7 * i // 60 for i in range(3000)}) if query == "stream_tumbling_windows" else 3)
