@@ -205,3 +205,11 @@ def test_replayed_step_whose_files_are_out_of_order(spark, tmp_path, monkeypatch
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert max(several) > 2
     assert tuple(got) == (3000, 300000, len({7 * i // 60 for i in range(3000)}) if query == "stream_tumbling_windows" else 3)
+
+
+def test_levels_have_no_shuffle_of_values_by_set(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 2, 5), ("b", 1, 6)], "x string, y int, v int")
+    got = lattice.aggregate_levels(df, lattice.cube(["x", "y"]), {"n": ("count", None)}, {"vs": F.col("v")})
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan  # its output counts as dealt anew
+    assert {(r.x, r.y, r.level, r.n, r.vs) for r in got.collect()} == {("a", 1, 0, 1, 1), ("a", 2, 0, 1, 1), ("b", 1, 0, 1, 1), ("a", None, 1, 2, 1), ("b", None, 1, 1, 1), (None, 1, 2, 2, 2), (None, 2, 2, 1, 1), (None, None, 3, 3, 2)}
