@@ -213,3 +213,12 @@ def test_levels_have_no_shuffle_of_values_by_set(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan  # its output counts as dealt anew
     assert {(r.x, r.y, r.level, r.n, r.vs) for r in got.collect()} == {("a", 1, 0, 1, 1), ("a", 2, 0, 1, 1), ("b", 1, 0, 1, 1), ("a", None, 1, 2, 1), ("b", None, 1, 1, 1), (None, 1, 2, 2, 2), (None, 2, 2, 1, 1), (None, None, 3, 3, 2)}
+
+
+def test_filed_intervals_carry_their_bounds_once(spark):
+    left = spark.range(40).select("id", F.lit(0).cast("long").alias("start"), F.expr("shiftleft(1L, cast(id as int))").alias("end"))
+    right = spark.range(1).select("id", F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("end"))
+    joined = intervals.overlapping(left, right, [])
+    assert joined.count() == 40
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "s2#" not in plan
