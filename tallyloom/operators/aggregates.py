@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: States that a task holds at a time.
-HELD = 100_000
+#: States that a task holds at a time, and their bytes, as a state may be large.
+HELD, HELD_BYTES = 100_000, 8 << 20
 
 
 @dataclass(frozen=True)
@@ -98,7 +98,7 @@ def aggregate(df: DataFrame, keys: list[str], values: list[Column], agg: Aggrega
         raise ValueError(f"{keys} can't be keys: at least one, and atomic")
     if set(names) & set(keys):
         raise ValueError(f"results {names} have names of keys {keys}")
-    n, held = len(keys), HELD
+    n, held, held_bytes = len(keys), HELD, HELD_BYTES
     own = [f"k{i}" for i in range(n)]
     plain = lambda k, t: F.when(F.col(f"`{k}`") == 0, F.lit(0).cast(t)).otherwise(F.col(f"`{k}`")) if isinstance(t, T.FractionalType) else F.col(f"`{k}`")
     rows = df.select(*(plain(k, t).alias(o) for k, t, o in zip(keys, types, own)), *(v.alias(f"v{i}") for i, v in enumerate(values)))
@@ -117,17 +117,17 @@ def aggregate(df: DataFrame, keys: list[str], values: list[Column], agg: Aggrega
         return made([k.take(at) for k in g.keys], step(g), state_arrow)
 
     def by_task(batches):
-        states, count, limit = [], 0, held
+        states, count, size = [], 0, 0
         for batch in batches:
             if batch.num_rows:
                 states.append(stated(in_key_order(batch, n), agg.update))
-                count += states[-1].num_rows
-            if count >= limit:
+                count, size = count + states[-1].num_rows, size + states[-1].nbytes
+            if count >= held or size >= held_bytes:
                 states = [stated(in_key_order(one(states), n), agg.merge)]
-                count = states[0].num_rows
-                if 2 * count >= held:  # mostly keys that don't come again
+                count, size = states[0].num_rows, states[0].nbytes
+                if 2 * count >= held or 2 * size >= held_bytes:  # mostly keys, or values of states, that don't come again
                     yield states[0]
-                    states, count = [], 0
+                    states, count, size = [], 0, 0
         if states:
             yield stated(in_key_order(one(states), n), agg.merge) if len(states) > 1 else states[0]
 

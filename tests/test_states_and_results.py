@@ -153,3 +153,11 @@ def test_published_empty_input_and_submitted_job(spark, tmp_path):
     with pytest.raises(ValueError):
         submit(spark, "word_count", str(tmp_path / "in"), out, "NEW", 3, 10, overwrite=False, publish=True)
     assert apps.applications()
+
+
+def test_states_are_bounded_by_their_bytes(spark, monkeypatch):
+    df = spark.range(30_000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 30_011).cast("double").alias("v"), (F.col("id") % 5).alias("w"))
+    of = lambda: sorted(map(tuple, aggregates.aggregate(df, ["k"], [F.col("v"), F.col("w")], aggregates.WeightedMedian()).collect()))
+    whole = of()
+    monkeypatch.setattr(aggregates, "HELD_BYTES", 20_000)
+    assert of() == whole and len(whole) == 3
