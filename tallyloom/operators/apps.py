@@ -5,18 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .aggregates import Fold, aggregate
+from .aggregates import Fold, aggregate, one
+
+
+#: Rows and bytes from which a map function gets its batches.
+ROWS, BYTES = 200_000, 4 << 20
+
+
+def larger(batches):
+    """Batches put together to about so many rows or bytes, so that more of their items are equal."""
+    held, rows, size, most, most_bytes = [], 0, 0, ROWS, BYTES
+    for batch in batches:
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= most or size >= most_bytes:
+            yield one(held)
+            held, rows, size = [], 0, 0
+    if held:
+        yield one(held)
 
 
 @dataclass(frozen=True)
 class Application:
     """key and value are columns over an item; where columns can't express them, `map_fn` is a Python function of an item
-    (a struct is a dict) that gives any number of records (key, value), and key and value are None. Either `reduce` is an aggregate of the column "value" (native, combined
+    (a struct is a dict) that gives any number of records (key, value), and key and value are None; it is asked once for
+    equal items of some batches, so its records must depend on the item alone. Either `reduce` is an aggregate of the column "value" (native, combined
     map-side), or `reduce_fn` a Python function of two records (key, value) that gives one of the same key; it must be
     associative, and a key with a single record keeps it untouched. Neither: records stay as they are (ordered).
     `merge` is the aggregate that makes one of the results of `reduce` (F.sum for F.count); sum, min and max merge their
@@ -48,13 +68,27 @@ class Application:
         rows = source.select(*keep, F.col(item).alias("item"))
         schema = rows.select(*keep, F.lit(None).cast(self.key_type).alias("key"), F.lit(None).cast(self.value_type).alias("value")).schema
         arrow = to_arrow_schema(schema)
+        flat = isinstance(rows.schema["item"].dataType, T.StringType | T.BinaryType | T.IntegralType)
 
         def records(batches):
-            for batch in batches:
-                columns = [c.to_pylist() for c in batch.columns]
-                made = [(*kept, *record) for *kept, one in zip(*columns) for record in fn(one)]
-                if made:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), arrow)], schema=arrow)
+            for batch in larger(batches):
+                *kept, items = batch.columns
+                if flat:
+                    items = items.dictionary_encode(null_encoding="encode")
+                    of_row, items = items.indices.to_numpy(zero_copy_only=False), items.dictionary
+                else:
+                    of_row = np.arange(batch.num_rows)
+                found = [list(fn(item)) for item in items.to_pylist()]
+                made = [record for some in found for record in some]
+                if not made:
+                    continue
+                n = np.fromiter(map(len, found), np.int64, len(found))
+                # row r has the records of its item from first[item] on, counts[r] of them
+                first, counts = np.cumsum(n) - n, n[of_row]
+                at = np.repeat(first[of_row] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+                keys, values = (pa.array(c, f.type).take(pa.array(at)) for c, f in zip(zip(*made), list(arrow)[-2:]))
+                rows = pa.array(np.repeat(np.arange(batch.num_rows), counts))
+                yield pa.RecordBatch.from_arrays([*(c.take(rows).cast(f.type) for c, f in zip(kept, arrow)), keys, values], schema=arrow)
 
         return rows.mapInArrow(records, schema)
 

@@ -266,3 +266,14 @@ def test_streaming_counts(spark, tmp_path):
     assert {r["key"]: r["value"] for r in spark.sql("SELECT * FROM running").collect()} == {"a": 2, "b": 2, "c": 1}
     with pytest.raises(ValueError):
         counts.running(apps.ordered, counts.text_stream(spark, str(source)))
+
+
+def test_map_function_is_asked_once_for_equal_items(spark):
+    from itertools import count
+
+    calls = count()
+    app = apps.Application("calls", key=None, value=None, map_fn=lambda w: [(w, next(calls)), (w, 0)] if w != "b" else [], reduce=F.max)
+    rows = app.pairs(spark.createDataFrame([(w, i) for i, w in enumerate(["a", "b", None, "a", "c"] * 100)], "item string, t int").coalesce(1), "t")
+    got = rows.collect()
+    assert len(got) == 800 and max(r.value for r in got) == 2
+    assert [(r.t, r.key) for r in got[:8]] == [(0, "a"), (0, "a"), (2, None), (2, None), (3, "a"), (3, "a"), (4, "c"), (4, "c")]
