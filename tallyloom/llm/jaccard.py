@@ -37,6 +37,8 @@ from .wordhash import mix, mix_other, runs_of_words, text_bytes, words
 FEW, BLOCK, HOT, DEEPEST, ROUNDS = 16, 256, 1024, 3, 4
 #: The sketch of popular n-grams has 2 ** CELLS counts, in parts of PART.
 CELLS, PART = 24, 1 << 16
+#: Rows whose doc_ids are sent to all tasks, so that their texts are found without a shuffle of the others.
+SENT = 1_000_000
 SEED, SEED_B = np.uint64(0x51ED270B7A1F39C5), np.uint64(0x8CB92BA72F3D8DD7)
 
 
@@ -63,31 +65,15 @@ def popular(docs: DataFrame, width: int) -> np.ndarray:
     """
 
     def count(batches):
-        cells, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        new, held = [], 0
-
-        def summed():
-            at, where = np.unique(np.concatenate([cells, *new]), return_inverse=True)
-            weights = np.ones(len(where), np.int64)
-            weights[: len(n)] = n
-            return at, np.bincount(where, weights, len(at)).astype(np.int64)
-
+        met = np.zeros(1 << CELLS, np.uint32)  # a task has fewer than 2 ** 32 n-grams
         for b in slices(batches):
             data, offsets = text_bytes(b.column("text"))
             h, _, _, _ = words(data, offsets, lower=True)
-            new.append(cells_of(runs_of_words(h, width)))
-            held += len(new[-1])
-            if held > 2_000_000:
-                cells, n = summed()
-                new, held = [], 0
-        cells, n = summed()
-        edges = np.searchsorted(cells, np.arange(0, (1 << CELLS) + 1, PART))
-        parts = [k for k in range(len(edges) - 1) if edges[k] < edges[k + 1]]
-        counts = []
-        for k in parts:
-            total = np.zeros(PART, np.int64)
-            total[cells[edges[k] : edges[k + 1]] % PART] = n[edges[k] : edges[k + 1]]
-            counts.append(packed(total))
+            cells, n = np.unique(cells_of(runs_of_words(h, width)).astype(np.uint32), return_counts=True)
+            met[cells] += n.astype(np.uint32)
+        met = met.reshape(-1, PART)
+        parts = np.flatnonzero(met.any(1)).tolist()
+        counts = [packed(met[k]) for k in parts]
         yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(counts, pa.binary())], ["part", "n"])
 
     def add(last):
@@ -207,26 +193,32 @@ def by_ngrams(docs: DataFrame, width: int, share: int) -> tuple:
 
 def rows_of(docs: DataFrame) -> DataFrame:
     """doc_id, text and row_key."""
-    return texts(docs).withColumn("row_key", row_key(F.col("doc_id"), F.col("text")))
+    return with_key(texts(docs))
+
 
+def with_key(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("row_key", row_key(F.col("doc_id"), F.col("text")))
 
-def texts_for(docs: DataFrame, names: DataFrame, keys: DataFrame) -> DataFrame:
-    """key and text of one row of the class of each of the distinct keys. The one shuffle of all texts: later joins read these rows alone."""
-    reps = names.join(keys, "key").select("row_key", "key")
-    return stash(rows_of(docs).join(reps, "row_key").dropDuplicates(["row_key"]).select("key", "text"), "texts")
 
+def sets_for(docs: DataFrame, names: DataFrame, keys: DataFrame, width: int) -> DataFrame:
+    """key and the sorted hashes of the set of each of the keys. names: key, row_key and doc_id of one row of its class.
 
-def sets_for(reps: DataFrame, keys: DataFrame, width: int) -> DataFrame:
-    """key and the sorted hashes of the set of each of the keys. reps: key, text."""
+    Of the texts only those of up to SENT rows, found by doc_id, are shuffled; for more rows all texts are.
+    """
 
     def apply(batches):
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([s.tobytes() for s in sets_of(b.column("text"), width)], pa.binary())], ["key", "hashes"])
 
-    # written first, so that Spark knows its size when it chooses the join
+    # written first, so that Spark knows the sizes when it chooses the joins
     keys = stash(keys.distinct(), "keys")
-    out = stash(reps.join(keys, "key", "left_semi").select("key", "text").mapInArrow(apply, "key long, hashes binary"), "hashes")
-    discard(keys)
+    wanted = stash(names.join(keys, "key").select("key", "row_key", F.coalesce("doc_id", F.lit(0)).alias("id")), "wanted")
+    rows = texts(docs)
+    if wanted.count() <= SENT:
+        rows = rows.join(F.broadcast(wanted.select("id")), F.coalesce("doc_id", F.lit(0)) == F.col("id"), "left_semi")
+    rows = with_key(rows).join(wanted.drop("id"), "row_key").select("key", "text").dropDuplicates(["key"])
+    out = stash(rows.mapInArrow(apply, "key long, hashes binary"), "hashes")
+    discard(keys, wanted)
     return out
 
 
@@ -240,7 +232,15 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def bounded(pairs: DataFrame, maps: DataFrame, share: int) -> DataFrame:
-    """The pairs (a, b) of keys that the bitmaps don't rule out. maps: key, n, bits."""
+    """The pairs (a, b) of keys that the bitmaps don't rule out, written. maps: key, n, bits.
+
+    Pairs and the bitmaps that they need are written first: few of them are joined without a shuffle of all bitmaps.
+    """
+    pairs = stash(pairs, "pairs")
+    if not pairs.limit(1).collect():
+        return pairs
+    keys = stash(ends_of(pairs), "keys")
+    maps = stash(maps.join(keys, "key", "left_semi"), "maps")
     left = maps.select(F.col("key").alias("a"), F.col("n").alias("m"), F.col("bits").alias("x"))
     right = maps.select(F.col("key").alias("b"), "n", F.col("bits").alias("y"))
 
@@ -253,7 +253,13 @@ def bounded(pairs: DataFrame, maps: DataFrame, share: int) -> DataFrame:
             keep = near_enough(np.array(differ, np.int64), b.column("m").to_numpy() + b.column("n").to_numpy(), share)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "m", "n", "x", "y").mapInArrow(apply, "a long, b long")
+    near = stash(pairs.join(right, "b").join(left, "a").select("a", "b", "m", "n", "x", "y").mapInArrow(apply, "a long, b long"), "near")
+    discard(pairs, keys, maps)
+    return near
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
@@ -434,19 +440,25 @@ def labelled(tiles: DataFrame, labels: DataFrame) -> DataFrame:
     return tiles.select("tile", "key", "n").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
 
 
-def led_on(tiles: DataFrame, labels: DataFrame, maps: DataFrame, link, share: int) -> tuple[DataFrame, DataFrame]:
-    """The labels after rounds in which a member outside the largest component leads its tile, and what tiles are open."""
+def led_on(tiles: DataFrame, labels: DataFrame, maps: DataFrame, link, share: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The labels after rounds in which a member outside the largest component leads its tile, what tiles are open, and
+    the tables they lie in. Tiles of a FEW members outside it are left aside by the rounds."""
+    aside, lying, rest = [], [], tiles
     for k in range(ROUNDS):
-        open_ = stash(undecided(labelled(tiles, labels)), "open")
-        discard(tiles)
-        tiles, rest = open_, open_.where(F.col("outside") > FEW)
+        lying.append(stash(undecided(labelled(rest, labels)), "open"))
+        if rest is tiles:
+            discard(tiles)
+        aside.append(lying[-1].where(F.col("outside") <= FEW))
+        rest = lying[-1].where(F.col("outside") > FEW)
+        if not rest.limit(1).collect():
+            break
         leaders = rest.where("label <> top").groupBy("tile").agg(F.max(F.struct(F.xxhash64("key", F.lit(k)).alias("draw"), F.col("key").alias("a"), F.col("n").alias("m"), F.col("label").alias("of"))).alias("one")).select("tile", "one.*")
         pairs = rest.join(leaders, "tile").where((F.col("label") != F.col("of")) & (100 * F.least("n", "m") >= share * F.greatest("n", "m")))
-        links = link(stash(bounded(pairs.select("a", F.col("key").alias("b")).distinct(), maps, share), "near"))
+        links = link(bounded(pairs.select("a", F.col("key").alias("b")).distinct(), maps, share))
         if not links.limit(1).collect():
             break
         labels = merged(labels, links)
-    return labels, tiles
+    return labels, functools.reduce(DataFrame.unionByName, [*aside, rest]), lying
 
 
 def pairs_left(told: DataFrame, maps: DataFrame, sets_of_keys, levels, share: int) -> DataFrame:
@@ -456,10 +468,14 @@ def pairs_left(told: DataFrame, maps: DataFrame, sets_of_keys, levels, share: in
     """
     rest = stash(undecided(told.select("tile", "key", "n", "label", F.lit(-1 if levels is None else None).cast("int").alias("at"))), "undecided")
     out, done, size, outside = [], [], F.col("members"), F.col("outside")
-    with_bits = lambda rows: rows.join(maps.select("key", "bits"), "key")
+
+    def with_bits(rows):
+        done.append(stash(rows, "some"))  # so that few rows are joined without a shuffle of all bitmaps
+        return done[-1].join(maps.select("key", "bits"), "key")
+
     for k in range(levels is not None, DEEPEST + 2):
         hot = (size > FEW) & (outside > HOT)
-        out.append(stash(bounded(few_pairs(rest.where(size <= FEW), share), maps, share), "few"))
+        out.append(bounded(few_pairs(rest.where(size <= FEW), share), maps, share))
         out.append(stash(lopsided_pairs(with_bits(rest.where((size > FEW) & ~hot)), share), "lopsided"))
         done.append(rest)
         rest = rest.where(hot)
@@ -478,7 +494,7 @@ def pairs_left(told: DataFrame, maps: DataFrame, sets_of_keys, levels, share: in
 
 
 def linked(docs: DataFrame, width: int, share: int, filing: Callable[[DataFrame, int, int], tuple] = by_ngrams) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, row_key, n, k1, k2), classes (k1, k2, n, key, row_key of one row) and the label of keys that have links.
+    """Rows (doc_id, row_key, n, k1, k2), classes (k1, k2, n, key, row_key and doc_id of one row) and the label of keys that have links.
 
     filing gives what describe() returns, and the order of n-grams, None if its tiles aren't n-grams.
     """
@@ -486,7 +502,7 @@ def linked(docs: DataFrame, width: int, share: int, filing: Callable[[DataFrame,
         raise ValueError("share must be 50 to 100")
     found, levels = filing(docs, width, share)
     every = stash(found, "filed")
-    classes = every.where("k1 is not null").groupBy("k1", "k2", "n").agg(F.first("tiles").alias("tiles"), F.first("bits").alias("bits"), F.min("row_key").alias("row_key"))
+    classes = every.where("k1 is not null").groupBy("k1", "k2", "n").agg(F.first("tiles").alias("tiles"), F.first("bits").alias("bits"), F.min(F.struct("row_key", "doc_id")).alias("row")).select("k1", "k2", "n", "tiles", "bits", "row.*")
     classes = stash(classes.withColumn("key", F.monotonically_increasing_id()), "classes")
     described = stash(every.drop("tiles", "bits"), "sets")
     discard(every)
@@ -501,23 +517,21 @@ def linked(docs: DataFrame, width: int, share: int, filing: Callable[[DataFrame,
     discard(plain)
     leaders = shared_.groupBy("tile").agg(F.max(F.struct("weight", F.negative("n").alias("n"), F.col("key").alias("leader"))).alias("top"))
     pairs = shared_.join(leaders, "tile").where((F.col("key") != F.col("top.leader")) & (100 * F.least(F.col("n"), -F.col("top.n")) >= share * F.greatest(F.col("n"), -F.col("top.n"))))
-    pairs = stash(pairs.select(F.col("top.leader").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
-    near = stash(bounded(pairs, maps, share), "near")
-    discard(pairs)
-    reps = texts_for(docs, names, shared_.select("key").distinct())
-    sets_of_keys = lambda keys: sets_for(reps, keys, width)
+    near = bounded(pairs.select(F.col("top.leader").alias("a"), F.col("key").alias("b")).distinct(), maps, share)
+    sets_of_keys = lambda keys: sets_for(docs, names, keys, width)
 
     def link(found: DataFrame) -> DataFrame:
-        sets = sets_of_keys(found.select(F.explode(F.array("a", "b")).alias("key")))
+        if not found.limit(1).collect():
+            return found
+        sets = sets_of_keys(ends_of(found))
         links = stash(verified(found, sets, share), "links")
         discard(sets)
         return links
 
-    labels, open_ = led_on(shared_, stash(components(link(near)), "labels"), maps, link, share)
+    labels, open_, lying = led_on(shared_, stash(components(link(near)), "labels"), maps, link, share)
     left = stash(pairs_left(labelled(open_, labels), maps, sets_of_keys, levels, share), "left")
-    discard(open_)
+    discard(*lying)
     more = link(left)
-    discard(reps)
     return described, names, merged(labels, more) if more.limit(1).collect() else labels
 
 

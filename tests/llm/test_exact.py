@@ -179,6 +179,22 @@ def test_hot_tiles_are_divided_without_losing_links(spark, monkeypatch):
         assert Counter(map(tuple, jaccard.jaccard_components(frame(spark, rows), width, share).collect())) == brute_components(rows, width, share)
 
 
+def test_only_texts_of_near_pairs_are_written(spark, monkeypatch):
+    rng = random.Random(5)
+    line = [f"common{i}" for i in range(12)]
+    rows = [(i, " ".join([f"u{rng.randrange(10**9)}" for _ in range(60)] + line)) for i in range(200)]
+    rows += [(1000 + i, t + " more") for i, t in rows[:3]] + [(None, rows[3][1] + " more")]
+    written = []
+    monkeypatch.setattr(jaccard, "stash", lambda df, tag: (out := stash(df, tag), written.append((tag, df.columns, out.count())))[0])
+    for sent in (1_000_000, 0):
+        monkeypatch.setattr(jaccard, "SENT", sent)
+        written.clear()
+        got = jaccard.jaccard_components(frame(spark, rows), 4, 85).collect()
+        assert Counter(map(tuple, got)) == brute_components(rows, 4, 85)
+        assert not [tag for tag, columns, _ in written if "text" in columns]
+        assert max(n for tag, _, n in written if tag == "hashes") == 8
+
+
 def test_components_of_links(spark):
     links = [(1, 2), (2, 1), (2, 3), (3, 3), (9, 9), (5, 7), (5, 7), *((100 + i, 101 + i) for i in range(40))]
     got = {r["key"]: r["label"] for r in jaccard.components(spark.createDataFrame(links, "a long, b long")).collect()}
