@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from dataclasses import dataclass
 
@@ -13,6 +14,11 @@ from ..functions.text import partition_id
 from ..sources import versions
 from .apps import Application, application
 
+#: Types whose equal values may differ (0.0 and -0.0, strings of a collation), or that can't be grouped by.
+INEXACT = re.compile("float|double|map|variant|collate")
+#: Records that one row is repeated to at a time.
+REPEATED = 10_000
+
 
 @dataclass(frozen=True)
 class Job:
@@ -64,8 +70,14 @@ def write(job: Job, records: DataFrame, path: str, overwrite: bool = True) -> No
 
 def write_map_output(job: Job, items: DataFrame, path: str, overwrite: bool = True) -> None:
     """For inspection: the nodes' records before any combining, as node=<n>/pid=<p>, each sorted by key. items: node, item."""
-    rows = with_partition(job.application.pairs(items, "node"), job)
-    rows.repartition("node", "pid").sortWithinPartitions("node", "pid", "key").write.mode("overwrite" if overwrite else "errorifexists").partitionBy("node", "pid").parquet(path)
+    records = job.application.pairs(items, "node")
+    if INEXACT.search(records.select("key", "value").schema.simpleString()):
+        rows = with_partition(records, job).repartition("node", "pid")
+    else:  # equal records are counted, so that they get their partition and are shuffled once, and are repeated where they are written
+        found = with_partition(records.groupBy("node", "key", "value").agg(F.count(F.lit(1)).alias("times")), job).repartition("node", "pid")
+        parts = found.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(REPEATED).cast("long"))))
+        rows = parts.withColumn("again", F.explode(F.array_repeat(F.lit(True), F.least(F.lit(REPEATED), F.col("times") - F.col("from")).cast("int")))).select(*records.columns, "pid")
+    rows.sortWithinPartitions("node", "pid", "key").write.mode("overwrite" if overwrite else "errorifexists").partitionBy("node", "pid").parquet(path)
 
 
 def publish(job: Job, items: DataFrame, path: str) -> tuple[int, list[tuple[str, int, int]]]:

@@ -253,6 +253,15 @@ def test_map_output(spark, tmp_path):
     assert sorted((r["node"], r["pid"], r["key"], r["value"]) for r in rows) == [(0, 2, "a", 1), (0, 2, "a", 1), (0, 3, "b", 1), (1, 2, "a", 1)]
 
 
+def test_map_output_works_out_partitions_once_for_equal_records(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(engine, "REPEATED", 7)
+    seen = []
+    monkeypatch.setattr(engine, "with_partition", lambda rows, job, f=engine.with_partition: (seen.append(rows.count()), f(rows, job))[1])
+    engine.write_map_output(engine.Job("word_count", 5, 2), words_on_nodes(spark, ["a " * 20 + "b"], 1), str(tmp_path / "map"))
+    assert seen == [2]
+    assert sorted(r["key"] for r in spark.read.parquet(str(tmp_path / "map")).collect()) == ["a"] * 20 + ["b"]
+
+
 def test_streaming_counts(spark, tmp_path):
     source = tmp_path / "stream"
     source.mkdir()
