@@ -39,6 +39,8 @@ FEW, BLOCK, HOT, DEEPEST, ROUNDS = 16, 256, 1024, 3, 4
 CELLS, PART = 24, 1 << 16
 #: Rows whose doc_ids are sent to all tasks, so that their texts are found without a shuffle of the others.
 SENT = 1_000_000
+#: Pairs that a task holds at a time.
+RUN = 1 << 20
 SEED, SEED_B = np.uint64(0x51ED270B7A1F39C5), np.uint64(0x8CB92BA72F3D8DD7)
 
 
@@ -201,7 +203,8 @@ def with_key(rows: DataFrame) -> DataFrame:
 
 
 def sets_for(docs: DataFrame, names: DataFrame, keys: DataFrame, width: int) -> DataFrame:
-    """key and the sorted hashes of the set of each of the keys. names: key, row_key and doc_id of one row of its class.
+    """key and the sorted hashes of the set of each of the keys, which may repeat. names: key, row_key and doc_id of one
+    row of its class.
 
     Of the texts only those of up to SENT rows, found by doc_id, are shuffled; for more rows all texts are.
     """
@@ -211,8 +214,8 @@ def sets_for(docs: DataFrame, names: DataFrame, keys: DataFrame, width: int) ->
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([s.tobytes() for s in sets_of(b.column("text"), width)], pa.binary())], ["key", "hashes"])
 
     # written first, so that Spark knows the sizes when it chooses the joins
-    keys = stash(keys.distinct(), "keys")
-    wanted = stash(names.join(keys, "key").select("key", "row_key", F.coalesce("doc_id", F.lit(0)).alias("id")), "wanted")
+    keys = stash(keys, "keys")
+    wanted = stash(names.join(keys, "key", "left_semi").select("key", "row_key", F.coalesce("doc_id", F.lit(0)).alias("id")), "wanted")
     rows = texts(docs)
     if wanted.count() <= SENT:
         rows = rows.join(F.broadcast(wanted.select("id")), F.coalesce("doc_id", F.lit(0)) == F.col("id"), "left_semi")
@@ -253,13 +256,33 @@ def bounded(pairs: DataFrame, maps: DataFrame, share: int) -> DataFrame:
             keep = near_enough(np.array(differ, np.int64), b.column("m").to_numpy() + b.column("n").to_numpy(), share)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    near = stash(pairs.join(right, "b").join(left, "a").select("a", "b", "m", "n", "x", "y").mapInArrow(apply, "a long, b long"), "near")
+    # the leaders, which many pairs have, first: what their bitmaps are joined to goes on by the other keys, evenly
+    near = stash(pairs.join(left, "a").join(right, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(apply, "a long, b long"), "near")
     discard(pairs, keys, maps)
     return near
 
 
+def in_runs(batches):
+    """Both columns of Arrow batches of pairs, RUN pairs or a batch at a time."""
+    held, count = [], 0
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        count += batch.num_rows
+        if count >= RUN:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, count = [], 0
+    if count:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
 def ends_of(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    """key of all pairs (a, b): once from each run of a task, so that nothing is shuffled; tasks may repeat each other."""
+
+    def apply(batches):
+        for a, b in in_runs(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([a, b])))], ["key"])
+
+    return pairs.select("a", "b").mapInArrow(apply, "key long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
@@ -278,34 +301,63 @@ def verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
                     keep.append(100 * same >= share * (len(x) + len(y) - same))
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(apply, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(apply, "a long, b long")
+
+
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key that the links connect to a smaller one, and the smallest key that it is connected to."""
+    keys, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = at[: len(u)], at[len(u) :]
+    label = np.arange(len(keys))
+    while len(u):
+        np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))
+        while (label != (further := label[label])).any():
+            label = further
+        u, v = label[u], label[v]
+        u, v = u[u != v], v[u != v]
+    more = np.flatnonzero(label != np.arange(len(keys)))
+    return keys[more], keys[label[more]]
+
+
+def starred(links: DataFrame) -> DataFrame:
+    """Links u > v with the same components, written: what a run of a task connects is linked to the smallest key of it.
+
+    Done twice, as the first time leaves less, which fewer tasks read together.
+    """
+
+    def apply(batches):
+        for u, v in in_runs(batches):
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, stars(u, v))), ["u", "v"])
+
+    once = stash(links.mapInArrow(apply, "u long, v long"), "stars")
+    out = stash(once.mapInArrow(apply, "u long, v long"), "edges")
+    discard(once)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
-    """key and label (the smallest key it is connected to) of all keys in links (a, b).
+    """key and label (the smallest key it is connected to) of all keys in links (a, b), written.
 
     Repeated links and links given in both directions count once; a key linked with itself alone isn't in the result.
-    Large-star and small-star steps, each over shuffled rows, until nothing changes; the number of rounds grows with
-    the logarithm of a component's size.
+    Tasks connect what they hold; then large-star and small-star steps, each over shuffled rows, until every key is a
+    smallest one or linked with such a one alone; the number of rounds grows with the logarithm of a component's size.
     """
-    edges = stash(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state, none = None, not edges.limit(1).collect()
-    while not none:
+    edges = starred(links.where("a <> b").select("a", "b"))
+    while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        known = both.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.max(F.when(F.col("v") < F.col("u"), F.col("v"))).alias("next"))
+        known = known.select(F.col("u").alias("key"), F.least("u", "low").alias("label"), (F.col("next").isNull() | ((F.col("next") == F.col("low")) & (F.col("high") < F.col("u")))).alias("settled"))
+        known = stash(known, "known")
+        if not known.where("not settled").limit(1).collect():
+            discard(edges)
+            return known.select("key", "label")
+        large = both.where("v > u").join(known.select(F.col("key").alias("u"), F.col("label").alias("m")), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
-        small = small.select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
-        new = stash(small, "edges")
-        discard(edges)
-        edges = new
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    labels = edges.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("key"), "label")
-    return labels.unionByName(edges.select(F.col("v").alias("key"), F.col("v").alias("label")).distinct())
+        new = stash(small.select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).where("u <> v"), "links")
+        discard(edges, known)
+        edges = starred(new)
+        discard(new)
 
 
 def compared(left: np.ndarray, right: np.ndarray, t: dict, share: int) -> tuple[list, list]:
@@ -430,7 +482,7 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """The labels with further links between the components."""
     ends = [labels.select(F.col("key").alias(c), F.col("label").alias(f"{c}_label")) for c in "ab"]
     links = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(*(F.coalesce(f"{c}_label", c).alias(c) for c in "ab"))
-    joined = stash(components(links).select(F.col("key").alias("label"), F.col("label").alias("least")), "joined")
+    joined = components(links).select(F.col("key").alias("label"), F.col("label").alias("least"))
     old = labels.join(joined, "label", "left").select("key", F.coalesce("least", "label").alias("label"))
     new = joined.join(labels, joined["label"] == labels["key"], "left_anti").select(F.col("label").alias("key"), F.col("least").alias("label"))
     return stash(old.unionByName(new), "labels")
@@ -440,16 +492,15 @@ def labelled(tiles: DataFrame, labels: DataFrame) -> DataFrame:
     return tiles.select("tile", "key", "n").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
 
 
-def led_on(tiles: DataFrame, labels: DataFrame, maps: DataFrame, link, share: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """The labels after rounds in which a member outside the largest component leads its tile, what tiles are open, and
-    the tables they lie in. Tiles of a FEW members outside it are left aside by the rounds."""
-    aside, lying, rest = [], [], tiles
+def led_on(tiles: DataFrame, labels: DataFrame, maps: DataFrame, link, share: int) -> tuple[DataFrame, DataFrame]:
+    """The labels after rounds in which a member outside the largest component leads its tile, and undecided() of what
+    tiles are open. Tiles of a FEW members outside it are left aside by the rounds."""
+    aside, lying, rest, fresh = [], [], tiles, False
     for k in range(ROUNDS):
         lying.append(stash(undecided(labelled(rest, labels)), "open"))
         if rest is tiles:
             discard(tiles)
-        aside.append(lying[-1].where(F.col("outside") <= FEW))
-        rest = lying[-1].where(F.col("outside") > FEW)
+        rest, fresh = lying[-1].where(F.col("outside") > FEW), True
         if not rest.limit(1).collect():
             break
         leaders = rest.where("label <> top").groupBy("tile").agg(F.max(F.struct(F.xxhash64("key", F.lit(k)).alias("draw"), F.col("key").alias("a"), F.col("n").alias("m"), F.col("label").alias("of"))).alias("one")).select("tile", "one.*")
@@ -457,17 +508,25 @@ def led_on(tiles: DataFrame, labels: DataFrame, maps: DataFrame, link, share: in
         links = link(bounded(pairs.select("a", F.col("key").alias("b")).distinct(), maps, share))
         if not links.limit(1).collect():
             break
-        labels = merged(labels, links)
-    return labels, functools.reduce(DataFrame.unionByName, [*aside, rest]), lying
+        labels, fresh = merged(labels, links), False
+        aside.append(lying[-1].where(F.col("outside") <= FEW))
+    # what has been looked at with these labels stays as it is
+    told = [lying[-1]] if fresh else []
+    old = aside if fresh else [*aside, rest]
+    if old:
+        told.append(stash(undecided(labelled(functools.reduce(DataFrame.unionByName, old), labels)), "open"))
+        discard(*lying[: len(lying) - fresh])
+    return labels, told
 
 
-def pairs_left(told: DataFrame, maps: DataFrame, sets_of_keys, levels, share: int) -> DataFrame:
-    """Candidate pairs of different components in the tiles. told: tile, key, n, label.
+def pairs_left(told: list[DataFrame], maps: DataFrame, sets_of_keys, levels, share: int) -> DataFrame:
+    """Candidate pairs of different components in the tiles; some may come repeatedly. told: tables of tile, key, n, label and undecided()'s columns,
+    which are removed.
 
     Tiles of n-grams are divided by further ones; other tiles (levels is None) by n-grams from the first on.
     """
-    rest = stash(undecided(told.select("tile", "key", "n", "label", F.lit(-1 if levels is None else None).cast("int").alias("at"))), "undecided")
-    out, done, size, outside = [], [], F.col("members"), F.col("outside")
+    rest = functools.reduce(DataFrame.unionByName, told).withColumn("at", F.lit(-1 if levels is None else None).cast("int"))
+    out, done, size, outside = [], [*told], F.col("members"), F.col("outside")
 
     def with_bits(rows):
         done.append(stash(rows, "some"))  # so that few rows are joined without a shuffle of all bitmaps
@@ -477,7 +536,6 @@ def pairs_left(told: DataFrame, maps: DataFrame, sets_of_keys, levels, share: in
         hot = (size > FEW) & (outside > HOT)
         out.append(bounded(few_pairs(rest.where(size <= FEW), share), maps, share))
         out.append(stash(lopsided_pairs(with_bits(rest.where((size > FEW) & ~hot)), share), "lopsided"))
-        done.append(rest)
         rest = rest.where(hot)
         if not rest.limit(1).collect():
             break
@@ -488,13 +546,15 @@ def pairs_left(told: DataFrame, maps: DataFrame, sets_of_keys, levels, share: in
         sets = sets_of_keys(names.select("key"))
         parts = divided(rest.join(sets, "key"), levels, share, k)
         rest = stash(undecided(parts.join(names, "key")), "undecided")
+        done.append(rest)
         discard(sets)
     discard(*done)
-    return functools.reduce(DataFrame.unionByName, out).distinct()
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 def linked(docs: DataFrame, width: int, share: int, filing: Callable[[DataFrame, int, int], tuple] = by_ngrams) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, row_key, n, k1, k2), classes (k1, k2, n, key, row_key and doc_id of one row) and the label of keys that have links.
+    """Rows (doc_id, row_key, n, k1, k2), classes (k1, k2, n, key, row_key and doc_id of one row: the one with the smallest
+    doc_id, null being the largest, and of those the smallest row_key) and the label of keys that have links.
 
     filing gives what describe() returns, and the order of n-grams, None if its tiles aren't n-grams.
     """
@@ -502,36 +562,33 @@ def linked(docs: DataFrame, width: int, share: int, filing: Callable[[DataFrame,
         raise ValueError("share must be 50 to 100")
     found, levels = filing(docs, width, share)
     every = stash(found, "filed")
-    classes = every.where("k1 is not null").groupBy("k1", "k2", "n").agg(F.first("tiles").alias("tiles"), F.first("bits").alias("bits"), F.min(F.struct("row_key", "doc_id")).alias("row")).select("k1", "k2", "n", "tiles", "bits", "row.*")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
+    classes = every.where("k1 is not null").groupBy("k1", "k2", "n").agg(F.first("tiles").alias("tiles"), F.first("bits").alias("bits"), F.min(place).alias("row")).select("k1", "k2", "n", "tiles", "bits", "row.doc_id", "row.row_key")
     classes = stash(classes.withColumn("key", F.monotonically_increasing_id()), "classes")
     described = stash(every.drop("tiles", "bits"), "sets")
     discard(every)
     entries = classes.select("key", "n", F.explode("tiles").alias("tile"))
     # counted map-side and joined, as Spark divides a join on a frequent tile, but not a window
     counts = entries.groupBy("tile").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    plain = stash(entries.join(counts, "tile"), "tiles")
+    # a key has no more entries than its own n-grams, or bands
+    shared_ = stash(entries.join(counts, "tile").withColumn("weight", F.sum("members").over(Window.partitionBy("key"))), "weighed")
     names, maps = stash(classes.drop("tiles", "bits"), "names"), stash(classes.select("key", "n", "bits"), "bitmaps")
     discard(classes)
-    # a key has no more entries than its own n-grams, or bands
-    shared_ = stash(plain.withColumn("weight", F.sum("members").over(Window.partitionBy("key"))), "weighed")
-    discard(plain)
     leaders = shared_.groupBy("tile").agg(F.max(F.struct("weight", F.negative("n").alias("n"), F.col("key").alias("leader"))).alias("top"))
     pairs = shared_.join(leaders, "tile").where((F.col("key") != F.col("top.leader")) & (100 * F.least(F.col("n"), -F.col("top.n")) >= share * F.greatest(F.col("n"), -F.col("top.n"))))
     near = bounded(pairs.select(F.col("top.leader").alias("a"), F.col("key").alias("b")).distinct(), maps, share)
     sets_of_keys = lambda keys: sets_for(docs, names, keys, width)
 
-    def link(found: DataFrame) -> DataFrame:
+    def link(found: DataFrame, repeated: bool = False) -> DataFrame:
         if not found.limit(1).collect():
             return found
         sets = sets_of_keys(ends_of(found))
-        links = stash(verified(found, sets, share), "links")
+        links = stash(verified(found.distinct() if repeated else found, sets, share), "links")
         discard(sets)
         return links
 
-    labels, open_, lying = led_on(shared_, stash(components(link(near)), "labels"), maps, link, share)
-    left = stash(pairs_left(labelled(open_, labels), maps, sets_of_keys, levels, share), "left")
-    discard(*lying)
-    more = link(left)
+    labels, open_ = led_on(shared_, components(link(near)), maps, link, share)
+    more = link(pairs_left(open_, maps, sets_of_keys, levels, share), repeated=True)
     return described, names, merged(labels, more) if more.limit(1).collect() else labels
 
 
@@ -550,9 +607,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, share: int = 80) -> Data
 
 def component_ids(described: DataFrame, names: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of what linked() gives."""
-    classes = described.where("k1 is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")).join(names, ["k1", "k2", "n"]).join(labels, "key", "left")
-    classes = classes.withColumn("label", F.coalesce("label", "key"))
-    told = classes.join(classes.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("k1", "k2", "n", "component_id")
+    classes = names.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    told = classes.join(classes.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("k1", "k2", "n", "component_id")
     out = described.join(told, ["k1", "k2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -560,10 +616,9 @@ def component_ids(described: DataFrame, names: DataFrame, labels: DataFrame) ->
 def components_kept(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
     """doc_id and row_key of the row that stays of each component of texts with words: the one with the smallest doc_id,
     null being the largest; of several rows with that doc_id, the one with the smallest row_key."""
-    described, names, labels = linked(docs, width, share)
+    _, names, labels = linked(docs, width, share)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
-    reps = described.where("k1 is not null").groupBy("k1", "k2", "n").agg(F.min(place).alias("rep")).join(names.select("k1", "k2", "n", "key"), ["k1", "k2", "n"])
-    reps = reps.join(labels, "key", "left").groupBy(F.coalesce("label", "key").alias("label")).agg(F.min("rep").alias("rep"))
+    reps = names.join(labels, "key", "left").groupBy(F.coalesce("label", "key").alias("label")).agg(F.min(place).alias("rep"))
     return reps.select("rep.doc_id", "rep.row_key")
 
 

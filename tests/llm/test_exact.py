@@ -201,6 +201,45 @@ def test_components_of_links(spark):
     assert got == {1: 1, 2: 1, 3: 1, 5: 5, 7: 5, **{100 + i: 100 for i in range(41)}}
 
 
+def test_stars_of_links():
+    rng = np.random.default_rng(3)
+    for n, m in [(2, 1), (50, 30), (400, 380), (1000, 3000)]:
+        u, v = rng.permutation(10 * n)[rng.integers(0, n, (2, m))]
+        label = {k: k for k in {*u.tolist(), *v.tolist()}}
+        for _ in range(n):
+            before = dict(label)
+            for a, b in zip(u.tolist(), v.tolist()):
+                label[a] = label[b] = min(label[a], label[b])
+            if before == label:
+                break
+        keys, least = jaccard.stars(u, v)
+        assert dict(zip(keys.tolist(), least.tolist())) == {k: x for k, x in label.items() if k != x}
+    assert [len(x) for x in jaccard.stars(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [0, 0]
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_components_take_few_rounds(spark, monkeypatch, parts):
+    """Tasks connect what they hold, so that a chain is done in few steps over shuffled rows, in one task in none."""
+    written, stash = [], jaccard.stash
+    monkeypatch.setattr(jaccard, "stash", lambda df, tag: written.append(tag) or stash(df, tag))
+    links = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long").coalesce(1).repartition(parts)
+    assert {r["key"]: r["label"] for r in jaccard.components(links).collect()} == dict.fromkeys(range(201), 0)
+    assert len(written) <= (3 if parts == 1 else 7)
+
+
+def test_few_shuffles_of_pairs(spark, monkeypatch):
+    """The keys of pairs are found without a shuffle, and open tiles are looked at once while labels stay as they are."""
+    pairs = spark.range(0, 1000, 1, 3).select((F.col("id") % 7).alias("a"), (F.col("id") % 5 + 10).alias("b"))
+    keys = jaccard.ends_of(pairs)
+    assert {r["key"] for r in keys.collect()} == {*range(7), *range(10, 15)} and keys.count() <= 3 * 12
+    assert "Exchange" not in keys._jdf.queryExecution().toString()
+    looked, undecided = [], jaccard.undecided
+    monkeypatch.setattr(jaccard, "undecided", lambda told: looked.append(1) or undecided(told))
+    rows = [(i, "a b c d e f " + " ".join(f"w{i}x{k}" for k in range(20))) for i in range(30)] + [(99, "p q r s t"), (98, "p q r s t u")]
+    assert Counter(map(tuple, jaccard.jaccard_components(frame(spark, rows), 4, 50).collect())) == brute_components(rows, 4, 50)
+    assert len(looked) == 1
+
+
 def test_bitmaps_bound_the_overlap():
     rng = np.random.default_rng(0)
     for n, m, both in [(100, 90, 50), (300, 280, 270), (64, 64, 64), (1000, 30, 20)]:
