@@ -6,6 +6,10 @@ import numpy as np
 
 MUL = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
+#: Entries of a matrix that are gone through at once.
+ENTRIES = 1 << 18
+#: Words that are scored at once.
+PIECE = 4_000
 
 
 def grams(words: list[str], low: int, high: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -40,8 +44,8 @@ class Memo(dict):
         if len(self) + len(new) > self.keep:
             self.clear()
             new = list({w for words in docs for w in words})
-        for k in range(0, len(new), 20_000):
-            self.update(zip(new[k : k + 20_000], self.score(new[k : k + 20_000])))
+        for k in range(0, len(new), PIECE):
+            self.update(zip(new[k : k + PIECE], self.score(new[k : k + PIECE])))
 
 
 def logistic(z: np.ndarray) -> np.ndarray:
@@ -51,11 +55,17 @@ def logistic(z: np.ndarray) -> np.ndarray:
 def fit_logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, width: int, l2: float, rounds: int = 60) -> tuple[np.ndarray, float]:
     """Weights and bias of an L2-penalised logistic regression over a sparse matrix given by entries, by L-BFGS."""
     n = len(y)
+    pieces = [slice(k, k + ENTRIES) for k in range(0, len(values), ENTRIES)]
 
     def loss(p):
-        z = np.bincount(rows, values * p[cols], minlength=n) + p[-1]
+        z, g = np.zeros(n), np.zeros(width)
+        for k in pieces:
+            np.add.at(z, rows[k], values[k] * p[cols[k]])
+        z += p[-1]
         q = logistic(z)
-        g = np.append(np.bincount(cols, values * (q - y)[rows], minlength=width) / n + l2 * p[:-1], (q - y).mean())
+        for k in pieces:
+            np.add.at(g, cols[k], values[k] * (q - y)[rows[k]])
+        g = np.append(g / n + l2 * p[:-1], (q - y).mean())
         return float(np.logaddexp(0, np.where(y > 0, -z, z)).mean() + l2 / 2 * (p[:-1] @ p[:-1])), g
 
     p = np.zeros(width + 1)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections import Counter, deque
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ SHARE, MOST = 1.5, 2
 #: The network is on the driver: no more membership patterns than this may share sources with others. Patterns of one
 #: source that no other pattern has aren't counted: where there are more patterns in all, they are planned by DataFrame steps.
 PATTERNS = 20_000
-PLAN = "pattern array<string>, whole int, rest long, source_sizes array<long>, targets array<double>"
+PLAN = pa.schema([("pattern", pa.list_(pa.string())), ("whole", pa.int32()), ("rest", pa.int64()), ("source_sizes", pa.list_(pa.int64())), ("targets", pa.list_(pa.float64()))])
 
 
 def size_of(text: Column) -> Column:
@@ -127,7 +128,9 @@ def routed(spark: SparkSession, found: list[tuple[tuple, int]], size: dict, targ
     for (i, _), x in flow.items():
         gets[i] += x
     plan = [(list(p), int(gets[k] // n) if n else 0, int(gets[k] % n) if n else 0, [int(size[s]) for s in p], [target[s] for s in p]) for k, (p, n) in enumerate(found)]
-    return spark.createDataFrame(plan, PLAN).coalesce(1)
+    columns = zip(*plan) if plan else [()] * 5
+    # as Arrow, which Spark reads without Python workers of another kind, that would stay beside the corpus operators'
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(columns, PLAN.types)], schema=PLAN)).coalesce(1)
 
 
 def plan_of_many(by_pattern: DataFrame, share: float, most: int, weights: tuple) -> DataFrame:
@@ -146,7 +149,7 @@ def plan_of_many(by_pattern: DataFrame, share: float, most: int, weights: tuple)
     counts, first = {}, 0
     for part, n in sorted(map(tuple, ranged.groupBy("part").count().collect())):  # one row a partition
         counts[part], first = first, first + n
-    starts = F.broadcast(spark.createDataFrame(list(counts.items()), "part int, first long"))
+    starts = F.broadcast(spark.createDataFrame(pa.table([pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], ["part", "first"])))
     inside = Window.partitionBy("part").orderBy(F.asc_nulls_last("source"))
     numbered = ranged.withColumn("at", F.row_number().over(inside) - 1).join(starts, "part").withColumn("place", F.pmod(F.col("first") + F.col("at"), F.lit(len(weights))).cast("int"))
     weight = F.element_at(F.array(*map(F.lit, map(float, weights))), F.col("place") + 1)

@@ -1,5 +1,6 @@
 """Token counts and packing against the library, classifiers by held-out accuracy, the pipeline against its parts."""
 
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tallyloom.llm import grams, language, mixing, packing, quality, queries, token_counts, toxicity
+from tallyloom.llm import grams, language, mixing, packing, quality, queries, shared, token_counts, toxicity
 
 DATA, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -350,3 +351,39 @@ def test_training_texts_are_bounded(spark):
     seen = lambda most: toxicity.fitted(labels, docs, "toxic", lambda t, y: (t, y), 100, most)
     values, ys = seen(10_000)
     assert len(values) == 7 and sorted(ys) == ["0"] * 4 + ["1"] * 3 and len(seen(30)[0]) < 7 and sum(map(len, seen(30)[0])) <= 30 or len(seen(30)[0]) == 1
+
+
+def test_training_drops_what_the_worker_keeps(spark):
+    docs = frame(spark, [(i, f"word {i}") for i in range(40)]).repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    assert packing.pieces_of(docs, WORD, 2048, 1).count() == 40  # every worker now keeps a tokenizer
+    still = toxicity.fitted(labels, docs, "toxic", lambda texts, y: {k: len(v) for k, v in shared.kept.items()} | {"texts": len(list(texts))}, 100)
+    assert still["texts"] == 40 and not still.get("packing")
+
+
+def test_training_holds_little_beside_its_texts(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = ["".join(map(chr, rng.integers(97, 123, 8))) for _ in range(3_000)]
+    texts, y = [" ".join(rng.choice(words[i % 2 * 1_000 :][:2_000], 400)) for i in range(1_000)], np.arange(1_000) % 2
+    monkeypatch.setattr(toxicity, "BITS", 18)  # so that the tables by feature are small against the entries
+    tracemalloc.start()
+    model = toxicity.train(texts, y)
+    entries = sum(np.isin(toxicity.counted(t)[0], model["keys"]).sum() for t in texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert entries > 1_000_000 and peak < 40 * entries
+
+    monkeypatch.setattr(grams, "ENTRIES", 1_000)
+    monkeypatch.setattr(toxicity, "WORDS", 50)
+    same = toxicity.train(toxicity.Kept([t.encode() for t in texts]), y)
+    assert all(np.array_equal(model[k], same[k]) for k in ("keys", "weights", "bias"))
+    p = toxicity.scorer(model)(texts)
+    monkeypatch.setattr(toxicity, "CHARS", 1)
+    monkeypatch.setattr(grams, "PIECE", 7)
+    assert np.array_equal(p, toxicity.scorer(model)(texts)) and len(toxicity.scorer(model)([])) == 0
+
+
+def test_plan_of_a_mix_needs_no_python_worker(spark):
+    plan = mixing.routed(spark, [(("a", None), 6), (("b",), 0)], {"a": 6, None: 6, "b": 0}, {"a": 9.0, None: 3.0, "b": 0.0}, 2)
+    assert [tuple(r) for r in plan.orderBy("whole").collect()] == [(["b"], 0, 0, [0], [0.0]), (["a", None], 2, 0, [6, 6], [9.0, 3.0])] and "ExistingRDD" not in plan._jdf.queryExecution().toString()
+    assert mixing.routed(spark, [], {}, {}, 2).count() == 0
