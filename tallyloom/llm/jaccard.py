@@ -11,7 +11,9 @@
    components. Where more than a FEW members are outside a tile's largest component, one of them leads next.
 4. Tiles that still hold several components are decided pair by pair: those of a FEW members by a join, others in
    blocks of members; members of the largest component are not paired with each other. A tile of over HOT members is first divided by the further n-grams that its sets have in common: linked
-   sets share k n-grams among their first n - ceil(share * n) + k, if they share k at all.
+   sets share k n-grams among their first n - ceil(share * n) + k, if they share k at all. Sets that are nearly linked have
+   most n-grams in common, so that all parts would be as large as the tile, and be divided again: a tile is divided only
+   where its parts have few rows for its pairs, and only if they leave at most half of the pairs.
 Every candidate pair meets the bitmaps before its sets: a bit flips for each hash that falls on it, so bits that differ
 are hashes that differ, which bounds the overlap from above. What is left gets the exact intersection of sorted arrays.
 So all pairs in a tile are either decided, or in one component already; no group of copies is expanded into pairs.
@@ -35,6 +37,8 @@ from .wordhash import mix, mix_other, runs_of_words, text_bytes, words
 #: Members of a tile whose pairs are listed by size alone, of a block of a larger tile, members outside its largest
 #: component from which on a tile is divided, how often at most, and rounds of further leaders before that.
 FEW, BLOCK, HOT, DEEPEST, ROUNDS = 16, 256, 1024, 3, 4
+#: Pairs of a tile that cost about as much as a row of a part of it.
+PAIRS = 64
 #: The sketch of popular n-grams has 2 ** CELLS counts, in parts of PART.
 CELLS, PART = 24, 1 << 16
 #: Rows whose doc_ids are sent to all tasks, so that their texts are found without a shuffle of the others.
@@ -416,13 +420,16 @@ def lopsided_pairs(tiles: DataFrame, share: int) -> DataFrame:
 
 
 def close_pairs(tiles: DataFrame, share: int) -> DataFrame:
-    """Candidate pairs in any tile. tiles: tile, members, key, n, bits, label.
+    """Candidate pairs in any tile. tiles: tile, members, outside, key, n, bits, label, top (label of the largest component).
 
-    Blocks of a tile are given out by hash, and each two blocks are one group of about 2 * BLOCK rows.
+    Blocks of a tile, those of its largest component apart, are given out by hash, and each two blocks, of which one is
+    outside that component, are one group of about 4 * BLOCK rows.
     """
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("key"), blocks).cast("int")
-    rows = tiles.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    outer, inner = (F.ceil(F.col(c) / (2 * BLOCK)).cast("int") for c in ("outside", "within"))
+    inside = F.col("label") == F.col("top")
+    rows = tiles.withColumn("within", F.col("members") - F.col("outside"))
+    rows = rows.withColumn("own", F.when(inside, outer + F.pmod(F.xxhash64("key"), inner)).otherwise(F.pmod(F.xxhash64("key"), outer)).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), outer + F.when(inside, 0).otherwise(inner) - 1)))
     rows = rows.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "n", "bits", "label")
 
     def apply(t: pa.Table) -> pa.Table:
@@ -442,7 +449,7 @@ def few_pairs(tiles: DataFrame, share: int) -> DataFrame:
 
 
 def divided(rows: DataFrame, levels, share: int, k: int) -> DataFrame:
-    """tile, key, at of the parts of tiles. rows: tile, key, at (place of the tile's last n-gram, null at first), hashes.
+    """tile, key, at of the parts of tiles, and of (the tile that was divided). rows: tile, key, at (place of the tile's last n-gram, null at first), hashes.
 
     A set goes to the parts of its n-grams after that place, among the first that linked sets share k + 1 of. Sets too
     small for k + 1 shared n-grams meet in one more part. levels: the broadcast order of n-grams, None if by hash.
@@ -450,7 +457,7 @@ def divided(rows: DataFrame, levels, share: int, k: int) -> DataFrame:
 
     def apply(batches):
         for b in batches:
-            tiles, keys, places = [], [], []
+            tiles, keys, places, whole = [], [], [], []
             for tile, key, at, raw in zip(b.column("tile").to_pylist(), b.column("key").to_pylist(), b.column("at").to_pylist(), b.column("hashes")):
                 s = in_order(np.frombuffer(raw.as_buffer(), np.uint64), levels and levels.value)
                 n = len(s)
@@ -464,10 +471,11 @@ def divided(rows: DataFrame, levels, share: int, k: int) -> DataFrame:
                 tiles.append(part.view(np.int64))
                 keys.append(np.full(len(part), key, np.int64))
                 places.append(place.astype(np.int32))
+                whole.append(np.full(len(part), tile, np.int64))
             none = [np.zeros(0, np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tiles or none)), pa.array(np.concatenate(keys or none)), pa.array(np.concatenate(places or none).astype(np.int32))], ["tile", "key", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tiles or none)), pa.array(np.concatenate(keys or none)), pa.array(np.concatenate(places or none).astype(np.int32)), pa.array(np.concatenate(whole or none))], ["tile", "key", "at", "of"])
 
-    return rows.select("tile", "key", "at", "hashes").mapInArrow(apply, "tile long, key long, at int")
+    return rows.select("tile", "key", "at", "hashes").mapInArrow(apply, "tile long, key long, at int, of long")
 
 
 def undecided(told: DataFrame) -> DataFrame:
@@ -523,7 +531,8 @@ def pairs_left(told: list[DataFrame], maps: DataFrame, sets_of_keys, levels, sha
     """Candidate pairs of different components in the tiles; some may come repeatedly. told: tables of tile, key, n, label and undecided()'s columns,
     which are removed.
 
-    Tiles of n-grams are divided by further ones; other tiles (levels is None) by n-grams from the first on.
+    Tiles of n-grams are divided by further ones; other tiles (levels is None) by n-grams from the first on. What division
+    doesn't make smaller is decided as it is, in blocks, so that the work is never more than a few times that of all pairs.
     """
     rest = functools.reduce(DataFrame.unionByName, told).withColumn("at", F.lit(-1 if levels is None else None).cast("int"))
     out, done, size, outside = [], [*told], F.col("members"), F.col("outside")
@@ -532,6 +541,9 @@ def pairs_left(told: list[DataFrame], maps: DataFrame, sets_of_keys, levels, sha
         done.append(stash(rows, "some"))  # so that few rows are joined without a shuffle of all bitmaps
         return done[-1].join(maps.select("key", "bits"), "key")
 
+    def in_blocks(rows):
+        out.append(stash(close_pairs(with_bits(rows), share), "close"))
+
     for k in range(levels is not None, DEEPEST + 2):
         hot = (size > FEW) & (outside > HOT)
         out.append(bounded(few_pairs(rest.where(size <= FEW), share), maps, share))
@@ -540,14 +552,28 @@ def pairs_left(told: list[DataFrame], maps: DataFrame, sets_of_keys, levels, sha
         if not rest.limit(1).collect():
             break
         if k > DEEPEST:
-            out.append(stash(close_pairs(with_bits(rest), share), "close"))
+            in_blocks(rest)
+            break
+        n = F.col("n")
+        rows = F.least(n, n - F.ceil(n * share / 100) + 1 + k) - F.coalesce("at", F.lit(0))  # at most, of each member
+        costs = rest.groupBy("tile").agg(F.sum(rows).alias("rows"), F.first(size * outside).alias("pairs")).select("tile", "pairs", (F.col("rows") * PAIRS < F.col("pairs")).alias("small"))
+        rest = stash(rest.join(costs, "tile"), "hot")
+        done.append(rest)
+        in_blocks(rest.where("not small"))
+        rest = rest.where("small")
+        if not rest.limit(1).collect():
             break
         names = rest.select("key", "n", "label").distinct()
         sets = sets_of_keys(names.select("key"))
-        parts = divided(rest.join(sets, "key"), levels, share, k)
-        rest = stash(undecided(parts.join(names, "key")), "undecided")
-        done.append(rest)
+        parts = stash(undecided(divided(rest.join(sets, "key"), levels, share, k).join(names, "key")), "undecided")
+        done.append(parts)
         discard(sets)
+        left = parts.groupBy("of", "tile").agg(F.first(size * outside).alias("left")).groupBy("of").agg(F.sum("left").alias("left"))
+        whole = rest.select("tile", "pairs").distinct().join(left, F.col("tile") == F.col("of")).where(2 * F.col("left") > F.col("pairs")).select("of")
+        whole = stash(whole, "whole")
+        done.append(whole)
+        in_blocks(rest.join(whole, F.col("tile") == F.col("of"), "left_semi"))
+        rest = parts.join(whole, "of", "left_anti")
     discard(*done)
     return functools.reduce(DataFrame.unionByName, out)
 

@@ -7,7 +7,8 @@
 2. Sets that agree in all ROWS coordinates of a band share a tile. A pair of similarity s shares none with a probability of
    (1 - s ** ROWS) ** BANDS: 1.3e-7 at 0.8, 6e-11 at 0.85.
 3. Tiles are decided as those of the n-gram join: leaders, components, pairs in bounded blocks, bitmaps first, and each
-   link confirmed on the full sets. No tile is capped; a hot one is divided by the n-grams that linked sets must share.
+   link confirmed on the full sets. No tile is capped; a hot one is divided by the n-grams that linked sets must share
+   where that leaves fewer pairs.
 """
 
 from __future__ import annotations

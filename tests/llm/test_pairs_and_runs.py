@@ -118,6 +118,21 @@ def test_hot_bands_lose_no_link(spark, monkeypatch):
     assert Counter(map(tuple, minhash.near_duplicates(frame(spark, rows), width=4, share=80).collect())) == brute_components(rows, 4, 80)
 
 
+@pytest.mark.parametrize("pairs", [64, 0])
+def test_hot_bands_of_nearly_linked_sets_are_not_multiplied(spark, monkeypatch, pairs):
+    """Most n-grams are in most sets of a tile, so that each part of it would be as hot as the tile, and be divided again."""
+    for name, value in (("FEW", 2), ("BLOCK", 8), ("HOT", 4), ("ROUNDS", 1), ("PAIRS", pairs)):  # 0: all hot tiles are divided once
+        monkeypatch.setattr(jaccard, name, value, raising=False)
+    monkeypatch.setattr(minhash, "by_bands", lambda docs, width, share: (jaccard.describe(docs, width, lambda sets: [np.array([7], np.uint64) for _ in sets]), None))
+    rng = random.Random(8)
+    root = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(f"x{i}" if j in edits else w for j, w in enumerate(root))) for i in range(30) for edits in [rng.sample(range(60), 2 if i % 5 else 1)]]
+    told = []
+    monkeypatch.setattr(jaccard, "stash", lambda df, tag, f=jaccard.stash: (out := f(df, tag), told.append((tag, out.count())))[0])
+    assert Counter(map(tuple, minhash.near_duplicates(frame(spark, rows), width=4, share=80).collect())) == brute_components(rows, 4, 80)
+    assert sum(n for tag, n in told if tag == "undecided") <= (0 if pairs else 30 * 13)
+
+
 def test_packed_counts():
     counts = np.zeros(jaccard.PART, np.int64)
     counts[[0, 5, 9, 65_535]] = 1, 300, 2**40, 7
